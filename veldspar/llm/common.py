@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import pickle
 import shutil
 import tempfile
+from collections.abc import Callable
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +38,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def broadcast(spark: SparkSession, model: object) -> Callable[[], object]:
+    """Sends a model of bounded size once to each executor, by value; call the result there to get it."""
+    sent = spark.sparkContext.broadcast(cloudpickle.dumps(model))
+    return lambda: pickle.loads(sent.value)
+
+
 def as_bytes(column: pa.Array) -> list[bytes | None]:
     """A string column's values as UTF-8, without decoding them."""
     return column.cast(pa.binary()).to_pylist()
