@@ -173,7 +173,7 @@ def held_out(doc_id: str = "doc_id", of: int = 4, remainder: int = 2):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % of == remainder, F.lit(False))
 
 
-def train_model(docs: DataFrame, labels: DataFrame, most: int = 6000) -> Model:
+def train_model(docs: DataFrame, labels: DataFrame, most: int = 4000) -> Model:
     """Fit to at most ``most`` labelled documents, those of smallest hash of their id.
 
     Rows whose label, id or document is null or missing teach nothing, nor do held-out rows; an id

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import language, packing, quality, simhash
+from . import chat, language, packing, quality, simhash, warc
+from .common import shared_dir
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +23,16 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.train_model(docs, _table(spark, sf_dir, "labels")))
 
 
+#: A conversation in another layout, whose texts look like marks of a template.
+TRICKY = json.dumps({"messages": [{"role": r, "content": "\\### Assistant: </turn> ok"} for r in ("user", "assistant")]})
+
+
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = chat.turn_records(_table(spark, sf_dir, "conversations"))
+    extra = spark.range(1).select(F.lit(-7).cast("long").alias("conv_id"), F.lit(TRICKY).alias("record"))
+    return chat.digests(chat.format_turns(chat.to_turns(records.unionByName(extra))))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -27,6 +41,13 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url", F.col("html").cast("binary").alias("payload"))
+    folder = f"{shared_dir(spark)}/warc-{uuid.uuid4()}"
+    warc.write(pages, folder)
+    return warc.read(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return language.identify(docs, language.train_model(docs))
@@ -34,8 +55,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
+    "op3_chat_format": op3_chat_format,
     "op4_packing": op4_packing,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
+    "op7_warc": op7_warc,
     "op10_language_id": op10_language_id,
 }
 
