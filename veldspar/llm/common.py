@@ -5,12 +5,15 @@ from __future__ import annotations
 import atexit
 import pickle
 import shutil
+import sys
 import tempfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from types import ModuleType
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN: list[str] = []
@@ -49,13 +52,25 @@ def as_bytes(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
-def narrow(df: DataFrame, *columns: str) -> DataFrame:
-    """Just the columns an operator reads; any others may be named as they like."""
-    return df.select(*columns)
-
-
-def bit(value: Column, at: int) -> Column:
-    return F.shiftrightunsigned(value, at).bitwiseAND(F.lit(1))
+def by_size(column: pa.Array, most: int) -> Iterator[tuple[int, int]]:
+    """(first row, rows) of stretches of a column with at most ``most`` bytes, or one row each."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()
+    begin = total = 0
+    for row, size in enumerate(sizes):
+        if row > begin and total + size > most:
+            yield begin, row - begin
+            begin, total = row, 0
+        total += size
+    if sizes:
+        yield begin, len(sizes) - begin
+
+
+def kept(name: str, make: Callable[[], object]) -> object:
+    """What ``make`` gave when this Python process was first asked for ``name``; tasks share their worker's."""
+    store = sys.modules.setdefault("veldspar_kept", ModuleType("veldspar_kept")).__dict__
+    if name not in store:
+        store[name] = make()
+    return store[name]
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

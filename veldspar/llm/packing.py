@@ -11,39 +11,77 @@ import struct
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import by_size, kept
+
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, dealt long"
 PLACED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-class WordIds(dict):
-    """Packed ids of each word between ASCII white space.
+class WordIds:
+    """Packed ids of words between ASCII white space, by a vocabulary whose words never cross it.
 
-    The vocabulary is applied by `tokenizers` to each new word. Its words never cross white space
-    and it drops white space, so a text's ids are those of its words in order. The store is
-    emptied when it is full, so its memory is bounded whatever the corpus holds.
+    `tokenizers` encodes each new word; one of Latin letters alone goes straight to the
+    vocabulary's model, after the same lower-casing and byte alphabet. The words used last are
+    kept, twice ``most`` of them, so memory is bounded whatever the corpus holds.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    LATIN = frozenset("abcdefghijklmnopqrstuvwxyz" + "".join(chr(c) for c in range(0xDF, 0x100) if c != 0xF7))
+
+    def __init__(self, path: str, most: int = 300_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
-
-    def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= self.most:
-            self.clear()
-        ids = self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids
-        found = struct.pack(f"<{len(ids)}I", *ids)
+        self.fresh: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        rest = iter(range(256, 512))
+        plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        alphabet = {b: chr(b) if b in plain else chr(next(rest)) for b in range(256)}
+        self.letters = {ord(c): "".join(alphabet[b] for b in c.encode()) for c in self.LATIN}
+
+    def ids(self, word: str) -> bytes:
+        found = self.fresh.get(word)
+        if found is not None:
+            return found
+        found = self.older.get(word)
+        if found is None:
+            lower = word.lower()
+            if len(lower) == len(word) and self.LATIN.issuperset(lower):
+                ids = [t.id for t in self.tokenizer.model.tokenize(lower.translate(self.letters))]
+            elif word[-1:] in (".", ",") and word[-2:-1].lower().isalpha():
+                return self.ids(word[:-1]) + self.ids(word[-1])
+            else:
+                ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+            found = struct.pack(f"<{len(ids)}I", *ids)
         if len(word) <= 64:
-            self[word] = found
+            if len(self.fresh) >= self.most:
+                self.older, self.fresh = self.fresh, {}
+            self.fresh[word] = found
         return found
 
-    def encode(self, text: bytes | None) -> bytes:
-        return b"".join(map(self.__getitem__, (text or b"").split()))
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All texts' ids in a row, and where each text's begin (with the end of the last)."""
+        texts = texts.fill_null("")
+        marked = pc.match_substring(texts, "<|")  # special tokens are lower-case: others must stay as they are
+        texts = pc.if_else(marked, texts, pc.ascii_lower(texts))
+        words = pc.ascii_split_whitespace(texts)
+        coded = words.flatten().dictionary_encode()
+        packed = [self.ids(w) if w else b"" for w in coded.dictionary.to_pylist()]
+        store = np.frombuffer(b"".join(packed), np.uint32)
+        lengths = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
+        begins = np.cumsum(lengths) - lengths
+        index = coded.indices.to_numpy()
+        counts = lengths[index]
+        ends = np.concatenate([[0], np.cumsum(counts)])
+        at = np.repeat(begins[index] - ends[:-1], counts) + np.arange(ends[-1])
+        offsets = words.offsets.to_numpy()
+        return store[at], ends[offsets - offsets[0]]
 
 
 class FirstFit:
@@ -90,18 +128,21 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int =
     end = struct.pack("<I", end_id)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, row = WordIds(tokenizer), 0
+        words, row = kept(f"words of {tokenizer}", lambda: WordIds(tokenizer)), 0
         task = TaskContext.get().partitionId()
         for batch in batches:
-            out: list[tuple] = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
-                ids = words.encode(text.as_py()) + end
-                n = len(ids) // 4
-                for start in range(0, n, capacity):
-                    part = ids[4 * start : 4 * (start + capacity)]
-                    row += 1
-                    out.append((doc_id, start, len(part) // 4, zlib.crc32(part), n, task << 40 | row))
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)] if out else [pa.array([], pa.int64())] * 6, PIECES.replace(" long", "").split(", "))
+            doc_ids = batch.column(0).to_pylist()
+            for begin, rows in by_size(batch.column(1), 8 << 20):
+                out: list[tuple] = []
+                ids, begins = words.encode(batch.column(1).slice(begin, rows))
+                for k in range(rows):
+                    whole = ids[begins[k] : begins[k + 1]].tobytes() + end
+                    n = len(whole) // 4
+                    for start in range(0, n, capacity):
+                        part = whole[4 * start : 4 * (start + capacity)]
+                        row += 1
+                        out.append((doc_ids[begin + k], start, len(part) // 4, zlib.crc32(part), n, task << 40 | row))
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], PIECES.replace(" long", "").split(", "))
 
     return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(cut, PIECES)
 
