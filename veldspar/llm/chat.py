@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 # -- layouts ------------------------------------------------------------------------------------
 
 
@@ -97,6 +99,7 @@ def to_turns(records: DataFrame, layouts: tuple[Mapping, ...] = LAYOUTS) -> Data
     layout gives one row with a null role and text, and ``unknown`` in layout's place: nothing is
     dropped in silence. A record without turns gives no row.
     """
+    small_batches(records.sparkSession)
 
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = registry(layouts)
@@ -188,6 +191,7 @@ def format_turns(turns: DataFrame, trained: str = "assistant", segment_chars: in
     ``segment_chars`` at most, so that no row and no task's memory grows with a conversation. Rows
     leave sorted by (conv_id, segment) in partitions that hold whole conversations.
     """
+    small_batches(turns.sparkSession)
 
     def segment(state: dict) -> list[tuple]:
         if not state.get("parts"):

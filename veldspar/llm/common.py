@@ -41,6 +41,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small_batches(spark: SparkSession, size: str = "8m") -> None:
+    """Batches that go to Python hold this many bytes (or one row), unless the session has set its own size."""
+    name, usual = "spark.sql.execution.arrow.maxBytesPerBatch", ("67108864b", "64m", "64MB", None)
+    if spark.conf.get(name, None) in usual:
+        spark.conf.set(name, size)
+
+
 def broadcast(spark: SparkSession, model: object) -> Callable[[], object]:
     """Sends a model of bounded size once to each executor, by value; call the result there to get it."""
     sent = spark.sparkContext.broadcast(cloudpickle.dumps(model))

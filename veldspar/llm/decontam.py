@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast, by_size
+from .common import broadcast, by_size, small_batches
 
 WORDS = 5
 HITS = "doc_id long, item_id long, score double, overlap double, word long"
@@ -115,6 +115,7 @@ def _indexes(items: DataFrame, shard: int) -> Iterator[Index]:
 
 
 def _scan(docs: DataFrame, index: Index) -> DataFrame:
+    small_batches(docs.sparkSession)
     index_of = broadcast(docs.sparkSession, index)
     step = max(64, index.longest)
 

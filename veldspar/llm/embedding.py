@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast, checkpointed, connected_components
+from .common import broadcast, checkpointed, connected_components, small_batches
 
 SAMPLE_BYTES = 32 << 20
 
@@ -150,6 +150,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95, trees: int = 6, lea
     The forest is fit to a sample of at most 32 MB, so its size is bounded too; every vector is
     indexed. A leaf is held by one task and compared in blocks.
     """
+    small_batches(vectors.sparkSession)
     kind = "<f8" if "double" in dict(vectors.dtypes)["embedding"] else "<f4"
     rows = _packed(vectors, kind)
     grouped = rows.where("vec is not null and vec_id is not null").groupBy("vec").agg(F.min("vec_id").alias("least"), F.count("*").alias("weight"))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_bytes, broadcast
+from .common import as_bytes, broadcast, small_batches
 from .quality import held_out
 
 LETTERS = 64
@@ -107,6 +107,7 @@ def train_model(docs: DataFrame, most: int = 3000, each: int = 1000) -> Model |
     Held-out rows, null ids, texts or languages teach nothing. The driver gets the n-grams of that
     bounded sample only.
     """
+    small_batches(docs.sparkSession)
     by_hash = (F.xxhash64("doc_id"), "doc_id")
     known = docs.where("doc_id is not null and lang is not null and text is not null").where(~held_out(of=3, remainder=1))
     ids = (
@@ -136,6 +137,7 @@ def identify(docs: DataFrame, model: Model | None, batch_rows: int = 128) -> Dat
 
     ``und`` and score 0 where the text is null or has no letter, or where nothing was learned.
     """
+    small_batches(docs.sparkSession)
     held = broadcast(docs.sparkSession, model)
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

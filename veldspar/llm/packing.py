@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_size, kept
+from .common import by_size, kept, small_batches
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, dealt long"
 PLACED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -125,6 +125,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int =
 
     Rows with the same doc_id are separate documents; other columns are not read.
     """
+    small_batches(docs.sparkSession)
     end = struct.pack("<I", end_id)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, broadcast
+from .common import as_bytes, broadcast, small_batches
 
 HALF = 18
 FEATURES = 2 << HALF
@@ -103,6 +103,7 @@ def log_count_ratios(rows: list[np.ndarray], y: np.ndarray, smooth: float = 1.0)
 
 def dual_coordinate_descent(rows: list[np.ndarray], values: list[np.ndarray], y: np.ndarray, cost: np.ndarray, epochs: int = 30, tolerance: float = 0.01, seed: int = 7) -> tuple[np.ndarray, float]:
     """Weights and bias of the L1-loss linear support vector machine; the bias is a constant feature."""
+    small_batches(docs.sparkSession)
     w, bias, alpha = np.zeros(FEATURES), 0.0, np.zeros(len(rows))
     square = np.array([float(v @ v) + 1 for v in values])
     rng = np.random.default_rng(seed)
@@ -180,6 +181,7 @@ def train_model(docs: DataFrame, labels: DataFrame, most: int = 4000) -> Model:
     with several labels counts as its lowest. Features are found on the executors; the driver
     gets those of the bounded sample only.
     """
+    small_batches(docs.sparkSession)
     ids = (
         labels.where("doc_id is not null and quality is not null").where(~held_out())
         .groupBy("doc_id").agg(F.min(F.col("quality").cast("int")).alias("label"))
@@ -215,6 +217,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
 
 def keep_good(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
     """The rows of ``docs``, all columns, whose text scores ``threshold`` or more."""
+    small_batches(docs.sparkSession)
     held, at = broadcast(docs.sparkSession, model), docs.columns.index("text")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

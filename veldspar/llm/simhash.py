@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, checkpointed, connected_components
+from .common import as_bytes, checkpointed, connected_components, small_batches
 
 LINK = 3
 
@@ -49,6 +49,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     Null, empty and blank texts have fingerprint 0; fewer than three words give one shingle.
     """
+    small_batches(docs.sparkSession)
     import xxhash
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -20,6 +20,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 CRLF = b"\r\n"
 SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # a fixed value: the namespace of URLs
 DATE = "2000-01-01T00:00:00Z"  # records carry no date of their own
@@ -72,7 +74,7 @@ def compressed(data: bytes) -> bytes:
     return packer.compress(data) + packer.flush()
 
 
-def members(stream: object, piece: int = 1 << 20) -> Iterator[bytes]:
+def members(stream: object, piece: int = 1 << 16) -> Iterator[bytes]:
     """The gzip members of an open file, one at a time."""
     unpacker, parts, data = zlib.decompressobj(31), [], b""
     while data := data or stream.read(piece):
@@ -104,6 +106,7 @@ def write(pages: DataFrame, folder: str, roll_bytes: int = 64 << 20, least_bytes
     task writes the same bytes to the same names, so it may be lost and run again. The manifest is
     written last, as Parquet in ``folder``/manifest. An empty table gives no files.
     """
+    small_batches(pages.sparkSession)
     keyed = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce("payload", F.lit(b"")).alias("payload"))
     keyed = keyed.withColumn("digest", F.concat(F.sha1("payload"), F.sha2("payload", 256)))
     decided = _decisions(keyed, least_bytes).select("page_id", "digest", F.lit(0).alias("kind"), "refers_to", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"))
@@ -186,4 +189,4 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
                 yield batch_of(out)
 
     files = spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
-    return files.repartition(F.col("file")).mapInArrow(get, RECORDS)
+    return files.repartition(max(1, min(files.count(), 10_000)), "file").mapInArrow(get, RECORDS)
