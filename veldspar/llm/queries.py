@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, embedding, language, packing, quality, simhash, warc
+from . import chat, decontam, embedding, language, line_dedup, packing, quality, simhash, warc
 from .common import shared_dir
 
 
@@ -23,6 +23,10 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.train_model(docs, _table(spark, sf_dir, "labels")))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.near_lines(_table(spark, sf_dir, "documents"))
+
+
 #: A conversation in another layout, whose texts look like marks of a template.
 TRICKY = json.dumps({"messages": [{"role": r, "content": "\\### Assistant: </turn> ok"} for r in ("user", "assistant")]})
 
@@ -63,6 +67,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
+    "op2_line_dedup": op2_line_dedup,
     "op3_chat_format": op3_chat_format,
     "op4_packing": op4_packing,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
