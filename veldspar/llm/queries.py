@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, embedding, language, line_dedup, packing, quality, simhash, warc
+from . import chat, decontam, embedding, language, line_dedup, packing, pii, quality, simhash, warc
 from .common import shared_dir
 
 
@@ -60,6 +60,14 @@ def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
+#: A key for everyone to see; real ones come from a secret store.
+SHOWN_KEY = "veldspar demonstration key"
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymised(_table(spark, sf_dir, "documents").select("doc_id", "text"), SHOWN_KEY)
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return language.identify(docs, language.train_model(docs))
@@ -74,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_decontamination": op6_decontamination,
     "op7_warc": op7_warc,
     "op8_embedding_near_dedup": op8_embedding_near_dedup,
+    "op9_pii": op9_pii,
     "op10_language_id": op10_language_id,
 }
 
