@@ -1,34 +1,65 @@
-"""From raw documents to packed training sequences, stage by stage."""
+"""From raw documents to packed training sequences.
+
+Each stage takes (spark, docs, sf_dir) and what its predecessor kept; all but the last return the
+columns of ``documents``. Small side tables (labels, benchmark) are read from sf_dir.
+"""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from veldspar.llm import packing, queries, simhash
+from veldspar.llm import decontam, line_dedup, packing, quality, simhash
+from veldspar.llm.common import shared_dir
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score 0.7 or more; the model learns from their labels."""
+    return quality.keep_good(docs.select(*COLUMNS), quality.train_model(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def line_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without lines that repeat an earlier one within two edits."""
+    return line_dedup.drop_repeated_lines(docs.select(*COLUMNS))
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_one_each(docs)
+    """One document of each group of near-duplicates: that with the smallest doc_id."""
+    return simhash.keep_one_each(docs.select(*COLUMNS))
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no item of ``benchmark``."""
+    return decontam.keep_clean(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, queries.public_tokenizers.path("word_bpe_49k.json"))
+    """Where each piece of each document lies in sequences of 2048 tokens."""
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality_classifier", quality_classifier),
+    ("line_dedup", line_near_dedup),
     ("simhash_near_dedup", simhash_near_dedup),
+    ("benchmark_decontamination", benchmark_decontamination),
     ("packing", pack),
 ]
 
-#: Trained models, tokenizers and iterated links aren't SQL: brute-force tests stand in its place.
+#: Trained models, tokenizers and iterated links aren't SQL: tests hold each stage against a brute-force version.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on ``documents``."""
+    """All stages on ``documents``; each one's result is a table in the shared folder, from which the next reads."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4()}"
+    for name, stage in STAGES:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
     return docs
