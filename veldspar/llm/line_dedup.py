@@ -17,36 +17,39 @@ from .common import checkpointed, connected_components
 EDITS, MIN_CHARS = 2, 20
 
 
-def _segment(n: str, k: int, parts: int) -> tuple[str, str]:
-    """(begin, length) of the k-th of ``parts`` segments of a line of n characters; the last ones are longer by one."""
-    base, late = f"(({n}) div {parts})", f"({parts} - ({n}) % {parts})"
-    return f"({k} * {base} + greatest(0, {k} - {late}))", f"({base} + if({k} >= {late}, 1, 0))"
+def _key(begin: str, length: str, k: str, n: str) -> str:
+    """SQL: the hash of a piece of chars, the line in four bytes a character: those are cut without counting."""
+    return f"xxhash64(substring(chars, cast(4 * ({begin}) + 1 as int), cast(4 * ({length}) as int)), {k}, {n})"
 
 
-def _key(begin: str, length: str, k: int, n: str) -> str:
-    return f"xxhash64(substring(line, cast({begin} + 1 as int), cast({length} as int)), {k}, {n})"
+def _segment(n: str, k: str, parts: int) -> tuple[str, str]:
+    """(begin, length) of the k-th of ``parts`` segments of a line of n characters; the last ones are longer by one."""
+    return f"{k} * ({n} div {parts}) + greatest(0, {k} - {parts} + {n} % {parts})", f"{n} div {parts} + if({k} >= {parts} - {n} % {parts}, 1, 0)"
 
 
 def index_keys(edits: int = EDITS) -> str:
-    """SQL: keys of a line's own segments (columns line, n)."""
-    return ", ".join(_key(*_segment("n", k, edits + 1), k, "n") for k in range(edits + 1))
+    """SQL: array of the keys of a line's own segments (columns n and chars)."""
+    return "array(" + ", ".join(_key(*_segment("n", str(k), edits + 1), str(k), "n") for k in range(edits + 1)) + ")"
 
 
-def probe_keys(edits: int = EDITS, min_chars: int = MIN_CHARS) -> str:
-    """SQL: keys of the substrings that can be a segment of a line as long, or up to ``edits`` characters shorter.
+def probes(edits: int = EDITS) -> list[tuple[int, int, int]]:
+    """(characters that the other line is shorter by, segment, move) of each substring to look up.
 
     Before segment k at most k edits can lie if it is the first that is whole, and after it at
     most edits - k, so its place moves by k at most, and by edits - k from where it is seen from the end.
     """
-    keys = []
-    for less in range(edits + 1):
+    return [(less, k, move) for less in range(edits + 1) for k in range(edits + 1) for move in range(max(-k, less - (edits - k)), min(k, less + edits - k) + 1)]
+
+
+def probe_keys(edits: int = EDITS, min_chars: int = MIN_CHARS) -> str:
+    """SQL: array of structs, the key of each substring that can be a segment of a line as long or shorter, and whether it is shorter."""
+    items = []
+    for less, k, move in probes(edits):
         n = f"(n - {less})"
-        for k in range(edits + 1):
-            begin, length = _segment(n, k, edits + 1)
-            for move in range(max(-k, less - (edits - k)), min(k, less + edits - k) + 1):
-                key = _key(f"{begin} + {move}", length, k, n)
-                keys.append(key if not less else f"if(n - {less} >= {min_chars}, {key}, null)")
-    return ", ".join(keys)
+        begin, length = _segment(n, str(k), edits + 1)
+        key = _key(f"{begin} + {move}", length, str(k), n)
+        items.append(f"named_struct('key', {f'if(n - {less} >= {min_chars}, {key}, null)' if less else key}, 'shorter', {min(less, 1)})")
+    return f"array({', '.join(items)})"
 
 
 def edit_distance(shorter: str, longer: str, edits: int = EDITS) -> str:
@@ -82,17 +85,19 @@ def within(a: str, b: str, edits: int = EDITS, glance: int = 32) -> str:
 
 
 #: The letters whose numbers are compared, about the commonest of Latin scripts.
-COUNTED = "etaoinshrdlucmpgwfybvkjx"
+COUNTED = "etaoinshrd"
 
 
 def letter_counts() -> str:
-    """SQL: 48 bits, the number of each counted letter modulo 4 in Gray code.
+    """SQL: two bits for each counted letter: its number modulo 4 in Gray code.
 
     An edit changes these numbers by at most 2 in sum, so lines within e edits differ in at most 2 e bits.
     """
-    count = lambda c: f"((octet_length(line) - octet_length(replace(line, '{c}', ''))) & 3)"
-    # modulo 4 is two bits: the Gray code of 0, 1, 2, 3 is 0, 1, 3, 2, and is looked up in 0x2310
-    return " | ".join(f"shiftleft(cast(shiftright(8976, 4 * {count(c)}) & 3 as bigint), {2 * k})" for k, c in enumerate(COUNTED))
+    letters = ", ".join(f"'{c}'" for c in COUNTED)
+    # the Gray code of 0, 1, 2, 3 is 0, 1, 3, 2, looked up in 0x2310. A function over an array also keeps
+    # the whole projection out of one compiled method, for which all its keys would be too long.
+    number = "((octet_length(line) - octet_length(replace(line, c, ''))) & 3)"
+    return f"aggregate(array({letters}), 0L, (s, c) -> shiftleft(s, 2) | (shiftright(8976, 4 * {number}) & 3))"
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -107,11 +112,14 @@ def likely_pairs(long: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS
     Keys are made where a line is read; equal lines then become one, so common lines are one row
     in the join. What letter counts exclude is dropped within the join.
     """
-    keyed = long.selectExpr("h1", "h2", f"{letter_counts()} as counts", f"array({index_keys(edits)}) as own", f"array({probe_keys(edits, min_chars)}) as others")
+    long = long.withColumn("chars", F.encode("line", "UTF-32"))
+    keyed = long.selectExpr("h1", "h2", f"{letter_counts()} as counts", f"{index_keys(edits)} as own", f"{probe_keys(edits, min_chars)} as others")
     unique = keyed.groupBy("h1", "h2").agg(F.first(F.struct("counts", "own", "others")).alias("k"))
     index = unique.select("h1", "k.counts", F.explode("k.own").alias("key"))
-    probes = unique.select(F.col("h1").alias("other"), F.col("k.counts").alias("other_counts"), F.explode("k.others").alias("other_key")).where("other_key is not null")
-    likely = F.expr(f"key = other_key and h1 <> other and bit_count(counts ^ other_counts) <= {2 * edits}")
+    probes = unique.select(F.col("h1").alias("other"), F.col("k.counts").alias("other_counts"), F.inline("k.others").alias("other_key", "shorter")).where("other_key is not null")
+    probes = probes.selectExpr("other", "other_counts | shiftleft(cast(shorter as bigint), 62) as other_counts", "other_key")
+    # lines of equal length meet both ways: one is enough
+    likely = F.expr(f"key = other_key and (h1 < other or (h1 <> other and other_counts >= {1 << 62})) and bit_count((counts ^ other_counts) & {(1 << 62) - 1}) <= {2 * edits}")
     return index.join(probes, likely).selectExpr("least(h1, other) as a", "greatest(h1, other) as b").distinct()
 
 
