@@ -75,10 +75,14 @@ def _read(content: str | None) -> dict:
         return {"answers": [f"Error parsing model response: {told}"], "ok": False}
 
 
-@F.arrow_udf("struct<answers:array<string>,ok:boolean>")
-def read_answers(completion: pa.Array) -> pa.Array:
-    """A completion as a list of strings (R10); one text that tells the error otherwise (R11). A null completion is empty."""
-    return pa.array([_read(c) for c in completion.to_pylist()], pa.struct([("answers", pa.list_(pa.string())), ("ok", pa.bool_())]))
+def read_answers(completion: Column | str) -> Column:
+    """A completion as struct (answers, ok): a list of strings (R10), or one text that tells the error (R11). A null completion is empty."""
+
+    @F.arrow_udf("struct<answers:array<string>,ok:boolean>")
+    def read(column: pa.Array) -> pa.Array:
+        return pa.array([_read(c) for c in column.to_pylist()], pa.struct([("answers", pa.list_(pa.string())), ("ok", pa.bool_())]))
+
+    return read(completion)
 
 
 def read_json_answers(completion: Column) -> Column:

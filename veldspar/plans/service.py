@@ -83,7 +83,9 @@ def answer(points: DataFrame, questions: DataFrame, config: PipelineConfig | Non
     found = hits(points, keyed, config, load)
     with_context = keyed.join(retrieval.contexts(keyed, found, config.top_k), "question_id")
     if generator is None:
-        return with_context.select("request_id", "q_pos", "question", answering.extractive(F.col("question"), F.col("contexts")[0]).alias("answer"), F.lit("ok").alias("status"))
+        best = F.col("contexts")[0]
+        plain = F.when(best.startswith(config.prefix), F.expr(f"substr(contexts[0], {len(config.prefix) + 1})")).otherwise(best)
+        return with_context.select("request_id", "q_pos", "question", answering.extractive(F.col("question"), plain).alias("answer"), F.lit("ok").alias("status"))
     asked = F.array_sort(F.collect_list(F.struct("q_pos", "question", "contexts")))
     grouped = with_context.groupBy("request_id").agg(asked.alias("asked"))
     requests = grouped.withColumn("prompt", answering.prompt(F.transform("asked", lambda q: q["question"]), F.transform("asked", lambda q: F.struct(q["question"].alias("question"), q["contexts"].alias("contexts")))))
