@@ -1,0 +1,36 @@
+"""The pipeline: each stage on what its predecessor kept, and planted cases."""
+
+import corpus_pipeline
+from pyspark.sql import functions as F
+
+from veldspar.llm import decontam, quality, simhash
+
+
+def test_stages(spark, tmp_path, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    begun = docs
+    for name, stage in corpus_pipeline.STAGES:
+        before = docs
+        stage(spark, docs, small).write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        if name != "packing":
+            assert docs.columns == begun.columns
+            assert docs.join(before, "doc_id", "left_anti").count() == 0
+        if name == "quality_classifier":
+            model = quality.train_model(before, spark.read.parquet(f"{small}/labels.parquet"))
+            assert {r[0] for r in docs.select("doc_id").collect()} == {r.doc_id for r in quality.score(before, model).where("predicted = 1").collect()}
+        if name == "line_dedup":
+            assert docs.count() == before.count()
+            lines = docs.select(F.explode(F.split("text", "\n")).alias("x")).where("length(x) >= 20")
+            assert lines.count() == lines.distinct().count()
+        if name == "simhash_near_dedup":
+            assert {r[0] for r in docs.select("doc_id").collect()} == {r.component_id for r in simhash.near_duplicates(before).collect()}
+        if name == "benchmark_decontamination":
+            assert decontam.contaminated(docs, spark.read.parquet(f"{small}/benchmark.parquet")).count() == 0
+        if name == "packing":
+            assert {r[0] for r in docs.select("doc_id").collect()} == {r[0] for r in before.select("doc_id").collect()}
+
+
+def test_run(spark, small):
+    rows = corpus_pipeline.run(spark, small)
+    assert rows.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] and rows.count() > 0

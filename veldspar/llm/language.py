@@ -89,7 +89,7 @@ def fit(rows: list[np.ndarray], langs: list[str], landmarks: int = 192, ridge: f
     place[used] = np.arange(len(used))
     matrix = np.zeros((len(used), len(chosen)), np.float32)
     for k, row in enumerate(chosen):
-        matrix[place[row], k] = 1 / np.sqrt(len(row))
+        matrix[place[row], k] = 1 / np.sqrt(max(1, len(row)))
     model = Model(names, place, matrix, np.zeros((len(chosen), len(names)), np.float32))
     values, vectors = np.linalg.eigh(model.kernel(chosen).astype(np.float64))
     values = np.maximum(values, 1e-6)

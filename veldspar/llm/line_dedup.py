@@ -173,7 +173,8 @@ def drop_repeated_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MI
     column, is that of the new text.
     """
     gone = near_lines(docs, edits, min_chars).where("not kept").groupBy("doc_id").agg(F.collect_set("line_no").alias("gone")).withColumnRenamed("doc_id", "gone_id")
-    joined = docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone_id"]), "left")
-    text = F.expr("if(gone is null, text, array_join(filter(split(text, '\\n'), (x, i) -> not array_contains(gone, i)), '\\n'))")
+    whole = docs.select(F.col("doc_id").alias("id"), F.struct(*docs.columns).alias("row"))
+    joined = whole.join(gone, whole["id"].eqNullSafe(gone["gone_id"]), "left")
+    text = F.expr("if(gone is null, row.text, array_join(filter(split(row.text, '\\n'), (x, i) -> not array_contains(gone, i)), '\\n'))")
     new = {"text": text} | ({"n_chars": F.length(text).cast(dict(docs.dtypes)["n_chars"])} if "n_chars" in docs.columns else {})
-    return joined.select(*[new[c].alias(c) if c in new else docs[c] for c in docs.columns])
+    return joined.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])

@@ -166,7 +166,10 @@ def pseudonymised(docs: DataFrame, key: str) -> DataFrame:
     """
     new = [f"n_{k}" for k in sorted(KINDS)]
     rest = [c for c in docs.columns if c not in new and c != "text"]
-    marked = docs.select(*rest, "text", F.expr(f"if(text rlike '[0-9@]', transform(regexp_extract_all(text, {_text(ANY)}, 0), v -> {pseudonym(key)}), null)").alias("_found"))
-    text = F.expr(f"if(size(_found) > 0, array_join(zip_with(split(text, {_text(ANY)}), _found, (t, f) -> concat(t, coalesce(f.new, ''))), ''), text)")
-    counts = [F.expr(f"coalesce(cast(size(filter(_found, f -> f.kind = '{n[2:]}')) as bigint), 0)").alias(n) for n in new]
+    found = "found"
+    while found in docs.columns:
+        found += "_"
+    marked = docs.select(*rest, "text", F.expr(f"if(text rlike '[0-9@]', transform(regexp_extract_all(text, {_text(ANY)}, 0), v -> {pseudonym(key)}), null)").alias(found))
+    text = F.expr(f"if(size({found}) > 0, array_join(zip_with(split(text, {_text(ANY)}), {found}, (t, f) -> concat(t, coalesce(f.new, ''))), ''), text)")
+    counts = [F.expr(f"coalesce(cast(size(filter({found}, f -> f.kind = '{n[2:]}')) as bigint), 0)").alias(n) for n in new]
     return marked.select(*rest, text.alias("text"), *[F.greatest(c, F.lit(0)).alias(n) for c, n in zip(counts, new, strict=True)])

@@ -195,5 +195,6 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def keep_one_each(docs: DataFrame) -> DataFrame:
     """The document with the smallest doc_id of each component; of rows that share that doc_id, one."""
     found = checkpointed(near_duplicates(docs).where("doc_id <=> component_id").groupBy("doc_id").agg(F.count("*").alias("rows")))
-    kept = docs.join(found.select(F.col("doc_id").alias("kept_id")), docs["doc_id"].eqNullSafe(F.col("kept_id")), "left_semi")
+    first = found.select(F.col("doc_id").alias("kept_id"))
+    kept = docs.join(first, docs["doc_id"].eqNullSafe(first["kept_id"]), "left_semi")
     return kept if found.where("rows > 1").isEmpty() else kept.dropDuplicates(["doc_id"])
