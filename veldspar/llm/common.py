@@ -10,6 +10,7 @@ import tempfile
 from collections.abc import Callable, Iterator
 from types import ModuleType
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import cloudpickle
@@ -41,6 +42,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def listed(ids: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """Rows of ids, to be joined: sent to all tasks if they are ``most`` or fewer by count (8 MB of numbers), else as they are."""
+    ids = checkpointed(ids)
+    return F.broadcast(ids) if ids.count() <= most else ids
+
+
 def small_batches(spark: SparkSession, size: str = "8m") -> None:
     """Batches that go to Python hold this many bytes (or one row), unless the session has set its own size."""
     name, usual = "spark.sql.execution.arrow.maxBytesPerBatch", ("67108864b", "64m", "64MB", None)
@@ -59,6 +66,17 @@ def as_bytes(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
+def int_rows(column: pa.ChunkedArray) -> list[np.ndarray]:
+    """Binary values as arrays of 32-bit numbers, without copying them."""
+    out = []
+    for chunk in column.chunks:
+        _, offsets, data = chunk.buffers()
+        at = np.frombuffer(offsets, np.int32)[chunk.offset : chunk.offset + len(chunk) + 1] if len(chunk) else [0]
+        flat = np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8)
+        out += [flat[a:b].view(np.int32) for a, b in zip(at, at[1:], strict=False)]
+    return out
+
+
 def by_size(column: pa.Array, most: int) -> Iterator[tuple[int, int]]:
     """(first row, rows) of stretches of a column with at most ``most`` bytes, or one row each."""
     sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()

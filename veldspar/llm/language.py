@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_bytes, broadcast, small_batches
+from .common import as_bytes, broadcast, int_rows, small_batches
 from .quality import held_out
 
 LETTERS = 64
@@ -129,7 +129,7 @@ def train_model(docs: DataFrame, most: int = 3000, each: int = 1000) -> Model |
         .select(F.xxhash64("doc_id").alias("order"), "learned", "text")
         .mapInArrow(find, "order long, learned string, found binary").toArrow().sort_by("order")
     )
-    return fit([np.frombuffer(x, np.int32) for x in rows["found"].to_pylist()], rows["learned"].to_pylist())
+    return fit(int_rows(rows["found"]), rows["learned"].to_pylist())
 
 
 def identify(docs: DataFrame, model: Model | None, batch_rows: int = 128) -> DataFrame:

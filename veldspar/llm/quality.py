@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, broadcast, small_batches
+from .common import as_bytes, broadcast, int_rows, small_batches
 
 HALF = 18
 FEATURES = 2 << HALF
@@ -101,6 +101,21 @@ def log_count_ratios(rows: list[np.ndarray], y: np.ndarray, smooth: float = 1.0)
     return np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
 
 
+def _scaled(rows: list[np.ndarray], ratio: np.ndarray, short: float) -> tuple[list[np.ndarray], float]:
+    """Each row's ratios over its norm, as views of one array that is freed as a whole, and the norms' floor."""
+    ends = np.cumsum([len(r) for r in rows])
+    flat = np.empty(ends[-1], np.float32)
+    values = [flat[e - len(r) : e] for r, e in zip(rows, ends, strict=True)]
+    small = ratio.astype(np.float32)
+    for v, r in zip(values, rows, strict=True):
+        np.take(small, r, out=v)
+    squares = np.array([float(v @ v) for v in values])
+    floor = max(1e-9, short * float(np.median(squares)))
+    for v, s in zip(values, squares, strict=True):
+        v /= np.float32(np.sqrt(s + floor))
+    return values, floor
+
+
 def dual_coordinate_descent(rows: list[np.ndarray], values: list[np.ndarray], y: np.ndarray, cost: np.ndarray, epochs: int = 30, tolerance: float = 0.01, seed: int = 7) -> tuple[np.ndarray, float]:
     """Weights and bias of the L1-loss linear support vector machine; the bias is a constant feature."""
     w, bias, alpha = np.zeros(FEATURES), 0.0, np.zeros(len(rows))
@@ -151,10 +166,8 @@ def fit(rows: list[np.ndarray], labels: list[int], cost: float = 1.0, short: flo
 
     def train(at: np.ndarray) -> Model:
         ratio = log_count_ratios([rows[i] for i in at], y[at])
-        values = [ratio[rows[i]] for i in at]
-        floor = max(1e-9, short * float(np.median([v @ v for v in values])))
-        norms = [float(np.sqrt(v @ v + floor)) for v in values]
-        w, bias = dual_coordinate_descent([rows[i] for i in at], [v / n for v, n in zip(values, norms, strict=True)], y[at], costs[at])
+        values, floor = _scaled([rows[i] for i in at], ratio, short)
+        w, bias = dual_coordinate_descent([rows[i] for i in at], values, y[at], costs[at])
         return Model((w * ratio).astype(np.float32), (ratio**2).astype(np.float32), floor, bias, 1.0, 0.0)
 
     fold = np.arange(len(y)) % folds
@@ -198,7 +211,7 @@ def train_model(docs: DataFrame, labels: DataFrame, most: int = 4000) -> Model:
         .select(F.col("doc_id").cast("long"), F.col("label").cast("int"), "text")
         .mapInArrow(find, "doc_id long, label int, found binary").toArrow().sort_by("doc_id")
     )
-    return fit([np.frombuffer(x, np.int32) for x in rows["found"].to_pylist()], rows["label"].to_pylist())
+    return fit(int_rows(rows["found"]), rows["label"].to_pylist())
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
