@@ -8,7 +8,7 @@ leaves counts in the first of them only, so links are counted without ever listi
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -107,8 +107,14 @@ def _packed(vectors: DataFrame, kind: str) -> DataFrame:
     return vectors.select(F.col("vec_id").cast("long"), "embedding").mapInArrow(pack, "vec_id long, vec binary")
 
 
-def _compare_leaf(keys: np.ndarray, weights: np.ndarray, unit: np.ndarray, forest: Forest, tree: int, leaf: int, least: float, block: int = 1024) -> tuple[np.ndarray, list[tuple[int, int]]]:
-    """Links of each vector that count in this leaf, and links that span what is connected in it."""
+Counts = Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]
+
+
+def _compare_leaf(keys: np.ndarray, weights: np.ndarray, unit: np.ndarray, counts_here: Counts, least: float, block: int = 1024) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """Links of each vector that count in this leaf, and links that span what is connected in it.
+
+    ``counts_here`` tells of pairs (unit vectors, places of either) whether this is the leaf that counts them.
+    """
     counts, parent, spans = np.zeros(len(keys), np.int64), np.arange(len(keys)), []
 
     def root(x: int) -> int:
@@ -125,7 +131,7 @@ def _compare_leaf(keys: np.ndarray, weights: np.ndarray, unit: np.ndarray, fores
             for at in range(0, len(a), 1 << 16):
                 x, y = a[at : at + (1 << 16)], b[at : at + (1 << 16)]
                 rows, place = np.unique(np.concatenate([x, y]), return_inverse=True)
-                here = forest.first_meeting(unit[rows], place[: len(x)], place[len(x) :], tree) == leaf
+                here = counts_here(unit[rows], place[: len(x)], place[len(x) :])
                 np.add.at(counts, x[here], weights[y[here]])
                 np.add.at(counts, y[here], weights[x[here]])
             if len(a):
@@ -139,7 +145,25 @@ def _compare_leaf(keys: np.ndarray, weights: np.ndarray, unit: np.ndarray, fores
     return counts, spans
 
 
-def near_duplicates(vectors: DataFrame, least: float = 0.95, trees: int = 6, leaf: int = 250, margin: float = 0.02) -> DataFrame:
+def _compare_crowd(keys: np.ndarray, weights: np.ndarray, unit: np.ndarray, counts_here: Counts, least: float, leaf: int, margin: float, trees: int = 3) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """The same for a leaf of too many vectors: trees of its own split it again, and a pair counts in its first meeting there."""
+    most = min(len(unit), 1 << 15)
+    own = plant(unit[np.linspace(0, len(unit) - 1, most).astype(np.int64)], int(np.log2(max(2, min(len(unit) / leaf, most / 16)))), trees, margin, seed=len(unit))
+    counts, spans = np.zeros(len(keys), np.int64), []
+    for tree in range(trees):
+        p = own.projections(unit, tree)
+        rows, nodes = own.leaves(p, p, tree)
+        order = np.argsort(nodes, kind="stable")
+        for at in np.split(order, np.flatnonzero(np.diff(nodes[order])) + 1):
+            within, node = rows[at], nodes[at[0]]
+            first = lambda u, a, b, tree=tree, node=node: counts_here(u, a, b) & (own.first_meeting(u, a, b, tree) == node)
+            n, links = _compare_leaf(keys[within], weights[within], unit[within], first, least)
+            np.add.at(counts, within, n)
+            spans += links
+    return counts, spans
+
+
+def near_duplicates(vectors: DataFrame, least: float = 0.95, trees: int = 6, leaf: int = 250, margin: float = 0.02, crowded: int = 20_000) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row of ``vectors`` (vec_id, embedding).
 
     Vectors that are null, empty, zero or hold null or non-finite components have no links and are
@@ -148,7 +172,8 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95, trees: int = 6, lea
     component, not kept. Rows that share a vec_id are separate vectors. No rows: no rows.
 
     The forest is fit to a sample of at most 32 MB, so its size is bounded too; every vector is
-    indexed. A leaf is held by one task and compared in blocks.
+    indexed. A leaf is held by one task and compared in blocks, if it has more than ``crowded``
+    vectors in leaves of further trees of its own.
     """
     small_batches(vectors.sparkSession)
     kind = "<f8" if "double" in dict(vectors.dtypes)["embedding"] else "<f4"
@@ -179,7 +204,9 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95, trees: int = 6, lea
         def found() -> pa.RecordBatch:
             keys, weights, vecs = (pa.chunked_array([b.column(c) for b in held]) for c in (1, 2, 3))
             keys, weights = keys.to_numpy(), weights.to_numpy()
-            counts, spans = _compare_leaf(keys, weights, _units(vecs.to_pylist(), kind, dims), forest, leaf_at >> 40, leaf_at & ((1 << 40) - 1), least)
+            first = lambda u, a, b, at=leaf_at: forest.first_meeting(u, a, b, at >> 40) == at & ((1 << 40) - 1)
+            unit = _units(vecs.to_pylist(), kind, dims)
+            counts, spans = _compare_leaf(keys, weights, unit, first, least) if len(keys) <= crowded else _compare_crowd(keys, weights, unit, first, least, leaf, margin)
             some = np.flatnonzero(counts)
             u, v = keys[some].tolist() + [s[0] for s in spans], [None] * len(some) + [s[1] for s in spans]
             return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(counts[some].tolist() + [0] * len(spans), pa.int64())], ["u", "v", "n"])
