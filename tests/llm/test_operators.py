@@ -464,8 +464,8 @@ def test_empty_archive(spark, tmp_path):
 # -- 8 embeddings -------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("kind", ["float", "double"])
-def test_embedding_near_duplicates(spark, kind):
+@pytest.mark.parametrize(("kind", "crowded"), [("float", 20_000), ("double", 20_000), ("double", 60)])
+def test_embedding_near_duplicates(spark, kind, crowded):
     r = np.random.default_rng(6)
     base = r.standard_normal((150, 16))
     near = np.concatenate([base[k % 20] + r.standard_normal((1, 16)) * r.uniform(0.02, 0.4) for k in range(200)]).reshape(-1, 16)
@@ -478,7 +478,7 @@ def test_embedding_near_duplicates(spark, kind):
     np.fill_diagonal(close, False)
     part = components(len(rows), list(zip(*np.nonzero(np.triu(close)), strict=True)))
     low = {p: min(ids[k] for k in range(len(rows)) if part[k] == p) for p in part}
-    got = {x.vec_id: x for x in embedding.near_duplicates(table, leaf=40).collect()}
+    got = {x.vec_id: x for x in embedding.near_duplicates(table, leaf=40, crowded=crowded).collect()}
     assert len(got) == len(rows) + len(odd)
     n = np.array([got[i].n_links for i in ids])
     assert (n <= close.sum(1)).all() and n.sum() >= 0.98 * close.sum()
@@ -526,6 +526,26 @@ def test_pseudonyms(spark):
     assert got[6].text is None and got[7].text == "" and got[8].text == rows[7][1] and got[8].n_card == 0
 
 
+def test_further_formats(spark):
+    rows = [
+        (1, "GB82 WEST 1234 5698 7654 32 GB82WEST12345698765432 FR1420041010050500013M02606 GB83 WEST 1234 5698 7654 32"),
+        (2, "3/5/1990, 1990/03/05, March 5, 1990, 5 March 1990, 5.3.1990, 1990-03-05, 31 February 1990"), (3, "1-974-555-3436 974-555-3436 +1 (974) 555-3436"), (4, "3782 822463 10005 and 378282246310005"),
+    ]
+    got = {r.doc_id: r for r in pii.pseudonymised(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
+    a, b, c, d = re.match(r"(GB\d\d WEST \d{4} \d{4} \d{4} \d\d) (GB\d\dWEST\d{14}) (FR\d{19}M\d{5}) (GB83 WEST 1234 5698 7654 32)$", got[1].text).groups()
+    assert a.replace(" ", "") == b != "GB82WEST12345698765432" and all(int("".join(str(int(x, 36)) for x in i[4:] + i[:4])) % 97 == 1 for i in (b, c))
+    import datetime
+
+    words = got[2].text.split(", ")
+    day = datetime.date.fromisoformat(words[-2])
+    assert words == [f"{day.month}/{day.day}/{day.year}", day.strftime("%Y/%m/%d"), f"{day:%B} {day.day}", str(day.year), f"{day.day} {day:%B} {day.year}", f"{day.day}.{day.month}.{day.year}", day.isoformat(), "31 February 1990"]
+    one, two, three = re.match(r"(1-\d{3}-\d{3}-\d{4}) (\d{3}-\d{3}-\d{4}) (\+1 \(\d{3}\) \d{3}-\d{4})$", got[3].text).groups()
+    digits = lambda x: re.sub(r"\D", "", x)
+    assert digits(one) == digits(three) == "1" + digits(two) and two != "974-555-3436"
+    one, two = re.match(r"(\d{4} \d{6} \d{5}) and (\d{15})$", got[4].text).groups()
+    assert digits(one) == two and luhn_ok(two)
+
+
 def test_permutations_are_one_to_one(spark):
     rows = spark.range(1000)
     two = rows.where("id < 100").select(F.expr(pii.digits_permuted("k", "card", "lpad(cast(id as string), 2, '0')")).alias("d"))

@@ -9,13 +9,15 @@ valid values.
 kind       valid                                            what is permuted
 =========  ===============================================  ==========================================
 card       13 to 19 digits, in groups or not, Luhn holds    all but the first and the check digit
-iban       country, check digits, digits only, modulo 97    the digits behind the check digits
+iban       15 to 34 characters, six digits or more behind   the digits behind the check digits
+           the check digits, modulo 97
 ssn        ddd-dd-dddd, no part of zeros, below 900, not    all nine digits
            666
 phone      + and 8 to 15 digits, or ten digits in groups    the digits behind the country's
 ip         four numbers up to 255                           all 32 bits
-date       yyyy-mm-dd, dd.mm.yyyy, mm/dd/yyyy or            the day, among those from 1900 to 2099
-           dd/mm/yyyy, from 1900 to 2099
+date       yyyy-mm-dd, yyyy/mm/dd, dd.mm.yyyy, mm/dd/yyyy   the day, among those from 1900 to 2099
+           or dd/mm/yyyy, with or without leading zeros,
+           March 5, 1990 or 5 March 1990
 email      a name and a host                                the name: a keyed digest, not a permutation
 =========  ===============================================  ==========================================
 
@@ -27,13 +29,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+MONTHS = "January|February|March|April|May|June|July|August|September|October|November|December"
+
 #: How each kind is written; the first that matches holds, and no match lies within a longer word or number.
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}][\p{L}\p{N}._%+-]{0,63}+@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9-])",
     "ip": r"(?<![\p{L}\p{N}.])(?:\d{1,3}\.){3}\d{1,3}(?!\.?[\p{L}\p{N}])",
-    "phone": r"(?<![\p{L}\p{N}+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<![\p{L}\p{N}(])\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}(?!\d)|(?<![\p{L}\p{N}.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\p{N}-])",
-    "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?\d){10,28}(?![\p{L}\p{N}])",
-    "date": r"(?<![\p{L}\p{N}.-])\d{4}-\d{2}-\d{2}(?![\p{N}-])|(?<![\p{L}\p{N}.])\d{2}\.\d{2}\.\d{4}(?!\p{N})|(?<![\p{L}\p{N}/])\d{2}/\d{2}/\d{4}(?![\p{N}/])",
+    "phone": r"(?<![\p{L}\p{N}+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<![\p{L}\p{N}(])\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}(?!\d)|(?<![\p{L}\p{N}.-])(?:1[ .-])?\d{3}[.-]\d{3}[.-]\d{4}(?![\p{N}-])",
+    "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,4})?)(?![\p{L}\p{N}])",
+    "date": r"(?<![\p{L}\p{N}.-])\d{4}-\d{2}-\d{2}(?![\p{N}-])|(?<![\p{L}\p{N}/])\d{4}/\d{2}/\d{2}(?![\p{N}/])|(?<![\p{L}\p{N}.])\d{1,2}\.\d{1,2}\.\d{4}(?!\p{N})|(?<![\p{L}\p{N}/])\d{1,2}/\d{1,2}/\d{4}(?![\p{N}/])"
+    rf"|(?<![\p{{L}}\p{{N}}])(?:{MONTHS}) \d{{1,2}}, \d{{4}}(?!\p{{N}})|(?<![\p{{L}}\p{{N}}])\d{{1,2}} (?:{MONTHS}) \d{{4}}(?!\p{{N}})",
     "ssn": r"(?<![\p{L}\p{N}-])\d{3}-\d{2}-\d{4}(?![\p{N}-])",
     "card": r"(?<![\p{L}\p{N}-])\d(?:[ -]?\d){12,18}(?![\p{L}\p{N}-])",
 }
@@ -103,11 +108,11 @@ def _card(key: str) -> tuple[str, str]:
 
 
 def _iban(key: str) -> tuple[str, str]:
-    plain = "replace(v, ' ', '')"
-    letters = "concat(ascii(substr(x, 1, 1)) - 55, ascii(substr(x, 2, 1)) - 55)"
-    rest = lambda check: f"(cast(concat(substr(x, 5), {letters}, {check}) as decimal(38, 0)) % 97)"
-    valid = _let("x", plain, f"length(x) between 15 and 32 and {rest('substr(x, 3, 2)')} = 1")
-    made = _let("x", _let("x", plain, f"concat(left(x, 4), {digits_permuted(key, 'iban', 'substr(x, 5)')})"), refilled("v", f"concat(lpad(cast(98 - {rest(chr(39) + '00' + chr(39))} as string), 2, '0'), substr(x, 5))"))
+    plain, bare = "replace(v, ' ', '')", "regexp_replace(substr(v, 5), '[^0-9]', '')"
+    rest = lambda check: f"aggregate(split(concat(substr(x, 5), left(x, 2), {check}), ''), 0, (s, c) -> case when c = '' then s when c between '0' and '9' then (s * 10 + cast(c as int)) % 97 else (s * 100 + ascii(c) - 55) % 97 end)"
+    valid = f"length({bare}) >= 6 and " + _let("x", plain, f"length(x) between 15 and 34 and {rest('substr(x, 3, 2)')} = 1")
+    moved = refilled("v", f"concat(substr(v, 3, 2), {digits_permuted(key, 'iban', bare)})")
+    made = _let("m", moved, _let("x", "replace(m, ' ', '')", refilled("m", f"concat(lpad(cast(98 - {rest(chr(39) + '00' + chr(39))} as string), 2, '0'), regexp_replace(substr(m, 5), '[^0-9]', ''))")))
     return valid, made
 
 
@@ -120,7 +125,7 @@ def _ssn(key: str) -> tuple[str, str]:
 def _phone(key: str) -> tuple[str, str]:
     digits = "regexp_replace(v, '[^0-9]', '')"
     country = "if(v like '+%', length(regexp_extract(v, '^\\\\+([0-9]{1,3})(?=[ .(-])', 1)), 0)"
-    country = f"if(v like '+%' and {country} = 0, 2, {country})"
+    country = f"if(v rlike '^1[ .-]', 1, if(v like '+%' and {country} = 0, 2, {country}))"
     made = _let("k", country, _let("d0", digits, refilled("v", f"concat(left(d0, k), {digits_permuted(key, 'phone', 'substr(d0, k + 1)')})")))
     return f"length({digits}) between 8 and 15", made
 
@@ -133,15 +138,21 @@ def _ip(key: str) -> tuple[str, str]:
 
 
 def _date(key: str) -> tuple[str, str]:
-    iso, dot = "v like '%-%'", "v like '%.%'"
-    american = "cast(left(v, 2) as int) <= 12"
-    formats = f"case when {iso} then 'yyyy-MM-dd' when {dot} then 'dd.MM.yyyy' when {american} then 'MM/dd/yyyy' else 'dd/MM/yyyy' end"
-    year, month, day = f"if({iso}, left(v, 4), right(v, 4))", f"case when {iso} then substr(v, 6, 2) when {dot} then substr(v, 4, 2) when {american} then left(v, 2) else substr(v, 4, 2) end", f"case when {iso} then right(v, 2) when {dot} then left(v, 2) when {american} then substr(v, 4, 2) else left(v, 2) end"
-    parsed = f"try_to_date(concat_ws('-', {year}, {month}, {day}), 'yyyy-MM-dd')"
+    part = lambda k: f"lpad(element_at(split(v, '[-/.]'), {k}), greatest(2, length(element_at(split(v, '[-/.]'), {k}))), '0')"
+    american = f"(v rlike '^[0-9]{{1,2}}/' and cast({part(1)} as int) <= 12)"
+    short = "v rlike '(^|[./])[0-9]([./]|$)'"
+    styles = [
+        ("v like '%-%'", "'yyyy-MM-dd'", f"concat_ws('-', {part(1)}, {part(2)}, {part(3)})"), ("v rlike '^[0-9]{4}/'", "'yyyy/MM/dd'", f"concat_ws('-', {part(1)}, {part(2)}, {part(3)})"),
+        ("v like '%.%'", f"if({short}, 'd.M.yyyy', 'dd.MM.yyyy')", f"concat_ws('-', {part(3)}, {part(2)}, {part(1)})"), (american, f"if({short}, 'M/d/yyyy', 'MM/dd/yyyy')", f"concat_ws('-', {part(3)}, {part(1)}, {part(2)})"),
+        ("v like '%/%'", f"if({short}, 'd/M/yyyy', 'dd/MM/yyyy')", f"concat_ws('-', {part(3)}, {part(2)}, {part(1)})"),
+        ("v like '%,%'", "'MMMM d, yyyy'", "cast(try_to_date(v, 'MMMM d, yyyy') as string)"), ("true", "'d MMMM yyyy'", "cast(try_to_date(v, 'd MMMM yyyy') as string)"),
+    ]
+    pick = lambda k: "case " + " ".join(f"when {s[0]} then {s[k]}" for s in styles) + " end"
+    parsed = f"try_to_date({pick(2)}, 'yyyy-MM-dd')"
     first, days = "date'1900-01-01'", "datediff(date'2100-01-01', date'1900-01-01')"
-    late = f"(v not like '%/%' or {american} or day(date_add({first}, cast(y as int))) > 12)"  # what reads as dd/mm must go on to do so
+    late = f"(v not like '%/%' or v rlike '^[0-9]{{4}}' or {american} or day(date_add({first}, cast(y as int))) > 12)"  # what reads as dd/mm must go on to do so
     made = walked(feistel(key, "date", "y", "271", "270"), f"cast(datediff({parsed}, {first}) as bigint)", f"case when y >= {days} then false else {late} end")
-    return f"{parsed} between {first} and date'2099-12-31'", f"date_format(date_add({first}, cast({made} as int)), {formats})"
+    return f"{parsed} between {first} and date'2099-12-31'", f"date_format(date_add({first}, cast({made} as int)), {pick(1)})"
 
 
 def _email(key: str) -> tuple[str, str]:
@@ -153,7 +164,7 @@ def pseudonym(key: str) -> str:
     """SQL: struct (kind, new) of a matched string v; kind is null where it is not valid and stays."""
     arms = []
     for kind, (valid, made) in {"email": _email(key), "ip": _ip(key), "phone": _phone(key), "iban": _iban(key), "date": _date(key), "ssn": _ssn(key), "card": _card(key)}.items():
-        whole = PATTERNS[kind] if kind in ("email", "iban", "ip") else {"phone": r"^\+|\(|^\d{3}([.-])\d{3}\1\d{4}$|^\d{3}[.-]\d{3}[.-]\d{4}$", "date": r"^\d{4}-\d{2}-\d{2}$|^\d{2}([./])\d{2}\1\d{4}$", "ssn": r"^\d{3}-\d{2}-\d{4}$", "card": r"^[\d -]{13,}$"}[kind]
+        whole = PATTERNS[kind] if kind in ("email", "iban", "ip") else {"phone": r"^\+|\(|^(?:1[ .-])?\d{3}[.-]\d{3}[.-]\d{4}$", "date": rf"^\d{{4}}([-/])\d{{2}}\1\d{{2}}$|^\d{{1,2}}([./])\d{{1,2}}\2\d{{4}}$|{MONTHS}", "ssn": r"^\d{3}-\d{2}-\d{4}$", "card": r"^[\d -]{13,}$"}[kind]
         arms.append(f"when v rlike {_text(whole)} then if(coalesce({valid}, false), named_struct('kind', '{kind}', 'new', {made}), named_struct('kind', cast(null as string), 'new', v))")
     return "case " + " ".join(arms) + " else named_struct('kind', cast(null as string), 'new', v) end"
 
