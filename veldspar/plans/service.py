@@ -44,12 +44,12 @@ def read_documents(spark: SparkSession, path: str, config: PipelineConfig | None
 def ingest(docs: DataFrame, config: PipelineConfig | None = None, cleaned: bool = False, load: object = embedding.hashed_embedder) -> DataFrame:
     """Points of documents (doc_id, text, and source_file where it is known): clean, split, pack, encode.
 
-    A document without chunks gives no point; ``ingest_status`` tells which. Rows are dealt out
-    first, as a few files hold many documents and packing is the dear part.
+    A document without chunks gives no point; ``ingest_status`` tells which. Where a few files hold
+    all documents, rows are dealt out first, as packing is the dear part.
     """
     config = config or PipelineConfig()
     source = F.col("source_file") if "source_file" in docs.columns else F.lit(None).cast("string")
-    dealt = docs.select("doc_id", "text", source.alias("source_file"))
+    dealt = files.spread(docs.select("doc_id", "text", source.alias("source_file")))
     texts = dealt.withColumn("cleaned", F.coalesce("text", F.lit(""))) if cleaned else cleaning.clean(dealt, config.strict_noise, config.ocr_fixes)
     packed = chunking.packed(chunking.sentences(F.col("cleaned")), config.chunk_size, config.chunk_overlap)
     rows = texts.select("doc_id", "source_file", F.posexplode(packed).alias("chunk_index", "text"))

@@ -270,7 +270,7 @@ def c9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("c10_clean", f"select doc_id, {CLEANED} as cleaned from ({JOINED})")
 def c10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cleaning.clean(documents(spark, sf_dir)).select("doc_id", "cleaned")
+    return cleaning.clean(files.spread(documents(spark, sf_dir))).select("doc_id", "cleaned")
 
 
 # -- chunks -------------------------------------------------------------------------------------
@@ -290,8 +290,7 @@ CHUNKS = f"select doc_id, unnest(chunks) as text, (generate_subscripts(chunks, 1
 
 
 def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism)  # few files, and packing is the dear part
-    return chunking.chunks(cleaning.clean(docs)).select("doc_id", F.col("chunk_index").cast("bigint").alias("chunk_index"), "text")
+    return chunking.chunks(cleaning.clean(files.spread(documents(spark, sf_dir)))).select("doc_id", F.col("chunk_index").cast("bigint").alias("chunk_index"), "text")
 
 
 @query("k1_sentences", f"select doc_id, len(parts)::bigint as n, md5(array_to_string(parts, chr(1))) as parts_md5 from ({SENTENCES})")
@@ -313,7 +312,7 @@ def k3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("k4_overlap_native", f"select doc_id, chunk_index, md5(text) as text_md5 from ({CHUNKS})")
 def k4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fold in SQL functions, against the same oracle as the default."""
-    docs = cleaning.clean(documents(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism))
+    docs = cleaning.clean(files.spread(documents(spark, sf_dir)))
     rows = docs.select("doc_id", F.posexplode(chunking.packed_native(chunking.sentences(F.col("cleaned")))).alias("chunk_index", "text"))
     return rows.select("doc_id", F.col("chunk_index").cast("bigint").alias("chunk_index"), F.md5("text").alias("text_md5"))
 

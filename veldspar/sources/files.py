@@ -20,6 +20,12 @@ def landed(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
     return files.select("path", "content", extension(F.col("path")).alias("ext")).withColumn("format", format_of(F.col("ext"), strict))
 
 
+def spread(docs: DataFrame) -> DataFrame:
+    """``docs`` dealt to as many tasks as can run at once, where its files give fewer; large inputs stay as they are read."""
+    tasks = docs.sparkSession.sparkContext.defaultParallelism
+    return docs.repartition(tasks) if docs._jdf.rdd().getNumPartitions() < tasks else docs
+
+
 def write_texts(docs: DataFrame, path: str) -> None:
     """(doc_id, text) as Parquet (S9); line feeds become spaces."""
     docs.select("doc_id", F.replace("text", F.lit("\n"), F.lit(" ")).alias("text")).write.mode("overwrite").parquet(path)
