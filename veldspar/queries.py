@@ -492,6 +492,129 @@ def r11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").withColumn("r", answering.read_answers(said)).select("item_id", "r.ok", F.col("r.answers")[0].alias("answer"))
 
 
+# -- files there and back, and parsers on made files ----------------------------------------------
+
+
+@query("s9_text_table", "select doc_id, md5(replace(text, chr(10), ' ')) as text_md5 from documents")
+def s9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = files.shared_folder(spark)
+    files.write_texts(documents(spark, sf_dir), folder)
+    return spark.read.schema("doc_id bigint, text string").parquet(folder).select("doc_id", F.md5("text").alias("text_md5"))
+
+
+@query("s11_s12_chunk_json", f"select doc_id, chunk_index::integer as chunk_index, text from ({CHUNKS})")
+def s11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = files.shared_folder(spark)
+    files.write_chunks(_chunks(spark, sf_dir), folder)
+    return files.read_chunks(spark, folder)
+
+
+@query("s13_s14_point_json", f"select chunk_index as id, 'passage: ' || text as text, 'unknown' as source_file, 768::bigint as dimensions from ({CHUNKS})")
+def s13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = files.shared_folder(spark)
+    files.write_points(service.ingest(documents(spark, sf_dir)).drop("doc_id"), folder)
+    return files.read_points(spark, folder).select("id", "payload.text", "payload.source_file", F.size("vector").cast("bigint").alias("dimensions"))
+
+
+@query("s7_s8_landed_files")
+def s7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of several formats, landed in the shared folder and read as documents."""
+    from pyarrow import fs
+
+    folder = files.shared_folder(spark)
+    store_, top = fs.FileSystem.from_uri(folder)
+    store_.create_dir(top, recursive=True)
+    for name, data in (("a.eml", b"Content-Type: text/plain\n\nA letter, short."), ("b.doc", b"no archive"), ("c.txt", b"plain"), ("d.pdf", b"%PDF")):
+        with store_.open_output_stream(f"{top}/{name}") as out:
+            out.write(data)
+    return service.read_documents(spark, folder).select(F.element_at(F.split("source_file", "/"), -1).alias("file"), "status", "text")
+
+
+def _items_as(kind: str, spark: SparkSession, sf_dir: str, content: Column) -> DataFrame:
+    """The text of benchmark items after they went through files of a format."""
+    made = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), content.alias("content"), F.lit(kind).alias("format"))
+    return parsers.document_text(parsers.parsed(made)).select("doc_id", "status", F.col("doc_text").alias("text"))
+
+
+ITEMS = "(select item_id as doc_id, text from benchmark)"
+CLEAN_ITEMS = f"select doc_id, {CLEANED} as cleaned from ({JOINED.replace('documents', ITEMS)})"
+
+
+@query("p3_docx_text", f"select doc_id, 'ok' as status, cleaned || '; key: ' || doc_id::varchar || ', value: v' as text from ({CLEAN_ITEMS})")
+def p3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    @F.arrow_udf("binary")
+    def docx(ids, texts):  # noqa: ANN001, ANN202
+        import io
+        import zipfile
+        from xml.sax.saxutils import escape
+
+        import pyarrow as pa
+
+        def one(item: int, text: str) -> bytes:
+            para = lambda t: f"<w:p><w:r><w:t>{escape(t)}</w:t></w:r></w:p>"
+            row = lambda *cells: "<w:tr>" + "".join(f"<w:tc>{para(c)}</w:tc>" for c in cells) + "</w:tr>"
+            body = "".join(map(para, text.split("\n"))) + f"<w:tbl>{row('key', 'value', 'none')}{row(str(item), 'v', 'None')}</w:tbl>"
+            out = io.BytesIO()
+            with zipfile.ZipFile(out, "w") as z:
+                z.writestr("word/document.xml", f'<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body>{body}</w:body></w:document>')
+            return out.getvalue()
+
+        return pa.array([one(i, t) for i, t in zip(ids.to_pylist(), texts.to_pylist(), strict=True)], pa.binary())
+
+    return _items_as("docx", spark, sf_dir, docx(F.col("item_id"), F.col("text")))
+
+
+@query("p5_email_text", f"select doc_id, 'ok' as status, cleaned as text from ({CLEAN_ITEMS})")
+def p5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _items_as("email", spark, sf_dir, F.concat(F.lit("Content-Type: text/plain; charset=utf-8\n\n"), "text").cast("binary"))
+
+
+@query("p10_mime_parts", f"select doc_id, 'ok' as status, cleaned || 'h1; h: 1' as text from ({CLEAN_ITEMS})")
+def p10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A plain part, an HTML part with a table, and a part that is skipped."""
+    part = lambda kind, body: F.concat(F.lit(f"--b\nContent-Type: {kind}; charset=utf-8\n\n"), body, F.lit("\n"))
+    # the first text ends where the next part begins, so the HTML's words follow after the joining line feed and are fused by no rule
+    html = F.lit("<table><tr><th>h</th></tr><tr><td>1</td></tr></table>")
+    whole = F.concat(F.lit("MIME-Version: 1.0\nContent-Type: multipart/mixed; boundary=b\n\n"), part("text/html", F.concat(F.col("text"), html)), part("application/octet-stream", F.lit("skipped")), F.lit("--b--\n"))
+    return _items_as("email", spark, sf_dir, whole.cast("binary"))
+
+
+@query("p8_html_tables", "select n_regionkey::bigint as region, 0 as table_idx, (row_number() over (partition by n_regionkey order by n_nationkey))::integer as row_idx, n_nationkey::varchar || '|' || n_name as cells from nation union all select r_regionkey, 0, 0, 'key|name' from region where r_regionkey in (select n_regionkey from nation)")
+def p8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations of a region as a page with a table, read by the table function."""
+    from .functions.html import HtmlTables
+
+    row = lambda n: F.concat(F.lit("<tr><td> "), n["n_nationkey"].cast("string"), F.lit("</td><td>"), n["n_name"], F.lit("</td></tr>"))
+    rows = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))), row), "")
+    pages = table(spark, sf_dir, "nation").groupBy(F.col("n_regionkey").cast("bigint").alias("region")).agg(F.concat(F.lit("<p>x<table><tr><th>key</th><th>name</th></tr>"), rows, F.lit("</table>")).alias("html"))
+    spark.udtf.register("html_tables", HtmlTables)
+    pages.createOrReplaceTempView("veldspar_pages")
+    return spark.sql("select p.region, t.table_idx, t.row_idx, array_join(t.cells, '|') as cells from veldspar_pages p, lateral html_tables(p.html) t")
+
+
+@query("p1_pdf_backend")
+def p1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What becomes of a PDF: its text where a library is installed, backend_missing elsewhere."""
+    return _items_as("pdf", spark, sf_dir, F.lit("%PDF-1.4").cast("binary")).select("doc_id", "status")
+
+
+@query("v1_v4_collections", "select * from (values (1, 'absent', true), (2, 'created', true), (3, 'kept', true), (4, 'points', true), (5, 'replaced', true), (6, 'dropped', true)) t(step, what, holds)")
+def v1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A collection's life: created, kept, filled with all embeddings, replaced, dropped."""
+    s = store.Store(spark, files.shared_folder(spark))
+    points = table(spark, sf_dir, "embeddings").select(F.lit(0).cast("bigint").alias("doc_id"), F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    n = points.count()
+    steps = [("absent", not s.exists("c")), ("created", s.create("c", 64) and s.exists("c")), ("kept", not s.create("c", 64))]
+    s.upsert("c", points)
+    s.upsert("c", points)
+    steps.append(("points", s.points("c").count() == n))
+    s.replace_all("c", points.where("id = 0"), 64)
+    steps.append(("replaced", s.points("c").count() == points.where("id = 0").count()))
+    s.drop("c")
+    steps.append(("dropped", not s.exists("c")))
+    return spark.createDataFrame([(k + 1, what, holds) for k, (what, holds) in enumerate(steps)], "step int, what string, holds boolean")
+
+
 # -- the service --------------------------------------------------------------------------------
 
 

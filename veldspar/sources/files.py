@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +25,16 @@ def landed(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
     return files.select("path", "content", extension(F.col("path")).alias("ext")).withColumn("format", format_of(F.col("ext"), strict))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new name under the folder that driver and executors share (spark.checkpoint.dir); a temporary folder where none is set."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        own = tempfile.mkdtemp(prefix="veldspar-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        top = f"file://{own}"
+    return f"{top.rstrip('/')}/files-{uuid.uuid4()}"
+
+
 def spread(docs: DataFrame) -> DataFrame:
     """``docs`` dealt to as many tasks as can run at once, where its files give fewer; large inputs stay as they are read."""
     tasks = docs.sparkSession.sparkContext.defaultParallelism
