@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast, by_size, small_batches
+from .common import broadcast, by_size, frugal, listed, small_batches
 
 WORDS = 5
 HITS = "doc_id long, item_id long, score double, overlap double, word long"
@@ -32,7 +32,9 @@ def plain(word: str) -> str:
 
 
 def tokens(text: str) -> list[str]:
-    return [w for w in map(plain, text.lower().split()) if w]
+    """The words of a text, cut and lower-cased as those of documents are."""
+    lower = pc.utf8_lower(pa.scalar(text)).as_py()
+    return [w for w in map(plain, (b.decode() for b in lower.encode().split())) if w]
 
 
 def shingles(ids: list[int]) -> set[tuple[int, ...]]:
@@ -119,6 +121,7 @@ def _scan(docs: DataFrame, index: Index) -> DataFrame:
     index_of = broadcast(docs.sparkSession, index)
     step = max(64, index.longest)
 
+    @frugal
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = index_of()
         none = len(index.terms)
@@ -177,5 +180,5 @@ def contaminated(docs: DataFrame, items: DataFrame, shard: int = 20_000) -> Data
 
 def keep_clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of ``docs`` that hold no item. A row with a null doc_id goes if any such row holds one."""
-    held = contaminated(docs, items).select(F.col("doc_id").alias("held_id")).distinct()
+    held = listed(contaminated(docs, items).select(F.col("doc_id").alias("held_id")).distinct())
     return docs.join(held, docs["doc_id"].eqNullSafe(held["held_id"]), "left_anti")

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, connected_components
+from .common import checkpointed, connected_components, listed
 
 EDITS, MIN_CHARS = 2, 20
 
@@ -126,16 +126,14 @@ def likely_pairs(long: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS
 NODE = "struct(at.doc_id as doc_id, at.line_no as line_no, h1, h2)"
 
 
-def edit_links(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, listed: int = 1_000_000) -> DataFrame:
+def edit_links(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
     """(u, v) of different lines within ``edits`` edits, each a struct: the line's first place and its hashes.
 
-    Texts are fetched for the lines of likely pairs only. Up to ``listed`` of them are sent to all
-    tasks by number (8 MB); more are joined.
+    Texts are fetched for the lines of likely pairs only.
     """
     long = lines_of(docs).where(F.col("n") >= min_chars)
     pairs = checkpointed(likely_pairs(long, edits, min_chars))
-    wanted = checkpointed(pairs.select(F.explode(F.array("a", "b")).alias("h1")).distinct())
-    texts = long.join(F.broadcast(wanted) if wanted.count() <= listed else wanted, "h1", "left_semi")
+    texts = long.join(listed(pairs.select(F.explode(F.array("a", "b")).alias("h1")).distinct()), "h1", "left_semi")
     texts = texts.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("at"), F.first(F.struct("line", "n")).alias("l"))
     texts = texts.selectExpr("h1 as h", f"{NODE} as node", "l.line as line", "l.n as n")
     met = pairs.join(texts.toDF("a", "u", "line_u", "n_u"), "a").join(texts.toDF("b", "v", "line_v", "n_v"), "b")

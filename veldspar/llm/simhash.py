@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, checkpointed, connected_components, small_batches
+from .common import as_bytes, checkpointed, connected_components, frugal, listed, small_batches
 
 LINK = 3
 
@@ -52,6 +52,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     small_batches(docs.sparkSession)
     import xxhash
 
+    @frugal
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh64_intdigest
         for batch in batches:
@@ -79,6 +80,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 def _replicas(prints: DataFrame) -> DataFrame:
     """(anchor long, fp): each fingerprint at all its anchors; bit 32 of the anchor tells the half."""
 
+    @frugal
     def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
@@ -126,6 +128,7 @@ def _compare(sorted_rows: DataFrame) -> DataFrame:
     A batch is compared up to its last whole run; the unfinished run is carried to the next.
     """
 
+    @frugal
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, fp = np.zeros(0, np.int64), np.zeros(0, np.uint64)
 
@@ -195,6 +198,6 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def keep_one_each(docs: DataFrame) -> DataFrame:
     """The document with the smallest doc_id of each component; of rows that share that doc_id, one."""
     found = checkpointed(near_duplicates(docs).where("doc_id <=> component_id").groupBy("doc_id").agg(F.count("*").alias("rows")))
-    first = found.select(F.col("doc_id").alias("kept_id"))
+    first = listed(found.select(F.col("doc_id").alias("kept_id")))
     kept = docs.join(first, docs["doc_id"].eqNullSafe(first["kept_id"]), "left_semi")
     return kept if found.where("rows > 1").isEmpty() else kept.dropDuplicates(["doc_id"])
