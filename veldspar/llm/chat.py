@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import frugal, small_batches
 
 # -- layouts ------------------------------------------------------------------------------------
 
@@ -101,6 +101,7 @@ def to_turns(records: DataFrame, layouts: tuple[Mapping, ...] = LAYOUTS) -> Data
     """
     small_batches(records.sparkSession)
 
+    @frugal
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = registry(layouts)
         for batch in batches:

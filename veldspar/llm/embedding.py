@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast, checkpointed, connected_components, small_batches
+from .common import broadcast, checkpointed, connected_components, frugal, small_batches
 
 SAMPLE_BYTES = 32 << 20
 
@@ -92,6 +92,7 @@ def _packed(vectors: DataFrame, kind: str) -> DataFrame:
     """(vec_id, vec): a vector's components in a row, or null where it can link with nothing."""
     number = pa.float32() if kind == "<f4" else pa.float64()
 
+    @frugal
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column, out = batch.column(1), []
@@ -187,6 +188,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95, trees: int = 6, lea
     depth = int(max(0, min(np.ceil(np.log2(max(1, n / leaf))), np.log2(max(1, len(sample) / 16)))))
     forest_of = broadcast(vectors.sparkSession, plant(_units(sample, kind, dims), depth, trees if depth else 1, margin))
 
+    @frugal
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest = forest_of()
         for batch in batches:
@@ -198,6 +200,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95, trees: int = 6, lea
                     at, leaves = forest.leaves(p, p, tree)
                     yield pa.RecordBatch.from_arrays([pa.array(leaves | (tree << 40)), *(c.take(pa.array(at)) for c in part.columns)], ["leaf", "key", "weight", "vec"])
 
+    @frugal
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest, held, leaf_at = forest_of(), [], None
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_bytes, broadcast, int_rows, small_batches
+from .common import as_bytes, broadcast, frugal, int_rows, small_batches
 from .quality import held_out
 
 LETTERS = 64
@@ -118,6 +118,7 @@ def train_model(docs: DataFrame, most: int = 3000, each: int = 1000) -> Model |
         .orderBy("turn", *by_hash).limit(most)
     )
 
+    @frugal
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spectrum = Spectrum()
         for batch in batches:
@@ -140,6 +141,7 @@ def identify(docs: DataFrame, model: Model | None, batch_rows: int = 128) -> Dat
     small_batches(docs.sparkSession)
     held = broadcast(docs.sparkSession, model)
 
+    @frugal
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spectrum, model = Spectrum(), held()
         for whole in batches:

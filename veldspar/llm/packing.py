@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_size, kept, small_batches
+from .common import by_size, frugal, kept, small_batches
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, dealt long"
 PLACED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -34,7 +34,7 @@ class WordIds:
 
     LATIN = frozenset("abcdefghijklmnopqrstuvwxyz" + "".join(chr(c) for c in range(0xDF, 0x100) if c != 0xF7))
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 200_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
@@ -128,6 +128,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int =
     small_batches(docs.sparkSession)
     end = struct.pack("<I", end_id)
 
+    @frugal
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, row = kept(f"words of {tokenizer}", lambda: WordIds(tokenizer)), 0
         task = TaskContext.get().partitionId()
@@ -156,6 +157,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1,
     doc_id stays null. An empty table gives no rows. Every document gives at least one piece.
     """
 
+    @frugal
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, held = TaskContext.get().partitionId() << 40, []
         names = PLACED.replace(" long", "").split(", ")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, broadcast, int_rows, small_batches
+from .common import as_bytes, broadcast, frugal, int_rows, small_batches
 
 HALF = 18
 FEATURES = 2 << HALF
@@ -29,7 +29,7 @@ class WordHashes(dict):
     """A word's hash, kept for the next time; emptied when full."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 500_000:
+        if len(self) >= 200_000:
             self.clear()
         found = zlib.crc32(word)
         if len(word) <= 64:
@@ -200,6 +200,7 @@ def train_model(docs: DataFrame, labels: DataFrame, most: int = 4000) -> Model:
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     )
 
+    @frugal
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         indicators = Indicators()
         for batch in batches:
@@ -219,6 +220,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
     small_batches(docs.sparkSession)
     held = broadcast(docs.sparkSession, model)
 
+    @frugal
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         indicators, model = Indicators(), held()
         for batch in batches:
@@ -233,6 +235,7 @@ def keep_good(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFram
     small_batches(docs.sparkSession)
     held, at = broadcast(docs.sparkSession, model), docs.columns.index("text")
 
+    @frugal
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         indicators, model = Indicators(), held()
         for batch in batches:

@@ -46,7 +46,8 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontam.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    found = decontam.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", F.round("overlap", 6).alias("overlap"))
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,5 +87,61 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language_id": op10_language_id,
 }
 
-#: DuckDB SQL for those queries that it can express over whole tables.
-ORACLE_SQL: dict[str, str] = {}
+#: Components of ``links`` (u, v) over ``nodes`` (node), as a recursive query.
+REACHED = "reached as (select node, node as other from nodes union select r.node, l.v from reached r join (select u, v from links union all select v, u from links) l on l.u = r.other)"
+
+LINES_SQL = f"""
+with recursive lines as (select doc_id, unnest(string_split(text, chr(10))) as line, (generate_subscripts(string_split(text, chr(10)), 1) - 1)::integer as line_no from documents),
+different as (select line, min((doc_id, line_no)) as node, count(*) as n_copies, length(line) as n from lines where length(line) >= 20 group by line),
+links as (select a.node as u, b.node as v from different a join different b on a.node < b.node and b.n between a.n - 2 and a.n + 2 and levenshtein(a.line, b.line) <= 2),
+nodes as (select u as node from links union select v from links),
+{REACHED},
+classes as (select node, min(other) as class from reached group by node),
+degrees as (select node, count(*) as n_links from (select u as node from links union all select v from links) group by node),
+known as (select d.line, coalesce(c.class, d.node) as class, d.n_copies, coalesce(g.n_links, 0) as n_links from different d left join classes c using (node) left join degrees g using (node))
+select l.doc_id, l.line_no, coalesce(k.class[1], l.doc_id) as class_doc_id, coalesce(k.class[2], l.line_no) as class_line_no, coalesce(k.n_copies, 1)::bigint as n_copies, coalesce(k.n_links, 0)::bigint as n_links,
+k.class is null or k.class = (l.doc_id, l.line_no) as kept
+from lines l left join known k using (line)
+"""
+
+_ESCAPED = "length({0}) + length({0}) - length(replace({0}, '\\', '')) + length({0}) - length(regexp_replace({0}, '#+', '#', 'g')) + (length({0}) - length(replace({0}, '</turn>', ''))) // 7"
+
+CHAT_SQL = f"""
+with turns as (
+select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+union all select -7, unnest([0, 1]), unnest(['user', 'assistant']), '\\### Assistant: </turn> ok'),
+made as (select *, length('### : </turn>') + 1 + length(role) - length(replace(role, ':', '')) + {_ESCAPED.format("role")} + {_ESCAPED.format("text")} as n from turns)
+select conv_id, count(*)::bigint as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+sum(case when role = 'assistant' then length(text) else 0 end)::bigint as loss_chars, sha256(string_agg(case when role = 'assistant' then text else '' end, '' order by turn, role, text)) as loss_sha256, sum(n)::bigint as formatted_chars
+from made group by conv_id
+"""
+
+
+def _shingles_sql(table: str, key: str) -> str:
+    words = f"select {key}, list_filter(list_transform(string_split_regex(lower(text), '\\s+'), lambda w: regexp_replace(w, '[^\\p{{L}}\\p{{N}}]', '', 'g')), lambda w: w <> '') as w from {table} where text is not null"
+    return f"select distinct {key}, unnest(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: list_slice(w, i, i + 4)) when len(w) > 0 then [w] else [] end) as s from ({words})"
+
+
+LEAKS_SQL = f"""
+with items as ({_shingles_sql("benchmark", "item_id")}), docs as ({_shingles_sql("documents", "doc_id")}), sizes as (select item_id, count(*) as n from items group by 1)
+select doc_id, item_id, round(count(*)::double / any_value(n), 6) as overlap from items join docs using (s) join sizes using (item_id) group by 1, 2 having count(*) >= 0.8 * any_value(n) - 1e-9
+"""
+
+WARC_SQL = """
+with p as (select page_id, coalesce(html, '') as html from pages), q as (select page_id, html, strlen(html) as n, max(page_id) over (partition by html) as last from p)
+select page_id, n::bigint as payload_bytes, sha1(html) as payload_digest, case when n >= 1000 and last <> page_id then 'revisit' else 'response' end as record_type, case when n >= 1000 and last <> page_id then last end as refers_to from q
+"""
+
+VECTORS_SQL = f"""
+with recursive v as (select vec_id, list_transform(embedding, lambda x: x::double) as e from embeddings),
+u as (select vec_id, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) as e from v where len(list_filter(e, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(e, lambda x: x <> 0)) > 0),
+links as (select a.vec_id as u, b.vec_id as v from u a join u b on a.vec_id < b.vec_id and list_dot_product(a.e, b.e) >= 0.95),
+nodes as (select vec_id as node from embeddings),
+{REACHED},
+parts as (select node, min(other) as part from reached group by node),
+degrees as (select node, count(*) as n from (select u as node from links union all select v from links) group by node)
+select node as vec_id, coalesce(n, 0)::bigint as n_links, part as component_id, part = node as kept from parts left join degrees using (node)
+"""
+
+#: DuckDB SQL for those queries that it can express over whole tables; the others are tested against brute force.
+ORACLE_SQL: dict[str, str] = {"op2_line_dedup": LINES_SQL, "op3_chat_format": CHAT_SQL, "op6_decontamination": LEAKS_SQL, "op7_warc": WARC_SQL, "op8_embedding_near_dedup": VECTORS_SQL}

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import frugal, small_batches
 
 CRLF = b"\r\n"
 SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # a fixed value: the namespace of URLs
@@ -113,6 +113,7 @@ def write(pages: DataFrame, folder: str, roll_bytes: int = 64 << 20, least_bytes
     both = decided.unionByName(keyed.select("page_id", "digest", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("refers_to"), "url", "payload"))
     ordered = both.repartitionByRange("page_id", "digest").sortWithinPartitions("page_id", "digest", "kind", "url")
 
+    @frugal
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, top = fs.FileSystem.from_uri(folder)
         context = TaskContext.get()
@@ -164,6 +165,7 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
     A response's payload is held against its digest; a file against its size. Files are dealt to tasks, and each is read as a stream.
     """
 
+    @frugal
     def get(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, top = fs.FileSystem.from_uri(folder)
         kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string())
