@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,23 +33,36 @@ def hashed_terms(texts: DataFrame, key: str, dimensions: int = 768) -> DataFrame
     return word.groupBy(key, bucket.alias("bucket")).agg(F.sum(sign).alias("weight")).where("weight <> 0")
 
 
-@lru_cache(maxsize=200_000)
-def _place(word: str, dimensions: int) -> tuple[int, int]:
+def place(word: str, dimensions: int) -> tuple[int, int]:
+    """(bucket, sign) of a word."""
     digest = hashlib.md5(word.encode(), usedforsecurity=False).hexdigest()
     return int(digest[:8], 16) % dimensions, 1 - 2 * (int(digest[8], 16) % 2)
 
 
+class Places(dict):
+    """The places of words seen before; emptied when full."""
+
+    def __init__(self, dimensions: int, most: int = 200_000):
+        self.dimensions, self.most = dimensions, most
+
+    def __missing__(self, word: str) -> tuple[int, int]:
+        if len(self) >= self.most:
+            self.clear()
+        self[word] = found = place(word, self.dimensions)
+        return found
+
+
 def hashed_embedder(dimensions: int = 768) -> Embedder:
     """The default: not normalised, whole numbers."""
     import re
 
-    split = re.compile(WORDS).split
+    split, places = re.compile(WORDS).split, Places(dimensions)
 
     def embed(texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), dimensions))
         for row, text in enumerate(texts):
             for word in filter(None, split((text or "").lower())):
-                bucket, sign = _place(word, dimensions)
+                bucket, sign = places[word]
                 out[row, bucket] += sign
         return out
 
