@@ -154,3 +154,34 @@ def test_auth(spark):
     row = spark.createDataFrame([("bearer", "t", ""), ("bearer", "x", "k"), (None, None, None)], "a string, b string, c string")
     ask = lambda **c: [r[0] for r in row.select(service.allowed(F.col("a"), F.col("b"), F.col("c"), PipelineConfig(auth_token="t", **c))).collect()]  # noqa: E731, S106
     assert ask() == [True, False, False] and ask(accept_any_api_key=True) == [True, True, False] and ask(auth_enabled=False) == [True] * 3
+
+
+def test_download(spark):
+    import http.server
+    import threading
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):
+            found = {"/a.eml": mail(), "/b.docx": BASIC, "/c.doc": b"junk"}.get(self.path.split("?")[0])
+            self.send_response(200 if found else 404)
+            self.end_headers()
+            self.wfile.write(found or b"")
+
+        def log_message(self, *args):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    top = f"http://127.0.0.1:{server.server_port}"
+    urls = [f"{top}/a.eml?x=1", f"{top}/b.docx", f"{top}/c.doc", f"{top}/none.pdf", f"{top}/a.eml#part", "file:///etc/hosts.eml", None, "http://127.0.0.1:1/x.eml"]
+    rows = spark.createDataFrame([(str(i), u) for i, u in enumerate(urls)], "request_id string, document_url string")
+    got = {r.source_file: r for r in service.download(rows).collect()}
+    server.shutdown()
+    assert [got[u].status for u in urls] == ["ok", "ok", "parse_error", "not_found", "unsupported", "not_found", "not_found", "not_found"]
+    assert got[urls[1]].text == "First. Second.; k: 1, k: 2, v: 3" and got[urls[3]].text is None
+
+
+def test_observed(spark):
+    df, seen = service.observed(spark.range(7), "seven")
+    df.collect()
+    assert seen.get["rows"] == 7

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import PipelineConfig
 from ..operators import answering, chunking, cleaning, embedding, parsers, retrieval
-from ..sources import files
+from ..sources import files, http
 
 VERSION = "0.1.0"
 
@@ -41,6 +41,21 @@ def read_documents(spark: SparkSession, path: str, config: PipelineConfig | None
     return texts.select(F.xxhash64("path").alias("doc_id"), F.col("path").alias("source_file"), F.col("doc_text").alias("text"), "status")
 
 
+def download(requests: DataFrame, config: PipelineConfig | None = None) -> DataFrame:
+    """(doc_id, source_file, text, status) of requests (request_id, document_url): fetched, dispatched, parsed, cleaned."""
+    config = config or PipelineConfig()
+    parsed = parsers.parsed(http.fetched(requests))
+    texts = parsers.document_text(parsed, config.suppress_none, config.row_terminator)
+    status = F.when(F.col("fetch_status") != "ok", F.col("fetch_status")).otherwise(F.col("status"))
+    return texts.select(F.xxhash64("request_id").alias("doc_id"), F.col("document_url").alias("source_file"), F.when(status == "ok", F.col("doc_text")).alias("text"), status.alias("status"))
+
+
+def observed(df: DataFrame, name: str) -> tuple[DataFrame, Observation]:
+    """``df``, and what an action on it will have counted; the session's listeners get it with the action's duration (A5)."""
+    seen = Observation(name)
+    return df.observe(seen, F.count(F.lit(1)).alias("rows")), seen
+
+
 def ingest(docs: DataFrame, config: PipelineConfig | None = None, cleaned: bool = False, load: object = embedding.hashed_embedder) -> DataFrame:
     """Points of documents (doc_id, text, and source_file where it is known): clean, split, pack, encode.
 
