@@ -10,6 +10,7 @@ import shutil
 import sys
 import tempfile
 from collections.abc import Callable, Iterator
+from functools import partial
 from types import ModuleType
 
 import numpy as np
@@ -44,8 +45,8 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def listed(ids: DataFrame, most: int = 1_000_000) -> DataFrame:
-    """Rows of ids, to be joined: sent to all tasks if they are ``most`` or fewer by count (8 MB of numbers), else as they are."""
+def listed(ids: DataFrame, most: int = 100_000) -> DataFrame:
+    """Rows of ids, to be joined: sent to all tasks if they are ``most`` or fewer by count (about 10 MB), else as they are."""
     ids = checkpointed(ids)
     return F.broadcast(ids) if ids.count() <= most else ids
 
@@ -79,10 +80,20 @@ def int_rows(column: pa.ChunkedArray) -> list[np.ndarray]:
     return out
 
 
-def frugal(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """The same function over batches, which gives its memory back when it ends: workers live on for other tasks."""
+Batches = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def frugal(f: Batches | None = None, *, keeps: bool = False) -> Batches:
+    """The same function over batches, which gives its memory back when it ends: workers live on for other tasks.
+
+    What other functions have ``kept`` in the worker goes first, unless this one ``keeps`` something itself.
+    """
+    if f is None:
+        return partial(frugal, keeps=keeps)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not keeps:
+            sys.modules.pop("veldspar_kept", None)
         try:
             yield from f(batches)
         finally:

@@ -137,7 +137,7 @@ def _scan(docs: DataFrame, index: Index) -> DataFrame:
 
         for batch in batches:
             doc_ids = batch.column(0).to_pylist()
-            for begin, rows in by_size(batch.column(1), 8 << 20):
+            for begin, rows in by_size(batch.column(1), 4 << 20):
                 words = pc.ascii_split_whitespace(pc.utf8_lower(batch.column(1).slice(begin, rows).fill_null("")))
                 coded = words.flatten().dictionary_encode()
                 term = np.fromiter(map(place, coded.dictionary.to_pylist()), np.int32, len(coded.dictionary))[coded.indices.to_numpy()]

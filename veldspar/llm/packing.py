@@ -128,13 +128,13 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int =
     small_batches(docs.sparkSession)
     end = struct.pack("<I", end_id)
 
-    @frugal
+    @frugal(keeps=True)
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, row = kept(f"words of {tokenizer}", lambda: WordIds(tokenizer)), 0
         task = TaskContext.get().partitionId()
         for batch in batches:
             doc_ids = batch.column(0).to_pylist()
-            for begin, rows in by_size(batch.column(1), 8 << 20):
+            for begin, rows in by_size(batch.column(1), 4 << 20):
                 out: list[tuple] = []
                 ids, begins = words.encode(batch.column(1).slice(begin, rows))
                 for k in range(rows):
