@@ -197,7 +197,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def keep_one_each(docs: DataFrame) -> DataFrame:
     """The document with the smallest doc_id of each component; of rows that share that doc_id, one."""
-    found = checkpointed(near_duplicates(docs).where("doc_id <=> component_id").groupBy("doc_id").agg(F.count("*").alias("rows")))
-    first = listed(found.select(F.col("doc_id").alias("kept_id")))
-    kept = docs.join(first, docs["doc_id"].eqNullSafe(first["kept_id"]), "left_semi")
-    return kept if found.where("rows > 1").isEmpty() else kept.dropDuplicates(["doc_id"])
+    rows = near_duplicates(docs).withColumn("first", F.expr("doc_id <=> component_id"))
+    found = checkpointed(rows.groupBy("doc_id").agg(F.max("first").alias("kept"), F.count("*").alias("rows")))
+    gone = listed(found.where("not kept").select(F.col("doc_id").alias("gone_id")))
+    kept = docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone_id"]), "left_anti")
+    return kept if found.where("kept and rows > 1").isEmpty() else kept.dropDuplicates(["doc_id"])
