@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_bytes, broadcast, frugal, int_rows, small_batches
+from .common import as_bytes, broadcast, frugal, int_rows, listed, small_batches
 from .quality import held_out
 
 LETTERS = 64
@@ -108,14 +108,14 @@ def train_model(docs: DataFrame, most: int = 3000, each: int = 1000) -> Model |
     bounded sample only.
     """
     small_batches(docs.sparkSession)
-    by_hash = (F.xxhash64("doc_id"), "doc_id")
     known = docs.where("doc_id is not null and lang is not null and text is not null").where(~held_out(of=3, remainder=1))
+    learned = known.groupBy("doc_id").agg(F.min("lang").alias("learned")).withColumn("order", F.shiftrightunsigned(F.xxhash64("doc_id"), 1))
+    sizes = listed(learned.groupBy("learned").agg(F.count("*").alias("n")))
+    # the lowest hashes of a language, about twice as many as are wanted, so that ranking never meets all of a common one
+    low = learned.join(sizes, "learned").where(F.col("order") / float(1 << 63) * F.col("n") <= 2 * each + 100)
     ids = (
-        known.groupBy("doc_id").agg(F.min("lang").alias("learned"))
-        .withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(32)))  # a common language is ranked in parts first
-        .withColumn("turn", F.row_number().over(Window.partitionBy("learned", "part").orderBy(*by_hash))).where(F.col("turn") <= each)
-        .withColumn("turn", F.row_number().over(Window.partitionBy("learned").orderBy(*by_hash))).where(F.col("turn") <= each)
-        .orderBy("turn", *by_hash).limit(most)
+        low.withColumn("turn", F.row_number().over(Window.partitionBy("learned").orderBy("order", "doc_id"))).where(F.col("turn") <= each)
+        .orderBy("turn", "order", "doc_id").limit(most).select("doc_id", "learned")
     )
 
     @frugal
