@@ -489,6 +489,22 @@ def test_embedding_near_duplicates(spark, kind, crowded):
     assert embedding.near_duplicates(table.limit(0)).count() == 0
 
 
+def test_crowded_leaves_are_compared_whole(spark):
+    r = np.random.default_rng(7)
+    centre = r.standard_normal(64)
+    rows = centre / np.linalg.norm(centre) + r.standard_normal((700, 64)) * np.sqrt(0.05 / 64)
+    unit = rows / np.linalg.norm(rows, axis=1, keepdims=True)
+    close = unit @ unit.T >= 0.95
+    np.fill_diagonal(close, False)
+    table = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(rows)], "vec_id long, embedding array<double>")
+    part = components(len(rows), list(zip(*np.nonzero(np.triu(close)), strict=True)))
+    for crowded in (100, 20_000):  # one outer leaf, split or not
+        got = {x.vec_id: (x.n_links, x.component_id) for x in embedding.near_duplicates(table, leaf=1000, crowded=crowded).collect()}
+        assert got == {k: (close[k].sum(), part[k]) for k in range(len(rows))}
+    whole, cut = (sorted(map(tuple, embedding.near_duplicates(table, leaf=100, crowded=c).collect())) for c in (20_000, 60))
+    assert whole == cut
+
+
 def test_recall_on_the_table(spark):
     d = "/root/testdata/sf0.1/embeddings.parquet"
     table = spark.read.parquet(d)

@@ -111,10 +111,11 @@ def _packed(vectors: DataFrame, kind: str) -> DataFrame:
 Counts = Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]
 
 
-def _compare_leaf(keys: np.ndarray, weights: np.ndarray, unit: np.ndarray, counts_here: Counts, least: float, block: int = 1024) -> tuple[np.ndarray, list[tuple[int, int]]]:
+def _compare_leaf(keys: np.ndarray, weights: np.ndarray, unit: np.ndarray, counts_here: Counts, least: float, split: int | None = None, block: int = 1024) -> tuple[np.ndarray, list[tuple[int, int]]]:
     """Links of each vector that count in this leaf, and links that span what is connected in it.
 
     ``counts_here`` tells of pairs (unit vectors, places of either) whether this is the leaf that counts them.
+    With ``split``, the vectors before it are compared with those from it on, and with no others.
     """
     counts, parent, spans = np.zeros(len(keys), np.int64), np.arange(len(keys)), []
 
@@ -124,9 +125,10 @@ def _compare_leaf(keys: np.ndarray, weights: np.ndarray, unit: np.ndarray, count
             x = parent[x]
         return x
 
-    for i in range(0, len(keys), block):
-        for j in range(i, len(keys), block):
-            a, b = np.nonzero(unit[i : i + block] @ unit[j : j + block].T >= least)
+    end = len(keys) if split is None else split
+    for i in range(0, end, block):
+        for j in range(i if split is None else split, len(keys), block):
+            a, b = np.nonzero(unit[i : min(i + block, end)] @ unit[j : j + block].T >= least)
             a, b = a + i, b + j
             a, b = a[a < b], b[a < b]
             for at in range(0, len(a), 1 << 16):
@@ -146,22 +148,10 @@ def _compare_leaf(keys: np.ndarray, weights: np.ndarray, unit: np.ndarray, count
     return counts, spans
 
 
-def _compare_crowd(keys: np.ndarray, weights: np.ndarray, unit: np.ndarray, counts_here: Counts, least: float, leaf: int, margin: float, trees: int = 3) -> tuple[np.ndarray, list[tuple[int, int]]]:
-    """The same for a leaf of too many vectors: trees of its own split it again, and a pair counts in its first meeting there."""
-    most = min(len(unit), 1 << 15)
-    own = plant(unit[np.linspace(0, len(unit) - 1, most).astype(np.int64)], int(np.log2(max(2, min(len(unit) / leaf, most / 16)))), trees, margin, seed=len(unit))
-    counts, spans = np.zeros(len(keys), np.int64), []
-    for tree in range(trees):
-        p = own.projections(unit, tree)
-        rows, nodes = own.leaves(p, p, tree)
-        order = np.argsort(nodes, kind="stable")
-        for at in np.split(order, np.flatnonzero(np.diff(nodes[order])) + 1):
-            within, node = rows[at], nodes[at[0]]
-            first = lambda u, a, b, tree=tree, node=node: counts_here(u, a, b) & (own.first_meeting(u, a, b, tree) == node)
-            n, links = _compare_leaf(keys[within], weights[within], unit[within], first, least)
-            np.add.at(counts, within, n)
-            spans += links
-    return counts, spans
+def _block(keys: np.ndarray, blocks: int) -> np.ndarray:
+    """The block of a crowded leaf in which each key lies."""
+    mixed = keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return ((mixed >> np.uint64(32)) % np.uint64(blocks)).astype(np.int64)
 
 
 def near_duplicates(vectors: DataFrame, least: float = 0.95, trees: int = 6, leaf: int = 250, margin: float = 0.02, crowded: int = 20_000) -> DataFrame:
@@ -173,8 +163,9 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95, trees: int = 6, lea
     component, not kept. Rows that share a vec_id are separate vectors. No rows: no rows.
 
     The forest is fit to a sample of at most 32 MB, so its size is bounded too; every vector is
-    indexed. A leaf is held by one task and compared in blocks, if it has more than ``crowded``
-    vectors in leaves of further trees of its own.
+    indexed. A leaf of at most ``crowded`` vectors is held by one task. A larger one is cut into blocks
+    of about a quarter of that, and each pair of blocks is a task's work of its own, so every pair of
+    a leaf is compared whatever its size; a vector is then sent once for each block of its leaf.
     """
     small_batches(vectors.sparkSession)
     kind = "<f8" if "double" in dict(vectors.dtypes)["embedding"] else "<f4"
@@ -188,6 +179,25 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95, trees: int = 6, lea
     depth = int(max(0, min(np.ceil(np.log2(max(1, n / leaf))), np.log2(max(1, len(sample) / 16)))))
     forest_of = broadcast(vectors.sparkSession, plant(_units(sample, kind, dims), depth, trees if depth else 1, margin))
 
+    @frugal
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forest = forest_of()
+        for batch in batches:
+            for begin in range(0, batch.num_rows, 2000):
+                unit, found = _units(batch.column(0).slice(begin, 2000).to_pylist(), kind, dims), []
+                for tree in range(len(forest.directions)):
+                    p = forest.projections(unit, tree)
+                    found.append(forest.leaves(p, p, tree)[1] | (tree << 40))
+                leaves, n = np.unique(np.concatenate(found), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(leaves), pa.array(n)], ["leaf", "n"])
+
+    # at most trees * 2 ** depth leaves, which the sample bounds
+    crowds = distinct.select("vec").mapInArrow(tally, "leaf long, n long").groupBy("leaf").agg(F.sum("n").alias("n")).where(F.col("n") > crowded).collect() if n > crowded else []
+    blocks_of = {r.leaf: -(-r.n // max(1, crowded // 4)) for r in crowds}
+
+    def dealt_rows(part: pa.RecordBatch, leaves: np.ndarray, pairs: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(leaves), pa.array(pairs), *(c.take(pa.array(at)) for c in part.columns)], ["leaf", "pair", "key", "weight", "vec"])
+
     @frugal
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest = forest_of()
@@ -198,38 +208,49 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95, trees: int = 6, lea
                 for tree in range(len(forest.directions)):
                     p = forest.projections(unit, tree)
                     at, leaves = forest.leaves(p, p, tree)
-                    yield pa.RecordBatch.from_arrays([pa.array(leaves | (tree << 40)), *(c.take(pa.array(at)) for c in part.columns)], ["leaf", "key", "weight", "vec"])
+                    leaves = leaves | (tree << 40)
+                    hot = np.isin(leaves, list(blocks_of)) if blocks_of else np.zeros(len(leaves), bool)
+                    yield dealt_rows(part, leaves[~hot], np.zeros((~hot).sum(), np.int64), at[~hot])
+                    for leaf_at in np.unique(leaves[hot]).tolist():
+                        n, rows = blocks_of[leaf_at], at[leaves == leaf_at]
+                        own = _block(part.column(0).to_numpy()[rows], n)
+                        for other in range(n):
+                            yield dealt_rows(part, np.full(len(rows), leaf_at), np.minimum(own, other) * n + np.maximum(own, other), rows)
 
     @frugal
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forest, held, leaf_at = forest_of(), [], None
+        forest, held, group_at = forest_of(), [], None
 
         def found() -> pa.RecordBatch:
-            keys, weights, vecs = (pa.chunked_array([b.column(c) for b in held]) for c in (1, 2, 3))
-            keys, weights = keys.to_numpy(), weights.to_numpy()
-            first = lambda u, a, b, at=leaf_at: forest.first_meeting(u, a, b, at >> 40) == at & ((1 << 40) - 1)
-            unit = _units(vecs.to_pylist(), kind, dims)
-            counts, spans = _compare_leaf(keys, weights, unit, first, least) if len(keys) <= crowded else _compare_crowd(keys, weights, unit, first, least, leaf, margin)
+            leaf_at, pair = group_at
+            keys, weights, vecs = (pa.chunked_array([b.column(c) for b in held]) for c in (2, 3, 4))
+            keys, weights, unit, split = keys.to_numpy(), weights.to_numpy(), _units(vecs.to_pylist(), kind, dims), None
+            if (n := blocks_of.get(leaf_at)) and pair // n != pair % n:
+                own = _block(keys, n)
+                order = np.argsort(own, kind="stable")
+                keys, weights, unit, split = keys[order], weights[order], unit[order], int((own == pair // n).sum())
+            first = lambda u, a, b: forest.first_meeting(u, a, b, leaf_at >> 40) == leaf_at & ((1 << 40) - 1)
+            counts, spans = _compare_leaf(keys, weights, unit, first, least, split)
             some = np.flatnonzero(counts)
             u, v = keys[some].tolist() + [s[0] for s in spans], [None] * len(some) + [s[1] for s in spans]
             return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(counts[some].tolist() + [0] * len(spans), pa.int64())], ["u", "v", "n"])
 
         for batch in batches:
-            leaves = batch.column(0).to_numpy(zero_copy_only=False)
-            cuts = [0, *(np.flatnonzero(np.diff(leaves)) + 1).tolist(), len(leaves)]
+            leaves, pairs = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
+            cuts = [0, *(np.flatnonzero((np.diff(leaves) != 0) | (np.diff(pairs) != 0)) + 1).tolist(), len(leaves)]
             for a, b in zip(cuts, cuts[1:], strict=False):
                 if a == b:
                     continue
-                if held and leaf_at != leaves[a]:
+                if held and group_at != (leaves[a], pairs[a]):
                     yield found()
                     held = []
-                leaf_at = int(leaves[a])
+                group_at = (int(leaves[a]), int(pairs[a]))
                 held.append(batch.slice(a, b - a))
         if held:
             yield found()
 
-    dealt = distinct.select("key", "weight", "vec").mapInArrow(deal, "leaf long, key long, weight long, vec binary")
-    pairs = checkpointed(dealt.repartition("leaf").sortWithinPartitions("leaf", "key").mapInArrow(compare, "u long, v long, n long"))
+    dealt = distinct.select("key", "weight", "vec").mapInArrow(deal, "leaf long, pair long, key long, weight long, vec binary")
+    pairs = checkpointed(dealt.repartition("leaf", "pair").sortWithinPartitions("leaf", "pair", "key").mapInArrow(compare, "u long, v long, n long"))
     counts = pairs.where("v is null").groupBy(F.col("u").alias("key")).agg(F.sum("n").alias("n"))
     parts = connected_components(pairs.where("v is not null").select("u", "v")).withColumnRenamed("node", "key")
     placed = distinct.join(counts, "key", "left").join(parts, "key", "left").withColumn("component", F.coalesce("component", "key"))
