@@ -391,6 +391,27 @@ def test_contaminated(spark):
     assert {x.doc_id for x in clean.collect()} == {d for d, _ in docs} - {d for d, _ in rows}
 
 
+def test_short_items_within_documents(spark):
+    r = random.Random(3)
+    words = [f"w{k}" for k in range(12)]
+    items = [(k, " ".join(r.choices(words, k=1 + k % 6))) for k in range(24)] + [(90, "who wrote it? nobody")]
+    docs = [(d, " ".join(r.choices(words, k=r.randint(0, 8)))) for d in range(60)]
+    docs += [(100, "x " * 300 + "WHO, wrote it?! Nobody, " + "x " * 300), (101, "who wrote nobody it " + "x " * 20), (102, "who wrote it"), (103, None)]
+
+    def holds(text, item):
+        have, own = decontam.tokens(text or ""), decontam.tokens(item)
+        n = min(5, len(own))
+        grams = lambda x: {tuple(x[k : k + n]) for k in range(len(x) - n + 1)}
+        return len(grams(own) & grams(have)) >= 0.8 * len(grams(own))
+
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    tests = spark.createDataFrame(items, "item_id long, text string")
+    for shard in (7, 20_000):
+        got = sorted((x.doc_id, x.item_id) for x in decontam.contaminated(frame, tests, shard).collect())
+        assert got == sorted((d, i) for d, t in docs for i, x in items if holds(t, x))
+        assert (100, 90) in got
+
+
 def test_no_item_is_below_the_threshold():
     r = random.Random(8)
     words = [f"w{k}" for k in range(80)]

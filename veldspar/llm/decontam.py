@@ -41,6 +41,11 @@ def shingles(ids: list[int]) -> set[tuple[int, ...]]:
     return {tuple(ids[k : k + WORDS]) for k in range(len(ids) - WORDS + 1)} or ({tuple(ids)} if ids else set())
 
 
+def runs(ids: list[int], n: int) -> set[tuple[int, ...]]:
+    """All runs of n neighbouring words."""
+    return {tuple(ids[k : k + n]) for k in range(len(ids) - n + 1)}
+
+
 class Index:
     """Impacts of items, by term, and their maxima by list and by block of ``block`` neighbouring items."""
 
@@ -94,7 +99,8 @@ class Index:
 
     def verified(self, passage: list[int], at: int) -> float:
         """Share of the item's shingles in the passage; 0 if too few, or if the answer's words are missing."""
-        share = len(self.shingles[at] & shingles(passage)) / len(self.shingles[at])
+        own = self.shingles[at]
+        share = len(own & runs(passage, len(next(iter(own))))) / len(own)
         answer = self.answers[at]
         if share < self.least or (answer and len(answer & set(passage)) < self.least * len(answer)):
             return 0.0
@@ -167,8 +173,8 @@ def _scan(docs: DataFrame, index: Index) -> DataFrame:
 def contaminated(docs: DataFrame, items: DataFrame, shard: int = 20_000) -> DataFrame:
     """(doc_id, item_id, score, overlap, word) for every item that a document holds; no row for a clean document.
 
-    An item is held if 0.8 of its five-word shingles (an item of fewer words: all its words) and of
-    its answer's words are in one passage, whatever the case and marks. word is where the best such
+    An item is held if 0.8 of its five-word shingles (an item of fewer words: all its words in
+    a row) and of its answer's words are in one passage, whatever the case and marks. word is where the best such
     passage begins, in words. Null texts hold nothing; rows that share a doc_id give a row each.
     Items may be any number: they are indexed in shards of ``shard``, one scan each.
     """
