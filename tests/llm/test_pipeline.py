@@ -3,7 +3,7 @@
 import corpus_pipeline
 from pyspark.sql import functions as F
 
-from veldspar.llm import decontam, quality, simhash
+from veldspar.llm import decontam, line_dedup, quality, simhash
 
 
 def test_stages(spark, tmp_path, small):
@@ -34,3 +34,17 @@ def test_stages(spark, tmp_path, small):
 def test_run(spark, small):
     rows = corpus_pipeline.run(spark, small)
     assert rows.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] and rows.count() > 0
+
+
+def test_shared_and_missing_ids(spark):
+    repeated = "a line that two of the texts have in common"
+    texts = [f"{repeated}\nwhat only the text of {name} says, and says at some length" for name in ("anna about gardens", "bruno about harbours")]
+    rows = [(i, t) for i in (None, 5) for t in texts] + [(None, texts[0]), (9, "apples, pears and plums ripen late this year"), (9, "the ferry to the island leaves at noon today")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_chars", F.length("text"))
+    lines = [x for r in line_dedup.drop_repeated_lines(docs).where("doc_id is null").distinct().collect() for x in r.text.split("\n")]
+    assert sorted(lines) == sorted({x for t in texts for x in t.split("\n")})
+    got = line_dedup.drop_repeated_lines(docs)
+    assert got.count() == len(rows) and {r.text for r in got.where("doc_id = 9").collect()} == {t for i, t in rows if i == 9}
+    other = spark.createDataFrame([(i, t) for i in (None, 7) for t in ("one two three four five six", "completely other words stand in here now", f"{i} is where these words belong alone")] * 2, "doc_id long, text string")
+    kept = [(r.doc_id, r.text) for r in simhash.keep_one_each(other).collect()]
+    assert sorted(map(str, kept)) == sorted(map(str, [(7, "one two three four five six"), (7, "completely other words stand in here now"), (7, "7 is where these words belong alone"), (None, "None is where these words belong alone")]))

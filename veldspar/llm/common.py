@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN: list[str] = []
@@ -51,6 +51,11 @@ def listed(ids: DataFrame, most: int = 100_000) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= most else ids
 
 
+def row_key() -> Column:
+    """Tells documents apart, in the order of their doc_ids: doc_id, which may be null or shared, and 128 bits of hash of the text."""
+    return F.struct("doc_id", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit("second"), "text").alias("t2"))
+
+
 def small_batches(spark: SparkSession, size: str = "8m") -> None:
     """Batches that go to Python hold this many bytes (or one row), unless the session has set its own size."""
     name, usual = "spark.sql.execution.arrow.maxBytesPerBatch", ("67108864b", "64m", "64MB", None)

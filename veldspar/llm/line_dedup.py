@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, connected_components, listed
+from .common import checkpointed, connected_components, listed, row_key
 
 EDITS, MIN_CHARS = 2, 20
 
@@ -168,11 +168,14 @@ def drop_repeated_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MI
     """``docs`` without the lines that are not the first of their class; every row and column stays.
 
     A text all of whose lines go is empty; a null text stays null. n_chars, where there is such a
-    column, is that of the new text.
+    column, is that of the new text. Texts that share a doc_id, or have none, are separate documents;
+    only rows that agree in both are one.
     """
-    gone = near_lines(docs, edits, min_chars).where("not kept").groupBy("doc_id").agg(F.collect_set("line_no").alias("gone")).withColumnRenamed("doc_id", "gone_id")
-    whole = docs.select(F.col("doc_id").alias("id"), F.struct(*docs.columns).alias("row"))
-    joined = whole.join(gone, whole["id"].eqNullSafe(gone["gone_id"]), "left")
+    place = row_key()
+    keyed = docs.select(place.alias("doc_id"), "text")
+    gone = near_lines(keyed, edits, min_chars).where("not kept").groupBy("doc_id").agg(F.collect_set("line_no").alias("gone")).withColumnRenamed("doc_id", "gone_id")
+    whole = docs.select(place.alias("id"), F.struct(*docs.columns).alias("row"))
+    joined = whole.join(gone, whole["id"] == gone["gone_id"], "left")
     text = F.expr("if(gone is null, row.text, array_join(filter(split(row.text, '\\n'), (x, i) -> not array_contains(gone, i)), '\\n'))")
     new = {"text": text} | ({"n_chars": F.length(text).cast(dict(docs.dtypes)["n_chars"])} if "n_chars" in docs.columns else {})
     return joined.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])

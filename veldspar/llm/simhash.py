@@ -14,10 +14,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, checkpointed, connected_components, frugal, listed, small_batches
+from .common import as_bytes, checkpointed, connected_components, frugal, listed, row_key, small_batches
 
 LINK = 3
 
@@ -44,10 +44,11 @@ def anchors_within_two(half: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(near)
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
+def fingerprints(docs: DataFrame, keyed: bool = False) -> DataFrame:
     """(doc_id, fp long) of whole texts: bit set if it is set in over half of the 3-word shingles' XXH64.
 
     Null, empty and blank texts have fingerprint 0; fewer than three words give one shingle.
+    With ``keyed``, the text's hashes t1 and t2 of the row key come along.
     """
     small_batches(docs.sparkSession)
     import xxhash
@@ -72,9 +73,11 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                         bits = np.unpackbits(hashes[at : at + 255].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
                         counts += np.add.reduce(bits, axis=0, dtype=np.uint8)
                 out[row] = np.bitwise_or.reduce(np.where(2 * counts > n, np.uint64(1) << np.arange(64, dtype=np.uint64), np.uint64(0)))
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(out.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(out.view(np.int64)), *batch.columns[2:]], ["doc_id", "fp", "t1", "t2"][: batch.num_columns])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(prints, "doc_id long, fp long")
+    key = row_key()
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *([key["t1"].alias("t1"), key["t2"].alias("t2")] if keyed else []))
+    return texts.mapInArrow(prints, "doc_id long, fp long" + ", t1 long, t2 long" * keyed)
 
 
 def _replicas(prints: DataFrame) -> DataFrame:
@@ -187,18 +190,29 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     one row there. Rows that share a doc_id are separate texts. No rows: no rows.
     """
     prints = checkpointed(fingerprints(docs))
-    distinct = checkpointed(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    ids = _least_of_component(prints, F.col("doc_id")).withColumnRenamed("least", "component_id")
+    return prints.join(ids, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def _least_of_component(prints: DataFrame, value: Column) -> DataFrame:
+    """(fp, least): the least ``value`` of the rows that links reach from each fingerprint."""
+    distinct = checkpointed(prints.groupBy("fp").agg(F.min(value).alias("least")))
     parts = connected_components(fingerprint_links(distinct))
     placed = distinct.join(parts.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    least = placed.groupBy("component").agg(F.min("least").alias("component_id"))
-    ids = placed.select("fp", "component").join(least, "component").select("fp", "component_id")
-    return prints.join(ids, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    lowest = placed.groupBy("component").agg(F.min("least").alias("least"))
+    return placed.select("fp", "component").join(lowest, "component").select("fp", "least")
 
 
 def keep_one_each(docs: DataFrame) -> DataFrame:
-    """The document with the smallest doc_id of each component; of rows that share that doc_id, one."""
-    rows = near_duplicates(docs).withColumn("first", F.expr("doc_id <=> component_id"))
-    found = checkpointed(rows.groupBy("doc_id").agg(F.max("first").alias("kept"), F.count("*").alias("rows")))
-    gone = listed(found.where("not kept").select(F.col("doc_id").alias("gone_id")))
-    kept = docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone_id"]), "left_anti")
-    return kept if found.where("kept and rows > 1").isEmpty() else kept.dropDuplicates(["doc_id"])
+    """The document with the smallest doc_id of each component, a null one last; of rows that share doc_id and text, one.
+
+    Different texts with one doc_id, or none, are separate documents: of those in one component, too, one stays.
+    """
+    prints = checkpointed(fingerprints(docs, keyed=True))
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t1", "t2")
+    rows = prints.join(_least_of_component(prints, place), "fp").select("doc_id", "t1", "t2", (place == F.col("least")).alias("kept"))
+    found = checkpointed(rows.groupBy("doc_id", "t1", "t2").agg(F.max("kept").alias("kept"), F.count("*").alias("rows")))
+    gone = listed(found.where("not kept").select(F.col("doc_id").alias("gone_id"), F.col("t1").alias("gone_t1"), F.col("t2").alias("gone_t2")))
+    key = row_key()
+    kept = docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone_id"]) & (key["t1"] == gone["gone_t1"]) & (key["t2"] == gone["gone_t2"]), "left_anti")
+    return kept if found.where("kept and rows > 1").isEmpty() else kept.dropDuplicates(["doc_id", "text"])
