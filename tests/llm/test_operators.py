@@ -583,6 +583,16 @@ def test_further_formats(spark):
     assert digits(one) == two and luhn_ok(two)
 
 
+def test_cards_beside_other_numbers(spark):
+    card, grouped = "4845168114407329", "4845 1681 1440 7329"
+    rows = [f"{card}", f"{card} 12/27", f"{card} 123", f"12 {card}", f"no 1 {card} 22 ok", f"123 {grouped}", f"{grouped} 12/27", f"{grouped} 1 2 3 4", f"1 2 3 5 {card} {card}", f"{card}-12", "4845168114407328 12"]
+    got = [r.text for r in pii.pseudonymised(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), "k").orderBy("doc_id").collect()]
+    new = got[0]
+    assert new != card and luhn_ok(new)
+    spaced = " ".join(new[k : k + 4] for k in range(0, 16, 4))
+    assert got == [x.replace(card, new).replace(grouped, spaced) for x in rows]
+
+
 def test_permutations_are_one_to_one(spark):
     rows = spark.range(1000)
     two = rows.where("id < 100").select(F.expr(pii.digits_permuted("k", "card", "lpad(cast(id as string), 2, '0')")).alias("d"))

@@ -21,7 +21,8 @@ date       yyyy-mm-dd, yyyy/mm/dd, dd.mm.yyyy, mm/dd/yyyy   the day, among those
 email      a name and a host                                the name: a keyed digest, not a permutation
 =========  ===============================================  ==========================================
 
-What is not valid stays as it is.
+What is not valid stays as it is. Of digits in groups that are no card as a whole, those whole groups
+that are one are taken; the others beside them stay.
 """
 
 from __future__ import annotations
@@ -101,10 +102,16 @@ def refilled(format_: str, digits: str) -> str:
 
 
 def _card(key: str) -> tuple[str, str]:
-    digits = "regexp_replace(v, '[^0-9]', '')"
+    digits = lambda x: f"regexp_replace({x}, '[^0-9]', '')"
+    places = "sequence(1, length(v))"
+    begins, ends = f"filter({places}, p -> p = 1 or substr(v, p - 1, 1) in (' ', '-'))", f"filter({places}, p -> p = length(v) or substr(v, p + 1, 1) in (' ', '-'))"
+    pieces = f"flatten(transform({begins}, f -> transform(filter({ends}, e -> e > f + 11), e -> named_struct('n', length({digits('substr(v, f, e - f + 1)')}), 'before', 1 - f, 'x', substr(v, f, e - f + 1)))))"
+    # whole groups of a run, the most digits first, then the leftmost
+    card = f"array_max(filter({pieces}, r -> r.n between 13 and 19 and {luhn(digits('r.x'))} = 0 and r.x rlike '[1-9]'))"
     body = f"concat(left(d0, 1), {digits_permuted(key, 'card', 'substr(d0, 2, length(d0) - 2)')})"
     check = f"cast((10 - {luhn('concat(p, chr(48))')}) % 10 as string)"
-    return f"length({digits}) between 13 and 19 and {luhn(digits)} = 0 and {digits} rlike '[1-9]'", _let("d0", digits, _let("p", body, refilled("v", f"concat(p, {check})")))
+    made = _let("d0", digits("q.x"), _let("p", body, refilled("q.x", f"concat(p, {check})")))
+    return f"{card} is not null", _let("q", card, f"concat(left(v, -q.before), {made}, substr(v, 1 - q.before + length(q.x)))")
 
 
 def _iban(key: str) -> tuple[str, str]:
