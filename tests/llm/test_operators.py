@@ -153,35 +153,60 @@ def test_edit_distance(spark, edits):
     assert all(x.near == x.got for x in rows)
 
 
-def test_near_lines(spark):
-    r = random.Random(9)
-    base = ["".join(r.choice("abcdefgh é") for _ in range(r.randint(20, 50))) for _ in range(40)]
-    lines = [edited(r, b, r.randint(0, 4)) for b in base for _ in range(5)] + base + ["short", "short", ""]
-    r.shuffle(lines)
-    docs = [(k // 10, "\n".join(lines[k : k + 10])) for k in range(0, len(lines), 10)]
+def lines_by_hand(docs):
+    """{(doc_id, line_no): (class, copies, links, kept)} by comparing all lines with all."""
     occurs = {}
     for d, t in docs:
         for k, line in enumerate(t.split("\n")):
             occurs.setdefault(line, []).append((d, k))
-    long = sorted((x for x in occurs if len(x) >= 20), key=lambda x: min(occurs[x]))
-    links = [(a, b) for a in range(len(long)) for b in range(a + 1, len(long)) if abs(len(long[a]) - len(long[b])) <= 2 and distance(long[a], long[b]) <= 2]
-    part = components(len(long), links)
+    lines = sorted(occurs, key=lambda x: min(occurs[x]))
+    near = lambda x, y: abs(len(x) - len(y)) <= min(2, min(len(x), len(y)) // 10) and distance(x, y) <= min(2, min(len(x), len(y)) // 10)
+    links = [(a, b) for a in range(len(lines)) for b in range(a + 1, len(lines)) if near(lines[a], lines[b])]
+    part = components(len(lines), links)
     expected = {}
-    for i, x in enumerate(long):
-        first = min(occurs[long[part[i]]])
+    for i, x in enumerate(lines):
+        first = min(occurs[lines[part[i]]])
         for o in occurs[x]:
             expected[o] = (first, len(occurs[x]), sum(i in p for p in links), o == first)
-    for x in occurs:
-        if len(x) < 20:
-            expected |= {o: (o, 1, 0, True) for o in occurs[x]}
     assert links
-    got = {(x.doc_id, x.line_no): ((x.class_doc_id, x.class_line_no), x.n_copies, x.n_links, x.kept) for x in line_dedup.near_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
-    assert got == expected
+    return expected
+
+
+def lines_found(spark, docs, **options):
+    rows = line_dedup.near_lines(spark.createDataFrame(docs, "doc_id long, text string"), **options).collect()
+    return {(x.doc_id, x.line_no): ((x.class_doc_id, x.class_line_no), x.n_copies, x.n_links, x.kept) for x in rows}
+
+
+def test_near_lines(spark):
+    r = random.Random(9)
+    base = ["".join(r.choice("abcdefgh é") for _ in range(r.randint(20, 50))) for _ in range(40)]
+    brief = ["".join(r.choice("ab") for _ in range(r.randint(1, 22))) for _ in range(80)]
+    lines = [edited(r, b, r.randint(0, 4)) for b in base for _ in range(5)] + base + brief + [edited(r, b, 1) for b in brief] + ["short", "short", "", "", " ", "a" * 20, "a" * 21, "a" * 22, "a" * 9, "a" * 10, "a" * 11]
+    r.shuffle(lines)
+    docs = [(k // 10, "\n".join(lines[k : k + 10])) for k in range(0, len(lines), 10)]
+    assert lines_found(spark, docs) == lines_by_hand(docs)
+
+
+def test_common_segments_are_dealt_to_blocks(spark, monkeypatch):
+    r = random.Random(10)
+    lines = [f"Chapter {k} of the book about gardens and harbours" for k in range(60)] + [f"{r.choice('abc')} of the book about gardens and harbours {k % 7}" for k in range(30)]
+    docs = [(k // 5, "\n".join(lines[k : k + 5])) for k in range(0, len(lines), 5)]
+    expected = lines_by_hand(docs)
+    links = line_dedup.line_links
+    for block in (3, 512):
+        monkeypatch.setattr(line_dedup, "line_links", lambda lines, edits, block=block: links(lines, edits, block))
+        assert lines_found(spark, docs) == expected
 
 
 def test_lines_are_native(spark, odd):
-    plan = line_dedup.likely_pairs(line_dedup.lines_of(odd))._jdf.queryExecution().executedPlan().toString()
-    assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan and "NestedLoop" not in plan
+    for frame in (line_dedup.shared_keys(line_dedup.lines_of(odd)), *line_dedup.line_links(line_dedup.lines_of(odd)), line_dedup.near_lines(odd)):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_repeated_short_lines_go(spark):
+    docs = spark.createDataFrame([(1, "one\n\nsame"), (2, "same\n\ntwo\n \n\nsame"), (3, "same")], "doc_id long, text string")
+    assert {r.doc_id: r.text for r in line_dedup.drop_repeated_lines(docs).collect()} == {1: "one\n\nsame", 2: "\ntwo\n \n", 3: ""}
 
 
 def test_drop_lines_odd(spark, odd):

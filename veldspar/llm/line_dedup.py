@@ -1,20 +1,30 @@
 """Line near-duplicates by a segment-partition edit join, in SQL functions only.
 
-Lines within ``edits`` edits of each other: the shorter is split into edits + 1 segments, of which
-at least one is left whole in the longer. Each line is indexed by its segments, hashed with their
-number and the line's length; each line probes the index with the substrings that can be a
-segment of a line as long or up to ``edits`` shorter, at the few places where one can lie. What
-meets is verified by edit distance, bit-parallel in a band about the diagonal.
+A line may differ from another by one edit for each ``EACH`` characters of the shorter, and by
+``EDITS`` at most; lines too short for any edit are repeats only of equal ones. The shorter line is
+split into one segment more than it has edits, of which at least one is left whole in the longer.
+Each line is indexed by its segments, hashed with their number and the line's length; each line
+probes the index with the substrings that can be a segment of a line as long or up to ``edits``
+shorter, at the few places where one can lie. What meets is verified by edit distance, bit-parallel
+in a band about the diagonal.
+
+Pairs are never listed: a pair is looked at where it first meets, in blocks of a bounded number of
+lines of one key, and adds to the two lines' numbers of links and to the links that span them.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpointed, connected_components, listed, row_key
 
-EDITS, MIN_CHARS = 2, 20
+EDITS, EACH = 2, 10
+
+
+def allowed(n: str, edits: int = EDITS) -> str:
+    """SQL: the edits that a line of n characters may have from one as long or longer."""
+    return f"least({edits}, {n} div {EACH})"
 
 
 def _key(begin: str, length: str, k: str, n: str) -> str:
@@ -27,11 +37,6 @@ def _segment(n: str, k: str, parts: int) -> tuple[str, str]:
     return f"{k} * ({n} div {parts}) + greatest(0, {k} - {parts} + {n} % {parts})", f"{n} div {parts} + if({k} >= {parts} - {n} % {parts}, 1, 0)"
 
 
-def index_keys(edits: int = EDITS) -> str:
-    """SQL: array of the keys of a line's own segments (columns n and chars)."""
-    return "array(" + ", ".join(_key(*_segment("n", str(k), edits + 1), str(k), "n") for k in range(edits + 1)) + ")"
-
-
 def probes(edits: int = EDITS) -> list[tuple[int, int, int]]:
     """(characters that the other line is shorter by, segment, move) of each substring to look up.
 
@@ -41,15 +46,27 @@ def probes(edits: int = EDITS) -> list[tuple[int, int, int]]:
     return [(less, k, move) for less in range(edits + 1) for k in range(edits + 1) for move in range(max(-k, less - (edits - k)), min(k, less + edits - k) + 1)]
 
 
-def probe_keys(edits: int = EDITS, min_chars: int = MIN_CHARS) -> str:
-    """SQL: array of structs, the key of each substring that can be a segment of a line as long or shorter, and whether it is shorter."""
-    items = []
-    for less, k, move in probes(edits):
-        n = f"(n - {less})"
-        begin, length = _segment(n, str(k), edits + 1)
-        key = _key(f"{begin} + {move}", length, str(k), n)
-        items.append(f"named_struct('key', {f'if(n - {less} >= {min_chars}, {key}, null)' if less else key}, 'shorter', {min(less, 1)})")
-    return f"array({', '.join(items)})"
+OWN = -1
+
+
+def slots(edits: int = EDITS) -> list[tuple[int, str]]:
+    """(characters shorter, SQL of a key) of all that a line is indexed by (``OWN``) or looks up; null where its length allows none.
+
+    The places of a slot are those of the shorter line's edits: at most ``edits`` + 1 segments of
+    the line itself, and of lines 0, 1, ... characters shorter what ``probes`` has.
+    """
+    out = []
+    for less in (OWN, *range(edits + 1)):
+        n = f"(n - {less})" if less > 0 else "n"
+        places = {e: [(k, 0) for k in range(e + 1)] if less == OWN else [(k, move) for of, k, move in probes(e) if of == less] for e in range(max(1, less), edits + 1)}
+        for at in range(max(map(len, places.values()))):
+            arms = []
+            for e in sorted(places, reverse=True):
+                k, move = places[e][at] if at < len(places[e]) else (0, 0)
+                begin, length = _segment(n, str(k), e + 1)
+                arms.append(f"when n >= {EACH * e + max(less, 0)} then {_key(f'{begin} + {move}', length, str(k), n) if at < len(places[e]) else 'null'}")
+            out.append((less, f"case {' '.join(arms)} end"))
+    return out
 
 
 def edit_distance(shorter: str, longer: str, edits: int = EDITS) -> str:
@@ -72,8 +89,8 @@ def edit_distance(shorter: str, longer: str, edits: int = EDITS) -> str:
     return f"aggregate({columns}, {start}, (s, x) -> aggregate(array({d0}), s, (t, d0) -> {step}), s -> s.d)"
 
 
-def within(a: str, b: str, edits: int = EDITS, glance: int = 32) -> str:
-    """SQL: whether the strings a and b, a not longer and by at most ``edits``, lie within ``edits`` edits.
+def within(a: str, b: str, edits: int = EDITS, most: str | None = None, glance: int = 32) -> str:
+    """SQL: whether the strings a and b, a not longer and by at most ``edits``, lie within ``most`` edits: SQL, ``edits`` at most, or ``edits``.
 
     First both beginnings and both ends are looked at: where their diagonal has gone beyond what
     the rest of the band can make up for, the pair is out.
@@ -81,7 +98,7 @@ def within(a: str, b: str, edits: int = EDITS, glance: int = 32) -> str:
     chars = lambda x: f"regexp_extract_all({x}, '(?s).', 0)"
     both = lambda x, y: f"transform(array(named_struct('a', {chars(x)}, 'b', {chars(y)})), p -> {edit_distance('p.a', 'p.b', edits)})[0]"
     out = lambda x, y: f"{both(f'left({x}, {glance})', f'left({y}, {glance})')} > {3 * edits}"
-    return f"case when {out(a, b)} then false when {out(f'reverse({a})', f'reverse({b})')} then false else {both(a, b)} <= {edits} end"
+    return f"case when {out(a, b)} then false when {out(f'reverse({a})', f'reverse({b})')} then false else {both(a, b)} <= {most or edits} end"
 
 
 #: The letters whose numbers are compared, about the commonest of Latin scripts.
@@ -106,76 +123,122 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return lines.withColumns({"n": F.length("line"), "h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit("second"), "line")})
 
 
-def likely_pairs(long: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(a, b) of h1 of different lines that share a segment and whose letter counts allow a link.
+def _keys(lines: DataFrame, edits: int) -> DataFrame:
+    """``lines`` (line, n, h2) with an array of keys in the order of ``slots``.
 
-    Keys are made where a line is read; equal lines then become one, so common lines are one row
-    in the join. What letter counts exclude is dropped within the join.
+    A function over an array, here of h2, keeps a projection out of one compiled method, for which all keys are too long.
     """
-    long = long.withColumn("chars", F.encode("line", "UTF-32"))
-    keyed = long.selectExpr("h1", "h2", f"{letter_counts()} as counts", f"{index_keys(edits)} as own", f"{probe_keys(edits, min_chars)} as others")
-    unique = keyed.groupBy("h1", "h2").agg(F.first(F.struct("counts", "own", "others")).alias("k"))
-    index = unique.select("h1", "k.counts", F.explode("k.own").alias("key"))
-    probes = unique.select(F.col("h1").alias("other"), F.col("k.counts").alias("other_counts"), F.inline("k.others").alias("other_key", "shorter")).where("other_key is not null")
-    probes = probes.selectExpr("other", "other_counts | shiftleft(cast(shorter as bigint), 62) as other_counts", "other_key")
-    # lines of equal length meet both ways: one is enough
-    likely = F.expr(f"key = other_key and (h1 < other or (h1 <> other and other_counts >= {1 << 62})) and bit_count((counts ^ other_counts) & {(1 << 62) - 1}) <= {2 * edits}")
-    return index.join(probes, likely).selectExpr("least(h1, other) as a", "greatest(h1, other) as b").distinct()
+    return lines.withColumn("chars", F.encode("line", "UTF-32")).withColumns({"h2": F.expr("transform(array(h2), x -> x)[0]"), "keys": F.expr(f"array({', '.join(key for _, key in slots(edits))})")}).drop("chars")
 
 
-NODE = "struct(at.doc_id as doc_id, at.line_no as line_no, h1, h2)"
+def shared_keys(lines: DataFrame, edits: int = EDITS) -> DataFrame:
+    """(h1, key, less) of lines that share the key with a different line, one of them as its own segment.
+
+    Keys are made where a line is read; equal lines then become one, so common lines are one row in
+    the join. A row leaves the join once, however many lines have its key.
+    """
+    of = [less for less, _ in slots(edits)]
+    long = _keys(lines.where(F.col("n") >= EACH).select("h1", "h2", "line", "n"), edits)
+    # numbers alone are aggregated without sorting
+    unique = long.select("h1", "h2", *[F.get("keys", F.lit(k)).alias(f"k{k}") for k in range(len(of))]).groupBy("h1", "h2").agg(*[F.max(f"k{k}").alias(f"k{k}") for k in range(len(of))])
+    rows = unique.select("h1", F.inline(F.array(*[F.struct(F.col(f"k{k}").alias("key"), F.lit(less).cast("tinyint").alias("less")) for k, less in enumerate(of)]))).where("key is not null")
+    met = lambda a, b: a.alias("a").join(b.alias("b"), F.expr("a.key = b.key and a.h1 <> b.h1"), "left_semi").distinct()
+    own = rows.where(F.col("less") == OWN)
+    probe = met(rows.where(F.col("less") != OWN), own)
+    return checkpointed(probe.unionByName(met(own, probe)))
 
 
-def edit_links(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(u, v) of different lines within ``edits`` edits, each a struct: the line's first place and its hashes.
+def _blocks(shared: DataFrame, most: int) -> DataFrame:
+    """(key, h1, less, a, b): the rows of each key dealt to pairs of blocks: own segments to block a, what looks them up to block b.
 
-    Texts are fetched for the lines of likely pairs only.
+    A block has about ``most`` lines, so the pairs of a group are bounded however common its key is.
     """
-    long = lines_of(docs).where(F.col("n") >= min_chars)
-    pairs = checkpointed(likely_pairs(long, edits, min_chars))
-    texts = long.join(listed(pairs.select(F.explode(F.array("a", "b")).alias("h1")).distinct()), "h1", "left_semi")
-    texts = texts.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("at"), F.first(F.struct("line", "n")).alias("l"))
-    texts = texts.selectExpr("h1 as h", f"{NODE} as node", "l.line as line", "l.n as n")
-    met = pairs.join(texts.toDF("a", "u", "line_u", "n_u"), "a").join(texts.toDF("b", "v", "line_v", "n_v"), "b")
-    near = within("if(n_u <= n_v, line_u, line_v)", "if(n_u <= n_v, line_v, line_u)", edits)
-    return met.where(f"abs(n_u - n_v) <= {edits}").where(near).select("u", "v")
+    own = F.col("less") == OWN
+    counts = shared.groupBy("key").agg(F.count(F.when(own, 1)).alias("own"), F.count(F.when(~own, 1)).alias("other"))
+    many = F.ceil(F.col("own") / most).cast("int").alias("n_a"), F.ceil(F.col("other") / most).cast("int").alias("n_b")
+    common = listed(counts.where((F.col("own") > most) | (F.col("other") > most)).select(F.col("key").alias("common"), *many))
+    rows = shared.join(common, shared["key"] == common["common"], "left").withColumns({"n_a": F.coalesce("n_a", F.lit(1)), "n_b": F.coalesce("n_b", F.lit(1))})
+    mine, all_ = lambda n: F.pmod(F.xxhash64("h1"), F.col(n)).cast("int"), lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    placed = rows.withColumns({"as": F.when(own, F.array(mine("n_a"))).otherwise(all_("n_a")), "bs": F.when(own, all_("n_b")).otherwise(F.array(mine("n_b")))})
+    return placed.select("key", "h1", "less", F.explode("as").alias("a"), "bs").select("key", "h1", "less", "a", F.explode("bs").alias("b"))
+
+
+def _links(own: DataFrame, probe: DataFrame, edits: int, apart: Column | None = None) -> DataFrame:
+    """(u, v, ...) ids of different lines within their edits, each pair once: at the first of the shorter one's segments where they meet."""
+    u, v = own.select(F.struct(*own.columns).alias("u")), probe.select(F.struct(*probe.columns).alias("v"))
+    meet = "u.key = v.key and u.a = v.a and u.b = v.b and u.id <> v.id"
+    # lines of equal length meet both ways: one is enough
+    likely = f"(v.less > 0 or u.id < v.id) and bit_count(u.counts ^ v.counts) <= 2 * {allowed('u.n', edits)} and not arrays_overlap(filter(slice(u.keys, 1, u.at), x -> x is not null), filter(v.keys, x -> x is not null))"
+    met = u.join(v, F.expr(meet) if apart is None else F.expr(meet) & apart)
+    return met.where(likely).where(within("u.line", "v.line", edits, allowed("u.n", edits)))
+
 
+def line_links(lines: DataFrame, edits: int = EDITS, block: int = 512) -> tuple[DataFrame, DataFrame]:
+    """(nodes: id, h1, h2, at; parts: id, part, n_links) of the different lines that links connect; part is the smallest id reachable.
 
-def near_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+    Texts are fetched for lines that share a key only. Links are counted as they are found, and the
+    lines hooked to their lowest partner; what is found once more is only the links between what
+    the hooks have connected.
+    """
+    shared = shared_keys(lines, edits)
+    found = lines.join(listed(shared.select("h1").distinct()), "h1", "left_semi")
+    texts = found.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("at"), F.first("line").alias("line"))
+    nodes = checkpointed(texts.withColumn("id", F.monotonically_increasing_id()))
+    ready = _keys(nodes.withColumn("n", F.length("line")), edits).select("h1", "id", "line", "n", F.expr(letter_counts()).alias("counts"), "keys")
+    placed = checkpointed(_blocks(shared, block).join(ready, "h1"))
+    own = placed.where(F.col("less") == OWN).withColumn("at", (F.array_position("keys", F.col("key")) - 1).cast("int"))
+    probe = placed.where(F.col("less") != OWN)
+    ends = _links(own, probe, edits).select(F.inline(F.expr("array(struct(u.id as id, v.id as other), struct(v.id as id, u.id as other))")))
+    hooked = checkpointed(ends.groupBy("id").agg(F.count("*").alias("n_links"), F.min("other").alias("low")))
+    first = checkpointed(connected_components(hooked.select(F.col("id").alias("u"), F.col("low").alias("v"))).toDF("id", "part"))
+    labelled = lambda side: side.join(first, "id")
+    apart = _links(labelled(own), labelled(probe), edits, F.expr("u.part <> v.part")).selectExpr("u.part as u", "v.part as v").distinct()
+    second = connected_components(apart).toDF("part", "whole")
+    parts = hooked.join(first, "id").join(second, "part", "left").select("id", F.coalesce("whole", "part").alias("part"), "n_links")
+    return nodes.select("id", "h1", "h2", "at"), parts
+
+
+def near_lines(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     """A row for each line: doc_id, line_no (from 0), class_doc_id, class_line_no, n_copies, n_links, kept.
 
-    Lines of ``min_chars`` characters or more are a class if edits of at most ``edits`` link them;
-    (class_doc_id, class_line_no) is the first line of the class, n_copies the rows with exactly
-    this line, n_links the different lines linked to it, and kept tells the class's first line.
-    Shorter lines are classes of their own. A null text has no rows, an empty one one empty line.
-    A null doc_id comes before all others; rows that repeat doc_id and text count as one document.
+    Different lines are linked that lie within one edit for each ten characters of the shorter, and
+    within ``edits`` at most; lines under ten characters are linked with nothing. Equal lines of any
+    length, and lines that links connect, are a class: (class_doc_id, class_line_no) is its first
+    line, n_copies the rows with exactly this line, n_links the different lines linked to it, and
+    kept tells the class's first line. A null text has no rows, an empty one one empty line, of
+    which there may be many copies. Texts and lines are read whole, however long. A null doc_id
+    comes before all others; rows that repeat doc_id and text are further copies of their lines.
+    No documents: no rows.
     """
-    lines = lines_of(docs).select("doc_id", "line_no", "n", "h1", "h2")
-    long = lines.where(F.col("n") >= min_chars)
-    links = checkpointed(edit_links(docs, edits, min_chars))
-    degrees = links.select("u").unionByName(links.select(F.col("v").alias("u"))).groupBy(F.col("u").alias("node")).agg(F.count("*").alias("n_links"))
-    info = degrees.join(connected_components(links), "node").select("node.h1", "node.h2", "n_links", F.struct("component.doc_id", "component.line_no").alias("class"))
-    copies = long.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("at"), F.count("*").alias("n_copies"))
-    known = copies.join(info, ["h1", "h2"], "left").select("h1", "h2", F.coalesce("class", "at").alias("class"), "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    lines = lines_of(docs)
+    nodes, parts = line_links(lines, edits)
+    placed = checkpointed(nodes.join(parts, "id"))
+    lowest = placed.groupBy("part").agg(F.min("at").alias("class"))
+    linked = placed.join(lowest, "part").select("h1", "h2", "class", "n_links")
+    lines = lines.select("doc_id", "line_no", "h1", "h2")
+    copies = lines.groupBy("h1", "h2").agg(F.count("*").alias("n_copies"), F.min(F.struct("doc_id", "line_no")).alias("at")).where("n_copies > 1")
+    known = copies.join(linked, ["h1", "h2"], "full").select("h1", "h2", F.coalesce("class", "at").alias("class"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     here = F.struct("doc_id", "line_no")
-    placed = long.join(known, ["h1", "h2"]).select("doc_id", "line_no", "class", "n_copies", "n_links")
-    short = lines.where(F.col("n") < min_chars).select("doc_id", "line_no", here.alias("class"), F.lit(1).cast("long").alias("n_copies"), F.lit(0).cast("long").alias("n_links"))
-    rows = placed.unionByName(short)
-    return rows.select("doc_id", "line_no", F.col("class.doc_id").alias("class_doc_id"), F.col("class.line_no").alias("class_line_no"), "n_copies", "n_links", (here == F.col("class")).alias("kept"))
+    rows = lines.join(known, ["h1", "h2"], "left").withColumn("class", F.coalesce("class", here))
+    return rows.select(
+        "doc_id", "line_no", F.col("class.doc_id").alias("class_doc_id"), F.col("class.line_no").alias("class_line_no"), F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"),
+        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), (here == F.col("class")).alias("kept"),
+    )
 
 
-def drop_repeated_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     """``docs`` without the lines that are not the first of their class; every row and column stays.
 
-    A text all of whose lines go is empty; a null text stays null. n_chars, where there is such a
-    column, is that of the new text. Texts that share a doc_id, or have none, are separate documents;
-    only rows that agree in both are one.
+    Blank lines part what is around them and say nothing themselves: they stay. A text all of whose
+    lines go is empty; a null text stays null. n_chars, where there is such a column, is that of the
+    new text. Texts that share a doc_id, or have none, are separate documents; only rows that agree
+    in both are one, and so keep their lines alike. No rows: no rows.
     """
     place = row_key()
     keyed = docs.select(place.alias("doc_id"), "text")
-    gone = near_lines(keyed, edits, min_chars).where("not kept").groupBy("doc_id").agg(F.collect_set("line_no").alias("gone")).withColumnRenamed("doc_id", "gone_id")
+    gone = near_lines(keyed, edits).where("not kept").groupBy("doc_id").agg(F.collect_set("line_no").alias("gone")).withColumnRenamed("doc_id", "gone_id")
     whole = docs.select(place.alias("id"), F.struct(*docs.columns).alias("row"))
     joined = whole.join(gone, whole["id"] == gone["gone_id"], "left")
-    text = F.expr("if(gone is null, row.text, array_join(filter(split(row.text, '\\n'), (x, i) -> not array_contains(gone, i)), '\\n'))")
+    text = F.expr("if(gone is null, row.text, array_join(filter(split(row.text, '\\n'), (x, i) -> x not rlike '\\\\S' or not array_contains(gone, i)), '\\n'))")
     new = {"text": text} | ({"n_chars": F.length(text).cast(dict(docs.dtypes)["n_chars"])} if "n_chars" in docs.columns else {})
     return joined.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])

@@ -92,16 +92,15 @@ REACHED = "reached as (select node, node as other from nodes union select r.node
 
 LINES_SQL = f"""
 with recursive lines as (select doc_id, unnest(string_split(text, chr(10))) as line, (generate_subscripts(string_split(text, chr(10)), 1) - 1)::integer as line_no from documents),
-different as (select line, min((doc_id, line_no)) as node, count(*) as n_copies, length(line) as n from lines where length(line) >= 20 group by line),
-links as (select a.node as u, b.node as v from different a join different b on a.node < b.node and b.n between a.n - 2 and a.n + 2 and levenshtein(a.line, b.line) <= 2),
+different as (select line, min((doc_id, line_no)) as node, count(*) as n_copies, length(line) as n, least(2, length(line) // 10) as edits from lines group by line),
+links as (select a.node as u, b.node as v from different a join different b on a.edits > 0 and b.n between a.n and a.n + a.edits and (b.n > a.n or a.node < b.node) and levenshtein(a.line, b.line) <= a.edits),
 nodes as (select u as node from links union select v from links),
 {REACHED},
 classes as (select node, min(other) as class from reached group by node),
 degrees as (select node, count(*) as n_links from (select u as node from links union all select v from links) group by node),
 known as (select d.line, coalesce(c.class, d.node) as class, d.n_copies, coalesce(g.n_links, 0) as n_links from different d left join classes c using (node) left join degrees g using (node))
-select l.doc_id, l.line_no, coalesce(k.class[1], l.doc_id) as class_doc_id, coalesce(k.class[2], l.line_no) as class_line_no, coalesce(k.n_copies, 1)::bigint as n_copies, coalesce(k.n_links, 0)::bigint as n_links,
-k.class is null or k.class = (l.doc_id, l.line_no) as kept
-from lines l left join known k using (line)
+select l.doc_id, l.line_no, k.class[1] as class_doc_id, k.class[2] as class_line_no, k.n_copies::bigint as n_copies, k.n_links::bigint as n_links, k.class = (l.doc_id, l.line_no) as kept
+from lines l join known k using (line)
 """
 
 _ESCAPED = "length({0}) + length({0}) - length(replace({0}, '\\', '')) + length({0}) - length(regexp_replace({0}, '#+', '#', 'g')) + (length({0}) - length(replace({0}, '</turn>', ''))) // 7"
