@@ -1,18 +1,22 @@
-"""Benchmark decontamination by a BM25 index of test items with block-max pruning.
+"""Benchmark decontamination by a BM25 inverted index of test items and block-max WAND.
 
 The items are the indexed side, and every passage of every document is a query: overlapping
 windows, so wide that any item lies whole in one. Impacts are scaled so that every item that could
-be verified scores 1 or more, and 1 is the threshold. A passage is dropped while the lists' maxima
-cannot reach the threshold; then item blocks while their block maxima cannot; the rest is scored
-in full, and what reaches the threshold is verified by overlap of question and answer.
+be verified scores 1 or more, and 1 is the threshold. A passage whose lists' maxima cannot reach it
+is dropped. For the others a cursor runs along the list of each of their words: the lists' maxima
+give the pivot, the first item that could reach the threshold, and the maxima of the blocks around
+it tell whether it is scored or its block skipped. What reaches the threshold is verified by overlap
+of question and answer.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast, by_size, frugal, listed, small_batches
+from .common import broadcast, by_size, frugal, small_batches
 
 WORDS = 5
 HITS = "doc_id long, item_id long, score double, overlap double, word long"
@@ -46,8 +50,11 @@ def runs(ids: list[int], n: int) -> set[tuple[int, ...]]:
     return {tuple(ids[k : k + n]) for k in range(len(ids) - n + 1)}
 
 
+END = 1 << 60
+
+
 class Index:
-    """Impacts of items, by term, and their maxima by list and by block of ``block`` neighbouring items."""
+    """Lists of (item's place, impact) by term, in order of places, with maxima by list and by block of ``block`` postings."""
 
     def __init__(self, items: list[tuple[int, str, str]], least: float = 0.8, block: int = 8, k1: float = 1.2, b: float = 0.75):
         self.block, self.least = block, least
@@ -64,7 +71,7 @@ class Index:
         self.longest = max(map(len, coded), default=1)
         df = Counter(t for q in coded for t in set(q))
         mean = sum(map(len, coded)) / max(1, len(coded))
-        self.postings: dict[int, dict[int, list[tuple[int, float]]]] = defaultdict(dict)
+        lists: dict[int, list[tuple[int, float]]] = defaultdict(list)
         self.top = np.zeros(len(self.terms) + 1)  # the last is that of words in no item
         for at, q in enumerate(coded):
             impact = {t: math.log(1 + (len(coded) - df[t] + 0.5) / (df[t] + 0.5)) * n * (k1 + 1) / (n + k1 * (1 - b + b * len(q) / mean)) for t, n in Counter(q).items()}
@@ -73,28 +80,56 @@ class Index:
             reachable = sum(sorted(impact.values())[: max(1, len(impact) - missing)])
             for t, x in impact.items():
                 share = x / reachable + 1e-12
-                self.postings[t].setdefault(at // block, []).append((at, share))
+                lists[t].append((at, share))
                 self.top[t] = max(self.top[t], share)
-        self.block_top = {t: [(k, max(x for _, x in v)) for k, v in blocks.items()] for t, blocks in self.postings.items()}
+        # of each list: places with an end beyond all, impacts, and of each block the last place and the maximum
+        self.lists = {t: ([*(at for at, _ in v), END], [x for _, x in v], *self._blocks(v)) for t, v in lists.items()}
+
+    def _blocks(self, postings: list[tuple[int, float]]) -> tuple[list[int], list[float]]:
+        parts = [postings[k : k + self.block] for k in range(0, len(postings), self.block)]
+        return [part[-1][0] for part in parts], [max(x for _, x in part) for part in parts]
 
     def search(self, query: list[int], threshold: float = 1.0) -> list[tuple[int, float]]:
         """(item's place, score) of all items that score ``threshold`` or more for a passage's distinct terms."""
-        bound: dict[int, float] = defaultdict(float)
-        for t in query:
-            for k, x in self.block_top.get(t, ()):
-                bound[k] += x
-        alive = [k for k, x in bound.items() if x >= threshold]
+        least = threshold - 1e-9
+        # a cursor is [place, position in the list, the list's maximum, places, impacts, last places of blocks, maxima of blocks]
+        cursors = [[self.lists[t][0][0], 0, float(self.top[t]), *self.lists[t]] for t in query if t in self.lists]
+        cursors.sort(key=itemgetter(0))
         found = []
-        for k in alive:
-            scores: dict[int, float] = defaultdict(float)
-            left = bound[k]
-            for t in sorted((t for t in query if k in self.postings.get(t, ())), key=lambda t: -self.top[t]):
-                for at, x in self.postings[t][k]:
-                    scores[at] += x
-                left -= max(x for _, x in self.postings[t][k])
-                if left + max(scores.values()) < threshold:
+        while cursors:
+            bound, pivot = 0.0, -1
+            for k, c in enumerate(cursors):
+                bound += c[2]
+                if bound >= least:
+                    pivot = k
                     break
-            found += [(at, s) for at, s in scores.items() if s >= threshold]
+            if pivot < 0:
+                break
+            at = cursors[pivot][0]
+            while pivot + 1 < len(cursors) and cursors[pivot + 1][0] == at:
+                pivot += 1
+            here, beyond = 0.0, cursors[pivot + 1][0] if pivot + 1 < len(cursors) else END
+            for c in cursors[: pivot + 1]:
+                k = bisect_left(c[5], at)
+                if k < len(c[5]):
+                    here += c[6][k]
+                    beyond = min(beyond, c[5][k] + 1)
+            if here >= least:
+                score = 0.0
+                for c in cursors[: pivot + 1]:
+                    c[1] = bisect_left(c[3], at, c[1])
+                    if c[3][c[1]] == at:
+                        score += c[4][c[1]]
+                        c[1] += 1
+                    c[0] = c[3][c[1]]
+                if score >= least:
+                    found.append((at, score))
+            else:  # no item before ``beyond`` can do it
+                for c in cursors[: pivot + 1]:
+                    c[1] = bisect_left(c[3], beyond, c[1])
+                    c[0] = c[3][c[1]]
+            cursors = [c for c in cursors if c[0] < END]
+            cursors.sort(key=itemgetter(0))
         return found
 
     def verified(self, passage: list[int], at: int) -> float:
@@ -113,78 +148,107 @@ def parts(text: str) -> tuple[str, str]:
     return text, sentences[-1] if len(sentences) > 1 else ""
 
 
-def _indexes(items: DataFrame, shard: int) -> Iterator[Index]:
-    """Indexes of at most ``shard`` items each, so that none outgrows a broadcast; null ids and texts are left out."""
+def _indexes(items: DataFrame, shard_bytes: int) -> Iterator[Index]:
+    """Indexes of about ``shard_bytes`` of items each, so that none outgrows a broadcast; null ids and texts are left out."""
     usable = items.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("item_id is not null and text is not null")
-    shards = max(1, math.ceil(usable.count() / shard))
+    shards = max(1, math.ceil((usable.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0) / shard_bytes))
     for k in range(shards):
         rows = usable.where(F.pmod(F.xxhash64("item_id"), F.lit(shards)) == k).toLocalIterator()
         yield Index([(i, *parts(t)) for i, t in rows])
 
 
+Hit = tuple[int, int, float, float, int]
+
+
+def _finder(index: Index) -> Callable[[pa.Array], Iterator[list[Hit]]]:
+    """A function that gives, for stretches of texts of 4 MB, the (row, item's place, score, overlap, word) of what they hold."""
+    step, none = max(64, index.longest), len(index.terms)
+
+    def place(word: str) -> int:
+        found = index.terms.get(word)
+        if found is None:
+            if not word or word.isalnum():
+                return none if word else -1
+            word = plain(word)
+            return index.terms.get(word, none) if word else -1
+        return found
+
+    def find(texts: pa.Array) -> Iterator[list[Hit]]:
+        for begin, rows in by_size(texts, 4 << 20):
+            words = pc.ascii_split_whitespace(pc.utf8_lower(texts.slice(begin, rows).fill_null("")))
+            coded = words.flatten().dictionary_encode()
+            term = np.fromiter(map(place, coded.dictionary.to_pylist()), np.int32, len(coded.dictionary))[coded.indices.to_numpy()]
+            offsets = words.offsets.to_numpy() - words.offsets[0].as_py()
+            marks = np.concatenate([[0], np.cumsum(term >= 0)])
+            ends, term = marks[offsets], term[term >= 0]
+            total = np.concatenate([[0.0], np.cumsum(index.top[term])])
+            out: dict[tuple[int, int], Hit] = {}
+            lengths = np.diff(ends)
+            windows = np.maximum(1, -(-lengths // step) - 1)  # each of two steps, the last to the end
+            doc = np.repeat(np.arange(rows), windows)
+            first = ends[doc] + (np.arange(len(doc)) - np.repeat(np.cumsum(windows) - windows, windows)) * step
+            last = np.minimum(first + 2 * step, ends[doc + 1])
+            for w in np.flatnonzero(total[last] - total[first] >= 1 - 1e-9).tolist():
+                passage = term[first[w] : last[w]].tolist()
+                for at, score in index.search([t for t in set(passage) if t != none]):
+                    overlap = index.verified(passage, at)
+                    key = (begin + int(doc[w]), at)
+                    if overlap and (key not in out or out[key][3] < overlap):
+                        out[key] = (*key, score, overlap, int(first[w] - ends[doc[w]]))
+            yield list(out.values())
+
+    return find
+
+
 def _scan(docs: DataFrame, index: Index) -> DataFrame:
     small_batches(docs.sparkSession)
     index_of = broadcast(docs.sparkSession, index)
-    step = max(64, index.longest)
 
     @frugal
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = index_of()
-        none = len(index.terms)
-
-        def place(word: str) -> int:
-            found = index.terms.get(word)
-            if found is None:
-                if not word or word.isalnum():
-                    return none if word else -1
-                word = plain(word)
-                return index.terms.get(word, none) if word else -1
-            return found
-
+        find, kinds = _finder(index), (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64())
         for batch in batches:
             doc_ids = batch.column(0).to_pylist()
-            for begin, rows in by_size(batch.column(1), 4 << 20):
-                words = pc.ascii_split_whitespace(pc.utf8_lower(batch.column(1).slice(begin, rows).fill_null("")))
-                coded = words.flatten().dictionary_encode()
-                term = np.fromiter(map(place, coded.dictionary.to_pylist()), np.int32, len(coded.dictionary))[coded.indices.to_numpy()]
-                offsets = words.offsets.to_numpy() - words.offsets[0].as_py()
-                marks = np.concatenate([[0], np.cumsum(term >= 0)])
-                ends, term = marks[offsets], term[term >= 0]
-                total = np.concatenate([[0.0], np.cumsum(index.top[term])])
-                out: dict[tuple[int, int], tuple] = {}
-                lengths = np.diff(ends)
-                windows = np.maximum(1, -(-lengths // step) - 1)  # each of two steps, the last to the end
-                doc = np.repeat(np.arange(rows), windows)
-                first = ends[doc] + (np.arange(len(doc)) - np.repeat(np.cumsum(windows) - windows, windows)) * step
-                last = np.minimum(first + 2 * step, ends[doc + 1])
-                for w in np.flatnonzero(total[last] - total[first] >= 1 - 1e-9).tolist():
-                    passage = term[first[w] : last[w]].tolist()
-                    for at, score in index.search([t for t in set(passage) if t != none]):
-                        overlap = index.verified(passage, at)
-                        key = (int(doc[w]), at)
-                        if overlap and (key not in out or out[key][3] < overlap):
-                            out[key] = (doc_ids[begin + key[0]], index.ids[at], score, overlap, int(first[w] - ends[doc[w]]))
-                kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out.values(), strict=True)) or [()] * 5, kinds, strict=True)], [x.split()[0] for x in HITS.split(", ")])
+            for found in find(batch.column(1)):
+                rows = [(doc_ids[row], index.ids[at], *rest) for row, at, *rest in found]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [()] * 5, kinds, strict=True)], [x.split()[0] for x in HITS.split(", ")])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(scan, HITS)
 
 
-def contaminated(docs: DataFrame, items: DataFrame, shard: int = 20_000) -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, shard_bytes: int = 16 << 20) -> DataFrame:
     """(doc_id, item_id, score, overlap, word) for every item that a document holds; no row for a clean document.
 
     An item is held if 0.8 of its five-word shingles (an item of fewer words: all its words in
     a row) and of its answer's words are in one passage, whatever the case and marks. word is where the best such
-    passage begins, in words. Null texts hold nothing; rows that share a doc_id give a row each.
-    Items may be any number: they are indexed in shards of ``shard``, one scan each.
+    passage begins, in words. Null and empty texts hold nothing, and a long one is searched whole, in
+    slices of windows; rows that share a doc_id, or have none, give a row each, as do items that share
+    an item_id. Items without an id or a text are left out. No documents or no items: no rows. Items
+    may be any number: they are indexed in shards of about ``shard_bytes`` of text, one scan each.
     """
-    found = [_scan(docs, index) for index in _indexes(items, shard)]
+    found = [_scan(docs, index) for index in _indexes(items, shard_bytes)]
     for more in found[1:]:
         found[0] = found[0].unionByName(more)
     return found[0]
 
 
-def keep_clean(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that hold no item. A row with a null doc_id goes if any such row holds one."""
-    held = listed(contaminated(docs, items).select(F.col("doc_id").alias("held_id")).distinct())
-    return docs.join(held, docs["doc_id"].eqNullSafe(held["held_id"]), "left_anti")
+def keep_clean(docs: DataFrame, items: DataFrame, shard_bytes: int = 16 << 20) -> DataFrame:
+    """The rows of ``docs``, all columns, whose own text holds no item, as ``contaminated`` tells it.
+
+    Each row is decided where it is read: whatever else has its doc_id, or none, plays no part.
+    """
+    small_batches(docs.sparkSession)
+    at = docs.columns.index("text")
+    for index in _indexes(items, shard_bytes):
+        index_of = broadcast(docs.sparkSession, index)
+
+        @frugal
+        def keep(batches: Iterator[pa.RecordBatch], index_of: Callable[[], Index] = index_of) -> Iterator[pa.RecordBatch]:
+            find = _finder(index_of())
+            for batch in batches:
+                held = {row for found in find(batch.column(at)) for row, *_ in found}
+                yield batch.filter(pa.array([row not in held for row in range(batch.num_rows)], pa.bool_()))
+
+        docs = docs.mapInArrow(keep, docs.schema)
+    return docs
