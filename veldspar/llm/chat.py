@@ -90,14 +90,17 @@ def canonical(record: object, known: dict[str, Mapping]) -> list[tuple[int, str,
 
 
 TURNS = "conv_id long, turn long, role string, text string, layout string"
+UNKNOWN = "unknown"
 
 
 def to_turns(records: DataFrame, layouts: tuple[Mapping, ...] = LAYOUTS) -> DataFrame:
     """Canonical turns of ``records`` (conv_id, record: JSON text): conv_id, turn, role, text, layout.
 
     layout is the record's fingerprint. A record that is null, no JSON object, or of an unknown
-    layout gives one row with a null role and text, and ``unknown`` in layout's place: nothing is
-    dropped in silence. A record without turns gives no row.
+    layout gives one row with a null role, its own text, and ``unknown`` in layout's place: that is
+    for ``rejected``, and is not formatted. A record without turns gives no row. Texts are read whole,
+    however long; records that repeat, or share a conv_id or have none, give their turns each. No
+    records: no rows.
     """
     small_batches(records.sparkSession)
 
@@ -113,7 +116,7 @@ def to_turns(records: DataFrame, layouts: tuple[Mapping, ...] = LAYOUTS) -> Data
                 except (ValueError, TypeError, KeyError):
                     turns = None
                 if turns is None:
-                    out.append((conv_id, 0, None, None, "unknown"))
+                    out.append((conv_id, 0, None, text, UNKNOWN))
                 else:
                     shape = fingerprint(field_paths(record))
                     out += [(conv_id, *turn, shape) for turn in turns]
@@ -123,6 +126,11 @@ def to_turns(records: DataFrame, layouts: tuple[Mapping, ...] = LAYOUTS) -> Data
     return records.select(F.col("conv_id").cast("long"), F.col("record").cast("string")).mapInArrow(convert, TURNS)
 
 
+def rejected(turns: DataFrame) -> DataFrame:
+    """(conv_id, record) of what ``to_turns`` could not read: a row for each such record."""
+    return turns.where(F.col("layout") == UNKNOWN).select("conv_id", F.col("text").alias("record"))
+
+
 # -- template -----------------------------------------------------------------------------------
 
 #: The marks around a turn: ``### role: text</turn>`` and a line feed.
@@ -190,9 +198,12 @@ def format_turns(turns: DataFrame, trained: str = "assistant", segment_chars: in
     Turns are in order of (turn, role, text), repeated rows included; null roles and texts are
     empty. A long conversation has several segments, each of whole turns and of about
     ``segment_chars`` at most, so that no row and no task's memory grows with a conversation. Rows
-    leave sorted by (conv_id, segment) in partitions that hold whole conversations.
+    leave sorted by (conv_id, segment) in partitions that hold whole conversations. Records of an
+    unknown layout are left to ``rejected``. No turns: no rows.
     """
     small_batches(turns.sparkSession)
+    if "layout" in turns.columns:
+        turns = turns.where(F.coalesce("layout", F.lit("")) != UNKNOWN)
 
     def segment(state: dict) -> list[tuple]:
         if not state.get("parts"):
