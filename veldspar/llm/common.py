@@ -26,11 +26,13 @@ _OWN: list[str] = []
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: the session's spark.checkpoint.dir.
 
-    Only a session without that setting (tests, one machine) gets a temporary folder.
+    Only a session on one machine gets a temporary folder without that setting; a cluster needs it.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _OWN:
         _OWN.append(tempfile.mkdtemp(prefix="veldspar-"))
         atexit.register(shutil.rmtree, _OWN[0], ignore_errors=True)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import as_bytes, broadcast, frugal, int_rows, listed, small_batches
-from .quality import held_out
+from .quality import first_texts, held_out
 
 LETTERS = 64
 GRAMS = LETTERS**3 + LETTERS**2 + LETTERS
@@ -104,8 +104,9 @@ def fit(rows: list[np.ndarray], langs: list[str], landmarks: int = 192, ridge: f
 def train_model(docs: DataFrame, most: int = 3000, each: int = 1000) -> Model | None:
     """Fit to at most ``most`` documents, at most ``each`` of a language: those of smallest hash of their id.
 
-    Held-out rows, null ids, texts or languages teach nothing. The driver gets the n-grams of that
-    bounded sample only.
+    Held-out rows, null ids, texts or languages teach nothing; an id with several languages counts
+    as its lowest, one with several texts as that of the lowest hash. Long texts are read whole. No
+    rows: None. The driver gets the n-grams of that bounded sample only.
     """
     small_batches(docs.sparkSession)
     known = docs.where("doc_id is not null and lang is not null and text is not null").where(~held_out(of=3, remainder=1))
@@ -126,8 +127,7 @@ def train_model(docs: DataFrame, most: int = 3000, each: int = 1000) -> Model |
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], ["order", "learned", "found"])
 
     rows = (
-        known.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"])
-        .select(F.xxhash64("doc_id").alias("order"), "learned", "text")
+        first_texts(known, ids).select(F.xxhash64("doc_id").alias("order"), "learned", "text")
         .mapInArrow(find, "order long, learned string, found binary").toArrow().sort_by("order")
     )
     return fit(int_rows(rows["found"]), rows["learned"].to_pylist())
@@ -136,7 +136,9 @@ def train_model(docs: DataFrame, most: int = 3000, each: int = 1000) -> Model |
 def identify(docs: DataFrame, model: Model | None, batch_rows: int = 128) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) of every row.
 
-    ``und`` and score 0 where the text is null or has no letter, or where nothing was learned.
+    ``und`` and score 0 where the text is null or has no letter, or where nothing was learned. Long
+    texts are read whole, rows that repeat answered each; of languages that tie the first by name is
+    given. Other columns are not read. No rows: no rows.
     """
     small_batches(docs.sparkSession)
     held = broadcast(docs.sparkSession, model)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, broadcast, frugal, int_rows, small_batches
+from .common import as_bytes, broadcast, checkpointed, frugal, int_rows, small_batches
 
 HALF = 18
 FEATURES = 2 << HALF
@@ -186,11 +186,20 @@ def held_out(doc_id: str = "doc_id", of: int = 4, remainder: int = 2):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % of == remainder, F.lit(False))
 
 
-def train_model(docs: DataFrame, labels: DataFrame, most: int = 4000) -> Model:
-    """Fit to at most ``most`` labelled documents, those of smallest hash of their id.
+def first_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``ids``, a bounded sample of doc_ids with what is known of them, with a text each: where several texts share an id, that of the lowest hash."""
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id")
+    least = F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("least")
+    return texts.groupBy(*ids.columns).agg(least).select(*ids.columns, F.col("least.text").alias("text"))
+
+
+def train_model(docs: DataFrame, labels: DataFrame, most: int = 4000, most_bytes: int = 512 << 20) -> Model:
+    """Fit to at most ``most`` labelled documents, those of smallest hash of their id, and to ``most_bytes`` of features.
 
     Rows whose label, id or document is null or missing teach nothing, nor do held-out rows; an id
-    with several labels counts as its lowest. Features are found on the executors; the driver
+    with several labels counts as its lowest, one with several texts as that of the lowest hash. A
+    null text teaches as an empty one, a long one by all its features (2 MB at most). Other columns
+    are not read. Without labels every score is 0.5. Features are found on the executors; the driver
     gets those of the bounded sample only.
     """
     small_batches(docs.sparkSession)
@@ -207,16 +216,22 @@ def train_model(docs: DataFrame, labels: DataFrame, most: int = 4000) -> Model:
             found = [indicators(t).tobytes() for t in as_bytes(batch.column(2))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], ["doc_id", "label", "found"])
 
-    rows = (
-        docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"])
-        .select(F.col("doc_id").cast("long"), F.col("label").cast("int"), "text")
-        .mapInArrow(find, "doc_id long, label int, found binary").toArrow().sort_by("doc_id")
-    )
+    texts = first_texts(docs, ids).select(F.col("doc_id").cast("long"), F.col("label").cast("int"), "text")
+    found = checkpointed(texts.mapInArrow(find, "doc_id long, label int, found binary"))
+    sizes = found.select("doc_id", F.octet_length("found").alias("n")).orderBy(F.xxhash64("doc_id"), "doc_id").collect()  # ``most`` rows at most
+    fits = np.cumsum([r.n for r in sizes]) <= most_bytes
+    if not all(fits):
+        found = found.where(F.col("doc_id").isin([r.doc_id for r, fit_ in zip(sizes, fits, strict=True) if fit_]))
+    rows = found.toArrow().sort_by("doc_id")
     return fit(int_rows(rows["found"]), rows["label"].to_pylist())
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
-    """(doc_id, held_out, score, predicted) of every row; a null text is scored as an empty one."""
+    """(doc_id, held_out, score, predicted) of every row of ``docs``.
+
+    A null text is scored as an empty one, a long one whole. Equal texts have equal scores whatever
+    their ids; rows that repeat are scored each, and a null doc_id is never held out. No rows: no rows.
+    """
     small_batches(docs.sparkSession)
     held = broadcast(docs.sparkSession, model)
 
@@ -231,7 +246,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
-    """The rows of ``docs``, all columns, whose text scores ``threshold`` or more."""
+    """The rows of ``docs``, all columns, whose text scores ``threshold`` or more; each row by its own text, as ``score`` has it."""
     small_batches(docs.sparkSession)
     held, at = broadcast(docs.sparkSession, model), docs.columns.index("text")
 
