@@ -27,6 +27,9 @@ that are one are taken; the others beside them stay.
 
 from __future__ import annotations
 
+import hashlib
+import hmac
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,7 +37,7 @@ MONTHS = "January|February|March|April|May|June|July|August|September|October|No
 
 #: How each kind is written; the first that matches holds, and no match lies within a longer word or number.
 PATTERNS = {
-    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}][\p{L}\p{N}._%+-]{0,63}+@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9-])",
+    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}][\p{L}\p{N}._%+-]*+@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9-])",
     "ip": r"(?<![\p{L}\p{N}.])(?:\d{1,3}\.){3}\d{1,3}(?!\.?[\p{L}\p{N}])",
     "phone": r"(?<![\p{L}\p{N}+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<![\p{L}\p{N}(])\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}(?!\d)|(?<![\p{L}\p{N}.-])(?:1[ .-])?\d{3}[.-]\d{3}[.-]\d{4}(?![\p{N}-])",
     "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,4})?)(?![\p{L}\p{N}])",
@@ -49,6 +52,11 @@ ROUNDS = 10
 WALK = 48
 
 
+def derived(key: str, kind: str) -> str:
+    """The key of one kind. Only such keys stand in a plan and what logs it, never ``key`` itself, which can't be had from them."""
+    return hmac.new(key.encode(), kind.encode(), hashlib.sha256).hexdigest()
+
+
 def _text(x: str) -> str:
     return "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
@@ -73,8 +81,8 @@ def feistel(key: str, kind: str, value: str, high: str, low: str) -> str:
 
 
 def walked(permuted: str, start: str, valid: str) -> str:
-    """SQL: ``permuted`` (of y) from ``start`` on, again until ``valid`` (of y) holds."""
-    return f"aggregate(sequence(1, {WALK}), named_struct('y', {start}, 'go', true), (w, i) -> if(w.go, {_let('y', _let('y', 'w.y', permuted), f'''named_struct('y', y, 'go', not ({valid}))''')}, w), w -> w.y)"
+    """SQL: ``permuted`` (of y) from ``start`` on, again until ``valid`` (of y) holds; an error after ``WALK`` steps in vain."""
+    return f"aggregate(sequence(1, {WALK}), named_struct('y', {start}, 'go', true), (w, i) -> if(w.go, {_let('y', _let('y', 'w.y', permuted), f'''named_struct('y', y, 'go', not ({valid}))''')}, w), w -> if(w.go, raise_error('no valid pseudonym was reached'), w.y))"
 
 
 def digits_permuted(key: str, kind: str, digits: str) -> str:
@@ -170,7 +178,8 @@ def _email(key: str) -> tuple[str, str]:
 def pseudonym(key: str) -> str:
     """SQL: struct (kind, new) of a matched string v; kind is null where it is not valid and stays."""
     arms = []
-    for kind, (valid, made) in {"email": _email(key), "ip": _ip(key), "phone": _phone(key), "iban": _iban(key), "date": _date(key), "ssn": _ssn(key), "card": _card(key)}.items():
+    for kind, make in {"email": _email, "ip": _ip, "phone": _phone, "iban": _iban, "date": _date, "ssn": _ssn, "card": _card}.items():
+        valid, made = make(derived(key, kind))
         whole = PATTERNS[kind] if kind in ("email", "iban", "ip") else {"phone": r"^\+|\(|^(?:1[ .-])?\d{3}[.-]\d{3}[.-]\d{4}$", "date": rf"^\d{{4}}([-/])\d{{2}}\1\d{{2}}$|^\d{{1,2}}([./])\d{{1,2}}\2\d{{4}}$|{MONTHS}", "ssn": r"^\d{3}-\d{2}-\d{4}$", "card": r"^[\d -]{13,}$"}[kind]
         arms.append(f"when v rlike {_text(whole)} then if(coalesce({valid}, false), named_struct('kind', '{kind}', 'new', {made}), named_struct('kind', cast(null as string), 'new', v))")
     return "case " + " ".join(arms) + " else named_struct('kind', cast(null as string), 'new', v) end"
@@ -180,7 +189,10 @@ def pseudonymised(docs: DataFrame, key: str) -> DataFrame:
     """``docs`` with pseudonyms in text, and the number of each kind found: n_card, n_iban, n_ssn, n_phone, n_ip, n_date, n_email.
 
     Other columns stay; any of these names among them is replaced. A null text stays null and has
-    none found. Whoever has ``key`` can undo the permutations, so it is to be kept as a secret.
+    none found, an empty one stays empty, a long one is read whole. Equal values get equal pseudonyms
+    in whatever row; rows that repeat stay. No rows: no rows. Whoever has ``key``, or the keys derived
+    from it that stand in the plan, can undo the permutations: both are to be kept as secrets. Hosts
+    of e-mail addresses stay in clear.
     """
     new = [f"n_{k}" for k in sorted(KINDS)]
     rest = [c for c in docs.columns if c not in new and c != "text"]
