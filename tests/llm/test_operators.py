@@ -237,7 +237,10 @@ def test_layouts(layout):
 
 def test_unknown_layouts(spark):
     rows = [(1, "{}"), (2, None), (3, "no json"), (4, '{"a": 1}'), (5, "[1]"), (6, '{"messages": []}'), (7, '{"messages": [{"role": "user"}]}'), (8, json.dumps({"instruction": "i", "input": "x", "output": "o"}))]
-    got = chat.to_turns(spark.createDataFrame(rows, "conv_id long, record string")).collect()
+    turns = chat.to_turns(spark.createDataFrame(rows, "conv_id long, record string"))
+    got = turns.collect()
+    assert {(r.conv_id, r.record) for r in chat.rejected(turns).collect()} == {r for r in rows if r[0] not in (6, 8)}
+    assert {r.conv_id for r in chat.format_turns(turns).collect()} == {8}
     assert {r.conv_id for r in got if r.layout == "unknown"} == {1, 2, 3, 4, 5, 7}
     assert [(r.role, r.text) for r in got if r.conv_id == 8] == [("user", "i"), ("user", "x"), ("assistant", "o")]
     assert not [r for r in got if r.conv_id == 6]
@@ -409,7 +412,7 @@ def test_contaminated(spark):
     docs += [(100, None), (101, ""), (102, "Three, ONLY words"), (103, " | ".join(items[3][1].split()))]
     frame = spark.createDataFrame(docs, "doc_id long, text string")
     tests = spark.createDataFrame([*items, (None, "x"), (92, None)], "item_id long, text string")
-    for shard in (7, 20_000):
+    for shard in (2000, 1 << 24):
         rows = [(x.doc_id, x.item_id) for x in decontam.contaminated(frame, tests, shard).collect()]
         assert len(rows) == len(set(rows)) and set(rows) == held_by_hand(docs, items)
     clean = decontam.keep_clean(frame, tests)
@@ -431,7 +434,7 @@ def test_short_items_within_documents(spark):
 
     frame = spark.createDataFrame(docs, "doc_id long, text string")
     tests = spark.createDataFrame(items, "item_id long, text string")
-    for shard in (7, 20_000):
+    for shard in (900, 1 << 24):
         got = sorted((x.doc_id, x.item_id) for x in decontam.contaminated(frame, tests, shard).collect())
         assert got == sorted((d, i) for d, t in docs for i, x in items if holds(t, x))
         assert (100, 90) in got
@@ -450,6 +453,30 @@ def test_no_item_is_below_the_threshold():
             assert at in {x for x, _ in index.search(list(set(passage)))}
 
 
+@pytest.mark.parametrize("block", [1, 3, 8])
+def test_wand_gives_all_above_the_threshold(block):
+    r = random.Random(12)
+    words = [f"w{k}" for k in range(60)]
+    index = decontam.Index([(k, " ".join(r.choices(words, k=r.randint(1, 30))), "") for k in range(80)], block=block)
+    for _ in range(300):
+        query = list({index.terms[w] for w in r.choices(words, k=r.randint(0, 40)) if w in index.terms})
+        scores = {}
+        for t in query:
+            places, impacts, *_ = index.lists[t]
+            for at, x in zip(places, impacts, strict=False):
+                scores[at] = scores.get(at, 0) + x
+        for threshold in (0.3, 0.7, 1.0):
+            got = index.search(query, threshold)
+            assert [a for a, _ in got] == sorted(a for a, x in scores.items() if x >= threshold - 1e-9)
+            assert all(abs(x - scores[a]) < 1e-9 for a, x in got)
+
+
+def test_clean_rows_stay_beside_others_of_their_id(spark):
+    items = spark.createDataFrame([(1, "who wrote the book about the harbour in the north? nobody knows it")], "item_id long, text string")
+    docs = spark.createDataFrame([(i, t) for i in (None, 7) for t in ("who wrote the book about the harbour in the north? nobody knows it", "a clean text", None)], "doc_id long, text string")
+    assert sorted(map(str, decontam.keep_clean(docs, items).collect())) == sorted(map(str, docs.where("text is null or text = 'a clean text'").collect()))
+
+
 def index_text(index, at):
     names = {v: k for k, v in index.terms.items()}
     chain = sorted(index.shingles[at])
