@@ -151,35 +151,64 @@ def _compare(sorted_rows: DataFrame) -> DataFrame:
     return sorted_rows.mapInArrow(compare, "u long, v long")
 
 
-def fingerprint_links(prints: DataFrame, crowded: int = 2048) -> DataFrame:
+def _parts(mask: int, number: int = 4) -> list[int]:
+    """The bits of ``mask`` in ``number`` parts of neighbours, as masks."""
+    bits = [b for b in range(64) if mask >> b & 1]
+    cuts = [k * len(bits) // number for k in range(number + 1)]
+    return [sum(1 << b for b in bits[i:j]) for i, j in zip(cuts, cuts[1:], strict=False)]
+
+
+def _dealt(crowd: DataFrame) -> DataFrame:
+    """(key, fp, left): each row of ``crowd`` four times, once for each part of the bits ``left``, which joins the key and leaves them."""
+
+    @frugal
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for batch in batches:
+            keys, fps, masks = (c.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) for c in batch.columns)
+            for mask in np.unique(masks).tolist():
+                rows = np.flatnonzero(masks == mask)
+                for part in _parts(mask):
+                    pairs = np.stack([keys[rows], fps[rows] & np.uint64(part)], 1)
+                    made = np.array([xxhash.xxh64_intdigest(p.tobytes(), part) for p in pairs], np.uint64)
+                    yield pa.RecordBatch.from_arrays([pa.array(made.view(np.int64)), pa.array(fps[rows].view(np.int64)), pa.array(np.full(len(rows), mask & ~part, np.uint64).view(np.int64))], ["key", "fp", "left"])
+
+    return crowd.select("key", "fp", "left").mapInArrow(deal, "key long, fp long, left long")
+
+
+def fingerprint_links(prints: DataFrame, crowded: int = 2048, levels: int = 2) -> DataFrame:
     """Links (u, v) that connect whatever distinct fingerprints (column fp) lie within 3 bits of each other.
 
     An anchor with more than ``crowded`` fingerprints is dealt out again, losing nothing: halves
-    that differ by at most 1 bit leave at most 3 to the other half, so one of its four bytes is
-    equal, and that byte joins the key. Still crowded keys are dealt out once more by one of four
-    6-bit parts of the other three bytes.
+    that differ by at most 1 bit leave at most 3 to the other half, so one of four parts of its bits
+    is equal, and that part joins the key. Four parts of the bits left do the same for keys that are
+    still crowded. Those crowded after all ``levels`` are of near copies, which no bits tell apart:
+    they are cut into blocks, and each pair of blocks is a key of its own. So no key has more than
+    about twice ``crowded``, and every pair of a key is compared.
     """
-    replicas = _replicas(prints)
-    counts = replicas.groupBy("anchor").count().where(F.col("count") > crowded).select("anchor")
-    hot = checkpointed(counts)
-    if hot.isEmpty():
-        return _compare(replicas.repartition("anchor").sortWithinPartitions("anchor", "fp").select(F.col("anchor").alias("key"), "fp"))
-    hot = hot.withColumn("hot", F.lit(True))
-    marked = replicas.join(hot, "anchor", "left")
-    cold = marked.where("hot is null").select(F.col("anchor").alias("key"), "fp")
-    other = F.when(F.col("anchor") < F.lit(1 << 32), F.shiftrightunsigned("fp", 32)).otherwise(F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)))
-    byte = lambda k: F.shiftrightunsigned(F.col("other"), 8 * k).bitwiseAND(F.lit(255))
-    rest = lambda k: F.concat(*[F.lpad(F.bin(byte(j)), 8, "0") for j in range(4) if j != k])
-    dealt = (
-        marked.where("hot").withColumn("other", other)
-        .select("anchor", "fp", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), byte(k).alias("b"), rest(k).alias("rest")) for k in range(4)])).alias("d"))
-        .select(F.xxhash64("anchor", "d.k", "d.b").alias("key"), "fp", "d.rest")
-    )
-    crowds = dealt.groupBy("key").count().where(F.col("count") > crowded).select("key", F.lit(True).alias("hot"))
-    dealt = dealt.join(crowds, "key", "left")
-    finer = dealt.where("hot").select(F.explode(F.array(*[F.xxhash64("key", F.lit(k), F.substring("rest", 6 * k + 1, 6)) for k in range(4)])).alias("key"), "fp")
-    rows = cold.unionByName(dealt.where("hot is null").select("key", "fp")).unionByName(finer)
-    return _compare(rows.repartition("key").sortWithinPartitions("key", "fp"))
+    low, high = (1 << 32) - 1, -(1 << 32)  # the bits of the half that the anchor is not about
+    rows = _replicas(prints).select(F.col("anchor").alias("key"), "fp", F.when(F.col("anchor") < F.lit(1 << 32), F.lit(high)).otherwise(F.lit(low)).cast("long").alias("left"))
+    found = None
+    for level in range(levels + 1):
+        hot = checkpointed(rows.groupBy("key").count().where(F.col("count") > crowded).select(F.col("key").alias("hot"), F.ceil(F.col("count") / crowded).cast("int").alias("blocks")))
+        if hot.isEmpty():
+            hot = None
+        calm = rows if hot is None else rows.join(hot, rows["key"] == hot["hot"], "left_anti")
+        links = _runs_compared(calm)
+        found = links if found is None else found.unionByName(links)
+        if hot is None:
+            return found
+        crowd = rows.join(hot, rows["key"] == hot["hot"])
+        if level < levels:
+            rows = checkpointed(_dealt(crowd))
+    own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
+    pairs = crowd.withColumn("own", own).select("key", "fp", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    return found.unionByName(_runs_compared(pairs.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "fp")))
+
+
+def _runs_compared(rows: DataFrame) -> DataFrame:
+    return _compare(rows.select("key", "fp").repartition("key").sortWithinPartitions("key", "fp"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -187,7 +216,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     component_id is the smallest doc_id that links reach, null only where all doc_ids of a
     component are. Equal fingerprints count as one in the search, so large groups of copies are
-    one row there. Rows that share a doc_id are separate texts. No rows: no rows.
+    one row there. Null, empty and blank texts have fingerprint zero and are linked like others; long
+    ones are read whole. Rows that share a doc_id are separate texts. No rows: no rows.
     """
     prints = checkpointed(fingerprints(docs))
     ids = _least_of_component(prints, F.col("doc_id")).withColumnRenamed("least", "component_id")
