@@ -1,9 +1,10 @@
 """WARC archives: a deterministic sharded writer, and a reader.
 
-Records are range-sorted by id. Each task rolls over to a further file once one has reached a
+Records are range-sorted by id: each shard is a range of ids of a fixed width, and a range with too
+many records is split further by digest. A shard rolls over to a further file once one has reached a
 compressed size. Headers and digests are made anew from the payload alone, so that the same
-records give the same bytes. A file is written under a temporary name and renamed when whole;
-the archive counts as written once its manifest is.
+records give the same files, whatever the session's partitions. A file is written under a temporary
+name and renamed when whole; the archive counts as written once its manifest is.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import frugal, small_batches
+from .common import frugal, listed, small_batches
 
 CRLF = b"\r\n"
 SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # a fixed value: the namespace of URLs
@@ -29,8 +30,9 @@ IDENTICAL = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MANIFEST = "file string, records long, bytes long, sha256 string"
 
 
-def record_id(page_id: int | None, copy: int = 0) -> str:
-    return f"<urn:uuid:{uuid.uuid5(SPACE, f'page {page_id} {copy}')}>"
+def record_id(page_id: int | None, sha1: str, copy: int = 0) -> str:
+    """Of the ``copy``-th record of a page with a payload of this SHA-1."""
+    return f"<urn:uuid:{uuid.uuid5(SPACE, f'page {page_id} {sha1} {copy}')}>"
 
 
 def _head(lines: list[tuple[str, str]], first: str) -> bytes:
@@ -39,17 +41,18 @@ def _head(lines: list[tuple[str, str]], first: str) -> bytes:
 
 def make_record(page_id: int | None, copy: int, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
     """A record: a response with its payload, or a revisit of the response of page ``refers_to``."""
-    digest = "sha1:" + base64.b32encode(hashlib.sha1(payload).digest()).decode()
+    sha1 = hashlib.sha1(payload)
+    digest = "sha1:" + base64.b32encode(sha1.digest()).decode()
     http = _head([("Content-Type", "text/html; charset=utf-8"), ("Content-Length", str(len(payload)))], "HTTP/1.1 200 OK")
     revisit = refers_to is not None
     block = http if revisit else http + payload
     address = "".join(c for c in (url or "") if c.isprintable()) or f"urn:page:{page_id}"
     lines = [
-        ("WARC-Type", "revisit" if revisit else "response"), ("WARC-Record-ID", record_id(page_id, copy)), ("WARC-Date", DATE), ("WARC-Target-URI", address),
+        ("WARC-Type", "revisit" if revisit else "response"), ("WARC-Record-ID", record_id(page_id, sha1.hexdigest(), copy)), ("WARC-Date", DATE), ("WARC-Target-URI", address),
         ("WARC-Payload-Digest", digest), ("WARC-Block-Digest", "sha1:" + base64.b32encode(hashlib.sha1(block).digest()).decode()), ("X-Page-ID", "" if page_id is None else str(page_id)),
     ]
     if revisit:
-        lines += [("WARC-Profile", IDENTICAL), ("WARC-Refers-To", record_id(refers_to)), ("X-Refers-To-Page-ID", str(refers_to))]
+        lines += [("WARC-Profile", IDENTICAL), ("WARC-Refers-To", record_id(refers_to, sha1.hexdigest())), ("X-Refers-To-Page-ID", str(refers_to))]
     lines += [("Content-Type", "application/http; msgtype=response"), ("Content-Length", str(len(block)))]
     return _head(lines, "WARC/1.1") + block + CRLF + CRLF
 
@@ -97,29 +100,47 @@ def _decisions(pages: DataFrame, least_bytes: int) -> DataFrame:
     return keys.join(shared, "digest").distinct()
 
 
-def write(pages: DataFrame, folder: str, roll_bytes: int = 64 << 20, least_bytes: int = 1000) -> DataFrame:
+def _shards(keyed: DataFrame, most: int) -> DataFrame:
+    """(page_id, digest, ..., shard, part): ranges of ids of equal width, as many as hold ``most`` records each on average.
+
+    A range with more than ``most`` records is split by digest into parts of about as many; null ids are a range of their own.
+    """
+    n, low, high = keyed.agg(F.count("page_id"), F.min("page_id"), F.max("page_id")).first()
+    ranges = max(1, -(-n // most))
+    width = max(1, -(-((high or 0) - (low or 0) + 1) // ranges))
+    shard = F.expr(f"coalesce(cast((cast(page_id as decimal(20)) - {low or 0}) div {width} as int), -1)")
+    dealt = keyed.withColumn("shard", shard)
+    crowded = listed(dealt.groupBy("shard").count().where(F.col("count") > most).select(F.col("shard").alias("crowded"), F.ceil(F.col("count") / most).alias("parts")))
+    joined = dealt.join(crowded, dealt["shard"] == crowded["crowded"], "left")
+    return joined.withColumn("part", F.pmod(F.xxhash64("digest"), F.coalesce("parts", F.lit(1))).cast("int")).drop("crowded", "parts")
+
+
+def write(pages: DataFrame, folder: str, roll_bytes: int = 64 << 20, least_bytes: int = 1000, shard_records: int = 10_000) -> DataFrame:
     """Writes ``pages`` (page_id, url, payload binary) as gzipped WARC files under ``folder``; returns the manifest.
 
-    Of records with equal payloads of ``least_bytes`` or more, that with the largest page_id is the
-    response and the others revisit it; where rows repeat that page_id, the first of them. Null
-    payloads are empty. ``folder`` is an URI of a file system that all executors reach. A repeated
-    task writes the same bytes to the same names, so it may be lost and run again. The manifest is
-    written last, as Parquet in ``folder``/manifest. An empty table gives no files.
+    Of records with equal payloads of ``least_bytes`` or more, exactly one is the response: one with
+    the largest page_id (a null one is the least), of several such rows the first by url. The others
+    revisit it, so each payload is stored, whatever ids repeat; smaller ones are all responses. Null
+    payloads are empty; long ones are held one at a time. ``folder`` is an URI of a file system that all
+    executors reach. A repeated task writes the same bytes to the same names, so it may be lost and
+    run again. The manifest is written last, as Parquet in ``folder``/manifest; then what lost
+    attempts left under temporary names is removed. An empty table gives no files.
     """
     small_batches(pages.sparkSession)
     keyed = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce("payload", F.lit(b"")).alias("payload"))
     keyed = keyed.withColumn("digest", F.concat(F.sha1("payload"), F.sha2("payload", 256)))
     decided = _decisions(keyed, least_bytes).select("page_id", "digest", F.lit(0).alias("kind"), "refers_to", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"))
     both = decided.unionByName(keyed.select("page_id", "digest", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("refers_to"), "url", "payload"))
-    ordered = both.repartitionByRange("page_id", "digest").sortWithinPartitions("page_id", "digest", "kind", "url")
+    placed = _shards(both, shard_records).select("shard", "part", "page_id", "digest", "kind", "refers_to", "url", "payload")
+    ordered = placed.repartition("shard", "part").sortWithinPartitions("shard", "part", "page_id", "digest", "kind", "url")
 
     @frugal
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, top = fs.FileSystem.from_uri(folder)
         context = TaskContext.get()
         names = ["file", "records", "bytes", "sha256"]
-        sink, at, records, size, sha, part = None, "", 0, 0, None, 0
-        page, copies, refers_to, decided_for = object(), 0, None, None
+        sink, at, records, size, sha = None, "", 0, 0, None
+        shard_at, rolled, same, copies, refers_to = None, 0, None, 0, None
 
         def close() -> pa.RecordBatch:
             sink.close()
@@ -127,19 +148,22 @@ def write(pages: DataFrame, folder: str, roll_bytes: int = 64 << 20, least_bytes
             return pa.RecordBatch.from_arrays([pa.array(x) for x in ([at], [records], [size], [sha.hexdigest()])], names)
 
         for batch in batches:
-            for page_id, digest, kind, target, url, payload in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for shard, part, page_id, digest, kind, target, url, payload in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (shard, part) != shard_at:
+                    if sink is not None:
+                        yield close()
+                    sink, shard_at, rolled, same = None, (shard, part), 0, None
+                if (page_id, digest) != same:
+                    same, copies, refers_to = (page_id, digest), 0, target
                 if kind == 0:
-                    decided_for, refers_to = (page_id, digest), target
                     continue
-                copies = copies + 1 if page == page_id else 0
-                page = page_id
-                points = refers_to if decided_for == (page_id, digest) else None
-                if points is not None and points == page_id and not copies:
-                    points = None
+                # the rows of the page referred to are all decided alike: the first of them is the response
+                points = None if refers_to == page_id and not copies else refers_to
                 data = compressed(make_record(page_id, copies, url, payload, points))
+                copies += 1
                 if sink is None:
-                    at, records, size, sha = f"part-{context.partitionId():06d}-{part:04d}.warc.gz", 0, 0, hashlib.sha256()
-                    part += 1
+                    at, records, size, sha = f"part-{shard + 1:06d}-{part:04d}-{rolled:04d}.warc.gz", 0, 0, hashlib.sha256()
+                    rolled += 1
                     sink = store.open_output_stream(f"{top}/.{at}.{context.taskAttemptId()}.tmp", compression=None)
                 sink.write(data)
                 sha.update(data)
@@ -153,6 +177,9 @@ def write(pages: DataFrame, folder: str, roll_bytes: int = 64 << 20, least_bytes
     fs_, top = fs.FileSystem.from_uri(folder)
     fs_.create_dir(top, recursive=True)
     ordered.mapInArrow(put, MANIFEST).write.parquet(f"{folder}/manifest")
+    for left in fs_.get_file_info(fs.FileSelector(top)):
+        if left.is_file and left.base_name.startswith(".part-") and left.base_name.endswith(".tmp"):
+            fs_.delete_file(left.path)
     return pages.sparkSession.read.schema(MANIFEST).parquet(f"{folder}/manifest")
 
 
