@@ -1,8 +1,9 @@
 """Embedding near-duplicates by a forest of random-projection trees.
 
 A tree halves its vectors again and again: each level has a random direction, each node a
-threshold, the median of a sample's projections. Vectors within a margin of the threshold spill to
-both sides. Vectors are compared within leaves, in double precision; a pair that meets in several
+threshold, the median of a sample's projections; nodes deeper than the sample can tell apart share
+their level's, its median. Vectors within a margin of the threshold spill to both sides. Trees grow
+deeper with the vectors, while the model does not grow. Vectors are compared within leaves, in double precision; a pair that meets in several
 leaves counts in the first of them only, so links are counted without ever listing all pairs.
 """
 
@@ -16,17 +17,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast, checkpointed, connected_components, frugal, small_batches
+from .common import broadcast, checkpointed, connected_components, frugal, listed, small_batches
 
 SAMPLE_BYTES = 32 << 20
+TREE = 56  # a leaf's number: below this bit its node, above it its tree
 
 
 @dataclass
 class Forest:
-    """Trees with one direction a level and one threshold a node; nodes are numbered as in a heap, from 1."""
+    """Trees with one direction a level and one threshold a node, or a level; nodes are numbered as in a heap, from 1."""
 
     directions: np.ndarray  # trees, depth, dimensions
-    thresholds: np.ndarray  # trees, nodes
+    thresholds: np.ndarray  # trees, nodes of the levels that the sample can tell apart
+    level_cuts: np.ndarray  # trees, depth
     margin: float
 
     @property
@@ -40,7 +43,7 @@ class Forest:
         """(row, leaf) for every leaf that a row reaches with all its projections, from ``low`` to ``high``, together."""
         rows, nodes = np.arange(len(low)), np.ones(len(low), np.int64)
         for level in range(self.depth):
-            cut = self.thresholds[tree][nodes]
+            cut = self.thresholds[tree][nodes] if 1 << level < self.thresholds.shape[1] else self.level_cuts[tree, level]
             left, right = high[rows, level] <= cut + self.margin, low[rows, level] >= cut - self.margin
             rows, nodes = np.concatenate([rows[left], rows[right]]), np.concatenate([2 * nodes[left], 2 * nodes[right] + 1])
         return rows, nodes
@@ -63,20 +66,23 @@ class Forest:
         return found
 
 
-def plant(sample: np.ndarray, depth: int, trees: int, margin: float, seed: int = 5) -> Forest:
-    """Trees fit to a sample of unit vectors; a node that no sampled vector reaches cuts at 0."""
+def plant(sample: np.ndarray, depth: int, trees: int, margin: float, known: int | None = None, seed: int = 5) -> Forest:
+    """Trees fit to a sample of unit vectors: thresholds by node for ``known`` levels (or all), by level below. A node that no sampled vector reaches cuts at 0."""
     rng = np.random.default_rng(seed)
+    known = depth if known is None else min(known, depth)
     d = rng.standard_normal((trees, max(depth, 0), sample.shape[1]))
     d /= np.linalg.norm(d, axis=2, keepdims=True)
-    cuts = np.zeros((trees, 1 << depth))
+    cuts, level_cuts = np.zeros((trees, 1 << known)), np.zeros((trees, depth))
     for t in range(trees):
         p, nodes = sample @ d[t].T, np.ones(len(sample), np.int64)
-        for level in range(depth):
+        if len(sample):
+            level_cuts[t] = np.median(p, axis=0)
+        for level in range(known):
             order = np.lexsort((p[:, level], nodes))
             groups, begins, counts = np.unique(nodes[order], return_index=True, return_counts=True)
             cuts[t, groups] = (p[order[begins + (counts - 1) // 2], level] + p[order[begins + counts // 2], level]) / 2
             nodes = 2 * nodes + (p[:, level] > cuts[t][nodes])
-    return Forest(d, cuts, margin)
+    return Forest(d, cuts, level_cuts, margin)
 
 
 def _units(vectors: list[bytes], kind: str, dims: int) -> np.ndarray:
@@ -148,13 +154,7 @@ def _compare_leaf(keys: np.ndarray, weights: np.ndarray, unit: np.ndarray, count
     return counts, spans
 
 
-def _block(keys: np.ndarray, blocks: int) -> np.ndarray:
-    """The block of a crowded leaf in which each key lies."""
-    mixed = keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return ((mixed >> np.uint64(32)) % np.uint64(blocks)).astype(np.int64)
-
-
-def near_duplicates(vectors: DataFrame, least: float = 0.95, trees: int = 6, leaf: int = 250, margin: float = 0.02, crowded: int = 20_000) -> DataFrame:
+def near_duplicates(vectors: DataFrame, least: float = 0.95, trees: int = 6, leaf: int = 250, margin: float = 0.02, crowded: int = 20_000, sample_bytes: int = SAMPLE_BYTES) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row of ``vectors`` (vec_id, embedding).
 
     Vectors that are null, empty, zero or hold null or non-finite components have no links and are
@@ -162,10 +162,11 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95, trees: int = 6, lea
     one, with their number as weight. A row whose vec_id is null takes no part: no links, a null
     component, not kept. Rows that share a vec_id are separate vectors. No rows: no rows.
 
-    The forest is fit to a sample of at most 32 MB, so its size is bounded too; every vector is
-    indexed. A leaf of at most ``crowded`` vectors is held by one task. A larger one is cut into blocks
-    of about a quarter of that, and each pair of blocks is a task's work of its own, so every pair of
-    a leaf is compared whatever its size; a vector is then sent once for each block of its leaf.
+    The forest is fit to a sample of at most ``sample_bytes``, so its size is bounded too; every vector
+    is indexed. Its depth grows with the vectors, ``leaf`` to a leaf on average. A leaf of at most
+    ``crowded`` vectors is held by one task. A larger one, a crowd of vectors too much alike, is cut
+    into blocks of about a quarter of that, and each pair of blocks is a task's work of its own, so
+    every pair of a leaf is compared whatever its size; a vector is then sent once for each block of its leaf.
     """
     small_batches(vectors.sparkSession)
     kind = "<f8" if "double" in dict(vectors.dtypes)["embedding"] else "<f4"
@@ -174,29 +175,23 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95, trees: int = 6, lea
     distinct = checkpointed(grouped.withColumn("key", F.monotonically_increasing_id()))
     n, longest = distinct.agg(F.count("*"), F.max(F.octet_length("vec"))).first()
     dims = max(1, (longest or 0) // int(kind[2]))
-    most = max(1, min(1 << 15, SAMPLE_BYTES // (8 * dims)))
+    most = max(1, min(1 << 15, sample_bytes // (8 * dims)))
     sample = distinct.orderBy(F.xxhash64("vec"), "key").limit(most).select("vec").toArrow()["vec"].to_pylist()
-    depth = int(max(0, min(np.ceil(np.log2(max(1, n / leaf))), np.log2(max(1, len(sample) / 16)))))
-    forest_of = broadcast(vectors.sparkSession, plant(_units(sample, kind, dims), depth, trees if depth else 1, margin))
+    depth = int(max(0, np.ceil(np.log2(max(1, n / leaf)))))
+    known = int(max(0, np.log2(max(1, len(sample) / 16))))
+    forest_of = broadcast(vectors.sparkSession, plant(_units(sample, kind, dims), depth, trees if depth else 1, margin, known))
 
     @frugal
-    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest = forest_of()
         for batch in batches:
             for begin in range(0, batch.num_rows, 2000):
-                unit, found = _units(batch.column(0).slice(begin, 2000).to_pylist(), kind, dims), []
+                part = batch.slice(begin, 2000)
+                unit = _units(part.column(1).to_pylist(), kind, dims)
                 for tree in range(len(forest.directions)):
                     p = forest.projections(unit, tree)
-                    found.append(forest.leaves(p, p, tree)[1] | (tree << 40))
-                leaves, n = np.unique(np.concatenate(found), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(leaves), pa.array(n)], ["leaf", "n"])
-
-    # at most trees * 2 ** depth leaves, which the sample bounds
-    crowds = distinct.select("vec").mapInArrow(tally, "leaf long, n long").groupBy("leaf").agg(F.sum("n").alias("n")).where(F.col("n") > crowded).collect() if n > crowded else []
-    blocks_of = {r.leaf: -(-r.n // max(1, crowded // 4)) for r in crowds}
-
-    def dealt_rows(part: pa.RecordBatch, leaves: np.ndarray, pairs: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(leaves), pa.array(pairs), *(c.take(pa.array(at)) for c in part.columns)], ["leaf", "pair", "key", "weight", "vec"])
+                    at, leaves = forest.leaves(p, p, tree)
+                    yield pa.RecordBatch.from_arrays([pa.array(leaves | (tree << TREE)), part.column(0).take(pa.array(at))], ["leaf", "key"])
 
     @frugal
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,14 +203,20 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95, trees: int = 6, lea
                 for tree in range(len(forest.directions)):
                     p = forest.projections(unit, tree)
                     at, leaves = forest.leaves(p, p, tree)
-                    leaves = leaves | (tree << 40)
-                    hot = np.isin(leaves, list(blocks_of)) if blocks_of else np.zeros(len(leaves), bool)
-                    yield dealt_rows(part, leaves[~hot], np.zeros((~hot).sum(), np.int64), at[~hot])
-                    for leaf_at in np.unique(leaves[hot]).tolist():
-                        n, rows = blocks_of[leaf_at], at[leaves == leaf_at]
-                        own = _block(part.column(0).to_numpy()[rows], n)
-                        for other in range(n):
-                            yield dealt_rows(part, np.full(len(rows), leaf_at), np.minimum(own, other) * n + np.maximum(own, other), rows)
+                    yield pa.RecordBatch.from_arrays([pa.array(leaves | (tree << TREE)), *(c.take(pa.array(at)) for c in part.columns)], ["leaf", "key", "weight", "vec"])
+
+    dealt = distinct.select("key", "weight", "vec").mapInArrow(deal, "leaf long, key long, weight long, vec binary").withColumn("n", F.lit(0)).withColumn("pair", F.lit(0))
+    if n > crowded:
+        counts = distinct.select("key", "vec").mapInArrow(reach, "leaf long, key long").groupBy("leaf").count().where(F.col("count") > crowded)
+        crowds = listed(counts.select(F.col("leaf").alias("crowd"), F.ceil(F.col("count") / max(1, crowded // 4)).cast("int").alias("blocks")))
+        own = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
+        met = dealt.drop("n", "pair").join(crowds, dealt["leaf"] == crowds["crowd"], "left").withColumns({"n": F.coalesce("blocks", F.lit(0)), "own": F.coalesce(own, F.lit(0))})
+        others = F.when(F.col("n") > 0, F.sequence(F.lit(0), F.col("n") - 1)).otherwise(F.array(F.lit(0)))
+        dealt = met.select("leaf", "key", "weight", "vec", "n", "own", F.explode(others).alias("other"))
+        dealt = dealt.withColumn("pair", F.least("own", "other") * F.col("n") + F.greatest("own", "other"))
+    else:
+        dealt = dealt.withColumn("own", F.lit(0))
+    dealt = dealt.select("leaf", "pair", "own", "n", "key", "weight", "vec")
 
     @frugal
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,13 +224,11 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95, trees: int = 6, lea
 
         def found() -> pa.RecordBatch:
             leaf_at, pair = group_at
-            keys, weights, vecs = (pa.chunked_array([b.column(c) for b in held]) for c in (2, 3, 4))
-            keys, weights, unit, split = keys.to_numpy(), weights.to_numpy(), _units(vecs.to_pylist(), kind, dims), None
-            if (n := blocks_of.get(leaf_at)) and pair // n != pair % n:
-                own = _block(keys, n)
-                order = np.argsort(own, kind="stable")
-                keys, weights, unit, split = keys[order], weights[order], unit[order], int((own == pair // n).sum())
-            first = lambda u, a, b: forest.first_meeting(u, a, b, leaf_at >> 40) == leaf_at & ((1 << 40) - 1)
+            own, blocks, keys, weights, vecs = (pa.chunked_array([b.column(c) for b in held]) for c in (2, 3, 4, 5, 6))
+            own, n, keys, weights, unit = own.to_numpy(), blocks[0].as_py(), keys.to_numpy(), weights.to_numpy(), _units(vecs.to_pylist(), kind, dims)
+            # rows are in order of their block: those of the lower one come first
+            split = int((own == pair // n).sum()) if n and pair // n != pair % n else None
+            first = lambda u, a, b: forest.first_meeting(u, a, b, leaf_at >> TREE) == leaf_at & ((1 << TREE) - 1)
             counts, spans = _compare_leaf(keys, weights, unit, first, least, split)
             some = np.flatnonzero(counts)
             u, v = keys[some].tolist() + [s[0] for s in spans], [None] * len(some) + [s[1] for s in spans]
@@ -249,8 +248,8 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95, trees: int = 6, lea
         if held:
             yield found()
 
-    dealt = distinct.select("key", "weight", "vec").mapInArrow(deal, "leaf long, pair long, key long, weight long, vec binary")
-    pairs = checkpointed(dealt.repartition("leaf", "pair").sortWithinPartitions("leaf", "pair", "key").mapInArrow(compare, "u long, v long, n long"))
+    ordered = dealt.repartition("leaf", "pair").sortWithinPartitions("leaf", "pair", "own", "key")
+    pairs = checkpointed(ordered.mapInArrow(compare, "u long, v long, n long"))
     counts = pairs.where("v is null").groupBy(F.col("u").alias("key")).agg(F.sum("n").alias("n"))
     parts = connected_components(pairs.where("v is not null").select("u", "v")).withColumnRenamed("node", "key")
     placed = distinct.join(counts, "key", "left").join(parts, "key", "left").withColumn("component", F.coalesce("component", "key"))
