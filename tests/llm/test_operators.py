@@ -370,6 +370,24 @@ def test_fingerprint_links(spark, crowded):
     assert components(len(prints), found) == components(len(prints), links)
 
 
+def test_crowds_of_near_copies(spark):
+    r = random.Random(6)
+    centre = r.getrandbits(64)
+    prints = sorted({centre ^ sum(1 << b for b in r.sample(range(64), 3)) for _ in range(400)})
+    signed = lambda p: p - (1 << 64) if p >> 63 else p
+    frame = spark.createDataFrame([(signed(p),) for p in prints], "fp long")
+    at = {signed(p): k for k, p in enumerate(prints)}
+    links = [(a, b) for a in range(len(prints)) for b in range(a) if (prints[a] ^ prints[b]).bit_count() <= 3]
+    found = [(at[x.u], at[x.v]) for x in simhash.fingerprint_links(frame, 20).collect()]
+    assert components(len(prints), found) == components(len(prints), links) and len(set(components(len(prints), links))) > 1
+
+
+def test_parts():
+    for mask in (0xFFFFFFFF, 0b1011, 1, 0):
+        parts = simhash._parts(mask)
+        assert sum(parts) == mask and len(parts) == 4
+
+
 def test_near_duplicates_odd(spark, odd):
     got = {(r.doc_id, r.fingerprint): r.component_id for r in simhash.near_duplicates(odd).collect()}
     zero = "0" * 16
@@ -515,18 +533,36 @@ def test_archive(spark, tmp_path):
     for r in manifest.collect():
         data = (tmp_path / "a" / r.file).read_bytes()
         assert len(data) == r.bytes and hashlib.sha256(data).hexdigest() == r.sha256
+    spark.conf.set("spark.sql.shuffle.partitions", 9)
     again, _ = archive(spark, tmp_path, rows, "b", roll_bytes=200)
+    spark.conf.set("spark.sql.shuffle.partitions", 4)
     assert sorted(again.collect()) == sorted(manifest.collect())
     assert not list((tmp_path / "a").glob(".*.tmp"))
 
 
+@pytest.mark.parametrize("most", [2, 10_000])
+def test_each_payload_is_stored_once(spark, tmp_path, most):
+    a, b = b"a" * 1200, b"b" * 1300
+    rows = [(9, "u", a), (9, "u", b), (5, "u", b), (9, "v", b), (9, "w", a), (None, "u", a), (None, "u", a), (None, "u", b"c" * 2000), (-(2**62), "u", b"d"), (2**62, "u", b"d")]
+    _, read = archive(spark, tmp_path, rows, shard_records=most)
+    sha = {hashlib.sha1(x).hexdigest(): x[:1].decode() for _, _, x in rows}
+    got = sorted((str(r.page_id), sha[r.payload_digest], r.record_type, r.refers_to) for r in read.collect())
+    assert [g[:2] for g in got] == sorted((str(i), x[:1].decode()) for i, _, x in rows)
+    assert sorted(g[1] for g in got if g[2] == "response") == ["a", "b", "c", "d", "d"]
+    assert all(g[3] == (9 if g[2] == "revisit" else None) for g in got)
+    heads = [warc.parse_record(data)[0] for f in (tmp_path / "a").glob("*.gz") for data in warc.members(f.open("rb"))]
+    responses = {h["WARC-Record-ID"]: h["WARC-Payload-Digest"] for h in heads if h["WARC-Type"] == "response"}
+    assert len({h["WARC-Record-ID"] for h in heads}) == len(rows)
+    assert all(responses[h["WARC-Refers-To"]] == h["WARC-Payload-Digest"] for h in heads if h["WARC-Type"] == "revisit")
+
+
 def test_damaged_archive(spark, tmp_path):
     with pytest.raises(ValueError, match="damaged"):
         warc.parse_record(warc.make_record(1, 0, "u", b"payload", None).replace(b"payload", b"paYload"))
     with pytest.raises(ValueError, match="within a record"):
         list(warc.members(__import__("io").BytesIO(warc.compressed(b"data" * 100)[:-9])))
     head = warc.parse_record(warc.make_record(3, 0, "u", b"p", 9))[0]
-    assert head["WARC-Refers-To"] == warc.record_id(9) and base64.b32decode(head["WARC-Payload-Digest"][5:]) == hashlib.sha1(b"p").digest()
+    assert head["WARC-Refers-To"] == warc.record_id(9, hashlib.sha1(b"p").hexdigest()) and base64.b32decode(head["WARC-Payload-Digest"][5:]) == hashlib.sha1(b"p").digest()
 
 
 def test_empty_archive(spark, tmp_path):
@@ -578,14 +614,15 @@ def test_crowded_leaves_are_compared_whole(spark):
     assert whole == cut
 
 
-def test_recall_on_the_table(spark):
+@pytest.mark.parametrize("sample", [embedding.SAMPLE_BYTES, 64 * 8 * 200])  # the smaller tells 3 levels apart, so most of the trees are beyond it
+def test_recall_on_the_table(spark, sample):
     d = "/root/testdata/sf0.1/embeddings.parquet"
     table = spark.read.parquet(d)
     rows = table.collect()
     x = np.array([r.embedding for r in rows], np.float64)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     exact = (x @ x.T >= 0.95).sum() - len(x)
-    found = embedding.near_duplicates(table).agg(F.sum("n_links")).first()[0]
+    found = embedding.near_duplicates(table, leaf=4 if sample < 1 << 20 else 250, sample_bytes=sample).agg(F.sum("n_links")).first()[0]
     assert exact >= found >= 0.9 * exact
 
 
