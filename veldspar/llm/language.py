@@ -19,17 +19,25 @@ from pyspark.sql import functions as F
 from .common import as_bytes, broadcast, frugal, int_rows, listed, small_batches
 from .quality import first_texts, held_out
 
-LETTERS = 64
-GRAMS = LETTERS**3 + LETTERS**2 + LETTERS
+#: Places for n-grams of one, two and three letters, each a table of its own: whole n-grams are hashed to them.
+PLACES = (1 << 14, 1 << 17, 1 << 20)
+FIRST = (0, PLACES[0], PLACES[0] + PLACES[1])
+GRAMS = sum(PLACES)
 BLOCK = 1 << 20
+MIX = np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D)
 
 
 def _letter(code: int) -> int:
-    """0 for what is no letter, 1 to 26 for a to z whatever the case, then one of 37 places for any other letter."""
+    """The lower-case letter, whatever its alphabet; 0 for what is none."""
     ch = chr(code).lower()[:1]
-    if not ch.isalpha():
-        return 0
-    return ord(ch) - 96 if "a" <= ch <= "z" else 27 + ord(ch) * 2654435761 % 2**32 % 37
+    return ord(ch) if ch.isalpha() else 0
+
+
+def place_of(gram: np.ndarray, n: int) -> np.ndarray:
+    """The place of each n-gram, columns of letters; one of three marks alone is no more than one mark."""
+    mixed = sum((gram[k] * MIX[k] for k in range(n)), np.uint32(n) * np.uint32(0x27D4EB2F))
+    mixed = (mixed ^ (mixed >> np.uint32(15))) * MIX[0]
+    return (mixed >> np.uint32(33 - PLACES[n - 1].bit_length())).astype(np.int64) + FIRST[n - 1]
 
 
 class Spectrum:
@@ -37,20 +45,19 @@ class Spectrum:
 
     def __init__(self) -> None:
         self.table = np.array([_letter(c) if not 0xD800 <= c < 0xE000 else 0 for c in range(1 << 16)], np.uint32)
-        self.seen = np.zeros(LETTERS**3, bool)
+        self.seen = np.zeros(GRAMS, bool)
 
     def __call__(self, text: str | None) -> np.ndarray:
         text = f" {text or ''} "
         for at in range(0, len(text), BLOCK):
             codes = np.frombuffer(text[at : at + BLOCK + 2].encode("utf-32-le", "replace"), np.uint32)
             c = self.table[codes & np.uint32(0xFFFF)] if codes.max(initial=0) >= 1 << 16 else self.table[codes]
-            if len(c) >= 3:
-                self.seen[c[:-2] * np.uint32(LETTERS**2) + c[1:-1] * np.uint32(LETTERS) + c[2:]] = True
-        three = np.flatnonzero(self.seen).astype(np.int32)
-        self.seen[three] = False
-        two = np.unique(np.concatenate([three // LETTERS, three % LETTERS**2]))
-        one = np.unique(np.concatenate([two // LETTERS, two % LETTERS]))
-        return np.concatenate([three, two + LETTERS**3, one + LETTERS**3 + LETTERS**2]).astype(np.int32)
+            for n in (1, 2, 3):
+                if len(c) >= n:
+                    self.seen[place_of(np.stack([c[k : len(c) - n + 1 + k] for k in range(n)]), n)] = True
+        found = np.flatnonzero(self.seen).astype(np.int32)
+        self.seen[found] = False
+        return found
 
 
 @dataclass
