@@ -29,9 +29,13 @@ class WordIds:
 
     `tokenizers` encodes each new word; one of Latin letters alone goes straight to the
     vocabulary's model, after the same lower-casing and byte alphabet. The words used last are
-    kept, twice ``most`` of them, so memory is bounded whatever the corpus holds.
+    kept, twice ``most`` of them, so memory is bounded whatever the corpus holds. Whether a
+    vocabulary's words are so is tried on sentences of several scripts: where any of their ids
+    differ, whole texts are given to the tokenizer instead.
     """
 
+    TRIAL = ("", " ", "Two Words, and don't.", "ÀÉß ÿ× Øre Straße naïve", "x1 12ab 3.5 a-b a.b,", "汉字 日本語。 😀", "tab\tline\nfeed  two", "<|endoftext|> [CLS] <s>a</s>")
+
     LATIN = frozenset("abcdefghijklmnopqrstuvwxyz" + "".join(chr(c) for c in range(0xDF, 0x100) if c != 0xF7))
 
     def __init__(self, path: str, most: int = 200_000):
@@ -44,6 +48,9 @@ class WordIds:
         plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         alphabet = {b: chr(b) if b in plain else chr(next(rest)) for b in range(256)}
         self.letters = {ord(c): "".join(alphabet[b] for b in c.encode()) for c in self.LATIN}
+        self.by_word = True
+        ids, begins = self.encode(pa.array(self.TRIAL))
+        self.by_word = all(ids[a:b].tolist() == e.ids for a, b, e in zip(begins, begins[1:], self.tokenizer.encode_batch(list(self.TRIAL), add_special_tokens=False), strict=False))
 
     def ids(self, word: str) -> bytes:
         found = self.fresh.get(word)
@@ -68,6 +75,9 @@ class WordIds:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All texts' ids in a row, and where each text's begin (with the end of the last)."""
         texts = texts.fill_null("")
+        if not self.by_word:
+            whole = [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32) for t in texts.to_pylist()]
+            return np.concatenate([np.zeros(0, np.uint32), *whole]), np.concatenate([[0], np.cumsum([len(x) for x in whole], dtype=np.int64)])
         marked = pc.match_substring(texts, "<|")  # special tokens are lower-case: others must stay as they are
         texts = pc.if_else(marked, texts, pc.ascii_lower(texts))
         words = pc.ascii_split_whitespace(texts)
@@ -154,7 +164,9 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1,
 
     Pieces are dealt at random (by a hash of where they came from) and packed in groups of at most
     ``group``, so a task holds one group, whatever the input. Nulls: a null text is empty, a null
-    doc_id stays null. An empty table gives no rows. Every document gives at least one piece.
+    doc_id stays null. Long texts are cut into as many pieces as they need; rows that repeat, or
+    share a doc_id, are documents of their own; pieces of equal length are placed in the order dealt.
+    Other columns are not read. An empty table gives no rows. Every document gives at least one piece.
     """
 
     @frugal
