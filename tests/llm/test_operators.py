@@ -90,6 +90,60 @@ def test_log_count_ratios():
     assert ratio[1] > ratio[2] and ratio[1] > ratio[3]
 
 
+def indicators_by_hand(text):
+    """Features as (kind, value): byte 1-4-grams; words and pairs; repeated pairs."""
+    b = text.encode()
+    words = b.lower().split()
+    same = sum(x == y for x, y in zip(words, words[1:], strict=False))
+    found = {b[k : k + n] for n in range(1, 5) for k in range(len(b) - n + 1)} | {("w", w) for w in words} | {("p", *p) for p in zip(words, words[1:], strict=False)}
+    return found | {("r", s) for s in quality.REPEATS if same > s * len(words)}
+
+
+def test_quality_by_hand():
+    """From texts to scores without the operator's own steps: the same sets, ratios and margin."""
+    texts = ["good clean words here", "good words, clean", "spam spam spam spam", "buy spam now now", "clean here"]
+    find = quality.Indicators()
+    rows, sets = [find(t.encode()) for t in texts], [indicators_by_hand(t) for t in texts]
+    assert [len(r) for r in rows] == [len(x) for x in sets]
+    assert all(len(set(rows[a].tolist()) & set(rows[b].tolist())) == len(sets[a] & sets[b]) for a in range(5) for b in range(5))
+    y = np.array([1, 1, -1, -1, 1])
+    ratio = quality.log_count_ratios(rows, y)
+    total = {s: quality.FEATURES + sum(len(x) for x, v in zip(sets, y, strict=True) if v == s) for s in (1, -1)}
+    for k, x in enumerate(sets):
+        have = lambda f, s: 1 + sum(f in z for z, v in zip(sets, y, strict=True) if v == s)
+        assert np.isclose(sum(np.log(have(f, 1) / total[1]) - np.log(have(f, -1) / total[-1]) for f in x), ratio[rows[k]].sum())
+    model = quality.fit(rows, [1, 1, 0, 0, 1])
+    values, floor = quality._scaled(rows, ratio, 0.25)
+    norms = np.sqrt([sum(ratio[r] ** 2) + floor for r in rows])
+    assert all(np.allclose(v, ratio[r] / n, atol=1e-5) for v, r, n in zip(values, rows, norms, strict=True))
+    weigh = np.where(y > 0, 5 / 6, 5 / 4)
+    w, bias = quality.dual_coordinate_descent(rows, values, y.astype(float), weigh)
+    for r, v in zip(rows, values, strict=True):
+        margin = w[r] @ v + bias
+        assert np.isclose(model.margin(r), margin, atol=1e-3)
+        assert np.isclose(model.score(r), 1 / (1 + np.exp(-(model.slope * margin + model.shift))), atol=1e-3)
+    # the optimum of the same problem by plain projected ascent on the dual
+    q = np.array([[sum(dict(zip(rows[a].tolist(), values[a].tolist(), strict=True)).get(f, 0) * x for f, x in zip(rows[b].tolist(), values[b].tolist(), strict=True)) + 1 for b in range(5)] for a in range(5)]) * np.outer(y, y)
+    alpha = np.zeros(5)
+    for _ in range(20_000):
+        alpha = np.clip(alpha + 0.05 * (1 - q @ alpha), 0, weigh)
+    fine, _ = quality.dual_coordinate_descent(rows, values, y.astype(float), weigh, epochs=500, tolerance=1e-6)
+    plain = np.zeros(quality.FEATURES)
+    for a in range(5):
+        plain[rows[a]] += alpha[a] * y[a] * values[a]
+    assert np.allclose(fine, plain, atol=1e-3)
+
+
+def test_models_do_not_depend_on_partitions(spark):
+    docs = spark.createDataFrame([(k % 20, f"text {k} of {'good' if k % 2 else 'bad'} words", "en" if k % 2 else "fr") for k in range(60)], "doc_id long, text string, lang string").withColumns({"learned": F.lit(1), "order": F.lit(1), "turn": F.lit(1), "label": F.lit(1)})
+    labels = spark.createDataFrame([(k, k % 2) for k in range(20)], "doc_id long, quality int")
+    a, b = (quality.train_model(docs.repartition(n, *c), labels) for n, c in ((1, ()), (5, ("text",))))
+    assert (a.weight == b.weight).all() and (a.slope, a.shift) == (b.slope, b.shift)
+    assert quality.train_model(docs, labels, most_bytes=2000).weight.any()
+    a, b = (language.train_model(docs.repartition(n, *c)) for n, c in ((1, ()), (5, ("text",))))
+    assert (a.weights == b.weights).all() and (a.place == b.place).all()
+
+
 def test_quality_held_out(spark):
     d = "/root/testdata/sf0.01"
     got = queries.op1_quality(spark, d)
@@ -285,6 +339,24 @@ def test_word_ids(texts):
             assert ids[begins[k] : begins[k + 1]].tolist() == e.ids
 
 
+@pytest.mark.parametrize("name", sorted(n.name for n in __import__("pathlib").Path(VOCABULARY).parent.glob("*.json")))
+def test_any_tokenizer(name):
+    try:
+        words = packing.WordIds(str(__import__("pathlib").Path(VOCABULARY).parent / name))
+    except Exception:  # noqa: BLE001
+        pytest.skip("no file of the tokenizers library")
+    ids, begins = words.encode(pa.array(TEXTS))
+    for k, e in enumerate(words.tokenizer.encode_batch(TEXTS, add_special_tokens=False)):
+        assert ids[begins[k] : begins[k + 1]].tolist() == e.ids
+
+
+def test_little_padding(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = packing.pack(docs, VOCABULARY)
+    filled, sequences = rows.agg(F.sum("length"), F.countDistinct("sequence_id")).first()
+    assert filled >= 0.97 * 2048 * sequences
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.integers(1, 16), max_size=40))
 def test_first_fit_decreasing(lengths):
@@ -682,6 +754,53 @@ def test_cards_beside_other_numbers(spark):
     assert got == [x.replace(card, new).replace(grouped, spaced) for x in rows]
 
 
+def digits_by_hand(key, kind, digits):
+    """The Feistel network in whole numbers: rounds 2, 4, ... add to the upper half, the others to the lower."""
+    n, low = len(digits), len(digits) // 2
+    a, b = int(digits[: n - low]), int(digits[n - low :])
+    mix = lambda r, half: int(hashlib.sha256(f"{key}|{kind}|{n}|{r}|{half}".encode()).hexdigest()[:15], 16)
+    for r in range(1, pii.ROUNDS + 1):
+        if r % 2 == 0:
+            a = (a + mix(r, b)) % 10 ** (n - low)
+        else:
+            b = (b + mix(r, a)) % 10**low
+    return f"{a:0{n - low}}{b:0{low}}"
+
+
+def test_pseudonyms_by_hand(spark):
+    r = random.Random(4)
+    key = {k: pii.derived("secret", k) for k in pii.KINDS}
+    cards, ssns, ibans = [], [], []
+    while len(cards) < 20:
+        c = "4" + "".join(r.choices("0123456789", k=15))
+        cards += [c] * luhn_ok(c)
+    while len(ssns) < 20:
+        x = "".join(r.choices("0123456789", k=9))
+        ssns += [x] * (x[:3] not in ("000", "666") and x[0] != "9" and x[3:5] != "00" and x[5:] != "0000")
+    for _ in range(20):
+        bare = "".join(r.choices("0123456789", k=18))
+        ibans.append(f"DE{98 - int(bare + '131400') % 97:02}{bare}")
+    expected = []
+    for c, x, i in zip(cards, ssns, ibans, strict=True):
+        body = c[0] + digits_by_hand(key["card"], "card", c[1:-1])
+        card = next(body + d for d in "0123456789" if luhn_ok(body + d))
+        while True:
+            x = digits_by_hand(key["ssn"], "ssn", x)
+            if x[:3] not in ("000", "666") and x[0] != "9" and x[3:5] != "00" and x[5:] != "0000":
+                break
+        bare = digits_by_hand(key["iban"], "iban", i[4:])
+        expected.append(f"{card}, {x[:3]}-{x[3:5]}-{x[5:]}, DE{98 - int(bare + '131400') % 97:02}{bare}")
+    rows = [(k, f"{c}, {x[:3]}-{x[3:5]}-{x[5:]}, {i}") for k, (c, x, i) in enumerate(zip(cards, ssns, ibans, strict=True))]
+    frame = pii.pseudonymised(spark.createDataFrame(rows, "doc_id long, text string"), "secret")
+    assert [x.text for x in frame.orderBy("doc_id").collect()] == expected
+    assert "'secret" not in frame._jdf.queryExecution().toString() and "secret|" not in frame._jdf.queryExecution().toString()
+
+
+def test_long_names_of_addresses(spark):
+    row = spark.createDataFrame([(1, f"{'a' * 200}@mail.example.com")], "doc_id long, text string")
+    assert pii.pseudonymised(row, "k").first().n_email == 1
+
+
 def test_permutations_are_one_to_one(spark):
     rows = spark.range(1000)
     two = rows.where("id < 100").select(F.expr(pii.digits_permuted("k", "card", "lpad(cast(id as string), 2, '0')")).alias("d"))
@@ -711,6 +830,38 @@ def test_spectrum_does_not_depend_on_blocks(monkeypatch):
     assert (language.Spectrum()(text) == whole).all() and len(whole) == len(set(whole.tolist()))
 
 
+def grams_by_hand(text):
+    letters = [c.lower()[:1] if c.lower()[:1].isalpha() else " " for c in f" {text} "]
+    return {tuple(letters[k : k + n]) for n in (1, 2, 3) for k in range(len(letters) - n + 1)}
+
+
+@pytest.mark.parametrize("texts", [["Мама мыла раму", "мама"], ["ΑΒΓ αβγδ", "αβ"], ["سلام دنیا", "سلام"], ["汉字 日本語", "日本"], ["The cat", "the CAT sat"]])
+def test_spectrum_by_hand(texts):
+    s = language.Spectrum()
+    a, b = (set(s(t).tolist()) for t in texts)
+    x, y = map(grams_by_hand, texts)
+    assert (len(a), len(b), len(a & b)) == (len(x), len(y), len(x & y))
+
+
+def test_kernel_ridge_by_hand():
+    """The score of each text from the regression's own equations, all rows landmarks: weights = K~ (K + ridge)^-1 y, languages weighed alike."""
+    s = language.Spectrum()
+    texts = ["the cat sat", "the dog ran", "a big house", "le chat noir", "le chien dort", "der hund bellt"]
+    langs = ["en", "en", "en", "fr", "fr", "de"]
+    rows = [s(t) for t in texts]
+    model = language.fit(rows, langs, landmarks=6, ridge=0.1)
+    grams = [grams_by_hand(t) for t in texts]
+    kernel = np.array([[len(a & b) / np.sqrt(len(a) * len(b)) for b in grams] for a in grams])
+    y = np.where(np.array(langs)[:, None] == np.array(["de", "en", "fr"]), 1.0, -1.0)
+    weigh = np.diag([6 / (3 * langs.count(x)) for x in langs])
+    # in the kernel's own space: minimise sum weigh (f - y)^2 + ridge |f|^2, so f = K a with a = (weigh K + ridge)^-1 weigh y
+    scores = kernel @ np.linalg.solve(weigh @ kernel + 0.1 * np.eye(6), weigh @ y)
+    assert np.allclose(model.kernel(rows) @ model.weights, scores, atol=2e-3)
+    share = np.exp(6 * scores) / np.exp(6 * scores).sum(1, keepdims=True)
+    best, got = model.predict(rows)
+    assert best.tolist() == scores.argmax(1).tolist() and np.allclose(got, share.max(1), atol=5e-3)
+
+
 def test_kernel_by_hand():
     s = language.Spectrum()
     texts = ["the cat", "the dog", "le chat noir", "le chien"]
