@@ -3,10 +3,11 @@
 The items are the indexed side, and every passage of every document is a query: overlapping
 windows, so wide that any item lies whole in one. Impacts are scaled so that every item that could
 be verified scores 1 or more, and 1 is the threshold. A passage whose lists' maxima cannot reach it
-is dropped. For the others a cursor runs along the list of each of their words: the lists' maxima
-give the pivot, the first item that could reach the threshold, and the maxima of the blocks around
-it tell whether it is scored or its block skipped. What reaches the threshold is verified by overlap
-of question and answer.
+is dropped, and so are ranges of items for which the lists' maxima there cannot. In those that are
+left a cursor runs along the list of each of the passage's words: the lists' maxima give the pivot,
+the first item that could reach the threshold, and the maxima of the blocks around it tell whether
+it is scored or its block skipped. What reaches the threshold is verified by overlap of question and
+answer.
 """
 
 from __future__ import annotations
@@ -51,10 +52,11 @@ def runs(ids: list[int], n: int) -> set[tuple[int, ...]]:
 
 
 END = 1 << 60
+RANGES = 64
 
 
 class Index:
-    """Lists of (item's place, impact) by term, in order of places, with maxima by list and by block of ``block`` postings."""
+    """Lists of (item's place, impact) by term, in order of places, with maxima by list, by range of items and by block of ``block`` postings."""
 
     def __init__(self, items: list[tuple[int, str, str]], least: float = 0.8, block: int = 8, k1: float = 1.2, b: float = 0.75):
         self.block, self.least = block, least
@@ -73,6 +75,8 @@ class Index:
         mean = sum(map(len, coded)) / max(1, len(coded))
         lists: dict[int, list[tuple[int, float]]] = defaultdict(list)
         self.top = np.zeros(len(self.terms) + 1)  # the last is that of words in no item
+        self.width = max(1, -(-len(coded) // RANGES))
+        self.range_top = np.zeros((len(self.terms) + 1, RANGES), np.float32)
         for at, q in enumerate(coded):
             impact = {t: math.log(1 + (len(coded) - df[t] + 0.5) / (df[t] + 0.5)) * n * (k1 + 1) / (n + k1 * (1 - b + b * len(q) / mean)) for t, n in Counter(q).items()}
             # 1 - least of the shingles can be missing, so at most as many words: those of most impact
@@ -82,6 +86,7 @@ class Index:
                 share = x / reachable + 1e-12
                 lists[t].append((at, share))
                 self.top[t] = max(self.top[t], share)
+                self.range_top[t, at // self.width] = max(self.range_top[t, at // self.width], share)
         # of each list: places with an end beyond all, impacts, and of each block the last place and the maximum
         self.lists = {t: ([*(at for at, _ in v), END], [x for _, x in v], *self._blocks(v)) for t, v in lists.items()}
 
@@ -92,8 +97,20 @@ class Index:
     def search(self, query: list[int], threshold: float = 1.0) -> list[tuple[int, float]]:
         """(item's place, score) of all items that score ``threshold`` or more for a passage's distinct terms."""
         least = threshold - 1e-9
-        # a cursor is [place, position in the list, the list's maximum, places, impacts, last places of blocks, maxima of blocks]
-        cursors = [[self.lists[t][0][0], 0, float(self.top[t]), *self.lists[t]] for t in query if t in self.lists]
+        if not query:
+            return []
+        bounds = self.range_top[query].sum(axis=0)
+        return [x for k in np.flatnonzero(bounds >= least - 1e-3).tolist() for x in self._wand(query, k, least)]
+
+    def _wand(self, query: list[int], part: int, least: float) -> list[tuple[int, float]]:
+        """(place, score) of the items of one range that score ``least`` or more."""
+        begin, end = part * self.width, (part + 1) * self.width
+        # a cursor is [place, position in the list, the list's maximum in the range, places, impacts, last places of blocks, maxima of blocks]
+        cursors, tops = [], self.range_top[query, part]
+        for k in np.flatnonzero(tops).tolist():
+            held = self.lists[query[k]]
+            at = bisect_left(held[0], begin)
+            cursors.append([held[0][at], at, float(tops[k]) + 1e-6, *held])
         cursors.sort(key=itemgetter(0))
         found = []
         while cursors:
@@ -128,7 +145,7 @@ class Index:
                 for c in cursors[: pivot + 1]:
                     c[1] = bisect_left(c[3], beyond, c[1])
                     c[0] = c[3][c[1]]
-            cursors = [c for c in cursors if c[0] < END]
+            cursors = [c for c in cursors if c[0] < end]
             cursors.sort(key=itemgetter(0))
         return found
 
