@@ -106,6 +106,24 @@ def test_top_k_ties_and_blocks(spark):
     assert retrieval.top_k(points, asked.limit(0), 2).count() == 0 and retrieval.top_k(points.limit(0), asked, 2).count() == 0
 
 
+def test_odd_vectors_lose_no_hits(spark):
+    rows = [(k, [1.0, float(k)]) for k in range(4)] + [(10, [1.0, 1.0, 1.0]), (11, [float("nan"), 1.0]), (12, [float("inf"), 1.0]), (13, [None, 1.0]), (14, []), (15, None), (16, [0.0, 0.0])]
+    points = spark.createDataFrame(rows, "id long, vector array<float>").withColumn("doc", F.lit(1)).coalesce(1)
+    asked = spark.createDataFrame([(1, [1.0, 0.0], 1), (2, [0.0, 1.0], 1), (3, [1.0, 1.0, 0.0], 1), (4, None, 1), (5, [float("nan"), 1.0], 1)], "question_id long, vector array<float>, doc int")
+    for scope in (None, "doc"):
+        got = {(r.question_id, r.rank): r.id for r in retrieval.top_k(points, asked, 3, scope=scope).collect()}
+        assert got == {(1, 1): 0, (1, 2): 1, (1, 3): 2, (2, 1): 3, (2, 2): 2, (2, 3): 1, (3, 1): 10}
+
+
+def test_questions_meet_their_document_only(spark):
+    points = spark.createDataFrame([(d, i, [1.0, float(d * i)]) for d in range(5) for i in range(6)], "doc_id long, id long, vector array<float>")
+    asked = spark.createDataFrame([(q, q % 5, [1.0, 2.0]) for q in range(10)], "question_id long, doc_id long, vector array<float>")
+    found = retrieval.top_k(points, asked, 2, scope="doc_id", ids=("doc_id", "id"))
+    assert {r.question_id % 5 == r.doc_id for r in found.collect()} == {True} and found.count() == 20
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan and "Join" in plan
+
+
 def test_no_cross_join_in_search(spark):
     points = spark.createDataFrame([(3, [1.0, 0.0])], "id long, vector array<float>")
     plan = retrieval.top_k(points, points.withColumnRenamed("id", "question_id"))._jdf.queryExecution().executedPlan().toString()
@@ -150,6 +168,43 @@ def test_streaming(spark, tmp_path):
     assert sorted(r.doc_id for r in s.points("c").collect()) == [1, 2, 10]
 
 
+def test_streams_add_to_what_is_there(spark, tmp_path):
+    docs = spark.createDataFrame([(2, "More text there, really.")], "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/in")
+    s = store.Store(spark, f"file://{tmp_path}/store")
+    s.create("c", 768)
+    assert s.points("c").count() == 0 and s.points("c").columns == ["doc_id", "id", "vector", "payload"]
+    s.upsert("c", service.ingest(docs.withColumn("doc_id", F.lit(1).cast("long"))))
+    streaming.follow(spark, f"{tmp_path}/in", "doc_id long, text string", s, "c", f"{tmp_path}/check").awaitTermination()
+    assert sorted(r.doc_id for r in s.points("c").collect()) == [1, 2]
+    names = s.versions("c")
+    s.write("c", docs.limit(0), names[1])  # a batch that is repeated
+    assert s.versions("c") == names and s.points("c").count() == 2
+
+
+def test_pdf_by_a_given_backend(spark):
+    def backend(content):
+        return content.decode(), [[["Plan", None, "Cost"], ["Gold", "yes", "5"], ["", "no", "None"], ["Gold", "yes", "5"]], [["one row"]]]
+
+    files_ = spark.createDataFrame([(1, b"Page one.\n\nPage two.", "pdf")], "doc_id long, content binary, format string")
+    parsed = parsers.parsed(files_, {"pdf": backend})
+    text = lambda **c: parsers.document_text(parsed, **c).first().doc_text
+    # three rows look like a header, so they are one; the last row is the body, cells filled from the left
+    assert text() == "Page one. Page two.; Plan Gold: Gold, yes no: yes, Cost 5 None: 5"
+    assert text(plain_pdf=True) == "Page one.\n\nPage two."
+
+
+def test_merged_rows_of_docx():
+    down = lambda t, how: f"<w:tc><w:tcPr><w:vMerge{how}/></w:tcPr>{para(t)}</w:tc>"
+    restart = ' w:val="restart"'
+    body = f"<w:tbl><w:tr>{cell('k')}{cell('v')}</w:tr><w:tr>{down('a', restart)}{cell('1')}</w:tr><w:tr>{down('', '')}{cell('2')}</w:tr></w:tbl>"
+    assert parsers.parse_docx(docx(body))[1] == [[["k", "v"], ["a", "1"], ["a", "2"]]]
+
+
+def test_pieces_of_a_cell_are_stripped():
+    assert html.parsed("<table><tr><td>a <b> b</b> </td></tr><tr><td> c</td></tr></table>")[1] == [[["ab"], ["c"]]]
+
+
 def test_auth(spark):
     row = spark.createDataFrame([("bearer", "t", ""), ("bearer", "x", "k"), (None, None, None)], "a string, b string, c string")
     ask = lambda **c: [r[0] for r in row.select(service.allowed(F.col("a"), F.col("b"), F.col("c"), PipelineConfig(auth_token="t", **c))).collect()]  # noqa: E731, S106

@@ -67,11 +67,11 @@ class Tree(HTMLParser):
 
 
 def parsed(html: str) -> tuple[str, list[list[list[str]]]]:
-    """(text, tables of at least two rows as grids of stripped cells)."""
+    """(text, tables of at least two rows as grids of cells: each piece of text in a cell is stripped, and they are joined)."""
     tree = Tree()
     tree.feed(html or "")
     tree.close()
-    grids = [[["".join(c).strip() for c in row] for row in table] for table in tree.tables]
+    grids = [[["".join(x.strip() for x in c) for c in row] for row in table] for table in tree.tables]
     return "".join(tree.parts), [g for g in grids if len(g) > 1]
 
 

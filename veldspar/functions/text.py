@@ -22,8 +22,3 @@ def squeeze(text: Column) -> Column:
 def blank(text: Column) -> Column:
     """Null, empty or white space alone."""
     return text.isNull() | ~text.rlike(f"[^\\s\\x1c-\\x1f\\x85\\p{{Z}}]")
-
-
-def tail(text: Column, n: int) -> Column:
-    """The last n characters; none for 0."""
-    return F.right(text, F.lit(n)) if n > 0 else F.lit("")

@@ -64,6 +64,10 @@ def extractive(question: Column, context: Column) -> Column:
     return F.coalesce(F.array_max(scored)["s"], context)
 
 
+#: A fixed value: what an answer says where a reply could not be read.
+UNREADABLE = "Error parsing model response: "
+
+
 def _read(content: str | None) -> dict:
     try:
         found = ast.literal_eval((content or "").strip())
@@ -72,7 +76,7 @@ def _read(content: str | None) -> dict:
         return {"answers": found, "ok": True}
     except Exception as e:  # noqa: BLE001  whatever a model replies
         told = re.sub(r" at 0x[0-9a-f]+", "", str(e))  # the same text whenever and wherever it is read
-        return {"answers": [f"Error parsing model response: {told}"], "ok": False}
+        return {"answers": [UNREADABLE + told], "ok": False}
 
 
 def read_answers(completion: Column | str) -> Column:

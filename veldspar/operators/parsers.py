@@ -7,7 +7,7 @@ import email.policy
 import io
 import xml.etree.ElementTree as ET
 import zipfile
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -47,7 +47,7 @@ def _said(node: ET.Element) -> str:
 
 
 def parse_docx(content: bytes) -> tuple[str, list[list[list[str]]]]:
-    """Body paragraphs that are not blank, a line each (P3, P9), and every table; merged cells repeat over the columns they span."""
+    """Body paragraphs that are not blank, a line each (P3, P9), and every table; merged cells repeat over the columns and rows they span."""
     with zipfile.ZipFile(io.BytesIO(content)) as archive:
         body = ET.fromstring(archive.read("word/document.xml")).find(f"{WORD}body")
     text = [t for p in body.findall(f"{WORD}p") if (t := _said(p)).strip()]
@@ -57,8 +57,10 @@ def parse_docx(content: bytes) -> tuple[str, list[list[list[str]]]]:
         for row in table.findall(f"{WORD}tr"):
             cells: list[str] = []
             for cell in row.findall(f"{WORD}tc"):
-                span = cell.find(f"{WORD}tcPr/{WORD}gridSpan")
+                span, merge = cell.find(f"{WORD}tcPr/{WORD}gridSpan"), cell.find(f"{WORD}tcPr/{WORD}vMerge")
                 said = "\n".join(_said(p) for p in cell.findall(f"{WORD}p")).strip()
+                if merge is not None and merge.get(f"{WORD}val", "continue") == "continue" and grid and len(cells) < len(grid[-1]):
+                    said = grid[-1][len(cells)]
                 cells += [said] * (int(span.get(f"{WORD}val")) if span is not None else 1)
             grid.append(cells)
         if not grid:
@@ -119,16 +121,15 @@ def parsed(files: DataFrame, parsers: dict[str, Parser] | None = None) -> DataFr
     return files.withColumn("_p", parse("content", "format")).select(*[c for c in files.columns if c != "content"], "_p.*")
 
 
-def document_text(parsed_docs: DataFrame, suppress_none: bool = True, terminator: str = "") -> DataFrame:
-    """``doc_text``: cleaned text with the table rows behind it. Only text is cleaned; a PDF's rows come once each."""
-    rows = lambda paged: F.flatten(F.transform("tables", lambda g: table_rows(g, paged, suppress_none)))
-    cleaned = clean(parsed_docs)
-    return cleaned.withColumn("doc_text", assembled(F.col("cleaned"), F.when(F.col("format") == "pdf", F.array_distinct(rows(True))).otherwise(rows(False)), terminator)).drop("cleaned", "tables", "text")
-
+def document_text(parsed_docs: DataFrame, suppress_none: bool = True, terminator: str = "", plain_pdf: bool = False) -> DataFrame:
+    """``doc_text``: cleaned text with the table rows behind it. Only text is cleaned; a PDF's rows come once each.
 
-def batches_of(parser: Parser) -> Callable[[Iterator], Iterator]:
-    """A parser as a function over batches, for tests without Spark."""
-    return lambda contents: (parser(c) for c in contents)
+    ``plain_pdf``: a PDF's text as its library gives it, neither cleaned nor with tables (P1).
+    """
+    rows = lambda paged: F.flatten(F.transform("tables", lambda g: table_rows(g, paged, suppress_none)))
+    cleaned, pdf = clean(parsed_docs), F.col("format") == "pdf"
+    whole = assembled(F.col("cleaned"), F.when(pdf, F.array_distinct(rows(True))).otherwise(rows(False)), terminator)
+    return cleaned.withColumn("doc_text", F.when(pdf, F.col("text")).otherwise(whole) if plain_pdf else whole).drop("cleaned", "tables", "text")
 
 
 def format_of(extension: Column, strict: bool = False) -> Column:

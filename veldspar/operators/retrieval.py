@@ -2,70 +2,107 @@
 
 from __future__ import annotations
 
-import math
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-NOTHING, NO_TEXT = "No relevant answers found.", "No text found."
+#: What is said where there is nothing.
+NOTHING, NO_TEXT, NO_RESULTS = "No relevant answers found.", "No text found.", "No relevant information found."
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    """Vectors as rows of doubles; a null vector, or one of another length than the most, is all zeros."""
-    rows = column.to_pylist()
-    width = max((len(r) for r in rows if r), default=1)
-    return np.array([r if r is not None and len(r) == width and None not in r else [0.0] * width for r in rows], np.float64).reshape(len(rows), width)
+def _units(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, unit vectors) of a list column: the rows whose vector has ``width`` finite components, not all of them zero."""
+    rows = np.flatnonzero(pc.fill_null(pc.equal(pc.list_value_length(column), width), False).to_numpy(zero_copy_only=False))
+    flat = column.take(pa.array(rows)).flatten().cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(len(rows), width)
+    norms = np.linalg.norm(flat, axis=1)
+    good = np.isfinite(norms) & (norms > 0)  # a null is not a number, and so is the norm
+    return rows[good], flat[good] / norms[good, None]
 
 
-def top_k(points: DataFrame, questions: DataFrame, k: int = 3, block: int = 2048, scope: str | None = None) -> DataFrame:
-    """(question_id, rank, score, id) of each question's k nearest points by cosine.
+def _best(scores: np.ndarray, ids: list[tuple], k: int) -> list[tuple]:
+    """The k best (-score, *id) of a row of scores, ties to the smaller id."""
+    least = np.partition(scores, -k)[-k] if len(scores) > k else -np.inf
+    return sorted((-scores[p], *ids[p]) for p in np.flatnonzero(scores >= least))[:k]
 
-    ``points``: id, vector; ``questions``: question_id, vector. Vectors of norm 0 are no hits. Ties
-    go to the smaller id. ``scope``: a column of both, on which point and question must agree.
-    Questions are the stated query set: they are sent in blocks of at most ``block``, each scored
-    against all points by matrix products; a task keeps the best k of each question.
+
+def top_k(points: DataFrame, questions: DataFrame, k: int = 3, block: int = 2048, scope: str | None = None, ids: tuple[str, ...] = ("id",), blocks: int = 8) -> DataFrame:
+    """(question_id, rank, score, and ``ids``) of each question's k nearest points by cosine.
+
+    ``points``: ``ids`` (whole numbers) and vector; ``questions``: question_id, vector. A point is a hit
+    if its vector is as long as the question's, finite and not zero; each is judged by itself. Ties go to
+    the smaller id. ``scope``: a column of both, on which point and question must agree: they are
+    joined on it, so a question meets no other points. Otherwise the questions are the stated query
+    set: ``blocks`` blocks of at most ``block`` go to the executors at a time, each scored against all
+    points by matrix products; a task keeps the best k of each question.
     """
-    n = max(1, math.ceil(questions.count() / block))
-    numbered = questions.withColumn("_block", F.pmod(F.xxhash64("question_id"), F.lit(n)))
-    found = None
-    for at in range(n):
-        asked = numbered.where(F.col("_block") == at).select("question_id", "vector", *([scope] if scope else [])).toArrow().combine_chunks()
+    kind = dict(questions.dtypes)["question_id"]
+    names, schema = ["question_id", "score", *ids], f"question_id {kind}, score double, {', '.join(f'{i} bigint' for i in ids)}"
+    found = _within(points, questions, scope, ids, schema) if scope else _among_all(points, questions, k, block, blocks, ids, names, schema)
+    rank = F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("score"), *ids))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("question_id", "rank", "score", *ids)
+
+
+def _within(points: DataFrame, questions: DataFrame, scope: str, ids: tuple[str, ...], schema: str) -> DataFrame:
+    """Scores of the pairs that agree on ``scope``: an equi-join, whose large keys are split as they come."""
+    asked = questions.select("question_id", F.col("vector").alias("asked"), F.col(scope).alias("_scope"))
+    there = points.select(*[F.col(i).alias(f"_{i}") for i in ids], "vector", F.col(scope).alias("_of"))
+    pairs = there.join(asked, F.col("_of") == F.col("_scope")).where(F.size("vector") == F.size("asked")).select("question_id", *[f"_{i}" for i in ids], "asked", "vector")
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1)
+            widths = pc.list_value_length(a).to_numpy(zero_copy_only=False)
+            for width in np.unique(widths).tolist():
+                place = np.flatnonzero(widths == width)
+                (i, x), (j, y) = (_units(c.take(pa.array(place)), int(width)) for c in (a, b))
+                both, at, to = np.intersect1d(i, j, return_indices=True)
+                scores = np.round(np.einsum("ij,ij->i", x[at], y[to]), 6)
+                rows = pa.array(place[both])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), pa.array(scores, pa.float64()), *(batch.column(c + 1).take(rows) for c in range(len(ids)))], ["question_id", "score", *ids])
+
+    return pairs.mapInArrow(score, schema)
+
+
+def _among_all(points: DataFrame, questions: DataFrame, k: int, block: int, blocks: int, ids: tuple[str, ...], names: list[str], schema: str) -> DataFrame:
+    spark, found = questions.sparkSession, None
+    n = max(1, -(-questions.count() // (block * blocks)))
+    numbered = questions.withColumn("_part", F.pmod(F.xxhash64("question_id"), F.lit(n)))
+    for part in range(n):
+        asked = numbered.where(F.col("_part") == part).select("question_id", "vector").toArrow().combine_chunks()
         if not asked.num_rows:
             continue
-        ids, wide = asked["question_id"].to_pylist(), _matrix(asked["vector"].combine_chunks())
-        wide = wide / np.maximum(np.linalg.norm(wide, axis=1, keepdims=True), 1e-300)
-        within = np.array(asked[scope].to_pylist()) if scope else None
-
-        def best(batches: Iterator[pa.RecordBatch], ids=ids, wide=wide, within=within) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
-            held: list[list[tuple[float, int]]] = [[] for _ in ids]
+        vectors, kind = asked["vector"].combine_chunks(), asked.schema.field("question_id").type
+        groups = []
+        for width in filter(None, pc.unique(pc.fill_null(pc.list_value_length(vectors), 0)).to_pylist()):
+            rows, wide = _units(vectors, width)
+            known = asked["question_id"].take(pa.array(rows)).to_pylist()
+            groups += [(width, known[at : at + block], wide[at : at + block]) for at in range(0, len(known), block)]
+        sent = spark.sparkContext.broadcast(pickle.dumps(groups))
+
+        def best(batches: Iterator[pa.RecordBatch], sent=sent, kind=kind) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
+            groups = pickle.loads(sent.value)  # noqa: S301  sent by this driver
+            held: list[list[list[tuple]]] = [[[] for _ in known] for _, known, _ in groups]
             for batch in batches:
-                point_ids = batch.column(0).to_pylist()
-                vectors = _matrix(batch.column(1))
-                norms = np.linalg.norm(vectors, axis=1)
-                if not len(point_ids) or vectors.shape[1] != wide.shape[1]:
-                    continue
-                scores = np.round(wide @ (vectors / np.maximum(norms, 1e-300)[:, None]).T, 6)
-                scores[:, norms == 0] = -np.inf
-                if within is not None:
-                    scores[within[:, None] != np.array(batch.column(2).to_pylist())[None, :]] = -np.inf
-                for q in range(len(ids)):
-                    least = np.partition(scores[q], -k)[-k] if len(point_ids) > k else -np.inf
-                    close = np.flatnonzero((scores[q] >= least) & (scores[q] > -np.inf))
-                    held[q] = sorted(held[q] + [(-scores[q, p], point_ids[p]) for p in close])[:k]
-            out = [(ids[q], -s, p) for q, rows in enumerate(held) for s, p in rows]
-            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in enumerate((asked_type, pa.float64(), pa.int64()))], ["question_id", "score", "id"])
-
-        asked_type = asked.schema.field("question_id").type
-        kind = dict(questions.dtypes)["question_id"]
-        part = points.select("id", "vector", *([scope] if scope else [])).mapInArrow(best, f"question_id {kind}, score double, id bigint")
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = questions.sparkSession.createDataFrame([], f"question_id {dict(questions.dtypes)['question_id']}, score double, id bigint")
-    rank = F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("score"), "id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("question_id", "rank", "score", "id")
+                point_ids = list(zip(*(batch.column(c).to_pylist() for c in range(len(ids))), strict=True))
+                units = {width: _units(batch.column(len(ids)), width) for width, _, _ in groups}
+                for (width, _, wide), kept in zip(groups, held, strict=True):
+                    rows, vectors = units[width]
+                    if len(rows):
+                        there = [point_ids[r] for r in rows.tolist()]
+                        scores = np.round(wide @ vectors.T, 6)
+                        for q in range(len(kept)):
+                            kept[q] = sorted(kept[q] + _best(scores[q], there, k))[:k]
+            out = [(q, -s, *point) for (_, known, _), kept in zip(groups, held, strict=True) for q, rows in zip(known, kept, strict=True) for s, *point in rows]
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in enumerate((kind, pa.float64(), *[pa.int64()] * len(ids)))], names)
+
+        hits = points.select(*[F.col(i).cast("bigint").alias(i) for i in ids], "vector").mapInArrow(best, schema)
+        found = hits if found is None else found.unionByName(hits)
+    return found if found is not None else spark.createDataFrame([], schema)
 
 
 def payload_text(payload: Column) -> Column:
@@ -87,4 +124,4 @@ def distinct_questions(questions: DataFrame) -> DataFrame:
 def formatted(results: Column) -> Column:
     """Each question's contexts as one text, or a sentence where there are no results."""
     said = F.transform(results, lambda r: F.to_json(r))
-    return F.when(F.size(results) > 0, said).otherwise(F.array(F.lit("No relevant information found.")))
+    return F.when(F.size(results) > 0, said).otherwise(F.array(F.lit(NO_RESULTS)))

@@ -3,16 +3,28 @@
 from __future__ import annotations
 
 import json
+import uuid
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..schemas import POINTS
+
 
 def latest(points: DataFrame, keys: tuple[str, ...] = ("collection", "id"), version: str = "version") -> DataFrame:
-    """One row a key, that of the highest version (V5); aggregated before the shuffle. Ties: the greatest row."""
+    """One row a key, that of the highest version (V5). Ties: the greatest row.
+
+    Which keys are there more than once is told by keys and versions alone; all other rows stay where
+    they are read. Only rows of those keys are aggregated whole, before their shuffle.
+    """
     rest = [c for c in points.columns if c not in keys]
+    again = points.select(*keys).groupBy(*keys).count().where("count > 1").select(*[F.col(k).alias(f"_{k}") for k in keys])
+    same = reduce(and_, [points[k].eqNullSafe(again[f"_{k}"]) for k in keys])
     top = F.max(F.struct(version, *[c for c in rest if c != version])).alias("top")
-    return points.groupBy(*keys).agg(top).select(*keys, *[F.col("top")[c].alias(c) for c in rest])
+    newest = points.join(again, same, "left_semi").groupBy(*keys).agg(top).select(*keys, *[F.col("top")[c].alias(c) for c in rest])
+    return points.join(again, same, "left_anti").select(*keys, *rest).unionByName(newest)
 
 
 def with_dimension(points: DataFrame, dimensions: int, vector: str = "vector") -> tuple[DataFrame, DataFrame]:
@@ -22,7 +34,12 @@ def with_dimension(points: DataFrame, dimensions: int, vector: str = "vector") -
 
 
 class Store:
-    """Named collections under a folder that all executors reach."""
+    """Named collections under a folder that all executors reach.
+
+    What is added lies in a folder of its own name below ``data``. A file below ``versions`` makes it
+    count: its name has its place in order and the folder's name. A writer first claims its number with
+    a file that is made only where there is none, so no two get the same.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -54,14 +71,31 @@ class Store:
     def about(self, name: str) -> dict:
         return json.loads(self.spark.read.text(f"{self.root}/{name}/about").first()[0])
 
-    def versions(self, name: str) -> int:
-        base = self._path(name)
-        return sum(1 for s in self._fs(name).listStatus(base) if s.getPath().getName().startswith("version="))
+    def versions(self, name: str) -> list[str]:
+        """Names of what was added, in order."""
+        base, fs = self._path(f"{name}/versions"), self._fs(name)
+        if not fs.exists(base):
+            return []
+        found = sorted(s.getPath().getName() for s in fs.listStatus(base))
+        return [number.split("=", 1)[1] for number in found]
+
+    def write(self, name: str, points: DataFrame, version: str) -> None:
+        """Adds points as a version of this name. Written again under a name that counts already, it changes nothing."""
+        if version in self.versions(name):
+            return
+        points.write.mode("overwrite").parquet(f"{self.root}/{name}/data/{version}")
+        fs = self._fs(name)
+        fs.mkdirs(self._path(f"{name}/claims"))
+        fs.mkdirs(self._path(f"{name}/versions"))
+        number = len(self.versions(name))
+        while not fs.createNewFile(self._path(f"{name}/claims/{number:012d}")):  # another writer's, or that of one that was lost
+            number += 1
+        fs.createNewFile(self._path(f"{name}/versions/{number:012d}={version}"))
 
     def upsert(self, name: str, points: DataFrame) -> DataFrame:
         """Adds points as a further version; one with the same key replaces older ones when read (V5). Returns those of a wrong dimension."""
         good, bad = with_dimension(points, self.about(name)["dimensions"])
-        good.write.parquet(f"{self.root}/{name}/version={self.versions(name)}")
+        self.write(name, good, uuid.uuid4().hex)
         return bad
 
     def replace_all(self, name: str, points: DataFrame, dimensions: int = 768) -> DataFrame:
@@ -70,7 +104,12 @@ class Store:
         return self.upsert(name, points)
 
     def points(self, name: str, keys: tuple[str, ...] = ("doc_id", "id")) -> DataFrame:
-        """The points that hold now."""
-        paths = [f"{self.root}/{name}/version={v}" for v in range(self.versions(name))]
-        rows = self.spark.read.option("basePath", f"{self.root}/{name}").parquet(*paths)
-        return latest(rows, keys).drop("version")
+        """The points that hold now; of a collection without any, no rows."""
+        names = self.versions(name)
+        if not names:
+            return self.spark.createDataFrame([], f"doc_id bigint, {POINTS}")
+        rows = self.spark.read.parquet(*[f"{self.root}/{name}/data/{v}" for v in names])
+        order = self.spark.createDataFrame(list(enumerate(names)), "version int, _folder string")
+        folder = F.element_at(F.split("_metadata.file_path", "/"), -2)
+        numbered = rows.withColumn("_at", folder).join(F.broadcast(order), F.col("_at") == F.col("_folder")).drop("_at", "_folder")
+        return latest(numbered, keys).drop("version")

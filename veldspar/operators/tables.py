@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -79,7 +77,3 @@ def assembled(text: Column, rows: Column, terminator: str = "") -> Column:
     """Text, then the rows, all joined by ``; `` (T7). No rows: the text alone."""
     said = F.transform(rows, lambda r: F.concat(r, F.lit(terminator)))
     return F.when(F.size(rows) > 0, F.concat(strip(text), F.lit("; "), F.array_join(said, "; "))).otherwise(strip(text))
-
-
-def all_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a & b, conditions)

@@ -30,7 +30,7 @@ def allowed(scheme: Column, token: Column, api_key: Column, config: PipelineConf
 
 def http_status(status: Column) -> Column:
     """The code that a status becomes."""
-    return F.when(status.isin("ok", "answer_count_mismatch"), 200).when(status == "not_found", 404).when(status.isin("unsupported", "parse_error", "backend_missing"), 404).when(status == "unauthorized", 401).otherwise(500)
+    return F.when(status.isin("ok", "answer_count_mismatch"), 200).when(status == "not_found", 404).when(status.isin("unsupported", "parse_error", "backend_missing"), 404).when(status == "too_large", 413).when(status == "unauthorized", 401).otherwise(500)
 
 
 def read_documents(spark: SparkSession, path: str, config: PipelineConfig | None = None) -> DataFrame:
@@ -82,9 +82,9 @@ def hits(points: DataFrame, questions: DataFrame, config: PipelineConfig | None
     config = config or PipelineConfig()
     scope = "doc_id" if config.scope == "document" else None
     asked = embedding.encoded(questions.select("question_id", "question", *([scope] if scope else [])), load, config.prefix, text="question")
-    keyed = points.select(F.xxhash64("doc_id", "id").alias("key"), "doc_id", "id", "vector", "payload")
-    found = retrieval.top_k(keyed.select(F.col("key").alias("id"), "vector", *([scope] if scope else [])), asked, config.top_k, scope=scope)
-    return found.withColumnRenamed("id", "key").join(keyed.drop("vector"), "key").select("question_id", "rank", "score", "doc_id", "id", retrieval.payload_text(F.col("payload")).alias("text"))
+    found = retrieval.top_k(points, asked, config.top_k, scope=scope, ids=("doc_id", "id"))
+    text = retrieval.payload_text(F.col("payload")).alias("text")
+    return found.join(points.select("doc_id", "id", text), ["doc_id", "id"]).select("question_id", "rank", "score", "doc_id", "id", "text")
 
 
 def answer(points: DataFrame, questions: DataFrame, config: PipelineConfig | None = None, load: object = embedding.hashed_embedder, generator: object = None) -> DataFrame:

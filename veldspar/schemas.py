@@ -12,4 +12,4 @@ PAYLOAD = "struct<text:string,source_file:string,chunk_index:int>"
 POINTS = f"id bigint, vector array<float>, payload {PAYLOAD}"
 HITS = "request_id string, q_pos int, rank int, score double, point_id bigint, text string"
 ANSWERS = "answers array<string>"
-STATUSES = ("ok", "not_found", "unsupported", "parse_error", "backend_missing", "no_chunks", "no_answers", "answer_count_mismatch")
+STATUSES = ("ok", "not_found", "too_large", "unsupported", "parse_error", "backend_missing", "no_chunks", "no_answers", "answer_count_mismatch")

@@ -26,9 +26,11 @@ def landed(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new name under the folder that driver and executors share (spark.checkpoint.dir); a temporary folder where none is set."""
+    """A new name under the folder that driver and executors share (spark.checkpoint.dir); a temporary folder where none is set on one machine."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         own = tempfile.mkdtemp(prefix="veldspar-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         top = f"file://{own}"
@@ -36,9 +38,11 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def spread(docs: DataFrame) -> DataFrame:
-    """``docs`` dealt to as many tasks as can run at once, where its files give fewer; large inputs stay as they are read."""
-    tasks = docs.sparkSession.sparkContext.defaultParallelism
-    return docs.repartition(tasks) if docs._jdf.rdd().getNumPartitions() < tasks else docs
+    """``docs`` dealt to as many tasks as can run at once, where its bytes, as planned, give fewer; large inputs stay as they are read."""
+    spark = docs.sparkSession
+    tasks = spark.sparkContext.defaultParallelism
+    planned = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return docs.repartition(tasks) if planned < tasks * (128 << 20) else docs
 
 
 def write_texts(docs: DataFrame, path: str) -> None:

@@ -16,10 +16,10 @@ FETCHED = "request_id string, document_url string, content binary, status string
 PIECE = 4096
 
 
-def fetch(url: str | None, timeout: float = 20.0, most: int = 1 << 30) -> tuple[bytes | None, str]:
+def fetch(url: str | None, timeout: float = 20.0, most: int | None = None) -> tuple[bytes | None, str]:
     """(content, status) of one GET: ok, or not_found for whatever is no answer with status 200 in time.
 
-    Only http and https are followed; more than ``most`` bytes are an error too.
+    Only http and https are followed. With ``most``, a document of more bytes is too_large.
     """
     if not url or not url.lower().startswith(("http://", "https://")):
         return None, "not_found"
@@ -32,8 +32,8 @@ def fetch(url: str | None, timeout: float = 20.0, most: int = 1 << 30) -> tuple[
             while piece := reply.read(PIECE):
                 parts.append(piece)
                 size += len(piece)
-                if size > most:
-                    return None, "not_found"
+                if most is not None and size > most:
+                    return None, "too_large"
             return b"".join(parts), "ok"
     except (OSError, ValueError):
         return None, "not_found"

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..config import PipelineConfig
@@ -14,18 +15,15 @@ from ..plans.service import ingest
 def follow(spark: SparkSession, documents: str, schema: str, store: Store, collection: str, checkpoint: str, config: PipelineConfig | None = None) -> StreamingQuery:
     """Points of each new Parquet file of ``documents`` go to ``collection``; stops when all that is there is done.
 
-    A batch is written under its own number, so one that is repeated after a failure replaces itself.
+    A batch is a version of its own, named after the checkpoint and its number: one that is repeated
+    after a failure counts once, and what the collection held before stays.
     """
     config = config or PipelineConfig()
     store.create(collection, config.dimensions)
+    run = uuid.uuid5(uuid.NAMESPACE_URL, checkpoint).hex
 
     def load(batch: DataFrame, number: int) -> None:
-        ingest(batch, config).write.mode("overwrite").parquet(f"{store.root}/{collection}/version={number}")
+        store.write(collection, ingest(batch, config), f"{run}-{number}")
 
     stream = spark.readStream.schema(schema).parquet(documents)
     return stream.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def chunk_counts(chunks: DataFrame, late: str = "10 minutes", window: str = "5 minutes") -> DataFrame:
-    """Chunks by window of ``arrived``, with a watermark for late rows."""
-    return chunks.withWatermark("arrived", late).groupBy(F.window("arrived", window)).agg(F.count("*").alias("n_chunks"))
