@@ -568,7 +568,7 @@ def s13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.read_points(spark, folder).select("id", "payload.text", "payload.source_file", F.size("vector").cast("bigint").alias("dimensions"))
 
 
-@query("s7_s8_landed_files", "select * from (values ('a.eml', 'ok', 'A letter, short.'), ('b.doc', 'parse_error', null), ('c.txt', 'unsupported', null), ('d.pdf', 'backend_missing', null)) t(file, status, text)")
+@query("s7_s8_landed_files", "select * from (values ('a.eml', 'ok', 'A letter, short.'), ('b.doc', 'parse_error', ''), ('c.txt', 'unsupported', ''), ('d.pdf', 'backend_missing', '')) t(file, status, text)")
 def s7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files of several formats, landed in the shared folder and read as documents."""
     from pyarrow import fs
