@@ -186,12 +186,12 @@ def t7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select(F.col("r_regionkey").cast("bigint").alias("region"), tables.assembled(F.col("r_name"), F.coalesce("rows", F.array().cast("array<string>"))).alias("text"))
 
 
-@query("t8_small_tables", "select p_size::bigint * 2 + (p_partkey % 3 = 0)::bigint as doc_id, case when count(*) > 1 then greatest(count(*) - 3, 0) else 0 end::bigint as n_paged, (count(*) - 1)::bigint as n_plain from part where p_partkey <= 60 group by 1")
+@query("t8_small_tables", "select case when p_partkey % 3 = 0 then p_partkey + 1000 else p_size end::bigint as doc_id, case when count(*) > 1 then greatest(count(*) - 3, 0) else 0 end::bigint as n_paged, (count(*) - 1)::bigint as n_plain from part group by 1")
 def t8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tables of one row and more: a page's table of one row has no rows, its header is of up to three."""
-    few = table(spark, sf_dir, "part").where("p_partkey <= 60")
-    key = (F.col("p_size").cast("bigint") * 2 + (F.col("p_partkey") % 3 == 0).cast("bigint")).alias("doc_id")
-    grid = few.groupBy(key).agg(F.transform(F.array_sort(F.collect_list("p_partkey")), lambda k: F.array(k.cast("string"), F.lit("x"))).alias("grid"))
+    key = F.when(F.col("p_partkey") % 3 == 0, F.col("p_partkey") + 1000).otherwise(F.col("p_size")).cast("bigint").alias("doc_id")
+    rows = F.transform(F.array_sort(F.collect_list("p_partkey")), lambda k: F.array(k.cast("string"), F.lit("x")))
+    grid = table(spark, sf_dir, "part").groupBy(key).agg(rows.alias("grid"))
     n = lambda paged: F.size(tables.table_rows(F.col("grid"), paged, False)).cast("bigint")
     return grid.select("doc_id", n(True).alias("n_paged"), n(False).alias("n_plain"))
 
@@ -493,18 +493,18 @@ def r8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ASKED = "list_distinct(list_filter(string_split_regex(lower({}), '[^a-z0-9]+'), lambda w: w <> ''))"
 BEST = (
-    f"select c.item_id, p.part, p.k, len(list_intersect({ASKED.format('p.part')}, {ASKED.format('c.question')})) as n from "
-    r"(select d.doc_id as item_id, d.text as context, b.text as question from documents d join benchmark b on b.item_id = d.doc_id) c, "
+    f"select c.doc_id, c.item_id, p.part, p.k, len(list_intersect({ASKED.format('p.part')}, {ASKED.format('c.question')})) as n from "
+    r"(select d.doc_id, b.item_id, d.text as context, b.text as question from documents d join benchmark b on b.item_id = d.doc_id % (select count(*) from benchmark)) c, "
     r"lateral (select unnest(q.parts) as part, generate_subscripts(q.parts, 1) as k from (select list_filter(list_transform(string_split(regexp_replace(c.context, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: trim(s)), lambda s: s <> '') as parts) q) p"
 )
 
 
-@query("r9_extractive_answer", f"select item_id, part as answer from ({BEST}) qualify row_number() over (partition by item_id order by n desc, k) = 1")
+@query("r9_extractive_answer", f"select doc_id, item_id, part as answer from ({BEST}) qualify row_number() over (partition by doc_id order by n desc, k) = 1")
 def r9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each item asked of the document of the same number."""
-    docs = documents(spark, sf_dir).withColumnRenamed("text", "context")
-    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), F.col("text").alias("question"))
-    return docs.join(asked, "doc_id").select(F.col("doc_id").alias("item_id"), answering.extractive(F.col("question"), F.col("context")).alias("answer"))
+    """Each document is asked one of the items, in turn."""
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("question"))
+    docs = documents(spark, sf_dir).withColumn("item_id", F.col("doc_id") % items.count())
+    return docs.join(items, "item_id").select("doc_id", "item_id", answering.extractive(F.col("question"), F.col("text")).alias("answer"))
 
 
 @query("r9_generated_answer", f"select item_id, md5({PROMPT}) || '|' || length({PROMPT})::varchar as answers, true as ok from benchmark")
