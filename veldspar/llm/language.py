@@ -33,11 +33,11 @@ def _letter(code: int) -> int:
     return ord(ch) if ch.isalpha() else 0
 
 
-def place_of(gram: np.ndarray, n: int) -> np.ndarray:
+def place_of(gram: list[np.ndarray], n: int) -> np.ndarray:
     """The place of each n-gram, columns of letters; one of three marks alone is no more than one mark."""
     mixed = sum((gram[k] * MIX[k] for k in range(n)), np.uint32(n) * np.uint32(0x27D4EB2F))
     mixed = (mixed ^ (mixed >> np.uint32(15))) * MIX[0]
-    return (mixed >> np.uint32(33 - PLACES[n - 1].bit_length())).astype(np.int64) + FIRST[n - 1]
+    return (mixed >> np.uint32(33 - PLACES[n - 1].bit_length())).astype(np.int32) + np.int32(FIRST[n - 1])
 
 
 class Spectrum:
@@ -45,19 +45,18 @@ class Spectrum:
 
     def __init__(self) -> None:
         self.table = np.array([_letter(c) if not 0xD800 <= c < 0xE000 else 0 for c in range(1 << 16)], np.uint32)
-        self.seen = np.zeros(GRAMS, bool)
+        self.last = np.zeros(GRAMS, np.int32)
 
     def __call__(self, text: str | None) -> np.ndarray:
-        text = f" {text or ''} "
+        text, found = f" {text or ''} ", []
         for at in range(0, len(text), BLOCK):
             codes = np.frombuffer(text[at : at + BLOCK + 2].encode("utf-32-le", "replace"), np.uint32)
             c = self.table[codes & np.uint32(0xFFFF)] if codes.max(initial=0) >= 1 << 16 else self.table[codes]
-            for n in (1, 2, 3):
-                if len(c) >= n:
-                    self.seen[place_of(np.stack([c[k : len(c) - n + 1 + k] for k in range(n)]), n)] = True
-        found = np.flatnonzero(self.seen).astype(np.int32)
-        self.seen[found] = False
-        return found
+            places = np.concatenate([place_of([c[k : len(c) - n + 1 + k] for k in range(n)], n) for n in (1, 2, 3) if len(c) >= n])
+            order = np.arange(len(places), dtype=np.int32)
+            self.last[places] = order  # one of equal places stays, without a look at all the others
+            found.append(places[self.last[places] == order])
+        return np.sort(found[0]) if len(found) == 1 else np.unique(np.concatenate(found))
 
 
 @dataclass
