@@ -1,23 +1,190 @@
 """The pipeline: each stage on what its predecessor kept, and planted cases."""
 
+import os
+import random
+import re
+import shutil
+import struct
+import zlib
+
 import corpus_pipeline
+import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
+import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from veldspar.llm import decontam, line_dedup, quality, simhash
 
+from .test_operators import VOCABULARY, components, edited, held_by_hand, simhash_by_hand
+
+# -- a second implementation, over lists of (doc_id, text) -----------------------------------------
+
+
+def scores_by_hand(docs, labels):
+    """{doc_id: score}: dense matrices, the dual's optimum on the Gram matrix, a sigmoid by search over its two numbers."""
+    find, place = quality.Indicators(), {}
+    sets = {d: [place.setdefault(f, len(place)) for f in find((t or "").encode()).tolist()] for d, t in docs}
+    x = np.zeros((len(docs), len(place)), np.float32)
+    for row, (d, _) in zip(x, docs, strict=True):
+        row[sets[d]] = 1
+    taught = sorted((d, q) for d, q in labels if d in sets and zlib.crc32(str(d).encode()) % 4 != 2)
+    at = {d: k for k, (d, _) in enumerate(docs)}
+    rows, y = np.array([at[d] for d, _ in taught]), np.array([1.0 if q else -1.0 for _, q in taught])
+    weigh = len(y) / (2 * np.where(y > 0, (y > 0).sum(), (y < 0).sum()))
+
+    def margins(part):
+        mine, sign, cost = x[rows[part]], y[part], weigh[part]
+        seen = [(1 + mine[sign == s].sum(0)) / (quality.FEATURES + mine[sign == s].sum()) for s in (1, -1)]
+        ratio = np.log(seen[0] / seen[1])
+        floor = 0.25 * np.median(mine @ ratio**2)
+        scaled = x * ratio / np.sqrt(x @ ratio**2 + floor)[:, None]
+        gram = (scaled[rows[part]] @ scaled[rows[part]].T + 1) * np.outer(sign, sign)
+        alpha = np.zeros(len(part))
+        for _ in range(300):
+            for k in range(len(part)):
+                alpha[k] = np.clip(alpha[k] + (1 - gram[k] @ alpha) / gram[k, k], 0, cost[k])
+        return scaled @ ((alpha * sign) @ scaled[rows[part]]) + (alpha * sign).sum()
+
+    fold, out = np.arange(len(y)) % 4, np.zeros(len(y))
+    for k in range(4):
+        out[fold == k] = margins(np.flatnonzero(fold != k))[rows[fold == k]]
+    good, bad = (y > 0).sum(), (y < 0).sum()
+    target = np.where(y > 0, (good + 1) / (good + 2), 1 / (bad + 2))
+    loss = lambda a, b: float(np.sum(np.logaddexp(0, a * out + b) - target * (a * out + b)))
+    best, width = (1.0, 0.0), 20.0
+    while width > 1e-5:
+        finer = min(((best[0] + width * i / 4, best[1] + width * j / 4) for i in range(-4, 5) for j in range(-4, 5)), key=lambda p: loss(*p))
+        width, best = (width * 0.7 if finer == best else width), finer
+    whole = margins(np.arange(len(y)))
+    return {d: 1 / (1 + np.exp(-(best[0] * whole[k] + best[1]))) for k, (d, _) in enumerate(docs)}
+
+
+def near(a, b, edits):
+    """Whether a and b are so many edits apart or fewer: what they begin with alike can stay."""
+    n = len(os.path.commonprefix([a, b]))
+    a, b = a[n:], b[n:]
+    if not a or not b:
+        return len(a) + len(b) <= edits
+    return edits > 0 and (near(a[1:], b[1:], edits - 1) or near(a[1:], b, edits - 1) or near(a, b[1:], edits - 1))
+
+
+def lines_kept_by_hand(docs):
+    """The texts without lines that are not the first of their class: all lines compared with all."""
+    occurs = {}
+    for d, t in docs:
+        for k, line in enumerate((t or "").split("\n") if t is not None else []):
+            occurs.setdefault(line, []).append((d, k))
+    lines = sorted(occurs, key=len)
+    size = np.array([len(x) for x in lines])
+    allowed = np.minimum(2, size // 10)
+    counts = np.zeros((len(lines), 64), np.int32)
+    for row, x in zip(counts, lines, strict=True):
+        np.add.at(row, [ord(c) % 64 for c in x], 1)
+    links = []
+    for a in range(len(lines)):
+        b = np.arange(a + 1, np.searchsorted(size, size[a] + allowed[a], "right"))
+        b = b[np.abs(counts[b] - counts[a]).sum(1) <= 2 * allowed[a]]  # an edit changes two of the counts at most
+        links += [(a, int(k)) for k in b if near(lines[a], lines[k], int(allowed[a]))]
+    part, first = components(len(lines), links), {}
+    for k, x in enumerate(lines):
+        first[part[k]] = min(first.get(part[k], occurs[x][0]), min(occurs[x]))
+    heads, blank = set(first.values()), re.compile("[ \\t\\n\\x0b\\f\\r]*")
+    return [(d, None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if (d, k) in heads or blank.fullmatch(x))) for d, t in docs], links
+
+
+def one_each_by_hand(docs):
+    prints = [simhash_by_hand(t) for _, t in docs]
+    part = components(len(docs), [(a, b) for a in range(len(docs)) for b in range(a) if (prints[a] ^ prints[b]).bit_count() <= 3])
+    least = {}
+    for k, (d, _) in enumerate(docs):
+        least[part[k]] = min(d, least.get(part[k], d))
+    return [x for x in docs if x[0] in set(least.values())]
 
-def test_stages(spark, tmp_path, small):
-    docs = spark.read.parquet(f"{small}/documents.parquet")
+
+def pieces_by_hand(docs):
+    tokenizer, out = Tokenizer.from_file(VOCABULARY), []
+    for d, t in docs:
+        ids = tokenizer.encode(t or "", add_special_tokens=False).ids + [1]
+        out += [(d, s, len(p), zlib.crc32(struct.pack(f"<{len(p)}I", *p)), len(ids)) for s in range(0, len(ids), 2048) for p in [ids[s : s + 2048]]]
+    return sorted(out)
+
+
+def check_layout(rows):
+    """Sequences without gaps, each group's by first-fit decreasing: a piece lies where it does as none before had room."""
+    sequences = {}
+    for r in sorted(rows, key=lambda r: (r.sequence_id, r.offset)):
+        placed = sequences.setdefault(r.sequence_id, [])
+        assert r.offset == sum(placed) and (not placed or placed[-1] >= r.length)
+        placed.append(r.length)
+    for j, later in sequences.items():
+        assert sum(later) <= 2048
+        for i, earlier in sequences.items():
+            if i < j and i >> 40 == j >> 40:
+                assert all(sum(x for x in earlier if x >= n) + n > 2048 for n in later)
+
+
+@pytest.fixture(scope="module")
+def planted(small, tmp_path_factory):
+    """The small tables, and documents with lines of others up to three edits apart, no text and blank ones."""
+    folder, r = tmp_path_factory.mktemp("planted"), random.Random(5)
+    table = pq.read_table(f"{small}/documents.parquet")
+    texts = [t for t in table["text"].to_pylist() if t and 200 < len(t) < 4000]
+    made = [None, "", " \n\t"]
+    for _ in range(40):
+        lines = [edited(r, x, r.randint(0, 3)) if x else x for x in r.choice(texts).split("\n")]
+        own = " ".join(r.sample(r.choice(texts).split(), 20))
+        made.append("\n".join([own, *lines]))
+    ids = range(1_000_000, 1_000_000 + len(made))
+    more = pa.table({"doc_id": list(ids), "text": made, "lang": [None] * len(made), "source": ["planted"] * len(made), "n_chars": [len(t or "") for t in made]}, table.schema)
+    pq.write_table(pa.concat_tables([table, more]), f"{folder}/documents.parquet")
+    for name in ("labels", "benchmark"):
+        shutil.copy(f"{small}/{name}.parquet", folder)
+    return str(folder)
+
+
+@pytest.fixture(scope="module")
+def by_hand(planted, spark):
+    """{stage: its rows}, each from what this implementation kept in the stage before."""
+    table = lambda name, *columns: [tuple(r) for r in spark.read.parquet(f"{planted}/{name}.parquet").select(*columns).collect()]
+    docs, out = sorted(table("documents", "doc_id", "text")), {}
+    assert len({d for d, _ in docs}) == len(docs)
+    scores = scores_by_hand(docs, [x for x in table("labels", "doc_id", "quality") if x[1] is not None])
+    out["scores"] = scores
+    out["quality_classifier"] = [x for x in docs if scores[x[0]] >= 0.7]
+    out["line_dedup"], links = lines_kept_by_hand(out["quality_classifier"])
+    out["simhash_near_dedup"] = one_each_by_hand(out["line_dedup"])
+    held = {d for d, _ in held_by_hand(out["simhash_near_dedup"], table("benchmark", "item_id", "text"))}
+    out["benchmark_decontamination"] = [x for x in out["simhash_near_dedup"] if x[0] not in held]
+    out["packing"] = pieces_by_hand(out["benchmark_decontamination"])
+    sizes = [len(docs)] + [len(out[name]) for name, _ in corpus_pipeline.STAGES[:4]]
+    assert sizes[1] < sizes[0] and links and out["line_dedup"] != out["quality_classifier"] and sizes[3] < sizes[2] and sizes[4] < sizes[3], "each stage has something to do"
+    return out
+
+
+def test_near():
+    assert near("", "ab", 2) and near("abcd", "acbd", 2) and near("kitten", "mitten", 1) and near("xabc", "abcy", 2)
+    assert not near("", "abc", 2) and not near("abcd", "acbd", 1) and not near("kitten", "sitting", 2)
+
+
+def test_stages(spark, tmp_path, planted, by_hand):
+    docs = spark.read.parquet(f"{planted}/documents.parquet")
     begun = docs
     for name, stage in corpus_pipeline.STAGES:
         before = docs
-        stage(spark, docs, small).write.parquet(f"{tmp_path}/{name}")
+        stage(spark, docs, planted).write.parquet(f"{tmp_path}/{name}")
         docs = spark.read.parquet(f"{tmp_path}/{name}")
-        if name != "packing":
+        if name == "packing":
+            assert sorted(tuple(r)[:5] for r in docs.collect()) == by_hand[name]
+            check_layout(docs.collect())
+        else:
+            assert sorted((r.doc_id, r.text) for r in docs.collect()) == by_hand[name]
             assert docs.columns == begun.columns
             assert docs.join(before, "doc_id", "left_anti").count() == 0
         if name == "quality_classifier":
-            model = quality.train_model(before, spark.read.parquet(f"{small}/labels.parquet"))
+            model = quality.train_model(before, spark.read.parquet(f"{planted}/labels.parquet"))
+            assert all(abs(r.score - by_hand["scores"][r.doc_id]) < 0.03 for r in quality.score(before, model).collect())
             assert {r[0] for r in docs.select("doc_id").collect()} == {r.doc_id for r in quality.score(before, model).where("predicted = 1").collect()}
         if name == "line_dedup":
             assert docs.count() == before.count()
@@ -26,13 +193,14 @@ def test_stages(spark, tmp_path, small):
         if name == "simhash_near_dedup":
             assert {r[0] for r in docs.select("doc_id").collect()} == {r.component_id for r in simhash.near_duplicates(before).collect()}
         if name == "benchmark_decontamination":
-            assert decontam.contaminated(docs, spark.read.parquet(f"{small}/benchmark.parquet")).count() == 0
+            assert decontam.contaminated(docs, spark.read.parquet(f"{planted}/benchmark.parquet")).count() == 0
         if name == "packing":
             assert {r[0] for r in docs.select("doc_id").collect()} == {r[0] for r in before.select("doc_id").collect()}
 
 
-def test_run(spark, small):
-    rows = corpus_pipeline.run(spark, small)
+def test_run(spark, planted, by_hand):
+    rows = corpus_pipeline.run(spark, planted)
+    assert sorted(tuple(r)[:5] for r in rows.collect()) == by_hand["packing"]
     assert rows.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] and rows.count() > 0
 
 
