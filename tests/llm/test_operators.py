@@ -767,6 +767,48 @@ def digits_by_hand(key, kind, digits):
     return f"{a:0{n - low}}{b:0{low}}"
 
 
+def test_cards_in_long_runs(spark):
+    cards = ["4845 1681 1440 7329", "4845168114407329", "3782-822463-10005"]
+    rows = [f"1234 {cards[0]}", f"1 2 3 4 5 6 7 8 9 {cards[1]} 1 2 3 4 5", f"{cards[0]} {cards[1]} {cards[2]}", f"{cards[1]} 12th", f"{cards[1]} 7-8x", " ".join(["7"] * 40_000) + f" {cards[1]}"]
+    rows += [f"{cards[1]} 123-45-6789", f"{cards[1]} 2024-01-02", f"{cards[1]} 97.51.17.173", f"{cards[1]} 5 March 1990", f"{cards[1]} 12@mail.example.com", f"{cards[1]} 800-555-1234"]
+    got = pii.pseudonymised(spark.createDataFrame(list(enumerate([*cards, *rows])), "doc_id long, text string"), "k").orderBy("doc_id").collect()
+    new = dict(zip(cards, (r.text for r in got), strict=False))
+    for row, was in zip(got[3:9], rows, strict=False):
+        for c in cards:
+            was = was.replace(c, new[c])
+        assert row.text == was
+    assert [r.n_card for r in got[3:]] == [1, 1, 3, 1, 1, 1] + [1] * 6
+    for row, kind in zip(got[9:], ["ssn", "date", "ip", "date", "email", "phone"], strict=True):
+        assert row.text.startswith(new[cards[1]] + " ") and row[f"n_{kind}"] == 1
+        assert row.text.split(" ", 1)[1] != rows[got.index(row) - 3].split(" ", 1)[1]
+
+
+def cards_by_hand(run, key):
+    """Cards of whole groups, from the left; of those that overlap the last taken one, one of more digits takes its place."""
+    ends = [(m.start(), m.end()) for m in re.finditer("[0-9]+", run)]
+    spans = [(a, b, re.sub("[^0-9]", "", run[a:b])) for i, (a, _) in enumerate(ends) for _, b in ends[i:]]
+    taken = []
+    for span in (x for x in spans if 13 <= len(x[2]) <= 19 and luhn_ok(x[2]) and set(x[2]) != {"0"}):
+        if not taken or span[0] >= taken[-1][1]:
+            taken.append(span)
+        elif len(span[2]) > len(taken[-1][2]):
+            taken[-1] = span
+    for a, b, c in reversed(taken):
+        body = c[0] + digits_by_hand(key, "card", c[1:-1])
+        new = iter(next(body + d for d in "0123456789" if luhn_ok(body + d)))
+        run = run[:a] + "".join(next(new) if x.isdigit() else x for x in run[a:b]) + run[b:]
+    return run, len(taken)
+
+
+def test_runs_by_hand(spark):
+    r = random.Random(9)
+    key, runs = pii.derived("k", "card"), ["0000 0000 0000 0000 0000", "7" * 30 + " 4845168114407329"]
+    for _ in range(150):  # groups of these lengths begin no value of another kind
+        runs.append(" ".join("".join(r.choices("0123456789", k=r.choice((1, 2, 4, 5, 6, 16)))) for _ in range(r.randint(3, 25))))
+    got = pii.pseudonymised(spark.createDataFrame(list(enumerate(runs)), "doc_id long, text string"), "k").orderBy("doc_id").collect()
+    assert [(x.text, x.n_card) for x in got] == [cards_by_hand(x, key) for x in runs]
+
+
 def test_pseudonyms_by_hand(spark):
     r = random.Random(4)
     key = {k: pii.derived("secret", k) for k in pii.KINDS}

@@ -21,8 +21,9 @@ date       yyyy-mm-dd, yyyy/mm/dd, dd.mm.yyyy, mm/dd/yyyy   the day, among those
 email      a name and a host                                the name: a keyed digest, not a permutation
 =========  ===============================================  ==========================================
 
-What is not valid stays as it is. Of digits in groups that are no card as a whole, those whole groups
-that are one are taken; the others beside them stay.
+What is not valid stays as it is. A run of digits in groups, however long, is searched for cards made of
+whole groups. Of cards that overlap, from the left on, that of more digits is taken; the groups beside
+them stay. A run ends where a value of another kind begins.
 """
 
 from __future__ import annotations
@@ -44,8 +45,10 @@ PATTERNS = {
     "date": r"(?<![\p{L}\p{N}.-])\d{4}-\d{2}-\d{2}(?![\p{N}-])|(?<![\p{L}\p{N}/])\d{4}/\d{2}/\d{2}(?![\p{N}/])|(?<![\p{L}\p{N}.])\d{1,2}\.\d{1,2}\.\d{4}(?!\p{N})|(?<![\p{L}\p{N}/])\d{1,2}/\d{1,2}/\d{4}(?![\p{N}/])"
     rf"|(?<![\p{{L}}\p{{N}}])(?:{MONTHS}) \d{{1,2}}, \d{{4}}(?!\p{{N}})|(?<![\p{{L}}\p{{N}}])\d{{1,2}} (?:{MONTHS}) \d{{4}}(?!\p{{N}})",
     "ssn": r"(?<![\p{L}\p{N}-])\d{3}-\d{2}-\d{4}(?![\p{N}-])",
-    "card": r"(?<![\p{L}\p{N}-])\d(?:[ -]?\d){12,18}(?![\p{L}\p{N}-])",
 }
+#: Digits joined by hyphens, beside no letter or further hyphen; a run is such units, a space between them, none of which begins another kind.
+UNIT = r"\d++(?:-\d++)*+(?![\p{L}\p{N}-])"
+PATTERNS["card"] = rf"(?<![\p{{L}}\p{{N}}-])(?=\d(?:[ -]?\d){{12}}){UNIT}(?: (?!{'|'.join(PATTERNS.values())}){UNIT})*+"
 KINDS = tuple(PATTERNS)
 ANY = "|".join(PATTERNS.values())
 ROUNDS = 10
@@ -109,17 +112,24 @@ def refilled(format_: str, digits: str) -> str:
     return f"aggregate(regexp_extract_all({format_}, '(?s).', 0), named_struct('o', '', 'd', {digits}, 'k', 1), (s, c) -> {step}, s -> s.o)"
 
 
-def _card(key: str) -> tuple[str, str]:
-    digits = lambda x: f"regexp_replace({x}, '[^0-9]', '')"
-    places = "sequence(1, length(v))"
-    begins, ends = f"filter({places}, p -> p = 1 or substr(v, p - 1, 1) in (' ', '-'))", f"filter({places}, p -> p = length(v) or substr(v, p + 1, 1) in (' ', '-'))"
-    pieces = f"flatten(transform({begins}, f -> transform(filter({ends}, e -> e > f + 11), e -> named_struct('n', length({digits('substr(v, f, e - f + 1)')}), 'before', 1 - f, 'x', substr(v, f, e - f + 1)))))"
-    # whole groups of a run, the most digits first, then the leftmost
-    card = f"array_max(filter({pieces}, r -> r.n between 13 and 19 and {luhn(digits('r.x'))} = 0 and r.x rlike '[1-9]'))"
-    body = f"concat(left(d0, 1), {digits_permuted(key, 'card', 'substr(d0, 2, length(d0) - 2)')})"
+def _card(key: str) -> str:
+    """SQL: struct (kind, new, n) of a run v of digits in groups with its ``n`` cards replaced."""
+    size, digits = "size(g)", "array_join(transform(slice(g, i + 1, j - i + 1), x -> regexp_extract(x, '[0-9]+', 0)), '')"
+    # groups i to j: 19 of them at most, as each has a digit
+    spans = f"transform(sequence(i, least(i + 18, {size} - 1)), j -> named_struct('n', length({digits}), 'd', {digits}, 'a', i, 'b', j))"
+    cards = f"flatten(transform(sequence(0, {size} - 1), i -> filter({spans}, c -> c.n between 13 and 19 and {luhn('c.d')} = 0 and c.d rlike '[1-9]')))"
+    none = "named_struct('n', 0, 'd', '', 'a', -1, 'b', -1)"
+    step = "if(c.a > s.p.b, named_struct('done', concat(s.done, array(s.p)), 'p', c), if(c.n > s.p.n, named_struct('done', s.done, 'p', c), s))"
+    taken = f"aggregate({cards}, named_struct('done', filter(array({none}), x -> false), 'p', {none}), (s, c) -> {step}, s -> filter(concat(s.done, array(s.p)), x -> x.n > 0))"
+    body = f"concat(left(c.d, 1), {digits_permuted(key, 'card', 'substr(c.d, 2, length(c.d) - 2)')})"
     check = f"cast((10 - {luhn('concat(p, chr(48))')}) % 10 as string)"
-    made = _let("d0", digits("q.x"), _let("p", body, refilled("q.x", f"concat(p, {check})")))
-    return f"{card} is not null", _let("q", card, f"concat(left(v, -q.before), {made}, substr(v, 1 - q.before + length(q.x)))")
+    groups = lambda begin, number: f"array_join(slice(g, {begin}, {number}), '')"
+    before = "if(k = 0, -1, q[greatest(k - 1, 0)].b)"
+    made = _let("p", body, refilled(groups("c.a + 1", "c.b - c.a + 1"), f"concat(p, {check})"))
+    parts = f"transform(q, (c, k) -> concat({_let('z', before, groups('z + 2', 'c.a - z - 1'))}, {made}))"
+    rest = groups("element_at(q, -1).b + 2", size)
+    found = f"named_struct('kind', 'card', 'new', concat(array_join({parts}, ''), {rest}), 'n', size(q))"
+    return _let("g", "regexp_extract_all(v, '[0-9]+[ -]?', 0)", _let("q", taken, f"if(size(q) > 0, {found}, named_struct('kind', cast(null as string), 'new', v, 'n', 0))"))
 
 
 def _iban(key: str) -> tuple[str, str]:
@@ -176,13 +186,15 @@ def _email(key: str) -> tuple[str, str]:
 
 
 def pseudonym(key: str) -> str:
-    """SQL: struct (kind, new) of a matched string v; kind is null where it is not valid and stays."""
-    arms = []
-    for kind, make in {"email": _email, "ip": _ip, "phone": _phone, "iban": _iban, "date": _date, "ssn": _ssn, "card": _card}.items():
+    """SQL: struct (kind, new, n) of a matched string v with n values; kind is null where none is valid and all stays."""
+    arms, stays = [], "named_struct('kind', cast(null as string), 'new', v, 'n', 0)"
+    whole = {kind: PATTERNS[kind] for kind in ("email", "iban", "ip")}
+    whole |= {"phone": r"^\+|\(|^(?:1[ .-])?\d{3}[.-]\d{3}[.-]\d{4}$", "date": rf"^\d{{4}}([-/])\d{{2}}\1\d{{2}}$|^\d{{1,2}}([./])\d{{1,2}}\2\d{{4}}$|{MONTHS}", "ssn": r"^\d{3}-\d{2}-\d{4}$"}
+    for kind, make in {"email": _email, "ip": _ip, "phone": _phone, "iban": _iban, "date": _date, "ssn": _ssn}.items():
         valid, made = make(derived(key, kind))
-        whole = PATTERNS[kind] if kind in ("email", "iban", "ip") else {"phone": r"^\+|\(|^(?:1[ .-])?\d{3}[.-]\d{3}[.-]\d{4}$", "date": rf"^\d{{4}}([-/])\d{{2}}\1\d{{2}}$|^\d{{1,2}}([./])\d{{1,2}}\2\d{{4}}$|{MONTHS}", "ssn": r"^\d{3}-\d{2}-\d{4}$", "card": r"^[\d -]{13,}$"}[kind]
-        arms.append(f"when v rlike {_text(whole)} then if(coalesce({valid}, false), named_struct('kind', '{kind}', 'new', {made}), named_struct('kind', cast(null as string), 'new', v))")
-    return "case " + " ".join(arms) + " else named_struct('kind', cast(null as string), 'new', v) end"
+        arms.append(f"when v rlike {_text(whole[kind])} then if(coalesce({valid}, false), named_struct('kind', '{kind}', 'new', {made}, 'n', 1), {stays})")
+    arms.append(f"when v rlike {_text(r'^[0-9 -]{13,}$')} then {_card(derived(key, 'card'))}")
+    return "case " + " ".join(arms) + f" else {stays} end"
 
 
 def pseudonymised(docs: DataFrame, key: str) -> DataFrame:
@@ -201,5 +213,5 @@ def pseudonymised(docs: DataFrame, key: str) -> DataFrame:
         found += "_"
     marked = docs.select(*rest, "text", F.expr(f"if(text rlike '[0-9@]', transform(regexp_extract_all(text, {_text(ANY)}, 0), v -> {pseudonym(key)}), null)").alias(found))
     text = F.expr(f"if(size({found}) > 0, array_join(zip_with(split(text, {_text(ANY)}), {found}, (t, f) -> concat(t, coalesce(f.new, ''))), ''), text)")
-    counts = [F.expr(f"coalesce(cast(size(filter({found}, f -> f.kind = '{n[2:]}')) as bigint), 0)").alias(n) for n in new]
-    return marked.select(*rest, text.alias("text"), *[F.greatest(c, F.lit(0)).alias(n) for c, n in zip(counts, new, strict=True)])
+    counts = [F.expr(f"coalesce(aggregate(filter({found}, f -> f.kind = '{n[2:]}'), 0L, (s, f) -> s + f.n), 0L)").alias(n) for n in new]
+    return marked.select(*rest, text.alias("text"), *counts)
