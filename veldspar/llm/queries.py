@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, embedding, language, line_dedup, packing, pii, quality, simhash, warc
+from . import chat, decontam, embedding, fingerprint, language, late_overwrite, line_dedup, merkle, packing, pii, quality, simhash, warc
 from .common import shared_dir
 
 
@@ -74,6 +74,19 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, language.train_model(docs))
 
 
+def op11_late_overwrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return late_overwrite.layouts(spark, _table(spark, sf_dir, "sales"))
+
+
+def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return fingerprint.compared(docs, fingerprint.rarity(docs))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(merkle.leaves(_table(spark, sf_dir, "documents"), merkle.tampered()))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_line_dedup": op2_line_dedup,
@@ -85,6 +98,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_embedding_near_dedup": op8_embedding_near_dedup,
     "op9_pii": op9_pii,
     "op10_language_id": op10_language_id,
+    "op11_late_overwrite": op11_late_overwrite,
+    "op12_fingerprints": op12_fingerprints,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 #: Components of ``links`` (u, v) over ``nodes`` (node), as a recursive query.
@@ -142,5 +158,29 @@ degrees as (select node, count(*) as n from (select u as node from links union a
 select node as vec_id, coalesce(n, 0)::bigint as n_links, part as component_id, part = node as kept from parts left join degrees using (node)
 """
 
+
+def _row_sql(n_chars: str) -> str:
+    return " || ".join(f"coalesce(strlen(({c})::varchar)::varchar || ':' || ({c})::varchar, '-')" for c in ("doc_id", "source", "lang", n_chars, "text"))
+
+
+#: t: the table of the CRC-32's polynomial. low: the trees of the groups, high: the one above, way: the siblings of a leaf, each with its side.
+MERKLE_SQL = f"""
+with recursive tab as (select list(c order by k) as t from (select k, list_reduce([k, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) as c from (select unnest(range(256)) as k))),
+docs as (select *, coalesce(xor(list_reduce(list_concat([4294967295], list_transform(string_split(doc_id::varchar, ''), lambda x: ord(x)::bigint)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 7 = 0, false) as hit from documents, tab),
+made as (select doc_id, lang, sha256({_row_sql('n_chars')}) as leaf, sha256({_row_sql('n_chars + case when hit then 1 else 0 end')}) as shown from docs),
+leaves as (select *, dense_rank() over (order by lang nulls first) - 1 as g, row_number() over (partition by lang order by doc_id nulls first, leaf) - 1 as i from made),
+low as (select g, 0 as level, i, leaf as d from leaves union all select g, level + 1, i // 2, sha256(string_agg(d, '' order by i)) from (select *, count(*) over (partition by g) as n from low) where n > 1 group by g, level, i // 2),
+sizes as (select g, max(level) as top from low group by g),
+subroots as (select g, d as subroot from low join sizes using (g) where level = top),
+high as (select 0 as level, g as i, subroot as d from subroots union all select level + 1, i // 2, sha256(string_agg(d, '' order by i)) from (select *, count(*) over () as n from high) where n > 1 group by level, i // 2),
+steps as (
+select l.g, l.i, k as rung, case when o.d is null then '=' when o.i < l.i >> k then '<' || o.d else '>' || o.d end as step from (select l.g, l.i, unnest(range(s.top)) as k from leaves l join sizes s using (g)) l left join low o on o.g = l.g and o.level = l.k and o.i = xor(l.i >> l.k, 1)
+union all select l.g, l.i, 1000 + k, case when o.d is null then '=' when o.i < l.g >> k then '<' || o.d else '>' || o.d end from (select g, i, unnest(range((select max(level) from high))) as k from leaves) l left join high o on o.level = l.k and o.i = xor(l.g >> l.k, 1)),
+ways as (select g, i, list(step order by rung) as way from steps group by g, i),
+known as (select l.*, s.subroot, (select d from high order by level desc limit 1) as root, coalesce(w.way, []) as way from leaves l join subroots s using (g) left join ways w using (g, i)),
+folded as (select *, list_reduce(list_prepend(shown, way), lambda a, x: sha256(case when x[1] = '<' then x[2:] || a when x[1] = '>' then a || x[2:] else a end)) as folded_root from known)
+select doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(way, lambda x: x[2:]), '')) as proof_sha256, folded_root, folded_root = root as verified from folded
+"""
+
 #: DuckDB SQL for those queries that it can express over whole tables; the others are tested against brute force.
-ORACLE_SQL: dict[str, str] = {"op2_line_dedup": LINES_SQL, "op3_chat_format": CHAT_SQL, "op6_decontamination": LEAKS_SQL, "op7_warc": WARC_SQL, "op8_embedding_near_dedup": VECTORS_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_line_dedup": LINES_SQL, "op3_chat_format": CHAT_SQL, "op6_decontamination": LEAKS_SQL, "op7_warc": WARC_SQL, "op8_embedding_near_dedup": VECTORS_SQL, "op13_merkle_manifest": MERKLE_SQL}
