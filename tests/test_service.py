@@ -201,6 +201,18 @@ def test_merged_rows_of_docx():
     assert parsers.parse_docx(docx(body))[1] == [[["k", "v"], ["a", "1"], ["a", "2"]]]
 
 
+def test_cells_that_a_page_leaves_open():
+    assert html.parsed("<table><tr><td>a<tr><td>b</table>later") == ("ablater", [[["a"], ["b"]]])
+    assert html.parsed("<table><tr><th>h<th>g<tr><td>1<td>2</tr></table>x</td>y")[1] == [[["h", "g"], ["1", "2"]]]
+    assert html.parsed("<table><tr><td>a<table><tr><td>in<tr><td>ner</table>b<td>c<tr><td>d</table>")[1][0][-1] == ["d"]
+    assert html.parsed("<table><tr><td>a<table><tr><td>in<tr><td>ner</table>b<td>c<tr><td>d</table>")[1][1] == [["in"], ["ner"]]
+
+
+def test_entities(spark):
+    said = spark.createDataFrame([("caf&eacute;&nbsp;x &euro;5 &#233;&#xe9; &amp;lt; <b>&lt;</b>",), (None,), ("",)], "h string").select(html.html_text(F.col("h")).alias("t")).collect()
+    assert [r.t for r in said] == ["café\xa0x €5 éé &lt; <", None, ""]
+
+
 def test_pieces_of_a_cell_are_stripped():
     assert html.parsed("<table><tr><td>a <b> b</b> </td></tr><tr><td> c</td></tr></table>")[1] == [[["ab"], ["c"]]]
 

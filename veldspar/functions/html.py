@@ -4,29 +4,29 @@ from __future__ import annotations
 
 from html.parser import HTMLParser
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
 SKIPPED = ("script", "style", "template")
 
-#: Entities that the native form knows; the ampersand comes last.
-ENTITIES = (("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&lt;", "<"), ("&gt;", ">"), ("&#39;", "'"), ("&amp;", "&"))
+def html_text(html: Column) -> Column:
+    """All text of the page, nothing between elements, entities decoded."""
 
-HIDDEN = r"(?is)<(script|style|template)\b[^>]*>.*?</\1\s*>|<!--.*?-->"
-TAG = r"<[!/a-zA-Z][^>]*>"
+    @F.arrow_udf("string")
+    def read(pages):  # noqa: ANN001, ANN202
+        import pyarrow as pa
 
+        return pa.array([None if page is None else parsed(page)[0] for page in pages.to_pylist()], pa.string())
 
-def html_text(html: Column) -> Column:
-    """All text of the page, nothing between elements, as a chain of replacements."""
-    text = F.regexp_replace(F.regexp_replace(html, HIDDEN, ""), TAG, "")
-    for entity, char in ENTITIES:
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    return text
+    return read(html)
 
 
 class Tree(HTMLParser):
-    """Text of a page, and its tables with the nested ones listed after those around them."""
+    """Text of a page, and its tables with the nested ones listed after those around them.
+
+    A cell ends with its end tag or, where a page leaves that out, at the next cell or row or the end of its row or table.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
@@ -42,9 +42,11 @@ class Tree(HTMLParser):
             self.open.append([])
             self.tables.append(self.open[-1])
         elif tag == "tr" and self.open:
+            self.close_cells()
             for table in self.open:  # rows of a nested table are rows of those around it as well
                 table.append([])
         elif tag in ("td", "th") and self.open:
+            self.close_cells()
             cell: list[str] = []
             for table in self.open:
                 if table:
@@ -54,9 +56,14 @@ class Tree(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         if tag in SKIPPED:
             self.hidden = max(0, self.hidden - 1)
-        elif tag == "table" and self.open:
-            self.open.pop()
-        elif tag in ("td", "th") and self.cells:
+        elif tag in ("table", "tr", "td", "th") and self.open:
+            self.close_cells()
+            if tag == "table":
+                self.open.pop()
+
+    def close_cells(self) -> None:
+        """Ends the cells of the innermost table."""
+        while self.cells and self.cells[-1][0] >= len(self.open):
             self.cells.pop()
 
     def handle_data(self, data: str) -> None:
@@ -75,11 +82,19 @@ def parsed(html: str) -> tuple[str, list[list[list[str]]]]:
     return "".join(tree.parts), [g for g in grids if len(g) > 1]
 
 
-@udtf(returnType="table_idx int, row_idx int, cells array<string>")
-class HtmlTables:
+class TableRows:
     """Rows of all tables of a page with two rows or more (P8); nested tables come once by themselves and once within."""
 
     def eval(self, html: str):  # noqa: ANN201
         for t, grid in enumerate(parsed(html)[1]):
             for r, cells in enumerate(grid):
                 yield t, r, cells
+
+
+TABLE_ROWS = "table_idx int, row_idx int, cells array<string>"
+HtmlTables = udtf(TableRows, returnType=TABLE_ROWS)
+
+
+def table_rows(pages: DataFrame, html: str = "html") -> DataFrame:
+    """``pages`` with table_idx, row_idx and cells of each row of its tables."""
+    return pages.lateralJoin(udtf(TableRows, returnType=TABLE_ROWS)(F.col(html).outer()))

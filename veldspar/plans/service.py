@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import PipelineConfig
 from ..operators import answering, chunking, cleaning, embedding, parsers, retrieval
+from ..operators.index import Index
 from ..sources import files, http
 
 VERSION = "0.1.0"
@@ -77,12 +78,15 @@ def ingest_status(docs: DataFrame, points: DataFrame) -> DataFrame:
     return docs.select("doc_id").distinct().join(there, "doc_id", "left").select("doc_id", F.when(F.col("there"), "ok").otherwise("no_chunks").alias("status"))
 
 
-def hits(points: DataFrame, questions: DataFrame, config: PipelineConfig | None = None, load: object = embedding.hashed_embedder) -> DataFrame:
-    """(question_id, rank, score, doc_id, id, text) of questions (question_id, question, and doc_id for the document's scope)."""
+def hits(points: DataFrame, questions: DataFrame, config: PipelineConfig | None = None, load: object = embedding.hashed_embedder, index: Index | None = None) -> DataFrame:
+    """(question_id, rank, score, doc_id, id, text) of questions (question_id, question, and doc_id for the document's scope).
+
+    ``index``: one of ``points`` by doc_id and id, which then answers in the corpus scope with the same rows.
+    """
     config = config or PipelineConfig()
     scope = "doc_id" if config.scope == "document" else None
     asked = embedding.encoded(questions.select("question_id", "question", *([scope] if scope else [])), load, config.prefix, text="question")
-    found = retrieval.top_k(points, asked, config.top_k, scope=scope, ids=("doc_id", "id"))
+    found = index.search(asked, config.top_k) if index is not None and scope is None else retrieval.top_k(points, asked, config.top_k, scope=scope, ids=("doc_id", "id"))
     text = retrieval.payload_text(F.col("payload")).alias("text")
     return found.join(points.select("doc_id", "id", text), ["doc_id", "id"]).select("question_id", "rank", "score", "doc_id", "id", "text")
 

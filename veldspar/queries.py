@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .config import PipelineConfig
-from .functions.html import html_text
-from .functions.text import squeeze, strip
-from .operators import answering, chunking, cleaning, embedding, parsers, retrieval, store, tables
+from .functions.html import html_text, table_rows
+from .functions.text import squeeze
+from .operators import answering, chunking, cleaning, embedding, index, parsers, retrieval, store, tables
 from .plans import service
 from .sources import files
 
@@ -65,7 +65,9 @@ STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
 
 @query("s10_text_sink", f"select doc_id, md5(replace({STRIP.format('text')}, chr(10), ' ')) as text_md5 from documents")
 def s10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(F.replace(strip(F.col("text")), F.lit("\n"), F.lit(" "))).alias("text_md5"))
+    folder = files.shared_folder(spark)
+    files.write_texts(table(spark, sf_dir, "documents").select("doc_id", tables.assembled(F.col("text"), F.array().cast("array<string>")).alias("text")), folder)
+    return spark.read.schema("doc_id bigint, text string").parquet(folder).select("doc_id", F.md5("text").alias("text_md5"))
 
 
 HTML = (
@@ -83,8 +85,32 @@ def p7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("p9_paragraphs", r"select doc_id, md5(coalesce(list_aggregate(list_filter(string_split(text, chr(10)), lambda p: regexp_matches(p, '\S')), 'string_agg', chr(10)), '')) as text_md5 from documents")
 def p9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda p: strip(p) != ""), "\n")
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(kept).alias("text_md5"))
+    """Each line a paragraph of a DOCX file, read back."""
+    lines = F.transform(F.split("text", "\n"), lambda p: F.concat(F.lit("<w:p><w:r><w:t>"), F.replace(F.replace(p, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit("</w:t></w:r></w:p>")))
+    body = F.concat(F.lit('<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body>'), F.array_join(lines, ""), F.lit("</w:body></w:document>"))
+    made = files.spread(table(spark, sf_dir, "documents")).select("doc_id", _zipped(body).alias("content"), F.lit("docx").alias("format"))
+    return parsers.parsed(made).select("doc_id", F.md5("text").alias("text_md5"))
+
+
+def _zipped(xml: Column) -> Column:
+    """A DOCX file of a body."""
+
+    @F.arrow_udf("binary")
+    def docx(bodies):  # noqa: ANN001, ANN202
+        import io
+        import zipfile
+
+        import pyarrow as pa
+
+        def one(body: str) -> bytes:
+            out = io.BytesIO()
+            with zipfile.ZipFile(out, "w") as z:
+                z.writestr("word/document.xml", body)
+            return out.getvalue()
+
+        return pa.array([one(b) for b in bodies.to_pylist()], pa.binary())
+
+    return docx(xml)
 
 
 # -- tables: rows of the small tables as cells ----------------------------------------------------
@@ -379,8 +405,10 @@ def e4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("e5_source", "select page_id, coalesce(case when url like '%?%' then null else url end, 'unknown') as source_file from pages")
 def e5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    url = F.when(~F.col("url").contains("?"), F.col("url"))
-    return table(spark, sf_dir, "pages").select("page_id", F.coalesce(url, F.lit("unknown")).alias("source_file"))
+    """Points of pages, some of whose sources are not known."""
+    chunks = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.lit(0).alias("chunk_index"), F.col("html").alias("text"), "url", F.array(F.lit(1.0).cast("float")).alias("vector"))
+    points = embedding.points(chunks, F.when(~F.col("url").contains("?"), F.col("url")))
+    return points.select(F.col("doc_id").alias("page_id"), "payload.source_file")
 
 
 # -- store --------------------------------------------------------------------------------------
@@ -431,6 +459,16 @@ def r3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.top_k(points, points.where("id % 20 = 0").withColumnRenamed("id", "question_id"))
 
 
+ALL_SCORES = SCORES.replace(" where vec_id % 20 = 0", "")
+
+
+@query("r3_indexed_topk", f"select question_id, (row_number() over (partition by question_id order by score desc, id))::integer as rank, score, id from ({ALL_SCORES}) qualify row_number() over (partition by question_id order by score desc, id) <= 3")
+def r3_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors asked of all, through the index."""
+    points = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return index.Index.build(points, files.shared_folder(spark)).search(points.withColumnRenamed("id", "question_id"))
+
+
 HASHED_P = hashed_sql(f"select doc_id * 100000 + chunk_index as id, 'passage: ' || text as text from ({CHUNKS})", "id")
 HASHED_Q = hashed_sql("select item_id as question_id, 'passage: ' || text as text from benchmark", "question_id")
 HASHED = f"""
@@ -568,17 +606,31 @@ def s13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.read_points(spark, folder).select("id", "payload.text", "payload.source_file", F.size("vector").cast("bigint").alias("dimensions"))
 
 
-@query("s7_s8_landed_files", "select * from (values ('a.eml', 'ok', 'A letter, short.'), ('b.doc', 'parse_error', ''), ('c.txt', 'unsupported', ''), ('d.pdf', 'backend_missing', '')) t(file, status, text)")
-def s7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files of several formats, landed in the shared folder and read as documents."""
-    from pyarrow import fs
+LANDED = """
+select 'item-' || doc_id::varchar || '.' || ['eml', 'doc', 'txt', 'pdf'][doc_id % 4 + 1] as file, ['ok', 'parse_error', 'unsupported', 'backend_missing'][doc_id % 4 + 1] as status,
+case when doc_id % 4 = 0 then cleaned else '' end as text from ({})
+"""
 
+
+@query("s7_s8_landed_files", LANDED)
+def s7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The items of the benchmark as files of several formats, landed in the shared folder by the tasks and read as documents."""
     folder = files.shared_folder(spark)
-    store_, top = fs.FileSystem.from_uri(folder)
-    store_.create_dir(top, recursive=True)
-    for name, data in (("a.eml", b"Content-Type: text/plain\n\nA letter, short."), ("b.doc", b"no archive"), ("c.txt", b"plain"), ("d.pdf", b"%PDF")):
-        with store_.open_output_stream(f"{top}/{name}") as out:
-            out.write(data)
+
+    def land(batches):  # noqa: ANN001, ANN202
+        import pyarrow as pa
+        from pyarrow import fs
+
+        store_, top = fs.FileSystem.from_uri(folder)
+        store_.create_dir(top, recursive=True)
+        for batch in batches:
+            for item, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                kind, data = (("eml", b"Content-Type: text/plain; charset=utf-8\n\n" + text.encode()), ("doc", b"no archive"), ("txt", text.encode()), ("pdf", b"%PDF"))[item % 4]
+                with store_.open_output_stream(f"{top}/item-{item}.{kind}") as out:
+                    out.write(data)
+            yield pa.RecordBatch.from_arrays([batch.column(0)], ["item_id"])
+
+    table(spark, sf_dir, "benchmark").select("item_id", "text").mapInArrow(land, "item_id bigint").count()
     return service.read_documents(spark, folder).select(F.element_at(F.split("source_file", "/"), -1).alias("file"), "status", "text")
 
 
@@ -590,6 +642,7 @@ def _items_as(kind: str, spark: SparkSession, sf_dir: str, content: Column, back
 
 ITEMS = "(select item_id as doc_id, text from benchmark)"
 CLEAN_ITEMS = f"select doc_id, {CLEANED} as cleaned from ({JOINED.replace('documents', ITEMS)})"
+ORACLE_SQL["s7_s8_landed_files"] = LANDED.format(CLEAN_ITEMS)
 
 
 def _docx(spark: SparkSession, sf_dir: str, **options: bool) -> DataFrame:
@@ -650,14 +703,10 @@ def p10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("p8_html_tables", "select n_regionkey::bigint as region, 0 as table_idx, (row_number() over (partition by n_regionkey order by n_nationkey))::integer as row_idx, n_nationkey::varchar || '|' || n_name as cells from nation union all select r_regionkey, 0, 0, 'key|name' from region where r_regionkey in (select n_regionkey from nation)")
 def p8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nations of a region as a page with a table, read by the table function."""
-    from .functions.html import HtmlTables
-
     row = lambda n: F.concat(F.lit("<tr><td> "), n["n_nationkey"].cast("string"), F.lit("</td><td>"), n["n_name"], F.lit("</td></tr>"))
     rows = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))), row), "")
     pages = table(spark, sf_dir, "nation").groupBy(F.col("n_regionkey").cast("bigint").alias("region")).agg(F.concat(F.lit("<p>x<table><tr><th>key</th><th>name</th></tr>"), rows, F.lit("</table>")).alias("html"))
-    spark.udtf.register("html_tables", HtmlTables)
-    pages.createOrReplaceTempView("veldspar_pages")
-    return spark.sql("select p.region, t.table_idx, t.row_idx, array_join(t.cells, '|') as cells from veldspar_pages p, lateral html_tables(p.html) t")
+    return table_rows(pages).select("region", "table_idx", "row_idx", F.array_join("cells", "|").alias("cells"))
 
 
 def _paged(content: bytes) -> tuple[str, list[list[list[str]]]]:
@@ -730,15 +779,16 @@ def a2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return service.engine_info(spark)
 
 
-AUTH = "select unnest([1, 2, 3, 4, 5])::integer as case_id, unnest(['Bearer', 'bearer', 'Basic', null, null]) as scheme, unnest(['secret', 'wrong', 'secret', null, null]) as token, unnest([null, null, null, 'k', '']) as api_key"
+BEARER = "c_custkey % 3 < 2 and c_mktsegment = 'BUILDING'"
 
 
-@query("a3_auth_predicate", f"select case_id, coalesce(lower(scheme) = 'bearer' and token = 'secret', false) as allowed, coalesce(lower(scheme) = 'bearer' and token = 'secret', false) or coalesce(api_key, '') <> '' as lenient from ({AUTH})")
+@query("a3_auth_predicate", f"select c_custkey, {BEARER} as allowed, {BEARER} or c_nationkey < 5 as lenient from customer")
 def a3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(1, "Bearer", "secret", None), (2, "bearer", "wrong", None), (3, "Basic", "secret", None), (4, None, None, "k"), (5, None, None, "")]
-    cases = spark.createDataFrame(rows, "case_id int, scheme string, token string, api_key string")
-    passes = lambda any_key: service.allowed(F.col("scheme"), F.col("token"), F.col("api_key"), PipelineConfig(auth_token="secret", accept_any_api_key=any_key))  # noqa: E731, S106
-    return cases.select("case_id", passes(False).alias("allowed"), passes(True).alias("lenient"))
+    """Customers whose segment is their token; some name another scheme, some have a key or an empty one."""
+    scheme = F.when(F.col("c_custkey") % 3 == 0, "Bearer").when(F.col("c_custkey") % 3 == 1, "bearer").otherwise("Basic")
+    key = F.when(F.col("c_nationkey") < 5, F.col("c_name")).when(F.col("c_nationkey") < 10, "")
+    passes = lambda any_key: service.allowed(scheme, F.col("c_mktsegment"), key, PipelineConfig(auth_token="BUILDING", accept_any_api_key=any_key))  # noqa: E731, S106
+    return table(spark, sf_dir, "customer").select("c_custkey", passes(False).alias("allowed"), passes(True).alias("lenient"))
 
 
 @query("a6_ingest_status", f"select d.doc_id, case when c.doc_id is null then 'no_chunks' else 'ok' end as status from documents d left join (select distinct doc_id from ({CHUNKS})) c using (doc_id)")
@@ -747,8 +797,7 @@ def a6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return service.ingest_status(docs, service.ingest(docs))
 
 
-@query("a7_http_status", "select * from (values ('ok', 200), ('not_found', 404), ('unauthorized', 401), ('no_chunks', 500), ('no_answers', 500)) t(status, code)")
+@query("a7_http_status", f"select d.doc_id, case when c.doc_id is null then 500 else 200 end::integer as code from documents d left join (select distinct doc_id from ({CHUNKS})) c using (doc_id)")
 def a7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = ("ok", "not_found", "unauthorized", "no_chunks", "no_answers")
-    rows = spark.range(1).select(F.explode(F.array(*[F.lit(n) for n in names])).alias("status"))
-    return rows.select("status", service.http_status(F.col("status")).alias("code"))
+    """The code that each document's ingestion would be answered with."""
+    return a6(spark, sf_dir).select("doc_id", service.http_status(F.col("status")).alias("code"))

@@ -23,7 +23,7 @@ def follow(spark: SparkSession, documents: str, schema: str, store: Store, colle
     run = uuid.uuid5(uuid.NAMESPACE_URL, checkpoint).hex
 
     def load(batch: DataFrame, number: int) -> None:
-        store.write(collection, ingest(batch, config), f"{run}-{number}")
+        store.write(collection, ingest(batch, config), run, number)
 
     stream = spark.readStream.schema(schema).parquet(documents)
     return stream.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
