@@ -76,7 +76,10 @@ def registry(layouts: tuple[Mapping, ...] = LAYOUTS) -> dict[str, Mapping]:
 
 
 def canonical(record: object, known: dict[str, Mapping]) -> list[tuple[int, str, str]] | None:
-    """(order, role, text) of each turn, or None for an unknown layout. Nulls are empty strings."""
+    """(order, role, text) of each turn, or None for an unknown layout. Nulls are empty strings.
+
+    A place that is no whole number of 64 bits raises ValueError, a text that is no Unicode UnicodeEncodeError.
+    """
     mapping = known.get(fingerprint(field_paths(record))) if isinstance(record, dict) else None
     if mapping is None:
         return None
@@ -85,7 +88,10 @@ def canonical(record: object, known: dict[str, Mapping]) -> list[tuple[int, str,
     if mapping.turns is None:
         return [(k, role, said(record[path])) for k, (role, path) in enumerate(mapping.fixed) if not (path == "input" and not record[path])]
     if mapping.turns == "":
-        return [(record[mapping.order] or 0, named(record[mapping.role]), said(record[mapping.text]))]
+        order = record[mapping.order] if record[mapping.order] is not None else 0
+        if type(order) is not int or order.bit_length() > 63:
+            raise ValueError("no place of a turn")
+        return [(order, named(record[mapping.role]), said(record[mapping.text]))]
     return [(k, named(item[mapping.role]), said(item[mapping.text])) for k, item in enumerate(record[mapping.turns])]
 
 
@@ -98,7 +104,8 @@ def to_turns(records: DataFrame, layouts: tuple[Mapping, ...] = LAYOUTS) -> Data
 
     layout is the record's fingerprint. A record that is null, no JSON object, or of an unknown
     layout gives one row with a null role, its own text, and ``unknown`` in layout's place: that is
-    for ``rejected``, and is not formatted. A record without turns gives no row. Texts are read whole,
+    for ``rejected``, and is not formatted. So does one whose turn is no whole number of 64 bits, whose
+    texts hold half a surrogate pair, or that is nested too deeply to be read. A record without turns gives no row. Texts are read whole,
     however long; records that repeat, or share a conv_id or have none, give their turns each. No
     records: no rows.
     """
@@ -113,13 +120,12 @@ def to_turns(records: DataFrame, layouts: tuple[Mapping, ...] = LAYOUTS) -> Data
                 try:
                     record = json.loads(text) if text else None
                     turns = canonical(record, known)
-                except (ValueError, TypeError, KeyError):
-                    turns = None
-                if turns is None:
-                    out.append((conv_id, 0, None, text, UNKNOWN))
-                else:
-                    shape = fingerprint(field_paths(record))
-                    out += [(conv_id, *turn, shape) for turn in turns]
+                    rows = None if turns is None else [(conv_id, *turn, fingerprint(field_paths(record))) for turn in turns]
+                    for row in rows or ():
+                        f"{row[2]}{row[3]}".encode()
+                except (ValueError, TypeError, KeyError, RecursionError):
+                    rows = None
+                out += [(conv_id, 0, None, text, UNKNOWN)] if rows is None else rows
             columns = list(zip(*out, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()), strict=True)], ["conv_id", "turn", "role", "text", "layout"])
 

@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from .common import broadcast, checkpointed, connected_components, frugal, listed, small_batches
 
 SAMPLE_BYTES = 32 << 20
+#: The margin of a threshold, in units of what projections of unit vectors spread by: one over the root of their dimensions.
+SPILL = 0.16
 TREE = 56  # a leaf's number: below this bit its node, above it its tree
 
 
@@ -154,7 +156,7 @@ def _compare_leaf(keys: np.ndarray, weights: np.ndarray, unit: np.ndarray, count
     return counts, spans
 
 
-def near_duplicates(vectors: DataFrame, least: float = 0.95, trees: int = 6, leaf: int = 250, margin: float = 0.02, crowded: int = 20_000, sample_bytes: int = SAMPLE_BYTES) -> DataFrame:
+def near_duplicates(vectors: DataFrame, least: float = 0.95, trees: int = 6, leaf: int = 250, spill: float = SPILL, crowded: int = 20_000, sample_bytes: int = SAMPLE_BYTES) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row of ``vectors`` (vec_id, embedding).
 
     Vectors that are null, empty, zero or hold null or non-finite components have no links and are
@@ -163,18 +165,20 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95, trees: int = 6, lea
     component, not kept. Rows that share a vec_id are separate vectors. No rows: no rows.
 
     The forest is fit to a sample of at most ``sample_bytes``, so its size is bounded too; every vector
-    is indexed. Its depth grows with the vectors, ``leaf`` to a leaf on average. A leaf of at most
+    is indexed. Projections spread less the more dimensions there are, and the margin, ``spill`` over
+    their root, with them, so that a vector reaches about as many leaves whatever its dimensions. Its depth grows with the vectors, ``leaf`` to a leaf on average. A leaf of at most
     ``crowded`` vectors is held by one task. A larger one, a crowd of vectors too much alike, is cut
     into blocks of about a quarter of that, and each pair of blocks is a task's work of its own, so
     every pair of a leaf is compared whatever its size; a vector is then sent once for each block of its leaf.
     """
     small_batches(vectors.sparkSession)
-    kind = "<f8" if "double" in dict(vectors.dtypes)["embedding"] else "<f4"
+    kind = "<f4" if dict(vectors.dtypes)["embedding"] == "array<float>" else "<f8"
     rows = _packed(vectors, kind)
     grouped = rows.where("vec is not null and vec_id is not null").groupBy("vec").agg(F.min("vec_id").alias("least"), F.count("*").alias("weight"))
     distinct = checkpointed(grouped.withColumn("key", F.monotonically_increasing_id()))
     n, longest = distinct.agg(F.count("*"), F.max(F.octet_length("vec"))).first()
     dims = max(1, (longest or 0) // int(kind[2]))
+    margin = spill / dims**0.5
     most = max(1, min(1 << 15, sample_bytes // (8 * dims)))
     sample = distinct.orderBy(F.xxhash64("vec"), "key").limit(most).select("vec").toArrow()["vec"].to_pylist()
     depth = int(max(0, np.ceil(np.log2(max(1, n / leaf)))))

@@ -207,9 +207,17 @@ def near_lines(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     line, n_copies the rows with exactly this line, n_links the different lines linked to it, and
     kept tells the class's first line. A null text has no rows, an empty one one empty line, of
     which there may be many copies. Texts and lines are read whole, however long. A null doc_id
-    comes before all others; rows that repeat doc_id and text are further copies of their lines.
-    No documents: no rows.
+    comes before all others. Documents that share a doc_id, or have none, are told apart by a hash of
+    their texts, so one of them has the first line; rows that agree in doc_id and text are one document
+    in this, and have it together. No documents: no rows.
     """
+    own = F.struct("doc_id", F.xxhash64("text").alias("text"))
+    rows = _near_lines(docs.select(own.alias("doc_id"), "text"), edits)
+    return rows.withColumns({"doc_id": F.col("doc_id.doc_id"), "class_doc_id": F.col("class_doc_id.doc_id")})
+
+
+def _near_lines(docs: DataFrame, edits: int) -> DataFrame:
+    """``near_lines`` of documents whose doc_ids tell them apart and may be structs."""
     lines = lines_of(docs)
     nodes, parts = line_links(lines, edits)
     placed = checkpointed(nodes.join(parts, "id"))
@@ -236,7 +244,7 @@ def drop_repeated_lines(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     """
     place = row_key()
     keyed = docs.select(place.alias("doc_id"), "text")
-    gone = near_lines(keyed, edits).where("not kept").groupBy("doc_id").agg(F.collect_set("line_no").alias("gone")).withColumnRenamed("doc_id", "gone_id")
+    gone = _near_lines(keyed, edits).where("not kept").groupBy("doc_id").agg(F.collect_set("line_no").alias("gone")).withColumnRenamed("doc_id", "gone_id")
     whole = docs.select(place.alias("id"), F.struct(*docs.columns).alias("row"))
     joined = whole.join(gone, whole["id"] == gone["gone_id"], "left")
     text = F.expr("if(gone is null, row.text, array_join(filter(split(row.text, '\\n'), (x, i) -> x not rlike '\\\\S' or not array_contains(gone, i)), '\\n'))")

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import by_size, frugal, kept, small_batches
 
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, dealt long"
+PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 PLACED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -140,8 +140,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int =
 
     @frugal(keeps=True)
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, row = kept(f"words of {tokenizer}", lambda: WordIds(tokenizer)), 0
-        task = TaskContext.get().partitionId()
+        words = kept(f"words of {tokenizer}", lambda: WordIds(tokenizer))
         for batch in batches:
             doc_ids = batch.column(0).to_pylist()
             for begin, rows in by_size(batch.column(1), 4 << 20):
@@ -152,8 +151,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int =
                     n = len(whole) // 4
                     for start in range(0, n, capacity):
                         part = whole[4 * start : 4 * (start + capacity)]
-                        row += 1
-                        out.append((doc_ids[begin + k], start, len(part) // 4, zlib.crc32(part), n, task << 40 | row))
+                        out.append((doc_ids[begin + k], start, len(part) // 4, zlib.crc32(part), n))
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], PIECES.replace(" long", "").split(", "))
 
     return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(cut, PIECES)
@@ -162,8 +160,9 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int =
 def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1, group: int = 16_384) -> DataFrame:
     """Where each piece of each document lies: sequence_id, and offset without gaps from 0.
 
-    Pieces are dealt at random (by a hash of where they came from) and packed in groups of at most
-    ``group``, so a task holds one group, whatever the input. Nulls: a null text is empty, a null
+    Pieces are dealt at random (by a hash of what they are, so a task that is run again deals them
+    alike in whatever order it reads) and packed in groups of at most ``group``, so a task holds one
+    group, whatever the input; pieces that are equal in all are interchangeable. Nulls: a null text is empty, a null
     doc_id stays null. Long texts are cut into as many pieces as they need; rows that repeat, or
     share a doc_id, are documents of their own; pieces of equal length are placed in the order dealt.
     Other columns are not read. An empty table gives no rows. Every document gives at least one piece.
@@ -188,5 +187,6 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1,
         if held:
             yield packed(held, base)[0]
 
-    dealt = pieces(docs, tokenizer, capacity, end_id).withColumn("dealt", F.xxhash64("dealt"))
-    return dealt.repartition(F.col("dealt")).sortWithinPartitions("dealt", "doc_id", "start").mapInArrow(place, PLACED)
+    own = ("doc_id", "start", "ids_crc32", "doc_tokens")
+    dealt = pieces(docs, tokenizer, capacity, end_id).withColumn("dealt", F.xxhash64(*own))
+    return dealt.repartition(F.col("dealt")).sortWithinPartitions("dealt", *own).mapInArrow(place, PLACED)

@@ -39,12 +39,12 @@ def _head(lines: list[tuple[str, str]], first: str) -> bytes:
     return CRLF.join([first.encode(), *(f"{k}: {v}".encode() for k, v in lines)]) + CRLF + CRLF
 
 
-def make_record(page_id: int | None, copy: int, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
-    """A record: a response with its payload, or a revisit of the response of page ``refers_to``."""
+def make_record(page_id: int | None, copy: int, url: str | None, payload: bytes, refers_to: int | None, revisit: bool | None = None) -> bytes:
+    """A record: a response with its payload, or a ``revisit`` of the first record of page ``refers_to``, which may have no id."""
     sha1 = hashlib.sha1(payload)
     digest = "sha1:" + base64.b32encode(sha1.digest()).decode()
     http = _head([("Content-Type", "text/html; charset=utf-8"), ("Content-Length", str(len(payload)))], "HTTP/1.1 200 OK")
-    revisit = refers_to is not None
+    revisit = refers_to is not None if revisit is None else revisit
     block = http if revisit else http + payload
     address = "".join(c for c in (url or "") if c.isprintable()) or f"urn:page:{page_id}"
     lines = [
@@ -52,7 +52,7 @@ def make_record(page_id: int | None, copy: int, url: str | None, payload: bytes,
         ("WARC-Payload-Digest", digest), ("WARC-Block-Digest", "sha1:" + base64.b32encode(hashlib.sha1(block).digest()).decode()), ("X-Page-ID", "" if page_id is None else str(page_id)),
     ]
     if revisit:
-        lines += [("WARC-Profile", IDENTICAL), ("WARC-Refers-To", record_id(refers_to, sha1.hexdigest())), ("X-Refers-To-Page-ID", str(refers_to))]
+        lines += [("WARC-Profile", IDENTICAL), ("WARC-Refers-To", record_id(refers_to, sha1.hexdigest())), ("X-Refers-To-Page-ID", "" if refers_to is None else str(refers_to))]
     lines += [("Content-Type", "application/http; msgtype=response"), ("Content-Length", str(len(block)))]
     return _head(lines, "WARC/1.1") + block + CRLF + CRLF
 
@@ -140,7 +140,7 @@ def write(pages: DataFrame, folder: str, roll_bytes: int = 64 << 20, least_bytes
         context = TaskContext.get()
         names = ["file", "records", "bytes", "sha256"]
         sink, at, records, size, sha = None, "", 0, 0, None
-        shard_at, rolled, same, copies, refers_to = None, 0, None, 0, None
+        shard_at, rolled, same, copies, refers_to, shared = None, 0, None, 0, None, False
 
         def close() -> pa.RecordBatch:
             sink.close()
@@ -154,12 +154,12 @@ def write(pages: DataFrame, folder: str, roll_bytes: int = 64 << 20, least_bytes
                         yield close()
                     sink, shard_at, rolled, same = None, (shard, part), 0, None
                 if (page_id, digest) != same:
-                    same, copies, refers_to = (page_id, digest), 0, target
+                    same, copies, refers_to, shared = (page_id, digest), 0, target, kind == 0
                 if kind == 0:
                     continue
                 # the rows of the page referred to are all decided alike: the first of them is the response
-                points = None if refers_to == page_id and not copies else refers_to
-                data = compressed(make_record(page_id, copies, url, payload, points))
+                revisit = shared and (refers_to != page_id or copies > 0)
+                data = compressed(make_record(page_id, copies, url, payload, refers_to if revisit else None, revisit))
                 copies += 1
                 if sink is None:
                     at, records, size, sha = f"part-{shard + 1:06d}-{part:04d}-{rolled:04d}.warc.gz", 0, 0, hashlib.sha256()
