@@ -2,9 +2,12 @@
 
 import email.message
 import io
+import time
 import zipfile
 
+import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from veldspar.config import PipelineConfig
@@ -13,6 +16,7 @@ from veldspar.operators import answering, embedding, parsers, retrieval, store
 from veldspar.plans import service
 from veldspar.sources import files
 from veldspar.streaming import ingest as streaming
+from veldspar.streaming import landing
 
 W = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
 
@@ -121,7 +125,28 @@ def test_questions_meet_their_document_only(spark):
     found = retrieval.top_k(points, asked, 2, scope="doc_id", ids=("doc_id", "id"))
     assert {r.question_id % 5 == r.doc_id for r in found.collect()} == {True} and found.count() == 20
     plan = found._jdf.queryExecution().executedPlan().toString()
-    assert "NestedLoop" not in plan and "Cartesian" not in plan and "Join" in plan
+    assert "NestedLoop" not in plan and "Cartesian" not in plan and "Join" not in plan
+    below = plan[plan.rindex("MapInArrow") :]
+    assert "Exchange" not in below  # points stay where they are read, only hits are moved
+
+
+def test_documents_of_any_size_in_both_ways(spark):
+    rng = np.random.default_rng(3)
+    data = [(0 if k % 3 else k % 7, k, rng.normal(size=4).tolist()) for k in range(600)] + [(None, 900, [1.0] * 4), (5, 901, [1.0] * 3), (6, 902, None)]
+    points = spark.createDataFrame(data, "doc_id long, id long, vector array<double>").repartition(5)
+    asked = spark.createDataFrame([(q, q % 9 if q else None, rng.normal(size=4).tolist()) for q in range(60)] + [(70, 5, [1.0] * 3), (71, 5, None)], "question_id long, doc_id long, vector array<double>")
+    names, schema = ["question_id", "score", "doc_id", "id"], "question_id long, score double, doc_id long, id long"
+    ways = [retrieval.top_k(points, asked, 3, scope="doc_id", ids=("doc_id", "id"))]
+    parts = (points.withColumn("_scope", F.col("doc_id")), asked.where("doc_id is not null").withColumn("_scope", F.col("doc_id")).drop("doc_id"))
+    rank = F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("score"), "doc_id", "id"))
+    ways += [retrieval._dealt(*parts, 3, ("doc_id", "id"), names, schema, block).withColumn("rank", rank).where("rank <= 3").select("question_id", "rank", "score", "doc_id", "id") for block in (7, 8192)]
+    unit = lambda v: np.array(v) / np.linalg.norm(v)
+    expected = set()
+    for q in asked.collect():
+        hits = sorted((-round(float(unit(v) @ unit(q.vector)), 6), d, i) for d, i, v in data if q.vector and v and d is not None and d == q.doc_id and len(v) == len(q.vector))[:3]
+        expected |= {(q.question_id, r + 1, -s, d, i) for r, (s, d, i) in enumerate(hits)}
+    for way in ways:
+        assert set(map(tuple, way.collect())) == expected
 
 
 def test_no_cross_join_in_search(spark):
@@ -252,3 +277,43 @@ def test_observed(spark):
     df, seen = service.observed(spark.range(7), "seven")
     df.collect()
     assert seen.get["rows"] == 7
+
+
+def test_request_times(spark):
+    began = time.time() - 5
+    answers = spark.createDataFrame([("r", 0, "a"), ("r", 1, "b"), ("s", 0, None)], "request_id string, q_pos int, answer string")
+    got = {r.request_id: (r.seconds, r.rows) for r in service.request_times(answers, began).collect()}
+    assert {k: n for k, (_, n) in got.items()} == {"r": 2, "s": 1} and all(5 <= s < 120 for s, _ in got.values())
+    assert service.request_times(answers.limit(0), began).collect() == []
+
+
+def test_landed_files_as_a_stream(spark, tmp_path):
+    source, target, check = tmp_path / "in", f"file://{tmp_path}/out", f"file://{tmp_path}/check"
+    source.mkdir()
+    timings = landing.Timings()
+    spark.streams.addListener(timings)
+    try:
+        put = lambda **files_: [(source / name.replace("_", ".")).write_bytes(data) for name, data in files_.items()]
+        put(a_eml=mail(), b_docx=BASIC, c_txt=b"plain", d_doc=b"junk")
+        landing.follow_files(spark, str(source), target, check, files_at_once=3).awaitTermination()
+        put(e_docx=BASIC, f_pdf=b"%PDF", g_eml=b"")
+        for _ in range(2):  # the second finds nothing new
+            query = landing.follow_files(spark, str(source), target, check)
+            query.awaitTermination()
+        deadline = time.monotonic() + 5
+        while sum(r["rows"] for r in timings.rows) < 7 and time.monotonic() < deadline:
+            time.sleep(0.2)
+    finally:
+        spark.streams.removeListener(timings)
+    whole = {(r.source_file.rpartition("/")[2], r.status, r.text) for r in service.read_documents(spark, str(source)).collect()}
+    good, bad = landing.documents(spark, target), landing.dead_letters(spark, target)
+    got = [(r.source_file.rpartition("/")[2], r.status, r.text) for r in good.collect()]
+    assert sorted(got) == sorted(x for x in whole if x[1] == "ok") and len(got) == len(set(got))
+    assert sorted((r.source_file.rpartition("/")[2], r.status) for r in bad.collect()) == sorted((f, s) for f, s, _ in whole if s != "ok")
+    assert {r.source_file.rpartition("/")[2]: r.length for r in bad.collect()} == {"c.txt": 5, "d.doc": 4, "f.pdf": 4}
+    assert {r["batch"] for r in timings.rows} >= {0, 1} and all(r["seconds"] > 0 and r["rows"] > 0 for r in timings.rows) and timings.table(spark).count() == len(timings.rows)
+    last = max((tmp_path / "check/commits").glob("[0-9]*"), key=lambda p: int(p.name))
+    last.unlink()  # a batch that was not known to be finished is done again, with the same files
+    (last.parent / f".{last.name}.crc").unlink(missing_ok=True)
+    landing.follow_files(spark, str(source), target, check).awaitTermination()
+    assert landing.documents(spark, target).count() == len(got)

@@ -102,3 +102,24 @@ def test_noise_near_misses(spark):
     lines = ["NIU 12", "Reg of No", "CNI 5", "Page three of four.", "4x", "www.example.org!", "E-mail to me!", "Call me: Toll Free!", "For details, Toll.", "Head Office: here!", "Plot no 5!", "Short!"]
     rows = spark.createDataFrame([(1, "\n".join(lines))], "doc_id long, text string")
     assert cleaning.kept_lines(rows).first().lines == lines
+
+
+def test_chunks_of_rows(spark):
+    import random
+
+    from veldspar.sources import files
+
+    rng, docs = random.Random(11), []
+    for d in range(40):
+        sizes = rng.choice([[3, 20, 60], [40, 380, 415, 440, 461, 462, 463], [1, 30, 511, 512, 600], [2]])
+        docs.append((d, [("x" * (rng.choice(sizes) - 1)) + "." for _ in range(rng.choice([1, 2, 5, 40, 300]))]))
+    docs += [(None, ["first.", "second."]), (100, ["a." * 3000, "b."]), (101, ["s.", "t" * 509 + ".", "u."]), (102, ["s.", "t" * 470 + ".", "u."])]
+    rows = spark.createDataFrame([(d, i, p) for d, parts in docs for i, p in enumerate(parts)], "doc_id long, i int, part string")
+    for size, overlap in ((512, 50), (120, 0)):
+        expected = sorted((str(d), k, t) for d, parts in docs for k, t in enumerate(chunking.pack_sentences(parts, size, overlap)))
+        assert sorted((str(r.doc_id), r.chunk_index, r.text) for r in chunking.chunks_of_rows(rows, files.written, size, overlap).collect()) == expected
+    assert chunking.chunks_of_rows(rows.limit(0), files.written).collect() == []
+    cut = chunking.placed(rows, block=7)
+    assert sorted(map(str, cut.collect())) == sorted(map(str, chunking.placed(rows).collect()))
+    short = chunking.followers(cut, 512, 50, stretch=700)  # stretches of a few parts
+    assert sorted(map(str, short.collect())) == sorted(map(str, chunking.followers(cut, 512, 50).collect()))

@@ -6,7 +6,9 @@ document's own sentences, so no rows are exchanged.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import SPACE, strip
@@ -54,7 +56,7 @@ def packed(parts: Column, size: int = 512, overlap: int = 50) -> Column:
 
 
 def packed_native(parts: Column, size: int = 512, overlap: int = 50) -> Column:
-    """The same as one SQL fold: slower, but without Python."""
+    """The same as one SQL fold, without Python; takes about as long."""
     state = F.struct(F.array().cast("array<string>").alias("o"), F.lit("").alias("b"), F.lit(False).alias("fresh"))
     tail = (lambda s: F.right(s, F.lit(overlap))) if overlap > 0 else (lambda s: F.lit(""))
 
@@ -75,3 +77,90 @@ def packed_native(parts: Column, size: int = 512, overlap: int = 50) -> Column:
 def chunks(docs: DataFrame, text: str = "cleaned", size: int = 512, overlap: int = 50) -> DataFrame:
     """(doc_id, chunk_index, text), one row a chunk (K7). Empty and null texts give none."""
     return docs.select("doc_id", F.posexplode(packed(sentences(F.col(text)), size, overlap)).alias("chunk_index", "text"))
+
+
+# -- documents larger than a task -------------------------------------------------------------------
+
+
+def placed(parts: DataFrame, block: int = 4096) -> DataFrame:
+    """``parts`` (doc_id, i, part) with ``begin``: the characters before the part, each part counted with a space.
+
+    A document is summed in blocks of parts, so that no task needs all of it; what is summed over a whole document is a row a block.
+    """
+    sized = parts.withColumn("block", F.floor(F.col("i") / block)).withColumn("n", F.length("part") + 1)
+    sums = sized.groupBy("doc_id", "block").agg(F.sum("n").alias("all"))
+    before = sums.select("doc_id", "block", F.coalesce(F.sum("all").over(Window.partitionBy("doc_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    within = F.coalesce(F.sum("n").over(Window.partitionBy("doc_id", "block").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    joined = sized.withColumn("within", within).withColumnRenamed("doc_id", "of").join(before.withColumnRenamed("block", "b"), F.col("of").eqNullSafe(F.col("doc_id")) & (F.col("block") == F.col("b")))
+    return joined.select("doc_id", "i", "part", "n", (F.col("before") + F.col("within")).alias("begin"))
+
+
+def followers(parts: DataFrame, size: int, overlap: int, stretch: int = 1 << 20) -> DataFrame:
+    """(doc_id, i, next, alone) for parts as of ``placed``: where the chunk after one that begins at i begins, as it is with a whole overlap before it.
+
+    How far a chunk reaches is a window over the next ``size - overlap`` characters, so a document is
+    looked at in stretches of characters, each with as many more from the next one.
+    """
+    room = size - overlap
+    at = F.floor(F.col("begin") / stretch)
+    ends = parts.groupBy("doc_id").agg((F.max("i") + 1).alias("i"), F.max(F.col("begin") + F.col("n")).alias("begin"))
+    every = parts.select("doc_id", "i", "begin", "n").unionByName(ends.select("doc_id", "i", "begin", F.lit(None).cast("int").alias("n")))
+    both = F.array_distinct(F.array(at, F.greatest(F.floor((F.col("begin") - room) / stretch), F.lit(0))))
+    dealt = every.withColumn("own", at).withColumn("s", F.explode(both))
+    reach = F.max("i").over(Window.partitionBy("doc_id", "s").orderBy("begin").rangeBetween(Window.currentRow, room))
+    alone = F.col("n") > room
+    return dealt.withColumn("far", reach).where("s = own and n is not null").select("doc_id", "i", F.when(alone, F.col("i") + 1).otherwise(F.col("far")).alias("next"), alone.alias("alone"))
+
+
+def _first(parts: DataFrame, size: int, overlap: int) -> DataFrame:
+    """(doc_id, i, next, alone) of each document's first chunk, which has no overlap before it, and of the part alone that follows if that chunk is shorter than an overlap."""
+    near = parts.where(F.col("begin") <= size)
+    fits = F.coalesce(F.max(F.when(F.col("begin") + F.col("n") <= size, F.struct(F.col("i") + 1, F.col("begin") + F.col("n")))), F.struct(F.lit(0), F.lit(0)))
+    first = near.groupBy("doc_id").agg(fits.alias("f"), F.max("i").alias("last")).select("doc_id", F.col("f.col1").alias("j"), F.col("f.col2").alias("t"), "last")
+    row = lambda i, following, alone: F.struct(i.alias("i"), following.alias("next"), F.lit(alone).alias("alone"))
+    zero, j = F.lit(0), F.col("j")
+    short = (F.col("t") < overlap) & (F.col("last") >= j)
+    rows = F.when(j == 0, F.array(row(zero, zero + 1, True))).when(short, F.array(row(zero, j, False), row(j, j + 1, True))).otherwise(F.array(row(zero, j, False)))
+    return first.select("doc_id", F.posexplode(rows).alias("chunk_index", "r")).select("doc_id", "chunk_index", "r.*")
+
+
+def chunks_of_rows(parts: DataFrame, write: Callable[[DataFrame], DataFrame], size: int = 512, overlap: int = 50) -> DataFrame:
+    """(doc_id, chunk_index, text): the chunks of ``packed``, of sentences that are rows (doc_id, i from 0, part), for documents of any length.
+
+    Where a chunk ends depends only on where it begins, as all but the first have a whole overlap
+    before them. So each sentence knows its follower, were a chunk to begin with it, and which ones
+    do is found by pointer doubling: in each round the known beginnings leap once more, and leaps
+    become twice as long. No row, group or task holds a document. ``write`` makes a table of rows
+    that are read more than once, such as ``files.written``. An overlap is at most half a chunk. Nulls in doc_id are one document.
+    """
+    if not 0 <= 2 * overlap < size:
+        raise ValueError("an overlap is at most half a chunk")
+    known = write(placed(parts))
+    leaps = write(followers(known, size, overlap))
+    first = write(_first(known, size, overlap))
+    last = first.groupBy("doc_id").agg(F.max(F.struct("chunk_index", "next")).alias("l"))
+    marks = write(last.select("doc_id", F.col("l.next").alias("i"), (F.col("l.chunk_index") + 1).alias("chunk_index")))
+    same = lambda a, b: F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id"))
+    jumps, length = leaps.select("doc_id", "i", "next"), 1
+    while True:
+        leapt = marks.alias("m").join(jumps.alias("j"), same("m", "j") & (F.col("m.i") == F.col("j.i"))).select("m.doc_id", F.col("j.next").alias("i"), (F.col("m.chunk_index") + length).alias("chunk_index"))
+        more = write(leapt)
+        if more.isEmpty():
+            break
+        marks, length = write(marks.unionByName(more)), length * 2
+        jumps = write(jumps.alias("a").join(jumps.alias("b"), same("a", "b") & (F.col("a.next") == F.col("b.i"))).select("a.doc_id", "a.i", F.col("b.next").alias("next")))
+    begun = marks.alias("m").join(leaps.alias("j"), same("m", "j") & (F.col("m.i") == F.col("j.i"))).select("m.doc_id", "m.chunk_index", "m.i", "j.next", "j.alone")
+    spans = first.select("doc_id", "chunk_index", "i", "next", "alone").unionByName(begun)
+    members = spans.select("doc_id", "chunk_index", "alone", F.explode(F.sequence(F.col("i"), F.col("next") - 1)).alias("i"))
+    texts = members.alias("m").join(known.alias("p"), same("m", "p") & (F.col("m.i") == F.col("p.i"))).select("m.doc_id", "m.chunk_index", "m.alone", "m.i", "p.part")
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "part"))), lambda x: x["part"]), " ")
+    own = write(texts.groupBy("doc_id", "chunk_index").agg(F.max("alone").alias("alone"), joined.alias("own")).withColumn("own", F.when(F.col("alone"), F.col("own")).otherwise(F.concat("own", F.lit(" ")))))
+    # an overlap reaches back over two chunks at most: of two that follow one another, one is long
+    tail = own.select("doc_id", "chunk_index", F.right("own", F.lit(max(overlap, 1))).alias("tail"))
+    one, two = (tail.select("doc_id", (F.col("chunk_index") + d).alias("chunk_index"), F.col("tail").alias(f"tail{d}")) for d in (1, 2))
+    with_tails = own.alias("o")
+    for name, side in (("a", one), ("b", two)):
+        with_tails = with_tails.join(side.alias(name), same("o", name) & (F.col("o.chunk_index") == F.col(f"{name}.chunk_index")), "left")
+    carried = F.right(F.concat(F.coalesce("tail2", F.lit("")), F.coalesce("tail1", F.lit(""))), F.lit(overlap)) if overlap else F.lit("")
+    text = F.when(F.col("alone"), strip(F.col("own"))).otherwise(strip(F.concat(carried, F.col("own"))))
+    return with_tails.select("o.doc_id", F.col("o.chunk_index").cast("int").alias("chunk_index"), text.alias("text"))

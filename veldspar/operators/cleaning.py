@@ -68,6 +68,16 @@ def kept_lines(docs: DataFrame, strict: bool = False) -> DataFrame:
     )
 
 
+def kept_line_rows(rows: DataFrame, strict: bool = False) -> DataFrame:
+    """(doc_id, line_no, line): what ``kept_lines`` keeps of lines that are rows, for documents of any length.
+
+    Repeated lines are counted by document and line, combined before the shuffle, so no row, group or task holds a document.
+    """
+    own = rows.select("doc_id", "line_no", strip(F.col("line")).alias("line")).where("line <> ''").where(~F.col("line").rlike(any_noise(strict)))
+    many = own.where(F.length("line") > LONGER_THAN).groupBy("doc_id", "line").count().where(F.col("count") >= REPEATS).select(F.col("doc_id").alias("of"), F.col("line").alias("again"))
+    return own.join(many, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("line") == F.col("again")), "left_anti")
+
+
 def ocr_literals(text: Column) -> Column:
     """Ten literal corrections, in order."""
     for wrong, right in OCR_LITERALS:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..sources.files import shared_folder
+from ..sources.files import written
 from .retrieval import _best, _units
 
 #: Scores are rounded to six places, and ties go to the smaller id: what might round to the k-th best is no farther than this beyond it.
@@ -133,12 +133,6 @@ class Index:
 
         return questions.select("question_id", "vector").mapInArrow(ask, f"question_id {kind}, asked array<double>, cluster int, far double")
 
-    def _written(self, df: DataFrame) -> DataFrame:
-        """The same rows as a table in the shared folder: what follows reads it more than once."""
-        folder = shared_folder(self.spark)
-        df.write.parquet(folder)
-        return self.spark.read.schema(df.schema).parquet(folder)
-
     def _blocks(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/blocks")
 
@@ -218,10 +212,10 @@ class Index:
 
     def _found(self, questions: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
         """(questions that can have hits, the blocks that each has to meet)."""
-        asked = self._written(self._asked(questions))
-        first = self._written(self._first(asked, k))
-        bounds = self._written(self._ranked(self._scored(asked, first, k), k).where(F.col("rank") == k).withColumnRenamed("score", "least"))
-        return asked, self._written(self._reached(asked, bounds))
+        asked = written(self._asked(questions))
+        first = written(self._first(asked, k))
+        bounds = written(self._ranked(self._scored(asked, first, k), k).where(F.col("rank") == k).withColumnRenamed("score", "least"))
+        return asked, written(self._reached(asked, bounds))
 
     def _ranked(self, found: DataFrame, k: int) -> DataFrame:
         order = Window.partitionBy("question_id").orderBy(F.desc("score"), *self.ids)

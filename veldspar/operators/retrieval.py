@@ -35,37 +35,101 @@ def top_k(points: DataFrame, questions: DataFrame, k: int = 3, block: int = 2048
 
     ``points``: ``ids`` (whole numbers) and vector; ``questions``: question_id, vector. A point is a hit
     if its vector is as long as the question's, finite and not zero; each is judged by itself. Ties go to
-    the smaller id. ``scope``: a column of both, on which point and question must agree: they are
-    joined on it, so a question meets no other points. Otherwise the questions are the stated query
+    the smaller id. ``scope``: a column of both, on which point and question must agree, so a question
+    meets no other points; a null agrees with nothing. Otherwise the questions are the stated query
     set: ``blocks`` blocks of at most ``block`` go to the executors at a time, each scored against all
     points by matrix products; a task keeps the best k of each question.
     """
     kind = dict(questions.dtypes)["question_id"]
     names, schema = ["question_id", "score", *ids], f"question_id {kind}, score double, {', '.join(f'{i} bigint' for i in ids)}"
-    found = _within(points, questions, scope, ids, schema) if scope else _among_all(points, questions, k, block, blocks, ids, names, schema)
+    found = _within(points, questions, k, scope, ids, names, schema) if scope else _among_all(points, questions, k, block, blocks, ids, names, schema)
     rank = F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("score"), *ids))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("question_id", "rank", "score", *ids)
 
 
-def _within(points: DataFrame, questions: DataFrame, scope: str, ids: tuple[str, ...], schema: str) -> DataFrame:
-    """Scores of the pairs that agree on ``scope``: an equi-join, whose large keys are split as they come."""
-    asked = questions.select("question_id", F.col("vector").alias("asked"), F.col(scope).alias("_scope"))
-    there = points.select(*[F.col(i).alias(f"_{i}") for i in ids], "vector", F.col(scope).alias("_of"))
-    pairs = there.join(asked, F.col("_of") == F.col("_scope")).where(F.size("vector") == F.size("asked")).select("question_id", *[f"_{i}" for i in ids], "asked", "vector")
+#: Questions of a document's scope that each task gets whole, in bytes of their vectors; more of them are dealt out with their documents.
+MOST_ASKED = 64 << 20
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _by_width(known: list, column: pa.Array) -> list[tuple[int, list, np.ndarray]]:
+    """(width, question ids, unit vectors) of questions, by the length of their vectors."""
+    groups = []
+    for width in filter(None, pc.unique(pc.fill_null(pc.list_value_length(column), 0)).to_pylist()):
+        rows, wide = _units(column, width)
+        groups.append((width, [known[r] for r in rows.tolist()], wide))
+    return groups
+
+
+def _keep_best(held: dict, groups: list[tuple[int, list, np.ndarray]], point_ids: list[tuple], column: pa.Array, k: int) -> None:
+    """Adds to ``held`` (question id -> its k best so far) what these points give."""
+    for width, known, wide in groups:
+        rows, vectors = _units(column, width)
+        if not len(rows):
+            continue
+        there = [point_ids[r] for r in rows.tolist()]
+        for q, scores in zip(known, np.round(wide @ vectors.T, 6), strict=True):
+            held[q] = sorted(held.get(q, []) + _best(scores, there, k))[:k]
+
+
+def _rows(held: dict, kind: pa.DataType, ids: tuple[str, ...]) -> list[pa.Array]:
+    out = [(q, -s, *point) for q, rows in held.items() for s, *point in rows]
+    return [pa.array([r[c] for r in out], t) for c, t in enumerate((kind, pa.float64(), *[pa.int64()] * len(ids)))]
+
+
+def _within(points: DataFrame, questions: DataFrame, k: int, scope: str, ids: tuple[str, ...], names: list[str], schema: str, most: int = MOST_ASKED) -> DataFrame:
+    """The k best of each question among the points that agree with it on ``scope``, a few for each task that had some.
+
+    If the questions' vectors have ``most`` bytes or fewer they go to the tasks, and no point is moved: a
+    document with very many points is met wherever its points lie. Otherwise points and questions of a
+    document are dealt to tasks together, in parts of a bounded number of either. No pair is ever a row.
+    """
+    asked = questions.where(F.col(scope).isNotNull()).select("question_id", "vector", F.col(scope).alias("_scope"))
+    there = points.select(*[F.col(i).cast("bigint").alias(i) for i in ids], "vector", F.col(scope).alias("_scope"))
+    size = asked.agg(F.sum(F.greatest(F.coalesce(F.size("vector"), F.lit(0)), F.lit(0)).cast("long") * 8 + 64)).first()[0] or 0
+    return _in_place(there, asked, k, ids, names, schema) if size <= most else _dealt(there, asked, k, ids, names, schema)
+
+
+def _in_place(there: DataFrame, asked: DataFrame, k: int, ids: tuple[str, ...], names: list[str], schema: str) -> DataFrame:
+    table = asked.toArrow().combine_chunks()
+    kind, places = table.schema.field("question_id").type, {}
+    for row, value in enumerate(table["_scope"].to_pylist()):
+        places.setdefault(value, []).append(row)
+    vectors = table["vector"].combine_chunks() if table.num_rows else None
+    groups = {value: _by_width(table["question_id"].take(pa.array(rows)).to_pylist(), vectors.take(pa.array(rows))) for value, rows in places.items()}
+    sent = asked.sparkSession.sparkContext.broadcast(pickle.dumps(groups))
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        groups, held = pickle.loads(sent.value), {}  # noqa: S301  sent by this driver
         for batch in batches:
-            a, b = batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1)
-            widths = pc.list_value_length(a).to_numpy(zero_copy_only=False)
-            for width in np.unique(widths).tolist():
-                place = np.flatnonzero(widths == width)
-                (i, x), (j, y) = (_units(c.take(pa.array(place)), int(width)) for c in (a, b))
-                both, at, to = np.intersect1d(i, j, return_indices=True)
-                scores = np.round(np.einsum("ij,ij->i", x[at], y[to]), 6)
-                rows = pa.array(place[both])
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), pa.array(scores, pa.float64()), *(batch.column(c + 1).take(rows) for c in range(len(ids)))], ["question_id", "score", *ids])
+            of: dict = {}
+            for row, value in enumerate(batch.column(len(ids) + 1).to_pylist()):
+                if value in groups:
+                    of.setdefault(value, []).append(row)
+            for value, rows in of.items():
+                part = batch.take(pa.array(rows))
+                _keep_best(held, groups[value], list(zip(*(part.column(c).to_pylist() for c in range(len(ids))), strict=True)), part.column(len(ids)), k)
+        yield pa.RecordBatch.from_arrays(_rows(held, kind, ids), names)
+
+    return there.mapInArrow(best, schema)
+
+
+def _dealt(there: DataFrame, asked: DataFrame, k: int, ids: tuple[str, ...], names: list[str], schema: str, block: int = 8192) -> DataFrame:
+    n_asked = asked.groupBy("_scope").agg(F.ceil(F.count("*") / block).cast("int").alias("asked_parts"))
+    met = there.join(n_asked.select("_scope"), "_scope", "left_semi")
+    parts = met.groupBy("_scope").agg(F.ceil(F.count("*") / block).cast("int").alias("parts")).join(n_asked, "_scope")
+    all_, own = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1)), lambda n, *key: F.pmod(F.xxhash64(*key), F.col(n)).cast("int")
+    points = met.join(parts, "_scope").select("_scope", own("parts", *ids).alias("_a"), all_("asked_parts").alias("_b"), *ids, "vector")
+    questions = asked.join(parts, "_scope").select("_scope", all_("parts").alias("_a"), own("asked_parts", "question_id").alias("_b"), "question_id", "vector")
+
+    def best(left: pa.Table, right: pa.Table) -> pa.Table:
+        held: dict = {}
+        if left.num_rows and right.num_rows:
+            groups = _by_width(right["question_id"].to_pylist(), right["vector"].combine_chunks())
+            _keep_best(held, groups, list(zip(*(left[i].to_pylist() for i in ids), strict=True)), left["vector"].combine_chunks(), k)
+        return pa.Table.from_arrays(_rows(held, right.schema.field("question_id").type, ids), names)
 
-    return pairs.mapInArrow(score, schema)
+    by = ("_scope", "_a", "_b")
+    return points.groupBy(*by).cogroup(questions.groupBy(*by)).applyInArrow(best, schema)
 
 
 def _among_all(points: DataFrame, questions: DataFrame, k: int, block: int, blocks: int, ids: tuple[str, ...], names: list[str], schema: str) -> DataFrame:
@@ -76,29 +140,15 @@ def _among_all(points: DataFrame, questions: DataFrame, k: int, block: int, bloc
         asked = numbered.where(F.col("_part") == part).select("question_id", "vector").toArrow().combine_chunks()
         if not asked.num_rows:
             continue
-        vectors, kind = asked["vector"].combine_chunks(), asked.schema.field("question_id").type
-        groups = []
-        for width in filter(None, pc.unique(pc.fill_null(pc.list_value_length(vectors), 0)).to_pylist()):
-            rows, wide = _units(vectors, width)
-            known = asked["question_id"].take(pa.array(rows)).to_pylist()
-            groups += [(width, known[at : at + block], wide[at : at + block]) for at in range(0, len(known), block)]
+        kind = asked.schema.field("question_id").type
+        groups = [(width, known[at : at + block], wide[at : at + block]) for width, known, wide in _by_width(asked["question_id"].to_pylist(), asked["vector"].combine_chunks()) for at in range(0, len(known), block)]
         sent = spark.sparkContext.broadcast(pickle.dumps(groups))
 
         def best(batches: Iterator[pa.RecordBatch], sent=sent, kind=kind) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
-            groups = pickle.loads(sent.value)  # noqa: S301  sent by this driver
-            held: list[list[list[tuple]]] = [[[] for _ in known] for _, known, _ in groups]
+            groups, held = pickle.loads(sent.value), {}  # noqa: S301  sent by this driver
             for batch in batches:
-                point_ids = list(zip(*(batch.column(c).to_pylist() for c in range(len(ids))), strict=True))
-                units = {width: _units(batch.column(len(ids)), width) for width, _, _ in groups}
-                for (width, _, wide), kept in zip(groups, held, strict=True):
-                    rows, vectors = units[width]
-                    if len(rows):
-                        there = [point_ids[r] for r in rows.tolist()]
-                        scores = np.round(wide @ vectors.T, 6)
-                        for q in range(len(kept)):
-                            kept[q] = sorted(kept[q] + _best(scores[q], there, k))[:k]
-            out = [(q, -s, *point) for (_, known, _), kept in zip(groups, held, strict=True) for q, rows in zip(known, kept, strict=True) for s, *point in rows]
-            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in enumerate((kind, pa.float64(), *[pa.int64()] * len(ids)))], names)
+                _keep_best(held, groups, list(zip(*(batch.column(c).to_pylist() for c in range(len(ids))), strict=True)), batch.column(len(ids)), k)
+            yield pa.RecordBatch.from_arrays(_rows(held, kind, ids), names)
 
         hits = points.select(*[F.col(i).cast("bigint").alias(i) for i in ids], "vector").mapInArrow(best, schema)
         found = hits if found is None else found.unionByName(hits)

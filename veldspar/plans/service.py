@@ -36,10 +36,15 @@ def http_status(status: Column) -> Column:
 
 def read_documents(spark: SparkSession, path: str, config: PipelineConfig | None = None) -> DataFrame:
     """Landed files as (doc_id, source_file, text, status), cleaned, tables behind the text."""
+    return documents_of(files.landed(spark, path), config)
+
+
+def documents_of(landed: DataFrame, config: PipelineConfig | None = None, *also: str) -> DataFrame:
+    """The same of files (path, content, ext, format) that are at hand; ``also`` are further columns to keep."""
     config = config or PipelineConfig()
-    parsed = parsers.parsed(files.landed(spark, path))
+    parsed = parsers.parsed(landed)
     texts = parsers.document_text(parsed, config.suppress_none, config.row_terminator)
-    return texts.select(F.xxhash64("path").alias("doc_id"), F.col("path").alias("source_file"), F.col("doc_text").alias("text"), "status")
+    return texts.select(F.xxhash64("path").alias("doc_id"), F.col("path").alias("source_file"), F.col("doc_text").alias("text"), "status", *also)
 
 
 def download(requests: DataFrame, config: PipelineConfig | None = None) -> DataFrame:
@@ -57,6 +62,24 @@ def observed(df: DataFrame, name: str) -> tuple[DataFrame, Observation]:
     return df.observe(seen, F.count(F.lit(1)).alias("rows")), seen
 
 
+def request_times(answers: DataFrame, began: float) -> DataFrame:
+    """(request_id, seconds, rows): from ``began`` (as of time.time()) until the last row of each request was made, and how many it has (A5).
+
+    Rows are stamped by the task that makes them, batch by batch, so ``answers`` is run by this.
+    """
+
+    @F.arrow_udf("double")
+    def now(rows):  # noqa: ANN001, ANN202
+        import time
+
+        import pyarrow as pa
+
+        return pa.array([time.time()] * len(rows))
+
+    stamped = answers.select("request_id", now.asNondeterministic()(F.col("request_id")).alias("at"))
+    return stamped.groupBy("request_id").agg((F.max("at") - began).alias("seconds"), F.count("*").alias("rows"))
+
+
 def ingest(docs: DataFrame, config: PipelineConfig | None = None, cleaned: bool = False, load: object = embedding.hashed_embedder) -> DataFrame:
     """Points of documents (doc_id, text, and source_file where it is known): clean, split, pack, encode.
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .config import PipelineConfig
 from .functions.html import html_text, table_rows
 from .functions.text import squeeze
-from .operators import answering, chunking, cleaning, embedding, index, parsers, retrieval, store, tables
+from .operators import answering, chunking, cleaning, embedding, index, learned, parsers, retrieval, store, tables
 from .plans import service
 from .sources import files
 
@@ -273,6 +273,13 @@ def c3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_blank", F.when(F.size("lines") > 0, F.array_join("lines", "|")).alias("kept"))
 
 
+@query("c2_kept_line_rows", f"select doc_id, (pos - 1)::integer as line_no, md5(line) as line_md5 from ({KEPT})")
+def c2_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is kept of lines that are rows."""
+    rows = documents(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    return cleaning.kept_line_rows(rows).select("doc_id", "line_no", F.md5("line").alias("line_md5"))
+
+
 @query("c4_noise_hits", " union all ".join(f"select {r}::integer as rule_id, '{n}' as rule, count(*) filter (regexp_matches(line, {quoted('(?i)' + p)}))::bigint as n_lines from ({LINES}) where line <> ''" for r, n, p in cleaning.NOISE))
 def c4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaning.noise_hits(files.spread(documents(spark, sf_dir)))
@@ -340,6 +347,13 @@ def k2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _chunks(spark, sf_dir)
 
 
+@query("k2_chunks_of_rows", f"select doc_id, chunk_index::integer as chunk_index, md5(text) as text_md5 from ({CHUNKS})")
+def k2_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of sentences that are rows, by pointer doubling."""
+    split = cleaning.clean(files.spread(documents(spark, sf_dir))).select("doc_id", F.posexplode(chunking.sentences(F.col("cleaned"))).alias("i", "part"))
+    return chunking.chunks_of_rows(split, files.written).select("doc_id", "chunk_index", F.md5("text").alias("text_md5"))
+
+
 @query("k3_oversize_chunks", f"select doc_id, chunk_index, length(text)::bigint as n_chars from ({CHUNKS}) where length(text) > 512")
 def k3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _chunks(spark, sf_dir).select("doc_id", "chunk_index", F.length("text").cast("bigint").alias("n_chars")).where("n_chars > 512")
@@ -377,6 +391,17 @@ def e2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding.hashed_terms(e1(spark, sf_dir), "item_id")
 
 
+COUNTED_TERMS = hashed_sql("select doc_id, text from documents", "doc_id").replace("% 768", "% 16384")
+
+
+@query("e2_weighted_terms", f"with t as ({COUNTED_TERMS}), r as (select bucket, ln((1.0::double + (select count(*) from documents)) / (1.0::double + count(*))) + 1.0 as idf from t group by 1) select doc_id, count(*)::bigint as n_terms, round(sum(weight * idf), 6) as total, round(sqrt(sum(weight * idf * weight * idf)), 6) as norm from t join r using (bucket) group by 1")
+def e2_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The terms of all documents, weighted by how rare they are: what the learned encoder starts from."""
+    terms = learned.weighted_terms(documents(spark, sf_dir), "doc_id", 1 << 14)
+    w = F.col("weight")
+    return terms.groupBy("doc_id").agg(F.count("*").alias("n_terms"), F.round(F.sum(w), 6).alias("total"), F.round(F.sqrt(F.sum(w * w)), 6).alias("norm"))
+
+
 NORM = "list_transform(embedding, lambda x: x::double / sqrt(list_sum(list_transform(embedding, lambda y: y::double * y::double))))"
 
 

@@ -21,8 +21,12 @@ def extension(url: Column) -> Column:
 
 def landed(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
     """Files that were fetched: path, content, extension and format (S1, S2, S7). No file: no rows."""
-    files = spark.read.format("binaryFile").schema(RAW).load(path)
-    return files.select("path", "content", extension(F.col("path")).alias("ext")).withColumn("format", format_of(F.col("ext"), strict))
+    return dispatched(spark.read.format("binaryFile").schema(RAW).load(path), strict).drop("length")
+
+
+def dispatched(files: DataFrame, strict: bool = False) -> DataFrame:
+    """Files as ``binaryFile`` gives them, as a table or as a stream: path, length, content, extension and format."""
+    return files.select("path", "length", "content", extension(F.col("path")).alias("ext")).withColumn("format", format_of(F.col("ext"), strict))
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -37,6 +41,13 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{top.rstrip('/')}/files-{uuid.uuid4()}"
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The same rows as a table in the shared folder, for what reads them more than once; lineage ends there."""
+    folder = shared_folder(df.sparkSession)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def spread(docs: DataFrame) -> DataFrame:
     """``docs`` dealt to as many tasks as can run at once, where its bytes, as planned, give fewer; large inputs stay as they are read."""
     spark = docs.sparkSession
