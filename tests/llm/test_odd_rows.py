@@ -1,12 +1,11 @@
 """Rows that used to end a job, lose rows or change with their order."""
 
-import json
-
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from veldspar.llm import chat, embedding, line_dedup, packing, warc
+from veldspar.llm import chat, embedding, language, line_dedup, packing, queries, warc
 
 
 def test_records_that_cannot_be_turns(spark):
@@ -93,3 +92,31 @@ def test_whole_numbers_keep_their_digits(spark):
     exact = spark.createDataFrame([(1, [2**30 + 1, 0]), (2, [2**30, 0])], "vec_id long, embedding array<int>")
     packed = [r.vec for r in embedding._packed(exact, "<f8").collect()]
     assert packed[0] != packed[1]
+
+
+def test_an_item_without_its_answer_is_no_leak(spark, tmp_path):
+    body = " ".join(f"word{k}" for k in range(60))
+    items = [(1, f"{body}. It is quite forty two."), (2, "one single sentence of seven words here"), (3, "Who? Me.")]
+    docs = [(1, f"before {body}. It is quite forty two. after"), (2, f"before {body} after"), (3, f"{body}. It is quite forty three"), (4, f"{body}. It is quite other"), (5, "so one single sentence of seven words here it is"), (6, None), (7, "nothing at all")]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(map(tuple, queries.op6_decontamination(spark, str(tmp_path)).collect()))
+    assert [r[:2] for r in got] == [(1, 1), (3, 1), (5, 2)]
+    con = duckdb.connect()
+    for t in ("benchmark", "documents"):
+        con.sql(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    assert sorted(con.sql(queries.LEAKS_SQL).fetchall()) == got
+
+
+def test_letters_of_any_plane():
+    spectrum = language.Spectrum()
+    bold, hangul = "\U0001d400\U0001d401", "\ud400\ud401"  # the same in their lower 16 bits
+    assert set(spectrum(bold)) != set(spectrum(hangul)) and len(spectrum(bold)) == len(spectrum(hangul))
+    assert set(spectrum("a\U00010428b")) == set(spectrum("A\U00010400B"))  # Deseret, in either case
+    assert set(spectrum("x\U0001f600y")) == set(spectrum("x!y"))  # no letter
+
+
+def test_spectra_at_the_driver_are_bounded(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    whole, few = language.train_model(docs), language.train_model(docs, most_bytes=60_000)
+    assert few.landmarks.shape[1] < whole.landmarks.shape[1] and language.train_model(docs, most_bytes=10) is None

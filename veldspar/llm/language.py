@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_bytes, broadcast, frugal, int_rows, listed, small_batches
+from .common import as_bytes, broadcast, checkpointed, frugal, int_rows, listed, small_batches
 from .quality import first_texts, held_out
 
 #: Places for n-grams of one, two and three letters, each a table of its own: whole n-grams are hashed to them.
@@ -51,7 +51,10 @@ class Spectrum:
         text, found = f" {text or ''} ", []
         for at in range(0, len(text), BLOCK):
             codes = np.frombuffer(text[at : at + BLOCK + 2].encode("utf-32-le", "replace"), np.uint32)
-            c = self.table[codes & np.uint32(0xFFFF)] if codes.max(initial=0) >= 1 << 16 else self.table[codes]
+            c = self.table[codes & np.uint32(0xFFFF)]
+            if (high := np.flatnonzero(codes >> np.uint32(16))).size:  # few texts have such letters
+                known, which = np.unique(codes[high], return_inverse=True)
+                c[high] = np.array([_letter(x) for x in known.tolist()], np.uint32)[which]
             places = np.concatenate([place_of([c[k : len(c) - n + 1 + k] for k in range(n)], n) for n in (1, 2, 3) if len(c) >= n])
             order = np.arange(len(places), dtype=np.int32)
             self.last[places] = order  # one of equal places stays, without a look at all the others
@@ -107,12 +110,14 @@ def fit(rows: list[np.ndarray], langs: list[str], landmarks: int = 192, ridge: f
     return model
 
 
-def train_model(docs: DataFrame, most: int = 3000, each: int = 1000) -> Model | None:
+def train_model(docs: DataFrame, most: int = 3000, each: int = 1000, most_bytes: int = 128 << 20) -> Model | None:
     """Fit to at most ``most`` documents, at most ``each`` of a language: those of smallest hash of their id.
 
+    Of these, as many as have ``most_bytes`` of n-grams together, which is what the driver gets.
+
     Held-out rows, null ids, texts or languages teach nothing; an id with several languages counts
     as its lowest, one with several texts as that of the lowest hash. Long texts are read whole. No
-    rows: None. The driver gets the n-grams of that bounded sample only.
+    rows: None.
     """
     small_batches(docs.sparkSession)
     known = docs.where("doc_id is not null and lang is not null and text is not null").where(~held_out(of=3, remainder=1))
@@ -132,10 +137,12 @@ def train_model(docs: DataFrame, most: int = 3000, each: int = 1000) -> Model |
             found = [spectrum(t.decode("utf-8", "replace")).tobytes() for t in as_bytes(batch.column(2))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], ["order", "learned", "found"])
 
-    rows = (
-        first_texts(known, ids).select(F.xxhash64("doc_id").alias("order"), "learned", "text")
-        .mapInArrow(find, "order long, learned string, found binary").toArrow().sort_by("order")
-    )
+    spectra = checkpointed(first_texts(known, ids).select(F.xxhash64("doc_id").alias("order"), "learned", "text").mapInArrow(find, "order long, learned string, found binary"))
+    sizes = sorted(map(tuple, spectra.select("order", F.octet_length("found")).collect()))
+    fits = np.searchsorted(np.cumsum([n for _, n in sizes]), most_bytes, "right") if sizes else 0
+    if not fits:
+        return None
+    rows = spectra.where(F.col("order") <= sizes[fits - 1][0]).toArrow().sort_by("order")
     return fit(int_rows(rows["found"]), rows["learned"].to_pylist())
 
 

@@ -137,9 +137,18 @@ def _shingles_sql(table: str, key: str) -> str:
     return f"select distinct {key}, unnest(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: list_slice(w, i, i + 4)) when len(w) > 0 then [w] else [] end) as s from ({words})"
 
 
+def _words_sql(text: str) -> str:
+    return f"list_filter(list_transform(string_split_regex(lower({text}), '\\s+'), lambda w: regexp_replace(w, '[^\\p{{L}}\\p{{N}}]', '', 'g')), lambda w: w <> '')"
+
+
+#: An item's answer is its last sentence, where it has several: of its words as many have to be there as of its shingles.
 LEAKS_SQL = f"""
-with items as ({_shingles_sql("benchmark", "item_id")}), docs as ({_shingles_sql("documents", "doc_id")}), sizes as (select item_id, count(*) as n from items group by 1)
-select doc_id, item_id, round(count(*)::double / any_value(n), 6) as overlap from items join docs using (s) join sizes using (item_id) group by 1, 2 having count(*) >= 0.8 * any_value(n) - 1e-9
+with items as ({_shingles_sql("benchmark", "item_id")}), docs as ({_shingles_sql("documents", "doc_id")}), sizes as (select item_id, count(*) as n from items group by 1),
+held as (select doc_id, item_id, count(*)::double / any_value(n) as overlap from items join docs using (s) join sizes using (item_id) group by 1, 2 having count(*) >= 0.8 * any_value(n) - 1e-9),
+said as (select item_id, list_filter(string_split(regexp_replace(trim(text), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda s: s <> '') as sentences from benchmark),
+answers as (select item_id, case when len(sentences) > 1 then list_distinct({_words_sql("sentences[-1]")}) else [] end as answer from said),
+spoken as (select doc_id, list_distinct({_words_sql("text")}) as words from documents where doc_id in (select doc_id from held))
+select doc_id, item_id, round(overlap, 6) as overlap from held join answers using (item_id) join spoken using (doc_id) where len(list_intersect(answer, words)) >= 0.8 * len(answer) - 1e-9
 """
 
 WARC_SQL = """
