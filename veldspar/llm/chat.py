@@ -241,7 +241,9 @@ def digests(formatted: DataFrame) -> DataFrame:
     """What is read back from formatted conversations, as ``format_turns`` leaves them: a row for each.
 
     Turns are parsed out of the text and their escapes undone; what the loss spans cover is
-    unescaped likewise. A digest is fed segment by segment, whatever the conversation's length.
+    unescaped likewise. A digest is fed segment by segment, whatever the conversation's length. A null
+    conv_id is one conversation; turns that repeat count each, and empty texts as turns; rows of one conversation
+    have to follow one another, as they leave ``format_turns``. Other columns are not read. No rows: no rows.
     """
 
     def step(state: dict, row: tuple) -> list[tuple]:

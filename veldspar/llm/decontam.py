@@ -253,7 +253,9 @@ def contaminated(docs: DataFrame, items: DataFrame, shard_bytes: int = 16 << 20)
 def keep_clean(docs: DataFrame, items: DataFrame, shard_bytes: int = 16 << 20) -> DataFrame:
     """The rows of ``docs``, all columns, whose own text holds no item, as ``contaminated`` tells it.
 
-    Each row is decided where it is read: whatever else has its doc_id, or none, plays no part.
+    Each row is decided where it is read: whatever else has its doc_id, or none, plays no part, and
+    rows that repeat are decided alike. A null or empty text holds nothing, a long one is searched
+    whole. No rows, or no items: all rows there are.
     """
     small_batches(docs.sparkSession)
     at = docs.columns.index("text")

@@ -246,7 +246,10 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
-    """The rows of ``docs``, all columns, whose text scores ``threshold`` or more; each row by its own text, as ``score`` has it."""
+    """The rows of ``docs``, all columns, whose text scores ``threshold`` or more; each row by its own text, as ``score`` has it.
+
+    So rows that repeat go or stay together, a null text as an empty one; long ones are read whole. No rows: no rows.
+    """
     small_batches(docs.sparkSession)
     held, at = broadcast(docs.sparkSession, model), docs.columns.index("text")
 

@@ -237,6 +237,7 @@ def keep_one_each(docs: DataFrame) -> DataFrame:
     """The document with the smallest doc_id of each component, a null one last; of rows that share doc_id and text, one.
 
     Different texts with one doc_id, or none, are separate documents: of those in one component, too, one stays.
+    Null and empty texts are copies of one another; long ones are read whole. All columns stay. No rows: no rows.
     """
     prints = checkpointed(fingerprints(docs, keyed=True))
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t1", "t2")

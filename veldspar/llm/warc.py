@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import frugal, listed, small_batches
+from .common import checkpointed, frugal, listed, small_batches
 
 CRLF = b"\r\n"
 SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # a fixed value: the namespace of URLs
@@ -91,26 +91,26 @@ def members(stream: object, piece: int = 1 << 16) -> Iterator[bytes]:
 
 
 def _decisions(pages: DataFrame, least_bytes: int) -> DataFrame:
-    """(page_id, digest, refers_to) of pages whose payload others share: refers_to is the largest such page_id.
+    """(page_id, digest, refers_to) of pages (page_id, digest, size) whose payload others share: refers_to is the largest such page_id.
 
-    Digests are 128 bits of SHA-256 beside SHA-1 and length; only these go through the shuffle, counted before it.
+    Only digests go through the shuffle, counted before it.
     """
-    keys = pages.select("page_id", "digest").where(F.octet_length("payload") >= least_bytes)
+    keys = pages.where(F.col("size") >= least_bytes).select("page_id", "digest")
     shared = keys.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").select("digest", "refers_to")
     return keys.join(shared, "digest").distinct()
 
 
-def _shards(keyed: DataFrame, most: int) -> DataFrame:
-    """(page_id, digest, ..., shard, part): ranges of ids of equal width, as many as hold ``most`` records each on average.
+def _shards(rows: DataFrame, keyed: DataFrame, most: int) -> DataFrame:
+    """``rows`` (page_id, digest, ...) with shard and part: ranges of ids of equal width, as many as hold ``most`` records each on average.
 
-    A range with more than ``most`` records is split by digest into parts of about as many; null ids are a range of their own.
+    ``keyed`` has the same ids and digests, and is what is counted. A range with more than ``most`` records is split by digest into parts of about as many; null ids are a range of their own.
     """
     n, low, high = keyed.agg(F.count("page_id"), F.min("page_id"), F.max("page_id")).first()
     ranges = max(1, -(-n // most))
     width = max(1, -(-((high or 0) - (low or 0) + 1) // ranges))
     shard = F.expr(f"coalesce(cast((cast(page_id as decimal(20)) - {low or 0}) div {width} as int), -1)")
-    dealt = keyed.withColumn("shard", shard)
-    crowded = listed(dealt.groupBy("shard").count().where(F.col("count") > most).select(F.col("shard").alias("crowded"), F.ceil(F.col("count") / most).alias("parts")))
+    dealt = rows.withColumn("shard", shard)
+    crowded = listed(keyed.select(shard.alias("shard")).groupBy("shard").count().where(F.col("count") > most).select(F.col("shard").alias("crowded"), F.ceil(F.col("count") / most).alias("parts")))
     joined = dealt.join(crowded, dealt["shard"] == crowded["crowded"], "left")
     return joined.withColumn("part", F.pmod(F.xxhash64("digest"), F.coalesce("parts", F.lit(1))).cast("int")).drop("crowded", "parts")
 
@@ -129,9 +129,12 @@ def write(pages: DataFrame, folder: str, roll_bytes: int = 64 << 20, least_bytes
     small_batches(pages.sparkSession)
     keyed = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce("payload", F.lit(b"")).alias("payload"))
     keyed = keyed.withColumn("digest", F.concat(F.sha1("payload"), F.sha2("payload", 256)))
-    decided = _decisions(keyed, least_bytes).select("page_id", "digest", F.lit(0).alias("kind"), "refers_to", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"))
+    small = checkpointed(keyed.select("page_id", "digest", F.octet_length("payload").alias("size")))  # all but the writing needs no payloads
+    decisions = checkpointed(_decisions(small, least_bytes))
+    decided = decisions.select("page_id", "digest", F.lit(0).alias("kind"), "refers_to", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"))
     both = decided.unionByName(keyed.select("page_id", "digest", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("refers_to"), "url", "payload"))
-    placed = _shards(both, shard_records).select("shard", "part", "page_id", "digest", "kind", "refers_to", "url", "payload")
+    ids = decisions.select("page_id", "digest").unionByName(small.select("page_id", "digest"))
+    placed = _shards(both, ids, shard_records).select("shard", "part", "page_id", "digest", "kind", "refers_to", "url", "payload")
     ordered = placed.repartition("shard", "part").sortWithinPartitions("shard", "part", "page_id", "digest", "kind", "url")
 
     @frugal
@@ -189,7 +192,9 @@ RECORDS = "page_id long, payload_bytes long, payload_digest string, record_type
 def read(spark: SparkSession, folder: str) -> DataFrame:
     """The records of an archive whose manifest is there: payload_bytes and payload_digest are the full payload's.
 
-    A response's payload is held against its digest; a file against its size. Files are dealt to tasks, and each is read as a stream.
+    A response's payload is held against its digest; a file against its size. Files are dealt to tasks,
+    and each is read as a stream, one record at a time, however long. Null page_ids stay null; a
+    payload that was null is empty; records that repeat come each; an archive without files gives no rows.
     """
 
     @frugal
