@@ -11,7 +11,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from veldspar.config import PipelineConfig
-from veldspar.functions import html
+from veldspar.functions import html, pdf
 from veldspar.operators import answering, embedding, parsers, retrieval, store
 from veldspar.plans import service
 from veldspar.sources import files
@@ -219,6 +219,24 @@ def test_pdf_by_a_given_backend(spark):
     assert text(plain_pdf=True) == "Page one.\n\nPage two."
 
 
+def test_pdf_bytes():
+    import zlib
+
+    cmap = b"1 beginbfchar <0003> <0020> endbfchar 1 beginbfrange <0010> <0012> <0041> <0020> <0021> [<00e9> <d83dde00>] endbfrange"
+    body = b"BT /F2 9 Tf <001000110003> Tj 0 -12 Td [<0012> -250 <0020> 30 <0021>] TJ T* /F1 9 Tf (a \\(b\\) \\351\\\n.) Tj (next) ' ET % done"
+    objects = [b"<</Type/Catalog/Pages 2 0 R>>", b"<</Type/Pages/Kids[3 0 R 9 0 R]/Count 2>>", b"<</Type/Page/Contents[4 0 R]/Resources 5 0 R>>", b"<</Filter/FlateDecode>>stream\n" + zlib.compress(body) + b"\nendstream", b"<</Font<</F1 6 0 R/F2 7 0 R>>>>", b"<</Type/Font>>", b"<</Type/Font/ToUnicode 8 0 R>>", b"<<>>stream\n" + cmap + b"\nendstream"]
+    second = [b"9 0 obj <</Type/Page/Contents 10 0 R>> endobj", b"10 0 obj <</Filter/ASCIIHexDecode>>stream\n" + b"BT (second) Tj ET".hex().encode() + b">\nendstream endobj"]
+    file = b"%PDF-1.5\n" + b"".join(b"%d 0 obj %s endobj\n" % (k + 1, o) for k, o in enumerate(objects)) + b"\n".join(second)
+    assert pdf.parse(file) == ("AB \nC é😀\na (b) é.\nnext\n\nsecond", [])
+    held = b"<</Type/Page/Contents 4 0 R>>"
+    stream = zlib.compress(b"3 0 " + held)
+    packed = b"%PDF-1.5 1 0 obj<</Type/Catalog/Pages 2 0 R>>endobj 2 0 obj<</Kids[3 0 R]>>endobj 4 0 obj<<>>stream\nBT (in) Tj ET\nendstream endobj 5 0 obj<</Type/ObjStm/N 1/First 4/Filter/FlateDecode>>stream\n" + stream + b"\nendstream endobj"
+    assert pdf.parse(packed) == ("in", [])
+    for bad in (b"", b"junk", b"%PDF-1.4 trailer <</Encrypt 3 0 R>>", b"%PDF-1.4 1 0 obj<</Type/Catalog/Pages 2 0 R>>endobj 2 0 obj<</Kids[2 0 R]>>endobj", file.replace(b"/ASCIIHexDecode", b"/DCTDecode")):
+        with pytest.raises(ValueError, match="PDF|encrypted|circle|filter"):
+            pdf.parse(bad)
+
+
 def test_merged_rows_of_docx():
     down = lambda t, how: f"<w:tc><w:tcPr><w:vMerge{how}/></w:tcPr>{para(t)}</w:tc>"
     restart = ' w:val="restart"'

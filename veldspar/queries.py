@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .config import PipelineConfig
+from .functions import pdf
 from .functions.html import html_text, table_rows
 from .functions.text import squeeze
 from .operators import answering, chunking, cleaning, embedding, index, learned, parsers, retrieval, store, tables
@@ -755,6 +756,41 @@ def p1_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _items_as("pdf", spark, sf_dir, F.concat(F.col("text"), F.lit("\fThe end.")).cast("binary"), {"pdf": _paged}, plain_pdf=True)
 
 
+def _pdf(pages: Column) -> Column:
+    """A PDF file with a page for each text, compressed, a line shown for each of its lines."""
+
+    @F.arrow_udf("binary")
+    def made(column):  # noqa: ANN001, ANN202
+        import zlib
+
+        import pyarrow as pa
+
+        def one(texts: list[str]) -> bytes:
+            said = lambda t: t.encode("cp1252", "replace").replace(b"\\", b"\\\\").replace(b"(", b"\\(").replace(b")", b"\\)")
+            kids = b" ".join(b"%d 0 R" % (4 + 2 * k) for k in range(len(texts)))
+            parts = [b"<< /Type /Catalog /Pages 2 0 R >>", b"<< /Type /Pages /Kids [%s] /Count %d >>" % (kids, len(texts)), b"<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica >>"]
+            for k, text in enumerate(texts):
+                packed = zlib.compress(b"BT /F1 11 Tf 40 800 Td " + b" 0 -14 Td ".join(b"(%s) Tj" % said(t) for t in text.split("\n")) + b" ET")
+                parts += [b"<< /Type /Page /Parent 2 0 R /Resources << /Font << /F1 3 0 R >> >> /Contents %d 0 R >>" % (5 + 2 * k), b"<< /Filter /FlateDecode /Length %d >>\nstream\n%s\nendstream" % (len(packed), packed)]
+            return b"%PDF-1.4\n" + b"".join(b"%d 0 obj\n%s\nendobj\n" % (k + 1, p) for k, p in enumerate(parts)) + b"trailer << /Root 1 0 R >>\n%%EOF\n"
+
+        return pa.array([one(t) for t in column.to_pylist()], pa.binary())
+
+    return made(pages)
+
+
+@query("p1_pdf_bytes", "select item_id as doc_id, 'ok' as status, text || chr(10) || chr(10) || 'The end.' as text from benchmark")
+def p1_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PDF files of two pages, read by the reader that needs no library."""
+    return _items_as("pdf", spark, sf_dir, _pdf(F.array("text", F.lit("The end."))), {"pdf": pdf.parse}, plain_pdf=True)
+
+
+@query("p2_pdf_bytes", f"select doc_id, 'ok' as status, cleaned as text from (select doc_id, {CLEANED} as cleaned from ({JOINED.replace('documents', PAGES)}))")
+def p2_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, cleaned."""
+    return _items_as("pdf", spark, sf_dir, _pdf(F.array("text", F.lit("The end."))), {"pdf": pdf.parse})
+
+
 @query("p1_pdf_backend", "select item_id as doc_id, 'backend_missing' as status from benchmark")
 def p1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What becomes of a PDF: its text where a library is installed, backend_missing elsewhere."""
