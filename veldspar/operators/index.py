@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources.files import written
-from .retrieval import _best, _units
+from .retrieval import Best, _units
 
 #: Scores are rounded to six places, and ties go to the smaller id: what might round to the k-th best is no farther than this beyond it.
 SLACK = 1e-6
@@ -189,7 +189,7 @@ class Index:
 
         A block that many questions meet is dealt to several tasks, ``most`` questions each on average; no pair of vectors is ever a row.
         """
-        ids, kind = self.ids, dict(asked.dtypes)["question_id"]
+        ids, dimensions, kind = self.ids, self.dimensions, dict(asked.dtypes)["question_id"]
         crowds = pairs.groupBy("cluster", "block").agg(F.ceil(F.count("*") / most).cast("int").alias("parts"))
         met = pairs.select("question_id", "cluster", "block").join(crowds, ["cluster", "block"]).withColumn("part", F.pmod(F.xxhash64("question_id"), F.col("parts")).cast("int"))
         there = self._visited(pairs).join(crowds, ["cluster", "block"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
@@ -197,14 +197,12 @@ class Index:
         schema = f"question_id {kind}, score double, {', '.join(f'{i} bigint' for i in ids)}"
 
         def score(left: pa.Table, right: pa.Table) -> pa.Table:
-            kinds = [right.schema.field("question_id").type, pa.float64(), *[pa.int64()] * len(ids)]
-            out: list[tuple] = []
-            if left.num_rows and right.num_rows:
-                matrix = lambda t, c: t[c].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1)
-                held, known = matrix(left, "unit"), list(zip(*(left[i].to_pylist() for i in ids), strict=True))
-                for q, row in zip(right["question_id"].to_pylist(), np.round(matrix(right, "asked") @ held.T, 6), strict=True):
-                    out += [(q, -s, *point) for s, *point in _best(row, known, k)]
-            return pa.Table.from_arrays([pa.array([r[c] for r in out], t) for c, t in enumerate(kinds)], names)
+            both = left.num_rows and right.num_rows
+            matrix = lambda t: t["asked"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1)
+            held = Best([(dimensions, right["question_id"].to_pylist(), matrix(right))] if both else [], k)
+            if both:
+                held.add([left[i].combine_chunks() for i in ids], left["unit"].combine_chunks())
+            return pa.Table.from_arrays(held.rows(right.schema.field("question_id").type, len(ids)), names)
 
         by = ("cluster", "block", "part")
         dealt = met.join(asked.select("question_id", "asked"), "question_id").select(*by, "question_id", "asked")

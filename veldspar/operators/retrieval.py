@@ -24,10 +24,44 @@ def _units(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     return rows[good], flat[good] / norms[good, None]
 
 
-def _best(scores: np.ndarray, ids: list[tuple], k: int) -> list[tuple]:
-    """The k best (-score, *id) of a row of scores, ties to the smaller id."""
-    least = np.partition(scores, -k)[-k] if len(scores) > k else -np.inf
-    return sorted((-scores[p], *ids[p]) for p in np.flatnonzero(scores >= least))[:k]
+class Best:
+    """The k best (-score, *ids) of each question of some groups (width, question ids, unit vectors), ties to the smaller ids.
+
+    Scores are told from one another by arrays; only those that reach what a question has already are looked at one by one.
+    """
+
+    def __init__(self, groups: list[tuple[int, list, np.ndarray]], k: int):
+        self.groups, self.k = groups, k
+        self.held: list[list[list[tuple]]] = [[[] for _ in known] for _, known, _ in groups]
+        self.least = [np.full(len(known), -np.inf) for _, known, _ in groups]
+
+    def add(self, ids: list[pa.Array], column: pa.Array) -> None:
+        """Points with these ids and vectors."""
+        for (width, _, wide), held, least in zip(self.groups, self.held, self.least, strict=True):
+            rows, vectors = _units(column, width)
+            if len(rows):
+                self._add(np.round(wide @ vectors.T, 6), ids, rows, held, least)
+
+    def _add(self, scores: np.ndarray, ids: list[pa.Array], rows: np.ndarray, held: list[list[tuple]], least: np.ndarray) -> None:
+        bound = least
+        if scores.shape[1] > self.k and np.isneginf(least).any():
+            bound = np.maximum(least, np.partition(scores, -self.k, axis=1)[:, -self.k])
+        question, point = np.nonzero(scores >= bound[:, None])
+        if not len(question):
+            return
+        take = pa.array(rows[point])
+        found = list(zip((-scores[question, point]).tolist(), *(i.take(take).to_pylist() for i in ids), strict=True))
+        edges = [0, *(np.flatnonzero(np.diff(question)) + 1).tolist(), len(question)]
+        for begin, end in zip(edges, edges[1:], strict=False):
+            q = question[begin]
+            held[q] = sorted(held[q] + found[begin:end])[: self.k]
+            if len(held[q]) == self.k:
+                least[q] = -held[q][-1][0]
+
+    def rows(self, kind: pa.DataType, n_ids: int) -> list[pa.Array]:
+        """question_id, score and ids, as columns."""
+        out = [(q, -s, *point) for (_, known, _), held in zip(self.groups, self.held, strict=True) for q, best in zip(known, held, strict=True) for s, *point in best]
+        return [pa.array([r[c] for r in out], t) for c, t in enumerate((kind, pa.float64(), *[pa.int64()] * n_ids))]
 
 
 def top_k(points: DataFrame, questions: DataFrame, k: int = 3, block: int = 2048, scope: str | None = None, ids: tuple[str, ...] = ("id",), blocks: int = 8) -> DataFrame:
@@ -60,22 +94,6 @@ def _by_width(known: list, column: pa.Array) -> list[tuple[int, list, np.ndarray
     return groups
 
 
-def _keep_best(held: dict, groups: list[tuple[int, list, np.ndarray]], point_ids: list[tuple], column: pa.Array, k: int) -> None:
-    """Adds to ``held`` (question id -> its k best so far) what these points give."""
-    for width, known, wide in groups:
-        rows, vectors = _units(column, width)
-        if not len(rows):
-            continue
-        there = [point_ids[r] for r in rows.tolist()]
-        for q, scores in zip(known, np.round(wide @ vectors.T, 6), strict=True):
-            held[q] = sorted(held.get(q, []) + _best(scores, there, k))[:k]
-
-
-def _rows(held: dict, kind: pa.DataType, ids: tuple[str, ...]) -> list[pa.Array]:
-    out = [(q, -s, *point) for q, rows in held.items() for s, *point in rows]
-    return [pa.array([r[c] for r in out], t) for c, t in enumerate((kind, pa.float64(), *[pa.int64()] * len(ids)))]
-
-
 def _within(points: DataFrame, questions: DataFrame, k: int, scope: str, ids: tuple[str, ...], names: list[str], schema: str, most: int = MOST_ASKED) -> DataFrame:
     """The k best of each question among the points that agree with it on ``scope``, a few for each task that had some.
 
@@ -99,7 +117,8 @@ def _in_place(there: DataFrame, asked: DataFrame, k: int, ids: tuple[str, ...],
     sent = asked.sparkSession.sparkContext.broadcast(pickle.dumps(groups))
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        groups, held = pickle.loads(sent.value), {}  # noqa: S301  sent by this driver
+        groups = pickle.loads(sent.value)  # noqa: S301  sent by this driver
+        held: dict = {}
         for batch in batches:
             of: dict = {}
             for row, value in enumerate(batch.column(len(ids) + 1).to_pylist()):
@@ -107,8 +126,11 @@ def _in_place(there: DataFrame, asked: DataFrame, k: int, ids: tuple[str, ...],
                     of.setdefault(value, []).append(row)
             for value, rows in of.items():
                 part = batch.take(pa.array(rows))
-                _keep_best(held, groups[value], list(zip(*(part.column(c).to_pylist() for c in range(len(ids))), strict=True)), part.column(len(ids)), k)
-        yield pa.RecordBatch.from_arrays(_rows(held, kind, ids), names)
+                if value not in held:
+                    held[value] = Best(groups[value], k)
+                held[value].add(part.columns[: len(ids)], part.column(len(ids)))
+        for best in held.values():
+            yield pa.RecordBatch.from_arrays(best.rows(kind, len(ids)), names)
 
     return there.mapInArrow(best, schema)
 
@@ -122,11 +144,11 @@ def _dealt(there: DataFrame, asked: DataFrame, k: int, ids: tuple[str, ...], nam
     questions = asked.join(parts, "_scope").select("_scope", all_("parts").alias("_a"), own("asked_parts", "question_id").alias("_b"), "question_id", "vector")
 
     def best(left: pa.Table, right: pa.Table) -> pa.Table:
-        held: dict = {}
-        if left.num_rows and right.num_rows:
-            groups = _by_width(right["question_id"].to_pylist(), right["vector"].combine_chunks())
-            _keep_best(held, groups, list(zip(*(left[i].to_pylist() for i in ids), strict=True)), left["vector"].combine_chunks(), k)
-        return pa.Table.from_arrays(_rows(held, right.schema.field("question_id").type, ids), names)
+        both = left.num_rows and right.num_rows
+        held = Best(_by_width(right["question_id"].to_pylist(), right["vector"].combine_chunks()) if both else [], k)
+        if both:
+            held.add([left[i].combine_chunks() for i in ids], left["vector"].combine_chunks())
+        return pa.Table.from_arrays(held.rows(right.schema.field("question_id").type, len(ids)), names)
 
     by = ("_scope", "_a", "_b")
     return points.groupBy(*by).cogroup(questions.groupBy(*by)).applyInArrow(best, schema)
@@ -145,10 +167,10 @@ def _among_all(points: DataFrame, questions: DataFrame, k: int, block: int, bloc
         sent = spark.sparkContext.broadcast(pickle.dumps(groups))
 
         def best(batches: Iterator[pa.RecordBatch], sent=sent, kind=kind) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
-            groups, held = pickle.loads(sent.value), {}  # noqa: S301  sent by this driver
+            held = Best(pickle.loads(sent.value), k)  # noqa: S301  sent by this driver
             for batch in batches:
-                _keep_best(held, groups, list(zip(*(batch.column(c).to_pylist() for c in range(len(ids))), strict=True)), batch.column(len(ids)), k)
-            yield pa.RecordBatch.from_arrays(_rows(held, kind, ids), names)
+                held.add(batch.columns[: len(ids)], batch.column(len(ids)))
+            yield pa.RecordBatch.from_arrays(held.rows(kind, len(ids)), names)
 
         hits = points.select(*[F.col(i).cast("bigint").alias(i) for i in ids], "vector").mapInArrow(best, schema)
         found = hits if found is None else found.unionByName(hits)
