@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from veldspar.llm import chat, embedding, language, line_dedup, packing, queries, warc
+from veldspar.llm import chat, embedding, language, line_dedup, packing, pii, queries, warc
 
 
 def test_records_that_cannot_be_turns(spark):
@@ -120,3 +120,12 @@ def test_spectra_at_the_driver_are_bounded(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     whole, few = language.train_model(docs), language.train_model(docs, most_bytes=60_000)
     assert few.landmarks.shape[1] < whole.landmarks.shape[1] and language.train_model(docs, most_bytes=10) is None
+
+
+def test_no_key_is_shown(spark):
+    rows = spark.createDataFrame([(1, "4845168114407329, 123-45-6789, a@b.example", "x", "y")], "doc_id long, text string, keys string, found string")
+    frame = pii.pseudonymised(rows, "secret")
+    got = frame.first()
+    assert (got.keys, got.found, got.n_card, got.n_ssn, got.n_email) == ("x", "y", 1, 1, 1)
+    shown = frame._jdf.queryExecution().toString()
+    assert "secret" not in shown and not [k for k in pii.KINDS if pii.derived("secret", k) in shown]

@@ -31,7 +31,7 @@ from __future__ import annotations
 import hashlib
 import hmac
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MONTHS = "January|February|March|April|May|June|July|August|September|October|November|December"
@@ -55,12 +55,24 @@ ROUNDS = 10
 WALK = 48
 
 
+class Named(str):
+    """SQL that stands for a key, in place of the key."""
+
+
 def derived(key: str, kind: str) -> str:
-    """The key of one kind. Only such keys stand in a plan and what logs it, never ``key`` itself, which can't be had from them."""
+    """The key of one kind, from which neither ``key`` nor that of another kind can be had."""
     return hmac.new(key.encode(), kind.encode(), hashlib.sha256).hexdigest()
 
 
+def key_row(spark: SparkSession, key: str) -> DataFrame:
+    """One row, ``keys``: a struct of the derived keys. It is a local relation, of which a plan shows the names but not the values."""
+    values = ", ".join(f"'{k}', :{k}" for k in KINDS)
+    return spark.sql(f"select * from values (named_struct({values})) as t(keys)", {k: derived(key, k) for k in KINDS})
+
+
 def _text(x: str) -> str:
+    if isinstance(x, Named):
+        return str(x)
     return "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
@@ -185,15 +197,15 @@ def _email(key: str) -> tuple[str, str]:
     return "true", f"concat('user', {name}, substr(v, instr(v, '@')))"
 
 
-def pseudonym(key: str) -> str:
-    """SQL: struct (kind, new, n) of a matched string v with n values; kind is null where none is valid and all stays."""
+def pseudonym(keys: str) -> str:
+    """SQL: struct (kind, new, n) of a matched string v with n values; kind is null where none is valid and all stays. ``keys`` is a column as of ``key_row``."""
     arms, stays = [], "named_struct('kind', cast(null as string), 'new', v, 'n', 0)"
     whole = {kind: PATTERNS[kind] for kind in ("email", "iban", "ip")}
     whole |= {"phone": r"^\+|\(|^(?:1[ .-])?\d{3}[.-]\d{3}[.-]\d{4}$", "date": rf"^\d{{4}}([-/])\d{{2}}\1\d{{2}}$|^\d{{1,2}}([./])\d{{1,2}}\2\d{{4}}$|{MONTHS}", "ssn": r"^\d{3}-\d{2}-\d{4}$"}
     for kind, make in {"email": _email, "ip": _ip, "phone": _phone, "iban": _iban, "date": _date, "ssn": _ssn}.items():
-        valid, made = make(derived(key, kind))
+        valid, made = make(Named(f"{keys}.{kind}"))
         arms.append(f"when v rlike {_text(whole[kind])} then if(coalesce({valid}, false), named_struct('kind', '{kind}', 'new', {made}, 'n', 1), {stays})")
-    arms.append(f"when v rlike {_text(r'^[0-9 -]{13,}$')} then {_card(derived(key, 'card'))}")
+    arms.append(f"when v rlike {_text(r'^[0-9 -]{13,}$')} then {_card(Named(f'{keys}.card'))}")
     return "case " + " ".join(arms) + f" else {stays} end"
 
 
@@ -202,16 +214,20 @@ def pseudonymised(docs: DataFrame, key: str) -> DataFrame:
 
     Other columns stay; any of these names among them is replaced. A null text stays null and has
     none found, an empty one stays empty, a long one is read whole. Equal values get equal pseudonyms
-    in whatever row; rows that repeat stay. No rows: no rows. Whoever has ``key``, or the keys derived
-    from it that stand in the plan, can undo the permutations: both are to be kept as secrets. Hosts
-    of e-mail addresses stay in clear.
+    in whatever row; rows that repeat stay. No rows: no rows. Whoever has ``key`` can undo the
+    permutations. Neither it nor what is derived from it is shown by a plan, as the keys come to the
+    rows by a scalar subquery. Hosts of e-mail addresses stay in clear.
     """
     new = [f"n_{k}" for k in sorted(KINDS)]
     rest = [c for c in docs.columns if c not in new and c != "text"]
-    found = "found"
-    while found in docs.columns:
+    found, keys = "found", "keys"
+    taken = {c.lower() for c in docs.columns}
+    while found in taken:
         found += "_"
-    marked = docs.select(*rest, "text", F.expr(f"if(text rlike '[0-9@]', transform(regexp_extract_all(text, {_text(ANY)}, 0), v -> {pseudonym(key)}), null)").alias(found))
+    while keys in taken:
+        keys += "_"
+    keyed = docs.select(*rest, "text", key_row(docs.sparkSession, key).scalar().alias(keys))
+    marked = keyed.select(*rest, "text", F.expr(f"if(text rlike '[0-9@]', transform(regexp_extract_all(text, {_text(ANY)}, 0), v -> {pseudonym(keys)}), null)").alias(found))
     text = F.expr(f"if(size({found}) > 0, array_join(zip_with(split(text, {_text(ANY)}), {found}, (t, f) -> concat(t, coalesce(f.new, ''))), ''), text)")
     counts = [F.expr(f"coalesce(aggregate(filter({found}, f -> f.kind = '{n[2:]}'), 0L, (s, f) -> s + f.n), 0L)").alias(n) for n in new]
     return marked.select(*rest, text.alias("text"), *counts)
