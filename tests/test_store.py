@@ -171,3 +171,18 @@ def test_answers_by_index(spark, small, tmp_path):
     asked = spark.read.parquet(f"{small}/benchmark.parquet").selectExpr("item_id as question_id", "text as question")
     plain, by_index = (sorted(map(str, service.hits(points, asked, config, index=i).collect())) for i in (None, ix))
     assert plain == by_index
+
+
+def test_texts_are_looked_up_in_place(spark, small, tmp_path, monkeypatch):
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").where("doc_id < 20")
+    service.ingest(docs).write.parquet(f"{tmp_path}/p")
+    points = spark.read.parquet(f"{tmp_path}/p")
+    asked = spark.createDataFrame([(k, f"What of {k}?", k % 20) for k in range(60)], "question_id long, question string, doc_id long")
+    found = service.hits(points, asked)
+    assert "BroadcastHashJoin" in plan(found) and "SortMergeJoin" not in plan(found)
+    assert not [line for line in plan(found).splitlines() if "Exchange hashpartitioning(doc_id" in line]
+    rows = sorted(map(str, found.collect()))
+    monkeypatch.setattr(service, "MOST_HITS", 179)
+    apart = service.hits(points, asked)
+    assert sorted(map(str, apart.collect())) == rows and len(rows) > 60
+    assert "hint" not in apart._jdf.queryExecution().analyzed().toString().lower()

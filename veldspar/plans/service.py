@@ -101,28 +101,35 @@ def ingest_status(docs: DataFrame, points: DataFrame) -> DataFrame:
     return docs.select("doc_id").distinct().join(there, "doc_id", "left").select("doc_id", F.when(F.col("there"), "ok").otherwise("no_chunks").alias("status"))
 
 
+#: Hits that each task gets whole to look up their texts (about 10 MB); more are joined by a shuffle.
+MOST_HITS = 100_000
+
+
 def hits(points: DataFrame, questions: DataFrame, config: PipelineConfig | None = None, load: object = embedding.hashed_embedder, index: Index | None = None) -> DataFrame:
     """(question_id, rank, score, doc_id, id, text) of questions (question_id, question, and doc_id for the document's scope).
 
     ``index``: one of ``points`` by doc_id and id, which then answers in the corpus scope with the same rows.
+    There are at most ``top_k`` hits a question: while these are few, texts are looked up where the points lie.
     """
     config = config or PipelineConfig()
     scope = "doc_id" if config.scope == "document" else None
     asked = embedding.encoded(questions.select("question_id", "question", *([scope] if scope else [])), load, config.prefix, text="question")
     found = index.search(asked, config.top_k) if index is not None and scope is None else retrieval.top_k(points, asked, config.top_k, scope=scope, ids=("doc_id", "id"))
+    found = F.broadcast(found) if questions.count() * config.top_k <= MOST_HITS else found
     text = retrieval.payload_text(F.col("payload")).alias("text")
     return found.join(points.select("doc_id", "id", text), ["doc_id", "id"]).select("question_id", "rank", "score", "doc_id", "id", "text")
 
 
-def answer(points: DataFrame, questions: DataFrame, config: PipelineConfig | None = None, load: object = embedding.hashed_embedder, generator: object = None) -> DataFrame:
+def answer(points: DataFrame, questions: DataFrame, config: PipelineConfig | None = None, load: object = embedding.hashed_embedder, generator: object = None, index: Index | None = None) -> DataFrame:
     """Answers to questions (request_id, q_pos, question, and doc_id for the document's scope) (A1).
 
+    ``index`` is as in ``hits``.
     Without a ``generator`` the answer is the best sentence of the best context; with one, each
     request is one prompt and its reply is read as a list. status tells whether that worked.
     """
     config = config or PipelineConfig()
     keyed = questions.withColumn("question_id", F.xxhash64("request_id", "q_pos"))
-    found = hits(points, keyed, config, load)
+    found = hits(points, keyed, config, load, index)
     with_context = keyed.join(retrieval.contexts(keyed, found, config.top_k), "question_id")
     if generator is None:
         best = F.col("contexts")[0]

@@ -835,6 +835,16 @@ def a1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return service.answer(spark.read.parquet(folder), asked, config)
 
 
+@query("a1_by_index", A1)
+def a1_by_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same requests, whose nearest points the index finds."""
+    config, folder = PipelineConfig(scope="corpus"), files.shared_folder(spark)
+    service.ingest(documents(spark, sf_dir), config).write.parquet(f"{folder}/points")
+    points = spark.read.parquet(f"{folder}/points")
+    asked = table(spark, sf_dir, "benchmark").select(F.lit("r").alias("request_id"), F.col("item_id").cast("int").alias("q_pos"), F.col("text").alias("question"))
+    return service.answer(points, asked, config, index=index.Index.build(points, f"{folder}/index", ids=("doc_id", "id"), dimensions=config.dimensions))
+
+
 @query("a2_engine_info", f"select 'veldspar' as name, '{service.VERSION}' as version, 'Document question answering on Spark' as description, 'README.md' as docs")
 def a2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return service.engine_info(spark)
