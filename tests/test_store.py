@@ -99,6 +99,37 @@ def test_replacing_is_atomic(spark, tmp_path):
     assert ("1", "7", "t70") in held(s) and s.about("c") == {"dimensions": 2, "metric": "cosine"}
 
 
+def test_many_writers_lose_nothing(spark, tmp_path):
+    s = store.Store(spark, f"file://{tmp_path}", fan=100)
+    s.create("c", 2)
+    s.upsert("c", rows(spark, (0, 0)))
+    failed = []
+
+    def work(first):
+        try:
+            for k in range(first, first + 3):
+                s.write("c", rows(spark, *((100 * k + i, k) for i in range(20))), f"w{k}")
+        except Exception as error:  # noqa: BLE001
+            failed.append(error)
+
+    threads = [threading.Thread(target=work, args=(10 * t,)) for t in range(1, 7)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert not failed and len(s.versions("c")) == 19 and len(held(s)) == 18 * 20 + 1
+
+
+def test_another_session_reads_it(spark, tmp_path):
+    s = store.Store(spark, f"file://{tmp_path}")
+    s.create("c", 2)
+    s.upsert("c", rows(spark, (1, 1)))
+    s.upsert("c", rows(spark, (1, 2), (2, 2)))
+    there = held(s)
+    spark.sql(f"drop table {s._name('c', s._state('c'))}")  # a session that has not declared it
+    assert held(store.Store(spark, f"file://{tmp_path}")) == there and len(there) == 2
+
+
 def test_writers_at_once(spark, tmp_path):
     s = store.Store(spark, f"file://{tmp_path}", fan=100)
     s.create("c", 2)

@@ -159,22 +159,29 @@ class Store:
         table = self._name(name, state)
         columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
         self.spark.sql(
-            f"create table if not exists {table} ({columns}, _key string, _version string) using parquet partitioned by (_version) "
+            f"create table if not exists {table} ({columns}, _key string, _version string) using parquet options (partitionOverwriteMode 'dynamic') partitioned by (_version) "
             f"clustered by (_key) into {state['buckets']} buckets location '{self.root}/{name}/data/{state['data']}'"
         )
         return table
 
     def _add(self, name: str, state: dict, schema: StructType, rows: DataFrame) -> dict:
-        """Writes rows (with _key, dealt to buckets) as a version that nothing refers to yet."""
+        """Writes rows (with _key, dealt to buckets) as a version that nothing refers to yet.
+
+        The table's dynamic overwrite, of a partition that is new, stages each job's files in a folder of
+        its own. Jobs that append share one, which the first to end deletes under the others.
+        """
         folder = uuid.uuid4().hex
         columns = [f.name for f in schema.fields]
-        rows.select(*columns, "_key", F.lit(folder).alias("_version")).write.mode("append").insertInto(self._table(name, state, schema))
+        rows.select(*columns, "_key", F.lit(folder).alias("_version")).write.insertInto(self._table(name, state, schema), overwrite=True)
         return {"folder": folder, "level": 0}
 
     def _newest(self, name: str, state: dict, versions: list[dict]) -> DataFrame:
         """The rows of these versions that none of a later one replaces, with _key, in their buckets."""
         schema = StructType.fromJson(json.loads(state["schema"]))
         table = self._table(name, state, schema)
+        if self.spark.conf.get("spark.sql.hive.manageFilesourcePartitions", "true") == "true":  # what another session wrote is not in this one's catalog
+            parts = " ".join(f"partition (_version = '{v['folder']}')" for v in versions)
+            self.spark.sql(f"alter table {table} add if not exists {parts}")
         self.spark.catalog.refreshTable(table)
         rows = self.spark.table(table).where(F.col("_version").isin([v["folder"] for v in versions]))
         if len(versions) == 1:
