@@ -1,11 +1,14 @@
 """Rule-based cleaning of document text.
 
-A document's lines stay together in one array, so nothing is shuffled: repeated lines are found in
-the sorted array, and what is left passes one alternation of the noise rules.
+A document's lines stay together in one array, so nothing is shuffled: what passes one alternation of
+the noise rules is sorted, so that repeated lines stand together, and put in order again.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -55,17 +58,30 @@ def lines(text: Column) -> Column:
 
 def repeated_lines(stripped: Column) -> Column:
     """Lines of more than ten characters that occur three times or more in one document."""
-    long = F.array_sort(F.filter(stripped, lambda x: F.length(x) > LONGER_THAN))
+    long = F.sort_array(F.filter(stripped, lambda x: F.length(x) > LONGER_THAN))
     return F.array_distinct(F.transform(F.filter(F.arrays_zip(long.alias("x"), F.slice(F.concat(long, F.array(F.lit(None), F.lit(None))), REPEATS, F.size(long)).alias("y")), lambda p: p["x"] == p["y"]), lambda p: p["x"]))
 
 
+def kept(docs: DataFrame, strict: bool = False) -> DataFrame:
+    """``docs`` with the column ``kept``: (i, x) of the lines that are neither blank, nor repeated, nor noise, in order.
+
+    Once sorted, a repeated line has itself beside it, so a document costs its number of lines times the
+    logarithm. ``_sorted`` is a column that is read more than once: inside a lambda, where it is read once,
+    Spark would sort again for each line.
+    """
+    own = F.filter(F.transform(lines(F.col("text")), lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda p: (p["x"] != "") & ~p["x"].rlike(any_noise(strict)))
+    s, none = F.col("_sorted"), F.lit(None).cast("struct<x:string,i:int>")
+    near = range(1, REPEATS)
+    beside = [s.alias("p"), *[F.concat(F.array_repeat(none, k), s).alias(f"b{k}") for k in near], *[F.slice(s, k + 1, F.size(s)).alias(f"f{k}") for k in near]]
+    same = lambda z, side, k: F.coalesce(z[f"{side}{k}"]["x"] == z["p"]["x"], F.lit(False)) if k else F.lit(True)
+    many = lambda z: reduce(or_, [same(z, "b", k) & same(z, "f", REPEATS - 1 - k) for k in range(REPEATS)])
+    rare = F.filter(F.arrays_zip(*beside), lambda z: z["p"].isNotNull() & ((F.length(z["p"]["x"]) <= LONGER_THAN) | ~many(z)))
+    return docs.withColumn("_sorted", F.sort_array(own)).withColumn("kept", F.sort_array(F.transform(rare, lambda z: F.struct(z["p"]["i"].alias("i"), z["p"]["x"].alias("x"))))).drop("_sorted")
+
+
 def kept_lines(docs: DataFrame, strict: bool = False) -> DataFrame:
-    """``docs`` with the column ``lines``: neither blank, nor repeated, nor noise, in order."""
-    return (
-        docs.withColumn("_lines", lines(F.col("text"))).withColumn("_repeated", repeated_lines(F.col("_lines")))
-        .withColumn("lines", F.filter("_lines", lambda x: (x != "") & ~F.array_contains("_repeated", x) & ~x.rlike(any_noise(strict))))
-        .drop("_lines", "_repeated")
-    )
+    """``docs`` with the column ``lines``: what is kept, without its place."""
+    return kept(docs, strict).withColumn("lines", F.transform("kept", lambda p: p["x"])).drop("kept")
 
 
 def kept_line_rows(rows: DataFrame, strict: bool = False) -> DataFrame:
