@@ -6,11 +6,15 @@ document's own sentences, so no rows are exchanged.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
+from ..functions.slices import sliced
 from ..functions.text import SPACE, strip
 
 
@@ -50,7 +54,7 @@ def packed(parts: Column, size: int = 512, overlap: int = 50) -> Column:
     def pack(column):  # noqa: ANN001, ANN202
         import pyarrow as pa
 
-        return pa.array([None if p is None else pack_sentences(p, size, overlap) for p in column.to_pylist()], pa.list_(pa.string()))
+        return sliced(lambda p: None if p is None else pack_sentences(p, size, overlap), pa.list_(pa.string()), column)
 
     return pack(parts)
 
@@ -74,9 +78,41 @@ def packed_native(parts: Column, size: int = 512, overlap: int = 50) -> Column:
     return F.aggregate(parts, state, step, lambda s: F.when(s["fresh"], F.concat(s["o"], F.array(strip(s["b"])))).otherwise(s["o"]))
 
 
-def chunks(docs: DataFrame, text: str = "cleaned", size: int = 512, overlap: int = 50) -> DataFrame:
-    """(doc_id, chunk_index, text), one row a chunk (K7). Empty and null texts give none."""
-    return docs.select("doc_id", F.posexplode(packed(sentences(F.col(text)), size, overlap)).alias("chunk_index", "text"))
+#: Characters of chunks that go back to Spark at a time.
+SENT = 1 << 20
+
+
+def chunks(docs: DataFrame, text: str = "cleaned", size: int = 512, overlap: int = 50, also: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, ``also``, chunk_index, text), one row a chunk (K7). Empty and null texts give none.
+
+    Texts go to Python whole and are split there as ``sentences`` does; one document at a time is an object.
+    """
+    rows = docs.select("doc_id", *also, F.col(text).alias("text"))
+    last = len(also) + 1
+    names = ["doc_id", *also, "chunk_index", "text"]
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split = re.compile(r"(?<=[.!?])\s+").split
+
+        def made(batch: pa.RecordBatch, of: list[int], index: list[int], out: list[str]) -> pa.RecordBatch:
+            at = pa.array(of, pa.int32())
+            return pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in range(last)), pa.array(index, pa.int32()), pa.array(out, pa.string())], names)
+
+        for batch in batches:
+            of, index, out, held = [], [], [], 0
+            for row, value in enumerate(batch.column(last)):
+                found = pack_sentences([p for x in split(value.as_py() or "") if (p := x.strip())], size, overlap)
+                of += [row] * len(found)
+                index += range(len(found))
+                out += found
+                held += sum(map(len, found))
+                if held >= SENT:
+                    yield made(batch, of, index, out)
+                    of, index, out, held = [], [], [], 0
+            if out:
+                yield made(batch, of, index, out)
+
+    return rows.mapInArrow(pack, StructType([*rows.schema.fields[:-1], StructField("chunk_index", IntegerType()), StructField("text", StringType())]))
 
 
 # -- documents larger than a task -------------------------------------------------------------------

@@ -90,8 +90,7 @@ def ingest(docs: DataFrame, config: PipelineConfig | None = None, cleaned: bool
     source = F.col("source_file") if "source_file" in docs.columns else F.lit(None).cast("string")
     dealt = files.spread(docs.select("doc_id", "text", source.alias("source_file")))
     texts = dealt.withColumn("cleaned", F.coalesce("text", F.lit(""))) if cleaned else cleaning.clean(dealt, config.strict_noise, config.ocr_fixes)
-    packed = chunking.packed(chunking.sentences(F.col("cleaned")), config.chunk_size, config.chunk_overlap)
-    rows = texts.select("doc_id", "source_file", F.posexplode(packed).alias("chunk_index", "text"))
+    rows = chunking.chunks(texts, "cleaned", config.chunk_size, config.chunk_overlap, also=("source_file",))
     return embedding.points(embedding.encoded(rows, load, config.prefix), F.col("source_file"), config.prefix)
 
 
