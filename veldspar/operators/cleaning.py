@@ -48,7 +48,11 @@ def noise_pattern(rule: int, strict: bool = False) -> str:
 
 
 def any_noise(strict: bool = False) -> str:
-    return "|".join(noise_pattern(rule, strict) for rule, _, _ in NOISE)
+    """All rules as one pattern. Those that may begin anywhere are only tried where a letter stands with which one of them begins."""
+    if strict:
+        return "|".join(noise_pattern(rule, strict) for rule, _, _ in NOISE)
+    ahead, anywhere = ([p for _, _, p in NOISE if p.startswith("^") == at] for at in (True, False))
+    return f"(?iuU)(?:{'|'.join(ahead)}|(?=[{''.join(sorted({p[0].lower() for p in anywhere}))}])(?:{'|'.join(anywhere)}))"
 
 
 def lines(text: Column) -> Column:
