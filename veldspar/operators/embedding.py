@@ -59,12 +59,14 @@ def hashed_embedder(dimensions: int = 768) -> Embedder:
     split, places = re.compile(WORDS).split, Places(dimensions)
 
     def embed(texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), dimensions))
+        at: list[int] = []
+        signs: list[int] = []
         for row, text in enumerate(texts):
             for word in filter(None, split((text or "").lower())):
                 bucket, sign = places[word]
-                out[row, bucket] += sign
-        return out
+                at.append(row * dimensions + bucket)
+                signs.append(sign)
+        return np.bincount(np.array(at, np.int64), np.array(signs, float), len(texts) * dimensions).reshape(len(texts), dimensions)
 
     return embed
 
@@ -81,18 +83,18 @@ def sentence_transformer(name: str) -> Callable[[], Embedder]:
     return load
 
 
-def encoded(texts: DataFrame, load: Callable[[], Embedder] = hashed_embedder, prefix: str = "passage: ", normalise: bool = True, text: str = "text", into: str = "vector") -> DataFrame:
-    """``texts`` with the vector of the prefixed text behind the other columns (E1 to E3); a null text is empty."""
+def encoded(texts: DataFrame, load: Callable[[], Embedder] = hashed_embedder, prefix: str = "passage: ", normalise: bool = True, text: str = "text", into: str = "vector", most: int = 512) -> DataFrame:
+    """``texts`` with the vector of the prefixed text behind the other columns (E1 to E3); a null text is empty. ``most`` texts are a matrix at a time."""
     at = texts.columns.index(text)
 
     def embed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load()
-        for batch in batches:
-            matrix = model([prefix + (t or "") for t in batch.column(at).to_pylist()]) if batch.num_rows else np.zeros((0, 1))
+        for batch in (whole.slice(k, most) for whole in batches for k in range(0, whole.num_rows, most)):
+            matrix = model([prefix + (t or "") for t in batch.column(at).to_pylist()])
             if normalise:
                 matrix = matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-12)
             flat = pa.array(matrix.astype(np.float32).ravel())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(np.arange(0, matrix.size + 1, matrix.shape[1], dtype=np.int32) if matrix.size else [0], flat)], [*batch.schema.names, into])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(np.arange(0, matrix.size + 1, matrix.shape[1], dtype=np.int32), flat)], [*batch.schema.names, into])
 
     return texts.mapInArrow(embed, StructType([*texts.schema.fields, StructField(into, ArrayType(FloatType()))]))
 
