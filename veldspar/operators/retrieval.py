@@ -35,8 +35,12 @@ class Best:
         self.held: list[list[list[tuple]]] = [[[] for _ in known] for _, known, _ in groups]
         self.least = [np.full(len(known), -np.inf) for _, known, _ in groups]
 
-    def add(self, ids: list[pa.Array], column: pa.Array) -> None:
-        """Points with these ids and vectors."""
+    def add(self, ids: list[pa.Array], column: pa.Array, most: int = 1024) -> None:
+        """Points with these ids and vectors; ``most`` of them are scored at a time, so that no matrix grows with the batch."""
+        for at in range(0, len(column), most):
+            self._slice([i.slice(at, most) for i in ids], column.slice(at, most))
+
+    def _slice(self, ids: list[pa.Array], column: pa.Array) -> None:
         for (width, _, wide), held, least in zip(self.groups, self.held, self.least, strict=True):
             rows, vectors = _units(column, width)
             if len(rows):
