@@ -29,11 +29,6 @@ SLACK = 1e-6
 BLUR = 1e-9
 
 
-def _lists(matrix: np.ndarray) -> pa.Array:
-    ends = np.arange(len(matrix) + 1, dtype=np.int32) * matrix.shape[1]
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.ascontiguousarray(matrix).ravel(), pa.float64()))
-
-
 def centres(vectors: np.ndarray, n: int, rounds: int = 8, seed: int = 7) -> np.ndarray:
     """``n`` pivots at most among unit vectors: spread out first, then moved to the middle of what is nearest to each."""
     rng = np.random.default_rng(seed)
@@ -65,7 +60,7 @@ class Index:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
         about = json.loads(spark.read.text(f"{self.folder}/about").first()[0])
-        self.dimensions, self.ids = about["dimensions"], tuple(about["ids"])
+        self.dimensions, self.ids, self.kind = about["dimensions"], tuple(about["ids"]), about["kind"]
         rows = sorted(spark.read.parquet(f"{self.folder}/clusters").collect())
         self.pivots = np.array([r["pivot"] for r in rows], np.float64).reshape(len(rows), self.dimensions)
         self.low, self.high, self.n = (np.array([r[c] for r in rows]) for c in ("low", "high", "n"))
@@ -98,25 +93,26 @@ class Index:
                 far = distances(wide, chosen)
                 cluster = far.argmin(1)
                 kept = [batch.column(c).take(pa.array(at)) for c in range(width)]
-                yield pa.RecordBatch.from_arrays([*kept, _lists(wide), pa.array(cluster, pa.int32()), pa.array(far[np.arange(len(at)), cluster])], [*ids, "unit", "cluster", "distance"])
+                yield pa.RecordBatch.from_arrays([*kept, batch.column(width).take(pa.array(at)), pa.array(cluster, pa.int32()), pa.array(far[np.arange(len(at)), cluster])], [*ids, "vector", "cluster", "distance"])
 
-        schema = ", ".join([*(f"{i} bigint" for i in ids), "unit array<double>", "cluster int", "distance double"])
+        kind = dict(rows.dtypes)["vector"]
+        schema = ", ".join([*(f"{i} bigint" for i in ids), f"vector {kind}", "cluster int", "distance double"])
         placed = rows.mapInArrow(place, schema)
         tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
         order = ("cluster", "distance", *ids)
         cut = placed.repartitionByRange(tasks, *order).sortWithinPartitions(*order).withColumn("block", F.floor(F.monotonically_increasing_id() / block))
         cut.write.partitionBy("cluster").parquet(f"{folder}/points")
-        there = cls._read(spark, folder, ids)
+        there = cls._read(spark, folder, ids, kind)
         there.groupBy("cluster", "block").agg(F.count("*").alias("n"), F.min("distance").alias("low"), F.max("distance").alias("high"), F.min(F.struct(*ids)).alias("first")).write.parquet(f"{folder}/blocks")
         held = {r["cluster"]: r for r in spark.read.parquet(f"{folder}/blocks").groupBy("cluster").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")).collect()}
         clusters = [(c, p.tolist(), *((held[c]["low"], held[c]["high"], held[c]["n"]) if c in held else (0.0, -1.0, 0))) for c, p in enumerate(chosen)]
         spark.createDataFrame(clusters, "cluster int, pivot array<double>, low double, high double, n long").coalesce(1).write.parquet(f"{folder}/clusters")
-        spark.createDataFrame([(json.dumps({"dimensions": dimensions, "ids": ids}),)], "value string").coalesce(1).write.text(f"{folder}/about")  # last: an index without it is none
+        spark.createDataFrame([(json.dumps({"dimensions": dimensions, "ids": ids, "kind": kind}),)], "value string").coalesce(1).write.text(f"{folder}/about")  # last: an index without it is none
         return cls(spark, folder)
 
     @staticmethod
-    def _read(spark: SparkSession, folder: str, ids: tuple[str, ...]) -> DataFrame:
-        schema = ", ".join([*(f"{i} bigint" for i in ids), "unit array<double>", "distance double", "block bigint", "cluster int"])
+    def _read(spark: SparkSession, folder: str, ids: tuple[str, ...], kind: str) -> DataFrame:
+        schema = ", ".join([*(f"{i} bigint" for i in ids), f"vector {kind}", "distance double", "block bigint", "cluster int"])
         return spark.read.schema(schema).parquet(f"{folder}/points")
 
     def _asked(self, questions: DataFrame) -> DataFrame:
@@ -129,9 +125,9 @@ class Index:
                 if len(at):
                     far = np.where(there, distances(wide, pivots), np.inf)
                     home = far.argmin(1)
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), _lists(wide), pa.array(home, pa.int32()), pa.array(far[np.arange(len(at)), home])], ["question_id", "asked", "cluster", "far"])
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), pa.array(home, pa.int32()), pa.array(far[np.arange(len(at)), home])], ["question_id", "asked", "cluster", "far"])
 
-        return questions.select("question_id", "vector").mapInArrow(ask, f"question_id {kind}, asked array<double>, cluster int, far double")
+        return questions.select("question_id", "vector").mapInArrow(ask, f"question_id {kind}, asked {dict(questions.dtypes)['vector']}, cluster int, far double")
 
     def _blocks(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/blocks")
@@ -152,13 +148,13 @@ class Index:
         points can at most tie with it and have greater ids is left out, so that copies of a vector
         don't all meet one another.
         """
-        kind, pivots, low, high, there = dict(asked.dtypes)["question_id"], self.pivots, self.low, self.high, self.n > 0
+        kind, dimensions, pivots, low, high, there = dict(asked.dtypes)["question_id"], self.dimensions, self.pivots, self.low, self.high, self.n > 0
 
         def reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                unit = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+                unit = _units(batch.column(1), dimensions)[1]
                 least = batch.column(2).fill_null(-1.0).to_numpy(zero_copy_only=False)
                 radius = np.sqrt(np.maximum(0.0, 2 - 2 * np.maximum(-1.0, least - SLACK))) + BLUR
                 far = distances(unit, pivots)
@@ -181,32 +177,47 @@ class Index:
         """The points of what is met: clusters by their folders, and within one what lies in the distances of its blocks. As many conditions as there are pivots at most."""
         ranges = pairs.groupBy("cluster").agg(F.min("low").alias("low"), F.max("high").alias("high")).collect()
         within = [(F.col("cluster") == r["cluster"]) & F.col("distance").between(r["low"], r["high"]) for r in ranges]
-        points = self._read(self.spark, self.folder, self.ids).where(F.col("cluster").isin([r["cluster"] for r in ranges]))
+        points = self._read(self.spark, self.folder, self.ids, self.kind).where(F.col("cluster").isin([r["cluster"] for r in ranges]))
         return points.where(reduce(or_, within, F.lit(False)))
 
-    def _scored(self, asked: DataFrame, pairs: DataFrame, k: int, most: int = 1024) -> DataFrame:
-        """(question_id, score, ids): the k best of each question in each block that it meets, by matrix products.
+    def _scored(self, asked: DataFrame, pairs: DataFrame, k: int, most: int = 8192, bundle: int = 64) -> DataFrame:
+        """(question_id, score, ids): the k best of each question in each bundle of blocks that it meets, by matrix products.
 
-        A block that many questions meet is dealt to several tasks, ``most`` questions each on average; no pair of vectors is ever a row.
+        ``bundle`` blocks, whatever their clusters, are one group, to which a question goes once with the
+        numbers of the blocks that it meets there: vectors are dealt once a bundle, not once a block. A bundle that many
+        questions meet is dealt to several tasks, ``most`` questions each on average; no pair of vectors is ever a row.
         """
         ids, dimensions, kind = self.ids, self.dimensions, dict(asked.dtypes)["question_id"]
-        crowds = pairs.groupBy("cluster", "block").agg(F.ceil(F.count("*") / most).cast("int").alias("parts"))
-        met = pairs.select("question_id", "cluster", "block").join(crowds, ["cluster", "block"]).withColumn("part", F.pmod(F.xxhash64("question_id"), F.col("parts")).cast("int"))
-        there = self._visited(pairs).join(crowds, ["cluster", "block"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        # blocks are numbered along the clusters, so a bundle's are neighbours; rows of blocks are few
+        number = F.row_number().over(Window.orderBy("cluster", "block")) - 1
+        numbered = self._blocks().select("cluster", "block", number.alias("of")).withColumn("bundle", F.floor(F.col("of") / bundle).cast("int"))
+        own = pairs.select("question_id", "cluster", "block").join(F.broadcast(numbered), ["cluster", "block"])
+        met = own.groupBy("question_id", "bundle").agg(F.sort_array(F.collect_set("of")).alias("met"))
+        crowds = F.broadcast(own.groupBy(F.col("bundle").alias("crowd")).agg(F.ceil(F.count_distinct("question_id") / most).cast("int").alias("parts")))
+        crowded = lambda df: df.join(crowds, F.col("bundle") == F.col("crowd"))
+        there = crowded(self._visited(pairs).join(F.broadcast(numbered), ["cluster", "block"])).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         names = ["question_id", "score", *ids]
         schema = f"question_id {kind}, score double, {', '.join(f'{i} bigint' for i in ids)}"
 
         def score(left: pa.Table, right: pa.Table) -> pa.Table:
-            both = left.num_rows and right.num_rows
-            matrix = lambda t: t["asked"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1)
-            held = Best([(dimensions, right["question_id"].to_pylist(), matrix(right))] if both else [], k)
-            if both:
-                held.add([left[i].combine_chunks() for i in ids], left["unit"].combine_chunks())
-            return pa.Table.from_arrays(held.rows(right.schema.field("question_id").type, len(ids)), names)
-
-        by = ("cluster", "block", "part")
-        dealt = met.join(asked.select("question_id", "asked"), "question_id").select(*by, "question_id", "asked")
-        return there.select(*by, *ids, "unit").groupBy(*by).cogroup(dealt.groupBy(*by)).applyInArrow(score, schema)
+            known = right["question_id"].to_pylist() if left.num_rows else []
+            best = Best([(dimensions, known, _units(right["asked"].combine_chunks(), dimensions)[1])] if known else [], k)
+            if known:
+                sets = right["met"].combine_chunks()
+                asks = np.repeat(np.arange(len(known)), sets.value_lengths().to_numpy(zero_copy_only=False))
+                blocks, of = sets.flatten().to_numpy(zero_copy_only=False), left["of"].to_numpy()
+                by_block = np.argsort(blocks, kind="stable")
+                at = np.argsort(of, kind="stable")
+                for n in np.unique(of):
+                    who = asks[by_block[np.searchsorted(blocks, n, "left", by_block) : np.searchsorted(blocks, n, "right", by_block)]]
+                    rows = pa.array(at[np.searchsorted(of, n, "left", at) : np.searchsorted(of, n, "right", at)])
+                    if len(who):
+                        best.add([left[i].take(rows).combine_chunks() for i in ids], left["vector"].take(rows).combine_chunks(), who=who)
+            return pa.Table.from_arrays(best.rows(right.schema.field("question_id").type, len(ids)), names)
+
+        by = ("bundle", "part")
+        dealt = crowded(met.join(asked.select("question_id", "asked"), "question_id")).withColumn("part", F.pmod(F.xxhash64("question_id"), F.col("parts")).cast("int"))
+        return there.select(*by, "of", *ids, "vector").groupBy(*by).cogroup(dealt.select(*[F.col(c).alias(f"{c}_") for c in by], "question_id", "asked", "met").groupBy(*[f"{c}_" for c in by])).applyInArrow(score, schema)
 
     def _found(self, questions: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
         """(questions that can have hits, the blocks that each has to meet)."""
@@ -234,7 +245,7 @@ class Index:
     def visits(self, questions: DataFrame, k: int = 3) -> dict[str, int]:
         """What a search of these questions has to meet: clusters, files and pairs of question and block, each beside how many there are."""
         asked, pairs = self._found(questions, k)
-        whole, blocks = self._read(self.spark, self.folder, self.ids), self._blocks()
+        whole, blocks = self._read(self.spark, self.folder, self.ids, self.kind), self._blocks()
         return {
             "files": self._visited(pairs).select(F.input_file_name()).distinct().count(), "all_files": len(whole.inputFiles()), "clusters": pairs.select("cluster").distinct().count(), "all_clusters": int((self.n > 0).sum()),
             "pairs": pairs.count(), "all_pairs": asked.count() * blocks.count(),

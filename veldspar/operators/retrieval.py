@@ -35,16 +35,23 @@ class Best:
         self.held: list[list[list[tuple]]] = [[[] for _ in known] for _, known, _ in groups]
         self.least = [np.full(len(known), -np.inf) for _, known, _ in groups]
 
-    def add(self, ids: list[pa.Array], column: pa.Array, most: int = 1024) -> None:
-        """Points with these ids and vectors; ``most`` of them are scored at a time, so that no matrix grows with the batch."""
+    def add(self, ids: list[pa.Array], column: pa.Array, most: int = 1024, who: np.ndarray | None = None) -> None:
+        """Points with these ids and vectors; ``most`` of them are scored at a time, so that no matrix grows with the batch. ``who``: places of the questions that meet them, where there is one group."""
         for at in range(0, len(column), most):
-            self._slice([i.slice(at, most) for i in ids], column.slice(at, most))
+            self._slice([i.slice(at, most) for i in ids], column.slice(at, most), who, most)
 
-    def _slice(self, ids: list[pa.Array], column: pa.Array) -> None:
+    def _slice(self, ids: list[pa.Array], column: pa.Array, who: np.ndarray | None, most: int) -> None:
         for (width, _, wide), held, least in zip(self.groups, self.held, self.least, strict=True):
             rows, vectors = _units(column, width)
-            if len(rows):
+            if len(rows) and who is None:
                 self._add(np.round(wide @ vectors.T, 6), ids, rows, held, least)
+            elif len(rows):
+                for some in (who[k : k + 2 * most] for k in range(0, len(who), 2 * most)):
+                    part, bound = [held[q] for q in some.tolist()], least[some]
+                    self._add(np.round(wide[some] @ vectors.T, 6), ids, rows, part, bound)
+                    least[some] = bound
+                    for q, best in zip(some.tolist(), part, strict=True):
+                        held[q] = best
 
     def _add(self, scores: np.ndarray, ids: list[pa.Array], rows: np.ndarray, held: list[list[tuple]], least: np.ndarray) -> None:
         bound = least
