@@ -9,10 +9,11 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from ..functions.slices import sliced
 from ..functions.text import SPACE, strip
@@ -148,55 +149,170 @@ def followers(parts: DataFrame, size: int, overlap: int, stretch: int = 1 << 20)
     return dealt.withColumn("far", reach).where("s = own and n is not null").select("doc_id", "i", F.when(alone, F.col("i") + 1).otherwise(F.col("far")).alias("next"), alone.alias("alone"))
 
 
-def _first(parts: DataFrame, size: int, overlap: int) -> DataFrame:
-    """(doc_id, i, next, alone) of each document's first chunk, which has no overlap before it, and of the part alone that follows if that chunk is shorter than an overlap."""
-    near = parts.where(F.col("begin") <= size)
-    fits = F.coalesce(F.max(F.when(F.col("begin") + F.col("n") <= size, F.struct(F.col("i") + 1, F.col("begin") + F.col("n")))), F.struct(F.lit(0), F.lit(0)))
-    first = near.groupBy("doc_id").agg(fits.alias("f"), F.max("i").alias("last")).select("doc_id", F.col("f.col1").alias("j"), F.col("f.col2").alias("t"), "last")
-    row = lambda i, following, alone: F.struct(i.alias("i"), following.alias("next"), F.lit(alone).alias("alone"))
-    zero, j = F.lit(0), F.col("j")
-    short = (F.col("t") < overlap) & (F.col("last") >= j)
-    rows = F.when(j == 0, F.array(row(zero, zero + 1, True))).when(short, F.array(row(zero, j, False), row(j, j + 1, True))).otherwise(F.array(row(zero, j, False)))
-    return first.select("doc_id", F.posexplode(rows).alias("chunk_index", "r")).select("doc_id", "chunk_index", "r.*")
+BLOCK = 4096
 
 
-def chunks_of_rows(parts: DataFrame, write: Callable[[DataFrame], DataFrame], size: int = 512, overlap: int = 50) -> DataFrame:
+def _exits(n: np.ndarray, first: bool, size: int, overlap: int) -> tuple[list[int], list[int]]:
+    """How a block of parts, of n characters each with a space, is left: (room left, chunks begun in it) for each room that it may be entered with.
+
+    Entered are -1 (the next part begins a chunk) and 0 to ``size`` characters that the open chunk
+    has left; a document's first block has but one entry, an empty chunk. Where a chunk ends depends
+    only on where it begins, so exits are found from the block's end.
+    """
+    room, m = size - overlap, len(n)
+    ends = np.concatenate([[0], np.cumsum(n)])
+    far = (np.searchsorted(ends, ends[:-1] + room, "right") - 1).tolist()
+    left, begun = [-1] * m, [1] * m
+    for i in range(m - 1, -1, -1):
+        j = far[i]
+        if j == m > i:
+            left[i] = room - int(ends[m] - ends[i])
+        elif (j := max(j, i + 1)) < m:  # a part alone is a chunk
+            left[i], begun[i] = left[j], begun[j] + 1
+    entered = np.array([size] if first else range(-1, size + 1))
+    at = np.maximum(np.searchsorted(ends, entered, "right") - 1, 0).tolist()
+    own = [int(first and j > 0) for j in at]  # the chunk that a document begins with is its own
+    return [left[j] if j < m else r - int(ends[m]) for j, r in zip(at, entered.tolist(), strict=True)], [k + (begun[j] if j < m else 0) for j, k in zip(at, own, strict=True)]
+
+
+def _other(block: np.ndarray, i: np.ndarray, before: tuple[int, int]) -> np.ndarray:
+    """Where rows sorted by document, block and i pass on to another block: i rises within one."""
+    return (block != np.concatenate([before[:1], block[:-1]])) | (i <= np.concatenate([before[1:], i[:-1]]))
+
+
+def _entries(known: DataFrame, write: Callable[[DataFrame], DataFrame], size: int, overlap: int, block: int) -> DataFrame:
+    """(doc_id, block, left, number) for the blocks after a document's first one: the room left in the chunk that is open there (-1: none), and the number of the next one.
+
+    Blocks are looked at each by itself, and what they do with a room is composed over a document: a row of ``size`` + 2 numbers a block.
+    """
+    long = write(known.where(F.col("i") >= block).select(F.col("doc_id").alias("of")).distinct())
+    sizes = known.join(long, F.col("doc_id").eqNullSafe(F.col("of")), "left_semi").select("doc_id", F.expr(f"int(i div {block})").alias("block"), "i", "n")
+    kind, names = known.schema["doc_id"], ["doc_id", "block", "left", "begun"]
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, now, at, before = [], None, 0, (-1, 0)  # the sizes of the open block, its doc_id and number; the last row's place
+
+        def made(blocks: list[tuple]) -> pa.RecordBatch:
+            lefts, begun = zip(*(_exits(np.concatenate(n), b == 0, size, overlap) for _, b, n in blocks), strict=True)
+            lists = pa.list_(pa.int32())
+            return pa.RecordBatch.from_arrays([pa.concat_arrays([d for d, _, _ in blocks]), pa.array([b for _, b, _ in blocks], pa.int32()), pa.array(lefts, lists), pa.array(begun, lists)], names)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            b, i, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in (1, 2, 3))
+            starts, done = np.flatnonzero(_other(b, i, before)).tolist(), []
+            if held:
+                held.append(n[: starts[0] if starts else len(n)])
+            for start, end in zip(starts, [*starts[1:], len(n)], strict=False):
+                if held:
+                    done.append((now, at, held))
+                held, now, at = [n[start:end]], batch.column(0).slice(start, 1), int(b[start])
+            before = int(b[-1]), int(i[-1])
+            if done:
+                yield made(done)
+        if held:
+            yield made([(now, at, held)])
+
+    def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left = number = 0
+        for batch in batches:
+            rows, out = [], []
+            for row, (b, lefts, begun) in enumerate(zip(*(batch.column(c).to_pylist() for c in (1, 2, 3)), strict=True)):
+                if b:
+                    rows.append(row)
+                    out.append((left, number))
+                    left, number = lefts[left + 1], number + begun[left + 1]
+                else:
+                    left, number = lefts[0], begun[0]
+            at = pa.array(rows, pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array([x for x, _ in out], pa.int32()), pa.array([x for _, x in out], pa.int32())], ["doc_id", "block", "left", "number"])
+
+    ints = [StructField(x, IntegerType()) for x in ("block", "left", "number")]
+    lists = [StructField(x, ArrayType(IntegerType())) for x in ("left", "begun")]
+    dealt = sizes.repartition("doc_id", "block").sortWithinPartitions("doc_id", "block", "i")
+    exits = dealt.mapInArrow(look, StructType([kind, ints[0], *lists]))
+    return exits.repartition("doc_id").sortWithinPartitions("doc_id", "block").mapInArrow(follow, StructType([kind, *ints]))
+
+
+def _cut(size: int, overlap: int, block: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The chunks that begin in each block, of rows (doc_id, block, i, part, left, number) sorted by the first three.
+
+    A block's rows are its entry (i is -1) unless it is a document's first, the last parts of the
+    block before it, its own parts and the first ones of the next block.
+    """
+    room, names = size - overlap, ["doc_id", "chunk_index", "text"]
+    tail = lambda s: s[-overlap:] if overlap else ""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, at, now, before = None, 0, -1, -1
+        carried, fresh, mine, over, left, number = "", False, False, True, -1, 0
+        for batch in batches:
+            ids = batch.column(0) if held is None else pa.concat_arrays([held, batch.column(0)])
+            of, index, out = [], [], []
+
+            def add(text: str) -> None:
+                of.append(at)
+                index.append(number)
+                out.append(text.strip())
+
+            for row, (b, i, part, entered, of_entry) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(1, 6)), strict=True), int(held is not None)):
+                if b != now or i <= before:
+                    if fresh and mine:
+                        add(carried)
+                    at, now = row, b
+                    carried, fresh, mine = "", False, not b
+                    over = b > 0 and i >= 0  # nothing of its own: only the last parts of the block before
+                    left, number = (entered, of_entry) if i < 0 else (size, 0)
+                before = i
+                if over or i < 0:
+                    continue
+                n = len(part) + 1
+                if i < b * block:
+                    carried = tail(carried + part + (" " if n <= room else ""))
+                elif n <= left:
+                    carried, left, fresh = f"{carried}{part} ", left - n, True
+                else:
+                    if fresh and mine:
+                        add(carried)
+                        number += 1
+                    carried, fresh, mine, over = tail(carried), False, True, i >= (b + 1) * block
+                    if over:
+                        continue
+                    if n <= room:
+                        carried, left, fresh = f"{carried}{part} ", room - n, True
+                    else:
+                        add(part)
+                        carried, left, number = tail(part), -1, number + 1
+            if out:
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(of, pa.int32())), pa.array(index, pa.int32()), pa.array(out, pa.string())], names)
+            if len(ids):
+                held, at = ids.slice(at, 1), 0
+        if fresh and mine:
+            yield pa.RecordBatch.from_arrays([held, pa.array([number], pa.int32()), pa.array([carried.strip()], pa.string())], names)
+
+    return cut
+
+
+def chunks_of_rows(parts: DataFrame, write: Callable[[DataFrame], DataFrame], size: int = 512, overlap: int = 50, block: int = BLOCK) -> DataFrame:
     """(doc_id, chunk_index, text): the chunks of ``packed``, of sentences that are rows (doc_id, i from 0, part), for documents of any length.
 
-    Where a chunk ends depends only on where it begins, as all but the first have a whole overlap
-    before them. So each sentence knows its follower, were a chunk to begin with it, and which ones
-    do is found by pointer doubling: in each round the known beginnings leap once more, and leaps
-    become twice as long. No row, group or task holds a document. ``write`` makes a table of rows
-    that are read more than once, such as ``files.written``. An overlap is at most half a chunk. Nulls in doc_id are one document.
+    Documents are cut into blocks of ``block`` sentences, or ``size`` if that is more, and each block
+    gives the chunks that begin in it. What a block does depends on the chunk that is open where it
+    begins, of which only the room left matters: so each later block is known for every such room,
+    and one pass over a document's blocks tells with which it is entered. A block sees the next one's
+    first sentences, where its last chunk may end, and the last ones before it, for the overlap. Texts
+    are written once and shuffled once. No row, group or task holds a document. ``write`` makes a
+    table of rows that are read more than once, such as ``files.written``. An overlap is at most half
+    a chunk. Nulls in doc_id are one document.
     """
     if not 0 <= 2 * overlap < size:
         raise ValueError("an overlap is at most half a chunk")
-    known = write(placed(parts))
-    leaps = write(followers(known, size, overlap))
-    first = write(_first(known, size, overlap))
-    last = first.groupBy("doc_id").agg(F.max(F.struct("chunk_index", "next")).alias("l"))
-    marks = write(last.select("doc_id", F.col("l.next").alias("i"), (F.col("l.chunk_index") + 1).alias("chunk_index")))
-    same = lambda a, b: F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id"))
-    jumps, length = leaps.select("doc_id", "i", "next"), 1
-    while True:
-        leapt = marks.alias("m").join(jumps.alias("j"), same("m", "j") & (F.col("m.i") == F.col("j.i"))).select("m.doc_id", F.col("j.next").alias("i"), (F.col("m.chunk_index") + length).alias("chunk_index"))
-        more = write(leapt)
-        if more.isEmpty():
-            break
-        marks, length = write(marks.unionByName(more)), length * 2
-        jumps = write(jumps.alias("a").join(jumps.alias("b"), same("a", "b") & (F.col("a.next") == F.col("b.i"))).select("a.doc_id", "a.i", F.col("b.next").alias("next")))
-    begun = marks.alias("m").join(leaps.alias("j"), same("m", "j") & (F.col("m.i") == F.col("j.i"))).select("m.doc_id", "m.chunk_index", "m.i", "j.next", "j.alone")
-    spans = first.select("doc_id", "chunk_index", "i", "next", "alone").unionByName(begun)
-    members = spans.select("doc_id", "chunk_index", "alone", F.explode(F.sequence(F.col("i"), F.col("next") - 1)).alias("i"))
-    texts = members.alias("m").join(known.alias("p"), same("m", "p") & (F.col("m.i") == F.col("p.i"))).select("m.doc_id", "m.chunk_index", "m.alone", "m.i", "p.part")
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "part"))), lambda x: x["part"]), " ")
-    own = write(texts.groupBy("doc_id", "chunk_index").agg(F.max("alone").alias("alone"), joined.alias("own")).withColumn("own", F.when(F.col("alone"), F.col("own")).otherwise(F.concat("own", F.lit(" ")))))
-    # an overlap reaches back over two chunks at most: of two that follow one another, one is long
-    tail = own.select("doc_id", "chunk_index", F.right("own", F.lit(max(overlap, 1))).alias("tail"))
-    one, two = (tail.select("doc_id", (F.col("chunk_index") + d).alias("chunk_index"), F.col("tail").alias(f"tail{d}")) for d in (1, 2))
-    with_tails = own.alias("o")
-    for name, side in (("a", one), ("b", two)):
-        with_tails = with_tails.join(side.alias(name), same("o", name) & (F.col("o.chunk_index") == F.col(f"{name}.chunk_index")), "left")
-    carried = F.right(F.concat(F.coalesce("tail2", F.lit("")), F.coalesce("tail1", F.lit(""))), F.lit(overlap)) if overlap else F.lit("")
-    text = F.when(F.col("alone"), strip(F.col("own"))).otherwise(strip(F.concat(carried, F.col("own"))))
-    return with_tails.select("o.doc_id", F.col("o.chunk_index").cast("int").alias("chunk_index"), text.alias("text"))
+    block = max(block, size)
+    known = write(parts.select("doc_id", F.col("i").cast("long").alias("i"), "part", (F.length("part") + 1).alias("n")))
+    blocks = f"filter(array(b, if(i % {block} < {size}, b - 1, -1), if(i % {block} >= {block - overlap}, b + 1, -1)), x -> x >= 0)"
+    none = F.lit(None).cast("int")
+    dealt = known.withColumn("b", F.expr(f"int(i div {block})")).select("doc_id", F.explode(F.expr(blocks)).alias("block"), "i", "part", none.alias("left"), none.alias("number"))
+    entries = _entries(known, write, size, overlap, block).select("doc_id", "block", F.lit(-1).cast("long").alias("i"), F.lit(None).cast("string").alias("part"), "left", "number")
+    rows = dealt.unionByName(entries).repartition("doc_id", "block").sortWithinPartitions("doc_id", "block", "i")
+    return rows.mapInArrow(_cut(size, overlap, block), StructType([known.schema["doc_id"], StructField("chunk_index", IntegerType()), StructField("text", StringType())]))
