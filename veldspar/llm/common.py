@@ -151,10 +151,11 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             break
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         lowest = both.groupBy("u").agg(F.min("v").alias("m"))
-        large = both.where("v > u").join(lowest, "u").select(F.col("v").alias("u"), F.when(F.col("m") < F.col("u"), F.col("m")).otherwise(F.col("u")).alias("v")).distinct()
+        # written, as it is read twice: a round in one plan has it three times, each with the shuffles ahead of it, which the driver plans and runs at once
+        large = checkpointed(both.where("v > u").join(lowest, "u").select(F.col("v").alias("u"), F.when(F.col("m") < F.col("u"), F.col("m")).otherwise(F.col("u")).alias("v")).distinct())
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
-        moved = large.join(lowest, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        following = checkpointed(moved.unionByName(lowest.select("u", F.col("m").alias("v"))).distinct())
+        # the link to the lowest stays, the others move there
+        following = checkpointed(large.join(lowest, "u").select(F.when(F.col("v") != F.col("m"), F.col("v")).otherwise(F.col("u")).alias("u"), F.col("m").alias("v")).distinct())
         after = _state(following)
         now = following
         if after == state:
