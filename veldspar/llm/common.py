@@ -87,6 +87,16 @@ def int_rows(column: pa.ChunkedArray) -> list[np.ndarray]:
     return out
 
 
+def give_back() -> None:
+    """Memory that this Python process has freed goes back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 Batches = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
 
@@ -104,12 +114,7 @@ def frugal(f: Batches | None = None, *, keeps: bool = False) -> Batches:
         try:
             yield from f(batches)
         finally:
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            try:
-                ctypes.CDLL(None).malloc_trim(0)
-            except (AttributeError, OSError):  # another C library
-                pass
+            give_back()
 
     return run
 
@@ -149,13 +154,16 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         if not state[0]:
             break
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        lowest = both.groupBy("u").agg(F.min("v").alias("m"))
+        most = state[0]  # no step makes more edges of them
+        now = few(now, most)
+        lowest = now.select(F.inline(F.expr("array(struct(u, v), struct(v as u, u as v))"))).groupBy("u").agg(F.min("v").alias("m"))
         # written, as it is read twice: a round in one plan has it three times, each with the shuffles ahead of it, which the driver plans and runs at once
-        large = checkpointed(both.where("v > u").join(lowest, "u").select(F.col("v").alias("u"), F.when(F.col("m") < F.col("u"), F.col("m")).otherwise(F.col("u")).alias("v")).distinct())
+        turned = now.select(F.col("v").alias("u"), F.col("u").alias("v")).join(_sent(lowest, most), "u")
+        large = checkpointed(few(turned.select(F.col("v").alias("u"), F.when(F.col("m") < F.col("u"), F.col("m")).otherwise(F.col("u")).alias("v")).distinct(), most))
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
         # the link to the lowest stays, the others move there
-        following = checkpointed(large.join(lowest, "u").select(F.when(F.col("v") != F.col("m"), F.col("v")).otherwise(F.col("u")).alias("u"), F.col("m").alias("v")).distinct())
+        moved = large.join(_sent(lowest, most), "u").select(F.when(F.col("v") != F.col("m"), F.col("v")).otherwise(F.col("u")).alias("u"), F.col("m").alias("v"))
+        following = checkpointed(few(moved.distinct(), most))
         after = _state(following)
         now = following
         if after == state:
@@ -163,8 +171,25 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         state = after
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    ends = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return ends.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
+    ends = few(now, state[0]).select(F.inline(F.expr("array(struct(u as node, v as component), struct(v as node, v as component))")))
+    return few(ends.distinct(), 2 * state[0])
+
+
+#: Rows that one task takes at least, where their number is known, and edges whose minima are sent to all tasks.
+ROWS = 10_000
+
+
+def few(df: DataFrame, most: int) -> DataFrame:
+    """The same rows, of which there are ``most`` at most, in a task for each ``ROWS``, or one for each core.
+
+    A step on few rows in as many tasks as there are shuffle partitions costs the driver memory for each of them.
+    """
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-most // ROWS)))
+
+
+def _sent(lowest: DataFrame, edges: int) -> DataFrame:
+    """Minima of the ends of so many edges, to be joined: sent to all tasks if the edges are ``ROWS`` or fewer, else as they are."""
+    return F.broadcast(few(lowest, 2 * edges)) if edges <= ROWS else lowest
 
 
 def _state(edges: DataFrame) -> tuple[int, int, int]:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, broadcast, checkpointed, frugal, int_rows, small_batches
+from .common import as_bytes, broadcast, checkpointed, frugal, give_back, int_rows, small_batches
 
 HALF = 18
 FEATURES = 2 << HALF
@@ -223,7 +223,10 @@ def train_model(docs: DataFrame, labels: DataFrame, most: int = 4000, most_bytes
     if not all(fits):
         found = found.where(F.col("doc_id").isin([r.doc_id for r, fit_ in zip(sizes, fits, strict=True) if fit_]))
     rows = found.toArrow().sort_by("doc_id")
-    return fit(int_rows(rows["found"]), rows["label"].to_pylist())
+    model = fit(int_rows(rows["found"]), rows["label"].to_pylist())
+    del rows
+    give_back()  # the driver goes on to other stages
+    return model
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
