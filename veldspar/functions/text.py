@@ -16,7 +16,7 @@ def strip(text: Column) -> Column:
 
 def squeeze(text: Column) -> Column:
     """Runs of white space as one space each, none at the ends."""
-    return strip(F.regexp_replace(text, f"{SPACE}+", " "))
+    return F.trim(F.regexp_replace(text, f"{SPACE}+", " "))
 
 
 def blank(text: Column) -> Column:

@@ -6,13 +6,14 @@ the noise rules is sorted, so that repeated lines stand together, and put in ord
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import squeeze, strip
+from ..functions.text import SPACE, squeeze, strip
 
 #: Fixed values: (rule, name, pattern). A line in which one is found, whatever the case, is dropped whole.
 NOISE: tuple[tuple[int, str, str], ...] = (
@@ -48,16 +49,18 @@ def noise_pattern(rule: int, strict: bool = False) -> str:
 
 
 def any_noise(strict: bool = False) -> str:
-    """All rules as one pattern. Those that may begin anywhere are only tried where a letter stands with which one of them begins."""
+    """All rules as one pattern. Those that may begin anywhere, each with three characters as they stand, are only tried where three follow that may begin one."""
     if strict:
         return "|".join(noise_pattern(rule, strict) for rule, _, _ in NOISE)
     ahead, anywhere = ([p for _, _, p in NOISE if p.startswith("^") == at] for at in (True, False))
-    return f"(?iuU)(?:{'|'.join(ahead)}|(?=[{''.join(sorted({p[0].lower() for p in anywhere}))}])(?:{'|'.join(anywhere)}))"
+    begins = "".join(f"[{re.escape(''.join(sorted({p[k].lower() for p in anywhere})))}]" for k in range(3))
+    return f"(?iuU)(?:{'|'.join(ahead)}|(?={begins})(?:{'|'.join(anywhere)}))"
 
 
 def lines(text: Column) -> Column:
-    """The text's lines, stripped."""
-    return F.transform(F.split(text, "\n"), strip)
+    """The text's lines, stripped (C1). Most have no white space at either end and are not searched for it."""
+    ends = lambda x: F.concat(F.substring(x, 1, 1), F.substring(x, -1, 1)).rlike(SPACE)
+    return F.transform(F.split(text, "\n"), lambda x: F.when(ends(x), strip(x)).otherwise(x))
 
 
 def repeated_lines(stripped: Column) -> Column:
