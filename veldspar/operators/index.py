@@ -108,7 +108,7 @@ class Index:
             cuts = np.linspace(0, 2, tasks + 1)[1:-1]
 
         def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in (whole.slice(k, 1024) for whole in batches for k in range(0, whole.num_rows, 1024)):  # no matrix is as large as a batch
                 at, wide = _units(batch.column(width), dimensions) if dimensions else (np.zeros(0, int), np.zeros((0, 0)))
                 if not len(at):
                     continue
