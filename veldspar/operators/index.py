@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.slices import small_batches
 from ..sources.files import written
 from .retrieval import MOST_ASKED, Best, _units
 
@@ -89,6 +90,7 @@ class Index:
         point is placed once and moved once. No points make an empty index.
         """
         spark = points.sparkSession
+        small_batches(spark)
         rows = points.select(*[F.col(i).cast("bigint").alias(i) for i in ids], "vector").where("vector is not null")
         by_hash = rows.withColumn("_h", F.xxhash64(*ids))
         # found on the ids alone, so that no task sorts or holds vectors that are not of the sample

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import PipelineConfig
+from ..functions.slices import small_batches
 from ..operators import answering, chunking, cleaning, embedding, parsers, retrieval
 from ..operators.index import Index
 from ..sources import files, http
@@ -87,6 +88,7 @@ def ingest(docs: DataFrame, config: PipelineConfig | None = None, cleaned: bool
     all documents, rows are dealt out first, as packing is the dear part.
     """
     config = config or PipelineConfig()
+    small_batches(docs.sparkSession)
     source = F.col("source_file") if "source_file" in docs.columns else F.lit(None).cast("string")
     dealt = files.spread(docs.select("doc_id", "text", source.alias("source_file")))
     texts = dealt.withColumn("cleaned", F.coalesce("text", F.lit(""))) if cleaned else cleaning.clean(dealt, config.strict_noise, config.ocr_fixes)
